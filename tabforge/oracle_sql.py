@@ -139,3 +139,89 @@ def profile_with_key(table: str, pk: str) -> str:
 
 
 register("profile_key_lineitem", profile_with_key("lineitem", "l_orderkey"))
+
+
+# --- C: plans --------------------------------------------------------------------
+BATCH_CASE = """CASE WHEN num_columns <= 10 THEN 30 WHEN num_columns <= 20 THEN 20
+  WHEN num_columns <= 35 THEN 15 WHEN num_columns <= 50 THEN 10 WHEN num_columns <= 75 THEN 7 ELSE 5 END"""
+
+
+def specs(tables: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS dataset_name, count(*) AS rows, {len(COLUMNS[t])} AS num_columns FROM {t}"
+        for t in tables)
+
+
+def plan(tables: list[str]) -> str:
+    return f"""SELECT dataset_name, batch_num, batch_size,
+  least(batch_size, rows - (batch_num - 1) * batch_size) AS target_rows,
+  (batch_num - 1) * batch_size + 1 AS start_idx,
+  (batch_num - 1) * batch_size + least(batch_size, rows - (batch_num - 1) * batch_size) AS end_idx
+FROM (SELECT dataset_name, rows, batch_size,
+        unnest(range(1, CAST(ceil(rows / batch_size) AS BIGINT) + 1)) AS batch_num
+      FROM (SELECT dataset_name, rows, CAST({BATCH_CASE} AS BIGINT) AS batch_size FROM ({specs(tables)})))"""
+
+
+register("batch_plan_all", plan(TABLES))
+register("seed_keys_orders", f"""SELECT dataset_name, batch_num, row_idx, 'O_ORDERKEY-' || row_idx AS seed_key
+FROM (SELECT dataset_name, batch_num, unnest(range(start_idx, end_idx + 1)) AS row_idx FROM ({plan(['orders'])}))""")
+register("default_text_all", f"""SELECT table_name AS dataset_name,
+  'Realistic synthetic ' || upper(substr(table_name, 1, 1)) || lower(substr(table_name, 2)) || ' dataset'
+  || CASE WHEN count(*) > 0 THEN ' containing fields: '
+       || string_agg(CASE WHEN ordinal_position <= 6 THEN column_name END, ', ' ORDER BY ordinal_position)
+       || CASE WHEN count(*) > 6 THEN ' and ' || (count(*) - 6) || ' more' ELSE '' END || '.'
+     ELSE '.' END AS description,
+  'Generate realistic, diverse, and internally consistent data. Values must reflect real-world distributions and relationships between columns. Avoid repetitive patterns, placeholder text, or sequential values. Ensure all fields have appropriate formats and plausible value ranges.' AS ai_criteria
+FROM information_schema.columns WHERE table_name IN ({", ".join(f"'{t}'" for t in TABLES)})
+GROUP BY table_name""")
+
+# --- E: replies ------------------------------------------------------------------
+CUST_NAME = """CASE c_custkey % 10 WHEN 3 THEN c_name || ', Inc' WHEN 7 THEN c_name || ' "VIP"'
+  WHEN 9 THEN c_name || chr(10) || 'line2' ELSE c_name END"""
+CUST_NAME_QUOTED = ("CASE c_custkey % 10 WHEN 3 THEN '\"' || c_name || ', Inc\"' "
+                    "WHEN 7 THEN '\"' || c_name || ' \"\"VIP\"\"\"' "
+                    "WHEN 9 THEN '\"' || c_name || chr(10) || 'line2\"' ELSE c_name END")
+register("parse_csv_customer", f"""SELECT c_custkey // 30 AS batch_num, 0 AS attempt,
+  CAST(c_custkey AS VARCHAR) AS c_custkey, {CUST_NAME} AS c_name,
+  CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer""")
+register("rejects_customer", f"""SELECT c_custkey // 30 AS batch_num, 3 AS n_fields,
+  CAST(c_custkey AS VARCHAR) || ',' || {CUST_NAME_QUOTED} || ',' || CAST(c_nationkey AS VARCHAR) AS record
+FROM customer WHERE c_custkey % 17 = 0""")
+register("parse_json_events", """SELECT event_id // 20 AS batch_num, 0 AS attempt, event_id, user_id, event_type,
+  CASE WHEN event_type <> 'view' THEN value END AS value, props FROM events""")
+register("props_union", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+register("reply_status", """SELECT event_id // 20 AS batch_num, 0 AS attempt,
+  CAST(CASE WHEN (event_id // 20) % 5 = 3 THEN 0 ELSE count(*) END AS INTEGER) AS rows_parsed,
+  CASE WHEN (event_id // 20) % 5 = 3 THEN 'failed' ELSE 'ok' END AS status
+FROM events GROUP BY event_id // 20""")
+
+# --- F: cleaning and assembly ----------------------------------------------------
+LI_ORDER = ("l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, "
+            "l_returnflag, l_linestatus, l_shipdate")
+register("dedup_lineitem_key", f"""SELECT * FROM lineitem WHERE l_orderkey IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {LI_ORDER}) = 1""")
+register("dedup_documents_text", """SELECT doc_id, lang, source, n_chars FROM documents
+WHERE text IS NOT NULL AND text <> '' QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""")
+register("dropped_documents", """SELECT count(*) AS rows_in, count(DISTINCT text) AS rows_kept,
+  count(*) - count(DISTINCT text) AS dropped_duplicates FROM documents WHERE text IS NOT NULL AND text <> ''""")
+register("exclude_claimed_orders", """SELECT * FROM orders o
+WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)""")
+_KEPT = "SELECT DISTINCT l_orderkey + 1 AS row_idx, (l_orderkey // 30) + 1 AS batch_num FROM lineitem"
+register("shortfall_lineitem", f"""WITH p AS ({plan(['orders'])}),
+k AS (SELECT batch_num, count(*) AS kept_rows FROM ({_KEPT}) GROUP BY batch_num)
+SELECT p.*, CAST(coalesce(k.kept_rows, 0) AS BIGINT) AS kept_rows,
+  p.target_rows - coalesce(k.kept_rows, 0) AS shortfall
+FROM p LEFT JOIN k ON p.batch_num = k.batch_num""")
+register("retry_plan_lineitem", f"""WITH p AS ({plan(['orders'])}),
+kept AS ({_KEPT}),
+planned AS (SELECT batch_num, unnest(range(start_idx, end_idx + 1)) AS row_idx FROM p),
+missing AS (SELECT * FROM planned WHERE row_idx NOT IN (SELECT row_idx FROM kept)),
+m AS (SELECT batch_num, count(*) AS target_rows,
+        string_agg('O_ORDERKEY-' || row_idx, ',' ORDER BY row_idx) AS seeds FROM missing GROUP BY batch_num),
+k AS (SELECT batch_num, count(*) AS kept_rows FROM kept GROUP BY batch_num)
+SELECT p.batch_num, 1 AS attempt, m.target_rows, p.start_idx + coalesce(k.kept_rows, 0) AS start_idx,
+  p.end_idx, CAST(0.4 AS DOUBLE) AS temperature, m.seeds
+FROM p JOIN m ON p.batch_num = m.batch_num LEFT JOIN k ON p.batch_num = k.batch_num""")
+register("assemble_union", "SELECT * FROM customer UNION ALL BY NAME SELECT * FROM supplier")
+register("trim_to_rows", f"""SELECT * FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {LI_ORDER}) <= 3""")

@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import keys, profile
+from .operators import assemble, keys, profile, replies
+from .plans import batches
 from .oracle_sql import TABLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +89,166 @@ def q_kq_nulls(spark, sf_dir):
 @query("samples_part")
 def q_samples_part(spark, sf_dir):
     return profile.sample_rows(load(spark, sf_dir, "part"), 10, order_by=["p_partkey"])
+
+
+# --- C: batch plans ------------------------------------------------------------
+def table_specs(spark, sf_dir, names: list[str] | None = None) -> DataFrame:
+    """One spec row per table: (dataset_name, rows = count(*), num_columns)."""
+    from .operators.assemble import assemble
+    parts = []
+    for t in names or TABLES:
+        df = load(spark, sf_dir, t)
+        parts.append(df.agg(F.count(F.lit(1)).alias("rows"))
+                     .select(F.lit(t).alias("dataset_name"), "rows", F.lit(len(df.columns)).alias("num_columns")))
+    return assemble(parts)
+
+
+@query("batch_plan_all")
+def q_batch_plan_all(spark, sf_dir):
+    return batches.plan_batches(table_specs(spark, sf_dir))
+
+
+@query("seed_keys_orders")
+def q_seed_keys_orders(spark, sf_dir):
+    plan = batches.plan_batches(table_specs(spark, sf_dir, ["orders"]))
+    return batches.seed_keys(plan, "o_orderkey")
+
+
+@query("default_text_all")
+def q_default_text_all(spark, sf_dir):
+    return batches.default_texts(profile.catalog(spark, all_tables(spark, sf_dir)))
+
+
+# --- E: replies ----------------------------------------------------------------
+CUST_REPLY_COLS = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+
+
+def customer_replies(spark, sf_dir, cut_every: int | None = None) -> DataFrame:
+    """Customer rows rendered as CSV replies of 30 rows, with the shapes a model
+    produces: quoted commas, escaped quotes, quoted newlines, padded values,
+    blank lines, fenced replies and header rows."""
+    c = load(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    name = (F.when(k % 10 == 3, F.concat(F.lit('"'), F.col("c_name"), F.lit(', Inc"')))
+            .when(k % 10 == 7, F.concat(F.lit('"'), F.col("c_name"), F.lit(' ""VIP"""')))
+            .when(k % 10 == 9, F.concat(F.lit('"'), F.col("c_name"), F.lit('\nline2"')))
+            .otherwise(F.col("c_name")))
+    seg = F.when(k % 10 == 5, F.concat(F.lit("  "), F.col("c_mktsegment"), F.lit(" "))).otherwise(F.col("c_mktsegment"))
+    full = F.concat_ws(",", k.cast("string"), name, F.col("c_nationkey").cast("string"), seg)
+    line = full
+    if cut_every:
+        short = F.concat_ws(",", k.cast("string"), name, F.col("c_nationkey").cast("string"))
+        line = F.when(k % cut_every == 0, short).otherwise(full)
+    line = F.when(k % 30 == 15, F.concat(line, F.lit("\n"))).otherwise(line)
+    r = replies.rows_to_csv_replies(c, line, F.floor(k / 30), k)
+    b = F.col("batch_num")
+    body = F.when(b % 4 == 2, F.concat(F.lit(",".join(CUST_REPLY_COLS) + "\n"), F.col("response"))) \
+        .otherwise(F.col("response"))
+    body = F.when(b % 3 == 1, F.concat(F.lit("```csv\n"), body, F.lit("\n```"))).otherwise(body)
+    return r.select("batch_num", "attempt", body.alias("response"))
+
+
+@query("parse_csv_customer")
+def q_parse_csv_customer(spark, sf_dir):
+    parsed = replies.parse_csv_replies(customer_replies(spark, sf_dir), CUST_REPLY_COLS)
+    return parsed.rows.drop("pos")
+
+
+@query("rejects_customer")
+def q_rejects_customer(spark, sf_dir):
+    parsed = replies.parse_csv_replies(customer_replies(spark, sf_dir, cut_every=17), CUST_REPLY_COLS)
+    return parsed.rejects.select("batch_num", "n_fields", "record")
+
+
+def event_replies(spark, sf_dir, break_every: int | None = None) -> DataFrame:
+    """Events as JSON-array replies of 20 objects; 'view' events omit ``value``
+    (so the column set is a union); optionally every n-th reply is truncated."""
+    ev = load(spark, sf_dir, "events")
+    obj = F.to_json(F.struct("event_id", "user_id", "event_type",
+                             F.when(F.col("event_type") != "view", F.col("value")).alias("value"), "props"))
+    g = ev.select(F.floor(F.col("event_id") / 20).alias("batch_num"), F.col("event_id").alias("_o"),
+                  obj.alias("_j")).groupBy("batch_num").agg(
+        F.array_sort(F.collect_list(F.struct("_o", "_j"))).alias("_js"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("_js", lambda s: s["_j"]), ","), F.lit("]"))
+    out = g.select("batch_num", F.lit(0).alias("attempt"), text.alias("response"))
+    if break_every:
+        out = out.withColumn("response", F.when(
+            F.col("batch_num") % break_every == 3,
+            F.expr("substring(response, 1, length(response) - 1)")).otherwise(F.col("response")))
+    return out
+
+
+@query("parse_json_events")
+def q_parse_json_events(spark, sf_dir):
+    return replies.parse_json_replies(event_replies(spark, sf_dir)).drop("pos")
+
+
+@query("props_union")
+def q_props_union(spark, sf_dir):
+    return replies.parse_json_column(load(spark, sf_dir, "events"), "props", ["event_id"])
+
+
+@query("reply_status")
+def q_reply_status(spark, sf_dir):
+    return replies.json_reply_status(event_replies(spark, sf_dir, break_every=5))
+
+
+# --- F: cleaning and assembly ---------------------------------------------------
+LINEITEM_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+                  "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query("dedup_lineitem_key")
+def q_dedup_lineitem(spark, sf_dir):
+    li = assemble.drop_missing_keys(load(spark, sf_dir, "lineitem"), "l_orderkey")
+    return assemble.dedup_global(li, "l_orderkey", LINEITEM_ORDER)
+
+
+@query("dedup_documents_text")
+def q_dedup_documents(spark, sf_dir):
+    docs = assemble.drop_missing_keys(load(spark, sf_dir, "documents"), "text")
+    return assemble.dedup_global(docs, "text", ["doc_id"]).select("doc_id", "lang", "source", "n_chars")
+
+
+@query("dropped_documents")
+def q_dropped_documents(spark, sf_dir):
+    return assemble.dropped_duplicates(load(spark, sf_dir, "documents"), "text")
+
+
+@query("exclude_claimed_orders")
+def q_exclude_claimed(spark, sf_dir):
+    return assemble.exclude_claimed(load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem"),
+                                    "o_orderkey", "l_orderkey")
+
+
+def _orders_plan_and_kept(spark, sf_dir):
+    from .spec import batch_size_for
+    plan = batches.plan_batches(table_specs(spark, sf_dir, ["orders"]))
+    size = batch_size_for(len(load(spark, sf_dir, "orders").columns))
+    kept = (load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + 1).alias("row_idx")).distinct()
+            .withColumn("batch_num", F.floor((F.col("row_idx") - 1) / size) + 1))
+    return plan, kept
+
+
+@query("shortfall_lineitem")
+def q_shortfall(spark, sf_dir):
+    plan, kept = _orders_plan_and_kept(spark, sf_dir)
+    return assemble.shortfall(plan, kept)
+
+
+@query("retry_plan_lineitem")
+def q_retry_plan(spark, sf_dir):
+    plan, kept = _orders_plan_and_kept(spark, sf_dir)
+    rp = assemble.retry_plan(plan, kept, attempt=0, prefix=batches.key_prefix("o_orderkey"))
+    return rp.select("batch_num", "attempt", "target_rows", "start_idx", "end_idx", "temperature",
+                     F.array_join("seed_keys", ",").alias("seeds"))
+
+
+@query("assemble_union")
+def q_assemble_union(spark, sf_dir):
+    return assemble.assemble([load(spark, sf_dir, "customer"), load(spark, sf_dir, "supplier")])
+
+
+@query("trim_to_rows")
+def q_trim_to_rows(spark, sf_dir):
+    return assemble.trim_to_rows(load(spark, sf_dir, "lineitem"), "l_orderkey", LINEITEM_ORDER, 3)

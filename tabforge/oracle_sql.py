@@ -3,31 +3,7 @@ query must return.  Used by the correctness gate (``__spark_entry__.oracle_sql``
 
 from __future__ import annotations
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-
-# Column names per table (the driver tables' layout), used to spell per-column SQL.
-COLUMNS = {
-    "region": ["r_regionkey", "r_name"],
-    "nation": ["n_nationkey", "n_name", "n_regionkey"],
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
-    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
-    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
-               "o_orderpriority"],
-    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-                 "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
-                 "l_shipdate"],
-    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
-    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
-    "embeddings": ["vec_id", "embedding", "label"],
-    "pages": ["page_id", "url", "html"],
-    "benchmark": ["item_id", "text"],
-    "labels": ["doc_id", "quality", "toxic"],
-    "conversations": ["conv_id", "turn", "role", "text"],
-}
-DOUBLE_COLUMNS = {"c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity",
-                  "l_extendedprice", "l_discount", "l_tax", "value"}
+from .fixtures import COLUMNS, DOUBLE_COLUMNS, GEN_CONTRACTS, TABLES  # noqa: F401
 
 PHYSICAL_CASE = """CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint'
   WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
@@ -225,3 +201,136 @@ FROM p JOIN m ON p.batch_num = m.batch_num LEFT JOIN k ON p.batch_num = k.batch_
 register("assemble_union", "SELECT * FROM customer UNION ALL BY NAME SELECT * FROM supplier")
 register("trim_to_rows", f"""SELECT * FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {LI_ORDER}) <= 3""")
+
+
+# --- D: generation -----------------------------------------------------------------
+# The generator re-stated in SQL: draws are the first 32 bits of md5 over
+# 'seed|column|row|salt'; see the value rules in the generator module.
+from .functions import values as _V  # noqa: E402  (word lists are fixed values)
+
+SEED = 42
+RANGE_FROM = "(SELECT unnest(range(1, (SELECT count(*) FROM {t}) + 1)) AS i)"
+
+
+def _h(col: str, salt: str) -> str:
+    return f"md5(concat_ws('|', '{SEED}', '{col}', CAST(i AS VARCHAR), '{salt}'))"
+
+
+def _chunk(h: str, k: int = 0) -> str:
+    return f"('0x' || substr({h}, {1 + 8 * k}, 8))::BIGINT"
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def _pick(words: list[str], u: str) -> str:
+    return f"({_list(words)})[({u}) % {len(words)} + 1]"
+
+
+def _offset(n: int, dist: str | None, col: str) -> str:
+    d = (dist or "uniform").lower()
+    if d == "normal":
+        terms = " + ".join(_chunk(_h(col, f"g{g}"), k) for g in range(3) for k in range(4))
+        return f"((({terms}) * {n}) // {12 * 4294967296})"
+    if d == "skewed":
+        x = f"(CAST({_chunk(_h(col, 'v'))} AS DOUBLE) / CAST(4294967296 AS DOUBLE))"
+        return f"CAST(floor({x} * {x} * {n}) AS BIGINT)"
+    return f"({_chunk(_h(col, 'r' if d == 'random' else 'v'))} % {n})"
+
+
+def _gen_value(c: dict) -> str:
+    from .spec import DateRange, NumericRange, RegexPattern, parse_pattern
+    t, name, dist = c.get("type", "string"), c["name"], c.get("distribution")
+    pat = parse_pattern(c.get("pattern"), t)
+    if isinstance(pat, RegexPattern):
+        parts = []
+        for ti, tok in enumerate(pat.tokens):
+            for j in range(tok.max_rep):
+                if len(tok.alphabet) == 1:
+                    parts.append(f"'{tok.alphabet}'")
+                else:
+                    u = _chunk(_h(name, f"t{ti}c{j // 4}"), j % 4)
+                    parts.append(f"substr('{tok.alphabet}', CAST(({u}) % {len(tok.alphabet)} + 1 AS INTEGER), 1)")
+        return " || ".join(parts)
+    if t == "integer":
+        lo, hi = (int(pat.lo), int(pat.hi)) if isinstance(pat, NumericRange) else _V.DEFAULT_INT_RANGE
+        return f"CAST({lo} + {_offset(hi - lo + 1, dist, name)} AS BIGINT)"
+    if t == "float":
+        lo, hi = (pat.lo, pat.hi) if isinstance(pat, NumericRange) else _V.DEFAULT_FLOAT_RANGE
+        lo_c, hi_c = round(lo * 100), round(hi * 100)
+        return f"CAST(({lo_c} + {_offset(hi_c - lo_c + 1, dist, name)}) / 100 AS DOUBLE)"
+    if t == "boolean":
+        return f"({_chunk(_h(name, 'v'))} % 2 = 0)"
+    if t == "date":
+        lo, hi = (pat.lo, pat.hi) if isinstance(pat, DateRange) else _V.DEFAULT_DATE_RANGE
+        days = (hi.date() - lo.date()).days
+        return f"(DATE '{lo.date()}' + CAST({_offset(days + 1, dist, name)} AS INTEGER))"
+    if t == "datetime":
+        lo, hi = (pat.lo, pat.hi) if isinstance(pat, DateRange) else _V.DEFAULT_DATE_RANGE
+        import datetime as _dt
+        hi = _dt.datetime.combine(hi.date(), _dt.time(23, 59, 59)) if hi.time() == _dt.time(0, 0) else hi
+        secs = int((hi - lo).total_seconds())
+        return f"(TIMESTAMP '{lo:%Y-%m-%d %H:%M:%S}' + to_seconds({_offset(secs + 1, dist, name)}))"
+    if t == "uuid":
+        h = _h(name, "u")
+        return (f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-4' || substr({h}, 14, 3) || '-' || "
+                f"substr('89ab', CAST(('0x' || substr({h}, 17, 1))::INTEGER % 4 + 1 AS INTEGER), 1) || "
+                f"substr({h}, 18, 3) || '-' || substr({h}, 21, 12)")
+    if t in ("name", "email"):
+        h = _h(name, "name")
+        first, last = _pick(_V.FIRST_NAMES, _chunk(h, 0)), _pick(_V.LAST_NAMES, _chunk(h, 1))
+        if t == "name":
+            return f"{first} || ' ' || {last}"
+        dom = _pick(_V.DOMAINS, _chunk(_h(name, "dom")))
+        return f"lower({first} || '.' || {last} || CAST(i AS VARCHAR) || '@' || {dom})"
+    if t == "phone":
+        h = _h(name, "ph")
+        return (f"'+1-' || CAST(200 + {_chunk(h, 0)} % 800 AS VARCHAR) || '-' || "
+                f"lpad(CAST({_chunk(h, 1)} % 1000 AS VARCHAR), 3, '0') || '-' || "
+                f"lpad(CAST({_chunk(h, 2)} % 10000 AS VARCHAR), 4, '0')")
+    if t == "address":
+        h = _h(name, "addr")
+        return (f"CAST(1 + {_chunk(h, 0)} % 9999 AS VARCHAR) || ' ' || {_pick(_V.STREETS, _chunk(h, 1))} || ' ' || "
+                f"{_pick(_V.STREET_SUFFIXES, _chunk(h, 2))} || ', ' || {_pick(_V.CITIES, _chunk(h, 3))}")
+    if t == "url":
+        h = _h(name, "url")
+        return (f"'https://' || {_pick(_V.HOSTS, _chunk(h, 0))} || '.' || {_pick(_V.WORDS, _chunk(h, 1))} || '.' || "
+                f"{_pick(_V.TLDS, _chunk(h, 2))} || '/' || {_pick(_V.WORDS, _chunk(h, 3))} || '/' || CAST(i AS VARCHAR)")
+    return _pick(_V.WORDS, _offset(len(_V.WORDS), dist, name))
+
+
+def gen_sql(columns: list[dict], pk: str | None = None, table: str = "customer", null_rate: int = 5) -> str:
+    exprs = []
+    for c in columns:
+        if pk and c["name"] == pk:
+            v = f"'{pk.replace(' ', '').upper()}-' || CAST(i AS VARCHAR)"
+        else:
+            v = _gen_value(c)
+            if c.get("nullable"):
+                v = f"CASE WHEN {_chunk(_h(c['name'], 'null'))} % 100 >= {null_rate} THEN {v} END"
+        exprs.append(f"{v} AS {c['name']}")
+    return f"SELECT i AS row_idx, {', '.join(exprs)} FROM {RANGE_FROM.format(t=table)}"
+
+
+def _register_gen():
+    from .spec import users_contract
+    for name, cols in GEN_CONTRACTS.items():
+        register(name, gen_sql(cols))
+    register("gen_users", gen_sql([c.to_dict() for c in users_contract()], pk="user_id"))
+
+
+_register_gen()
+
+
+register("mimic_segment", f"""WITH f AS (SELECT c_mktsegment AS value, count(*) AS freq FROM customer
+   WHERE c_mktsegment IS NOT NULL GROUP BY 1),
+iv AS (SELECT value, freq, sum(freq) OVER (ORDER BY value ROWS UNBOUNDED PRECEDING) AS hi FROM f),
+g AS (SELECT i, {_chunk(_h('c_mktsegment', 'v'))} % (SELECT count(*) FROM customer) AS r
+      FROM {RANGE_FROM.format(t='customer')})
+SELECT g.i AS row_idx, iv.value AS c_mktsegment FROM g JOIN iv ON g.r >= iv.hi - iv.freq AND g.r < iv.hi""")
+_PART_ALL = " AND ".join(f"s.{c} IS NOT DISTINCT FROM p.{c}" for c in COLUMNS["part"])
+register("novel_rows", f"""SELECT * FROM part p WHERE NOT EXISTS (
+  SELECT 1 FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 10) s WHERE {_PART_ALL})""")
+register("sample_copies_part", f"""SELECT * FROM part p WHERE EXISTS (
+  SELECT 1 FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 10) s WHERE {_PART_ALL})""")

@@ -9,9 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import assemble, keys, profile, replies
+from .operators import assemble, generate, keys, profile, replies
+from .spec import DatasetSpec, users_contract
 from .plans import batches
-from .oracle_sql import TABLES
+from .fixtures import GEN_CONTRACTS, TABLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -252,3 +253,55 @@ def q_assemble_union(spark, sf_dir):
 @query("trim_to_rows")
 def q_trim_to_rows(spark, sf_dir):
     return assemble.trim_to_rows(load(spark, sf_dir, "lineitem"), "l_orderkey", LINEITEM_ORDER, 3)
+
+
+# --- D: generation ----------------------------------------------------------------
+def _skeleton_rows(spark, sf_dir, table: str = "customer") -> int:
+    """Generated row count = rows of a driver table (parquet footer count)."""
+    return load(spark, sf_dir, table).count()
+
+
+def _gen(spark, sf_dir, columns, pk=None):
+    spec = DatasetSpec("gen", _skeleton_rows(spark, sf_dir), columns=columns, primary_key=pk)
+    return generate.generate(spark, spec).drop("batch_num")
+
+
+def _gen_query(name: str, columns: list[dict], pk: str | None = None):
+    QUERIES[name] = lambda spark, sf_dir: _gen(spark, sf_dir, columns, pk)
+
+
+for _name, _cols in GEN_CONTRACTS.items():
+    _gen_query(_name, _cols)
+QUERIES["gen_users"] = lambda spark, sf_dir: _gen(spark, sf_dir, [c.to_dict() for c in users_contract()],
+                                                  pk="user_id")
+
+
+@query("mimic_segment")
+def q_mimic_segment(spark, sf_dir):
+    cust = load(spark, sf_dir, "customer")
+    skel = generate.row_skeleton(spark, cust.count(), 30).drop("batch_num")
+    return generate.mimic_categorical(skel, cust, "c_mktsegment")
+
+
+@query("mimic_price")
+def q_mimic_price(spark, sf_dir):
+    orders = load(spark, sf_dir, "orders")
+    skel = generate.row_skeleton(spark, orders.count(), 30).drop("batch_num")
+    return generate.mimic_numeric(skel, orders, "o_totalprice")
+
+
+def _part_samples(spark, sf_dir):
+    part = load(spark, sf_dir, "part")
+    return part, part.orderBy("p_partkey").limit(10)
+
+
+@query("novel_rows")
+def q_novel_rows(spark, sf_dir):
+    part, samples = _part_samples(spark, sf_dir)
+    return generate.drop_sample_copies(part, samples)
+
+
+@query("sample_copies_part")
+def q_sample_copies(spark, sf_dir):
+    part, samples = _part_samples(spark, sf_dir)
+    return generate.sample_copies(part, samples)

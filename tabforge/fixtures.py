@@ -41,3 +41,19 @@ GEN_CONTRACTS = {
                        {"name": "home", "type": "address"}, {"name": "site", "type": "url"},
                        {"name": "city", "type": "string", "nullable": True}],
 }
+
+# Contracts the validation queries check the driver tables against.
+VALIDATE_CONTRACTS = {
+    "customer": [{"name": "c_custkey", "type": "integer"}, {"name": "c_name", "type": "name"},
+                 {"name": "c_nationkey", "type": "integer", "pattern": "0-20"},
+                 {"name": "c_acctbal", "type": "float", "pattern": "0-5000"},
+                 {"name": "c_mktsegment", "type": "string", "nullable": True, "pattern": "[A-Z]+"}],
+    "pages": [{"name": "page_id", "type": "integer"}, {"name": "url", "type": "url"},
+              {"name": "html", "type": "string"}],
+    "lineitem": [{"name": "l_quantity", "type": "float", "pattern": "1-50"},
+                 {"name": "l_discount", "type": "float", "pattern": "0-0.1"},
+                 {"name": "l_tax", "type": "float", "pattern": "0-0.08"},
+                 {"name": "l_returnflag", "type": "string", "pattern": "[ANR]"},
+                 {"name": "l_linestatus", "type": "string", "pattern": "[OF]"},
+                 {"name": "l_shipdate", "type": "datetime", "pattern": "1992-01-01 to 1998-12-31"}],
+}

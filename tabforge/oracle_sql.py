@@ -334,3 +334,94 @@ register("novel_rows", f"""SELECT * FROM part p WHERE NOT EXISTS (
   SELECT 1 FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 10) s WHERE {_PART_ALL})""")
 register("sample_copies_part", f"""SELECT * FROM part p WHERE EXISTS (
   SELECT 1 FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 10) s WHERE {_PART_ALL})""")
+
+
+# --- G: validation -------------------------------------------------------------------
+from .fixtures import VALIDATE_CONTRACTS  # noqa: E402
+
+
+def _v_text(col: str, typ: str) -> str:
+    if col in ("l_shipdate", "o_orderdate", "ts"):
+        return f"strftime({col}, '%Y-%m-%d %H:%M:%S')"
+    return f"CAST({col} AS VARCHAR)"
+
+
+def validate_sql(table: str) -> str:
+    from .operators.validate import BOOLEAN_WORDS, FORMAT_RULES
+    from .spec import DateRange, NumericRange, RegexPattern, parse_pattern
+    parts = []
+    for c in VALIDATE_CONTRACTS[table]:
+        name, typ = c["name"], c.get("type", "string")
+        t = _v_text(name, typ)
+        miss = f"({t} IS NULL OR {t} = '')"
+        if not c.get("nullable"):
+            parts.append(f"SELECT 'not_null' AS check_name, '{name}' AS column_name, count(*) FILTER (WHERE {miss}) AS violations FROM {table}")
+        if typ == "boolean":
+            ok = f"lower({t}) IN ({', '.join(repr(w) for w in BOOLEAN_WORDS)})"
+        elif typ in FORMAT_RULES:
+            ok = f"regexp_matches({t}, '{FORMAT_RULES[typ]}')"
+        else:
+            ok = None
+        if ok:
+            parts.append(f"SELECT 'type_format', '{name}', count(*) FILTER (WHERE NOT {miss} AND NOT coalesce({ok}, false)) FROM {table}")
+        pat = parse_pattern(c.get("pattern"), typ)
+        if isinstance(pat, NumericRange):
+            ok = f"(TRY_CAST({t} AS DOUBLE) BETWEEN {pat.lo} AND {pat.hi})"
+        elif isinstance(pat, DateRange):
+            ok = f"(TRY_CAST({t} AS TIMESTAMP) BETWEEN TIMESTAMP '{pat.lo}' AND TIMESTAMP '{pat.hi.date()} 23:59:59.999999')"
+        elif isinstance(pat, RegexPattern):
+            ok = f"regexp_matches({t}, '^(?:{c['pattern']})$')"
+        else:
+            ok = None
+        if ok:
+            parts.append(f"SELECT 'pattern', '{name}', count(*) FILTER (WHERE NOT {miss} AND NOT coalesce({ok}, false)) FROM {table}")
+    return " UNION ALL ".join(parts)
+
+
+register("validate_customer", validate_sql("customer"))
+register("validate_pages_url", validate_sql("pages"))
+register("validate_ranges", validate_sql("lineitem"))
+register("row_uniqueness_documents", """SELECT lang, source, md5(text) AS text_md5, count(*) AS copies
+FROM documents GROUP BY lang, source, text HAVING count(*) > 1""")
+
+
+def _gaps(keys_sql: str) -> str:
+    return f"""SELECT prev_key, key, key - prev_key AS gap FROM (
+  SELECT k AS key, lag(k) OVER (ORDER BY k) AS prev_key FROM (SELECT DISTINCT k FROM ({keys_sql}) WHERE k IS NOT NULL))
+WHERE prev_key IS NOT NULL AND key - prev_key <> 1"""
+
+
+register("key_continuity_lineitem", _gaps("SELECT l_orderkey AS k FROM lineitem"))
+register("key_continuity_orders", _gaps("SELECT o_orderkey AS k FROM orders"))
+register("key_continuity_seeded", _gaps(
+    "SELECT row_idx AS k FROM (SELECT unnest(range(1, (SELECT count(*) FROM orders) + 1)) AS row_idx) "
+    "WHERE row_idx IN (SELECT l_orderkey + 1 FROM lineitem)"))
+_LONG = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM part"
+                           for c in COLUMNS["part"])
+register("low_variety_part", f"""WITH c AS (SELECT column_name, value, count(*) AS cnt FROM ({_LONG})
+   WHERE value IS NOT NULL GROUP BY column_name, value),
+r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, value) AS rn,
+        CAST(sum(cnt) OVER (PARTITION BY column_name) AS BIGINT) AS total FROM c)
+SELECT column_name, value AS top_value, cnt AS top_count, total, cnt / total AS top_share FROM r WHERE rn = 1""")
+
+
+def _placeholder_sql() -> str:
+    from .operators.validate import PLACEHOLDER_WORDS, word_pattern
+    return " UNION ALL ".join(
+        f"SELECT '{w}' AS word, count(*) FILTER (WHERE regexp_matches(lower(text), '{word_pattern(w)}')) AS rows FROM documents"
+        for w in PLACEHOLDER_WORDS)
+
+
+register("placeholder_documents", _placeholder_sql())
+_HALVES = """WITH m AS (SELECT (min(event_id) + max(event_id)) // 2 AS mid FROM events),
+a AS (SELECT event_type AS value, count(*) AS a_count FROM events WHERE event_id <= (SELECT mid FROM m) GROUP BY 1),
+b AS (SELECT event_type AS value, count(*) AS b_count FROM events WHERE event_id > (SELECT mid FROM m) GROUP BY 1),
+na AS (SELECT count(*) AS n FROM events WHERE event_id <= (SELECT mid FROM m)),
+nb AS (SELECT count(*) AS n FROM events WHERE event_id > (SELECT mid FROM m)),
+d AS (SELECT coalesce(a.value, b.value) AS value, coalesce(a_count, 0) AS a_count, coalesce(b_count, 0) AS b_count
+      FROM a FULL OUTER JOIN b ON a.value IS NOT DISTINCT FROM b.value)"""
+register("drift_events", f"""{_HALVES}
+SELECT value, a_count, b_count, a_count / (SELECT n FROM na) AS a_share, b_count / (SELECT n FROM nb) AS b_share,
+  abs(a_count / (SELECT n FROM na) - b_count / (SELECT n FROM nb)) AS share_diff FROM d""")
+register("drift_tvd_events", f"""{_HALVES}
+SELECT sum(abs(a_count * (SELECT n FROM nb) - b_count * (SELECT n FROM na))) / (2 * (SELECT n FROM na) * (SELECT n FROM nb)) AS tvd FROM d""")

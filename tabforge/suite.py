@@ -9,10 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import assemble, generate, keys, profile, replies
-from .spec import DatasetSpec, users_contract
+from .operators import assemble, generate, keys, profile, replies, validate
+from .spec import ColumnContract, DatasetSpec, users_contract
 from .plans import batches
-from .fixtures import GEN_CONTRACTS, TABLES
+from .fixtures import GEN_CONTRACTS, TABLES, VALIDATE_CONTRACTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -305,3 +305,70 @@ def q_novel_rows(spark, sf_dir):
 def q_sample_copies(spark, sf_dir):
     part, samples = _part_samples(spark, sf_dir)
     return generate.sample_copies(part, samples)
+
+
+# --- G: validation ----------------------------------------------------------------
+def _validate_query(table: str, name: str):
+    def run(spark, sf_dir):
+        contract = [ColumnContract.from_dict(d) for d in VALIDATE_CONTRACTS[table]]
+        return validate.column_checks(load(spark, sf_dir, table), contract)
+    QUERIES[name] = run
+
+
+_validate_query("customer", "validate_customer")
+_validate_query("pages", "validate_pages_url")
+_validate_query("lineitem", "validate_ranges")
+
+
+@query("row_uniqueness_documents")
+def q_row_uniqueness(spark, sf_dir):
+    dup = validate.duplicate_rows(load(spark, sf_dir, "documents"), ["lang", "source", "text"])
+    return dup.select("lang", "source", F.md5("text").alias("text_md5"), "copies")
+
+
+@query("key_continuity_lineitem")
+def q_key_continuity_lineitem(spark, sf_dir):
+    return validate.key_gaps(load(spark, sf_dir, "lineitem"), F.col("l_orderkey"))
+
+
+@query("key_continuity_orders")
+def q_key_continuity_orders(spark, sf_dir):
+    return validate.key_gaps(load(spark, sf_dir, "orders"), F.col("o_orderkey"))
+
+
+@query("key_continuity_seeded")
+def q_key_continuity_seeded(spark, sf_dir):
+    """Seeded text keys of the orders plan with the claimed rows (those with line
+    items) kept: breaks show where the kept sequence skips."""
+    plan, kept = _orders_plan_and_kept(spark, sf_dir)
+    keys = batches.seed_keys(plan, "o_orderkey").join(kept.select("row_idx"), "row_idx", "left_semi")
+    return validate.key_gaps(keys, validate.key_suffix(F.col("seed_key")))
+
+
+@query("low_variety_part")
+def q_low_variety(spark, sf_dir):
+    return validate.low_variety(load(spark, sf_dir, "part"))
+
+
+@query("placeholder_documents")
+def q_placeholder(spark, sf_dir):
+    return validate.placeholder_hits(load(spark, sf_dir, "documents"), "text")
+
+
+def _event_halves(spark, sf_dir):
+    ev = load(spark, sf_dir, "events")
+    b = ev.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
+    mid = (b["lo"] + b["hi"]) // 2
+    return ev.where(F.col("event_id") <= mid), ev.where(F.col("event_id") > mid)
+
+
+@query("drift_events")
+def q_drift(spark, sf_dir):
+    a, b = _event_halves(spark, sf_dir)
+    return validate.drift(a, b, "event_type")
+
+
+@query("drift_tvd_events")
+def q_drift_tvd(spark, sf_dir):
+    a, b = _event_halves(spark, sf_dir)
+    return validate.total_variation(validate.drift(a, b, "event_type"), a.count(), b.count())

@@ -425,3 +425,38 @@ SELECT value, a_count, b_count, a_count / (SELECT n FROM na) AS a_share, b_count
   abs(a_count / (SELECT n FROM na) - b_count / (SELECT n FROM nb)) AS share_diff FROM d""")
 register("drift_tvd_events", f"""{_HALVES}
 SELECT sum(abs(a_count * (SELECT n FROM nb) - b_count * (SELECT n FROM na))) / (2 * (SELECT n FROM na) * (SELECT n FROM nb)) AS tvd FROM d""")
+
+
+# --- H: sinks (a round trip returns the table) ----------------------------------------
+for _f in ("csv", "tsv", "json", "parquet"):
+    register(f"sink_roundtrip_{_f}", "SELECT * FROM nation")
+register("sink_roundtrip_orders_csv", "SELECT * FROM orders")
+register("sink_roundtrip_customer_tsv", "SELECT * FROM customer")
+
+# --- I: job ledger ---------------------------------------------------------------------
+_JOBS = """SELECT 'job-' || o_custkey AS job_id, o_orderpriority AS dataset_name, CAST(trunc(o_totalprice) AS BIGINT) AS rows,
+  (['csv', 'json', 'parquet', 'tsv'])[o_orderkey % 4 + 1] AS format,
+  CASE WHEN o_orderkey % 2 = 0 THEN '["id", "name"]' ELSE '["id"]' END AS columns,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'output/job-' || o_custkey || '.' || (['csv', 'json', 'parquet', 'tsv'])[o_orderkey % 4 + 1]
+       ELSE 'datasets/' || o_orderpriority || '/job-' || o_custkey || '.' || (['csv', 'json', 'parquet', 'tsv'])[o_orderkey % 4 + 1] END AS file_path,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'datasets/s3/job-' || o_custkey END AS s3_key,
+  CASE WHEN o_orderkey % 11 <> 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS generated_at,
+  coalesce(CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'partial' END, 'success') AS status,
+  CAST(epoch(o_orderdate + to_seconds(o_orderkey)) AS BIGINT) + 7776000 AS ttl,
+  o_orderdate + to_seconds(o_orderkey) AS written_at
+FROM orders"""
+_CURRENT = f"""SELECT * FROM ({_JOBS}) QUALIFY row_number() OVER (PARTITION BY job_id
+  ORDER BY written_at DESC, ttl DESC NULLS LAST, file_path DESC NULLS LAST) = 1"""
+register("ledger_latest", f"""SELECT job_id, dataset_name, rows, format,
+  array_to_string(CAST(columns AS VARCHAR[]), '|') AS columns, file_path, s3_key, generated_at, status
+FROM ({_CURRENT}) ORDER BY coalesce(generated_at, '') DESC, job_id LIMIT 10""")
+register("ledger_get", f"""SELECT job_id, dataset_name, rows, format,
+  array_to_string(CAST(columns AS VARCHAR[]), '|') AS columns, file_path, s3_key, generated_at, status, ttl
+FROM ({_CURRENT}) WHERE job_id = 'job-7'""")
+register("ledger_resolve", f"""SELECT job_id, CASE WHEN starts_with(coalesce(nullif(s3_key, ''), file_path), 'datasets/')
+  THEN coalesce(nullif(s3_key, ''), file_path) END AS artifact FROM ({_CURRENT})""")
+register("ledger_unexpired", f"""SELECT job_id, ttl, status FROM ({_CURRENT}) WHERE ttl > 883612800""")
+
+# --- J: streaming ------------------------------------------------------------------------
+register("stream_replies", f"""SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, {CUST_NAME} AS c_name,
+  CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer""")

@@ -9,9 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import assemble, generate, keys, profile, replies, validate
+from .operators import assemble, generate, keys, ledger, profile, replies, validate
 from .spec import ColumnContract, DatasetSpec, users_contract
 from .plans import batches
+from .session import scratch_path
+from .sources import sinks
+from .streaming import replies_stream
 from .fixtures import GEN_CONTRACTS, TABLES, VALIDATE_CONTRACTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -372,3 +375,91 @@ def q_drift(spark, sf_dir):
 def q_drift_tvd(spark, sf_dir):
     a, b = _event_halves(spark, sf_dir)
     return validate.total_variation(validate.drift(a, b, "event_type"), a.count(), b.count())
+
+
+# --- H: sinks -----------------------------------------------------------------------
+def _roundtrip(spark, sf_dir, table: str, fmt: str, order_by: list[str]):
+    df = load(spark, sf_dir, table)
+    path = sinks.dataset_path(scratch_path(spark, "sink"), table, fmt)
+    sinks.write_dataset(df, path, fmt, order_by=order_by)
+    return sinks.read_dataset(spark, path, fmt, schema=df.schema)
+
+
+for _fmt in ("csv", "tsv", "json", "parquet"):
+    QUERIES[f"sink_roundtrip_{_fmt}"] = (lambda f: lambda spark, sf_dir: _roundtrip(
+        spark, sf_dir, "nation", f, ["n_nationkey"]))(_fmt)
+QUERIES["sink_roundtrip_orders_csv"] = lambda spark, sf_dir: _roundtrip(spark, sf_dir, "orders", "csv", ["o_orderkey"])
+QUERIES["sink_roundtrip_customer_tsv"] = lambda spark, sf_dir: _roundtrip(spark, sf_dir, "customer", "tsv",
+                                                                          ["c_custkey"])
+
+
+# --- I: job ledger ------------------------------------------------------------------
+LEDGER_NOW = 883612800          # 1998-01-01T00:00:00Z, the "now" of the expiry query
+LEDGER_GET_ID = "job-7"
+
+
+def jobs_from_orders(orders: DataFrame) -> DataFrame:
+    """Job records derived from orders: one job id per customer, so ids repeat and
+    later writes replace earlier ones; some records lack generated_at, some have
+    an empty s3_key, some point outside 'datasets/'."""
+    k = F.col("o_orderkey")
+    fmt = F.element_at(F.array(*[F.lit(x) for x in ("csv", "json", "parquet", "tsv")]), (k % 4 + 1).cast("int"))
+    job = F.concat(F.lit("job-"), F.col("o_custkey").cast("string"))
+    written = (F.col("o_orderdate") + F.make_dt_interval(secs=k.cast("decimal(18,6)"))).cast("timestamp")
+    return orders.select(
+        job.alias("job_id"), F.col("o_orderpriority").alias("dataset_name"),
+        F.col("o_totalprice").cast("long").alias("rows"), fmt.alias("format"),
+        F.when(k % 2 == 0, F.lit('["id", "name"]')).otherwise(F.lit('["id"]')).alias("columns"),
+        F.when(k % 3 == 0, F.concat(F.lit("output/"), job, F.lit("."), fmt))
+        .otherwise(F.concat(F.lit("datasets/"), F.col("o_orderpriority"), F.lit("/"), job, F.lit("."), fmt))
+        .alias("file_path"),
+        F.when(k % 5 == 0, F.concat(F.lit("datasets/s3/"), job)).when(k % 5 == 1, F.lit(""))
+        .alias("s3_key"),
+        F.when(k % 11 != 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("generated_at"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("success")).when(F.col("o_orderstatus") == "O", F.lit("partial"))
+        .alias("status"),
+        written.alias("written_at"))
+
+
+def _ledger(spark, sf_dir) -> DataFrame:
+    path = scratch_path(spark, "ledger")
+    ledger.save_jobs(jobs_from_orders(load(spark, sf_dir, "orders")), path)
+    return ledger.read_ledger(spark, path)
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    return df.withColumn("columns", F.array_join("columns", "|")) if "columns" in df.columns else df
+
+
+@query("ledger_latest")
+def q_ledger_latest(spark, sf_dir):
+    return _flat(ledger.latest_jobs(_ledger(spark, sf_dir))).drop("written_at")
+
+
+@query("ledger_get")
+def q_ledger_get(spark, sf_dir):
+    return _flat(ledger.get_job(_ledger(spark, sf_dir), LEDGER_GET_ID)).drop("written_at")
+
+
+@query("ledger_resolve")
+def q_ledger_resolve(spark, sf_dir):
+    return ledger.resolve_artifacts(_ledger(spark, sf_dir))
+
+
+@query("ledger_unexpired")
+def q_ledger_unexpired(spark, sf_dir):
+    return ledger.expire_jobs(_ledger(spark, sf_dir), LEDGER_NOW).select("job_id", "ttl", "status")
+
+
+# --- J: streaming ---------------------------------------------------------------------
+@query("stream_replies")
+def q_stream_replies(spark, sf_dir):
+    """Customer replies land as files (every 7th batch twice, as a second attempt);
+    the stream claims each key once."""
+    r = customer_replies(spark, sf_dir)
+    again = r.where(F.col("batch_num") % 7 == 0).withColumn("attempt", F.lit(1))
+    base = scratch_path(spark, "stream")
+    r.unionByName(again).repartition(4).write.parquet(f"{base}/in")
+    replies_stream.stream_replies(spark, f"{base}/in", CUST_REPLY_COLS, "c_custkey",
+                                  f"{base}/out", f"{base}/ckpt", files_per_trigger=1)
+    return spark.read.parquet(f"{base}/out").select(*CUST_REPLY_COLS)

@@ -460,3 +460,64 @@ register("ledger_unexpired", f"""SELECT job_id, ttl, status FROM ({_CURRENT}) WH
 # --- J: streaming ------------------------------------------------------------------------
 register("stream_replies", f"""SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, {CUST_NAME} AS c_name,
   CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer""")
+
+
+# --- C5 / C7 --------------------------------------------------------------------------
+def _sql_lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _template_sql(text: str, parts: dict[str, str]) -> str:
+    out, rest = [], text
+    while rest:
+        hits = [(rest.find(p), p) for p in parts if rest.find(p) >= 0]
+        if not hits:
+            out.append(_sql_lit(rest))
+            break
+        pos, ph = min(hits)
+        if pos:
+            out.append(_sql_lit(rest[:pos]))
+        out.append(f"({parts[ph]})")
+        rest = rest[pos + len(ph):]
+    return " || ".join(out)
+
+
+def _prompt_lengths_sql() -> str:
+    from .plans.batches import DEFAULT_CRITERIA
+    from .plans.prompts import CRITERIA_PREFIX, CSV_PROMPT, DESCRIPTION_PREFIX, PRESEED_BLOCK, SAMPLE_HEADER
+    lines = ["  c_custkey (integer, NOT NULL, PRIMARY KEY)", "  c_name (string, NOT NULL)",
+             "  c_nationkey (integer, NOT NULL)", "  c_acctbal (float, NOT NULL)",
+             "  c_mktsegment (string, NOT NULL)"]
+    cols = COLUMNS["customer"]
+    const = {"{dataset_name}": "customer",
+             "{description_block}": DESCRIPTION_PREFIX + "Realistic synthetic Customer dataset containing fields: "
+             + ", ".join(cols) + ".",
+             "{criteria_block}": CRITERIA_PREFIX + DEFAULT_CRITERIA,
+             "{num_cols}": "5", "{col_defs}": "\n".join(lines), "{pk_label}": "c_custkey",
+             "{col_names}": ", ".join(cols)}
+    text = CSV_PROMPT
+    for k, v in const.items():
+        text = text.replace(k, v)
+    samples = (f"(SELECT {_sql_lit(SAMPLE_HEADER)} || string_agg(CAST(c_custkey AS VARCHAR) || ',' || c_name || ',' || "
+               "CAST(c_nationkey AS VARCHAR) || ',' || CAST(c_acctbal AS VARCHAR) || ',' || c_mktsegment, chr(13) || chr(10) "
+               "ORDER BY c_custkey) FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 5))")
+    keys = ("'[' || (SELECT string_agg('\"C_CUSTKEY-' || k || '\"', ', ' ORDER BY k) "
+            "FROM (SELECT unnest(range(start_idx, end_idx + 1)) AS k)) || ']'")
+    preseed = _template_sql(PRESEED_BLOCK.replace("{pk}", "c_custkey"),
+                            {"{n}": "CAST(end_idx - start_idx + 1 AS VARCHAR)", "{keys_json}": keys})
+    body = _template_sql(text, {"{rows}": "CAST(target_rows AS VARCHAR)",
+                                "{rows_minus_1}": "CAST(target_rows - 1 AS VARCHAR)",
+                                "{rows_plus_1}": "CAST(target_rows + 1 AS VARCHAR)",
+                                "{start}": "CAST(start_idx AS VARCHAR)", "{end}": "CAST(end_idx AS VARCHAR)",
+                                "{preseed_block}": preseed, "{sample_block}": samples})
+    return f"""SELECT batch_num, CAST(length(p) AS INTEGER) AS prompt_length, md5(p) AS prompt_md5
+FROM (SELECT batch_num, {body} AS p FROM ({plan(['customer'])}))"""
+
+
+register("prompt_lengths", _prompt_lengths_sql())
+register("complete_prompts_orders", f"""SELECT batch_num, 'ORDER_KEY-' || k AS order_key,
+  CAST(length('ORDER_KEY-' || k) AS VARCHAR) AS key_len
+FROM (SELECT batch_num, unnest(range(start_idx, end_idx + 1)) AS k FROM ({plan(['orders'])}))
+WHERE batch_num % 13 <> 0""")
+register("completion_errors_orders", f"""SELECT batch_num, 0 AS attempt, 'RuntimeError: service unavailable' AS error
+FROM ({plan(['orders'])}) WHERE batch_num % 13 = 0""")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import assemble, generate, keys, ledger, profile, replies, validate
 from .spec import ColumnContract, DatasetSpec, users_contract
-from .plans import batches
+from .plans import batches, prompts
 from .session import scratch_path
 from .sources import sinks
 from .streaming import replies_stream
@@ -463,3 +463,58 @@ def q_stream_replies(spark, sf_dir):
     replies_stream.stream_replies(spark, f"{base}/in", CUST_REPLY_COLS, "c_custkey",
                                   f"{base}/out", f"{base}/ckpt", files_per_trigger=1)
     return spark.read.parquet(f"{base}/out").select(*CUST_REPLY_COLS)
+
+
+# --- C5 / C7: prompts and the completion hand-off ------------------------------------
+def customer_spec(spark, sf_dir) -> tuple[DatasetSpec, list[dict]]:
+    """A request mimicking the customer table: contract from its profile (A5+A6),
+    five samples (A8), default texts (C6), explicit key c_custkey."""
+    cust = load(spark, sf_dir, "customer")
+    contract = profile.infer_contract(cust)
+    texts = batches.default_texts(profile.catalog(spark, {"customer": cust})).first()
+    samples = [r.asDict() for r in profile.sample_rows(cust, 5, order_by=["c_custkey"]).collect()]
+    spec = DatasetSpec("customer", cust.count(), columns=contract, primary_key="c_custkey",
+                       description=texts["description"], ai_criteria=texts["ai_criteria"])
+    return spec, samples
+
+
+@query("prompt_lengths")
+def q_prompt_lengths(spark, sf_dir):
+    spec, samples = customer_spec(spark, sf_dir)
+    plan = batches.plan_batches(table_specs(spark, sf_dir, ["customer"]))
+    p = prompts.render_csv_prompts(plan, spec, samples)
+    return p.select("batch_num", F.length("prompt").alias("prompt_length"), F.md5("prompt").alias("prompt_md5"))
+
+
+def echo_seeds_model(prompt: str, temperature: float, max_tokens: int) -> str:
+    """A local deterministic stand-in for a model: answers with one CSV row per
+    pre-seeded key (key, key length); fails for every 13th batch."""
+    import json as _json
+    import re as _re
+    m = _re.search(r"\n(\[.*?\])\nDO NOT INVENT", prompt, _re.S)
+    keys = _json.loads(m.group(1)) if m else []
+    start = int(_re.search(r"generating rows (\d+) through", prompt).group(1))
+    if (start - 1) // 30 % 13 == 12:
+        raise RuntimeError("service unavailable")
+    return "\n".join(f"{k},{len(k)}" for k in keys)
+
+
+@query("complete_prompts_orders")
+def q_complete_prompts(spark, sf_dir):
+    plan = batches.plan_batches(table_specs(spark, sf_dir, ["orders"]))
+    spec = DatasetSpec("orders", load(spark, sf_dir, "orders").count(),
+                       columns=[{"name": "order_key", "type": "string"}, {"name": "key_len", "type": "integer"}],
+                       primary_key="order_key")
+    replies_df = prompts.complete_prompts(prompts.render_csv_prompts(plan, spec), echo_seeds_model)
+    parsed = replies.parse_csv_replies(replies_df.where(F.col("error").isNull()), ["order_key", "key_len"])
+    return parsed.rows.select("batch_num", "order_key", "key_len")
+
+
+@query("completion_errors_orders")
+def q_completion_errors(spark, sf_dir):
+    plan = batches.plan_batches(table_specs(spark, sf_dir, ["orders"]))
+    spec = DatasetSpec("orders", load(spark, sf_dir, "orders").count(),
+                       columns=[{"name": "order_key", "type": "string"}, {"name": "key_len", "type": "integer"}],
+                       primary_key="order_key")
+    replies_df = prompts.complete_prompts(prompts.render_csv_prompts(plan, spec), echo_seeds_model)
+    return replies_df.where(F.col("error").isNotNull()).select("batch_num", "attempt", "error")

@@ -521,3 +521,18 @@ FROM (SELECT batch_num, unnest(range(start_idx, end_idx + 1)) AS k FROM ({plan([
 WHERE batch_num % 13 <> 0""")
 register("completion_errors_orders", f"""SELECT batch_num, 0 AS attempt, 'RuntimeError: service unavailable' AS error
 FROM ({plan(['orders'])}) WHERE batch_num % 13 = 0""")
+
+
+# --- A: sources ----------------------------------------------------------------------------
+_SEMI = "concat_ws(';', CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS VARCHAR), CAST(c_acctbal AS VARCHAR), c_mktsegment)"
+register("delimiter_counts", " UNION ALL ".join(
+    f"""SELECT '{d}' AS delimiter, min(n) AS min_count, max(n) AS max_count, count(*) AS total_lines,
+  (min(n) = max(n) AND min(n) > 0) AS consistent, {chosen} AS chosen
+FROM (SELECT CAST(length(line) - length(replace(line, '{d}', '')) AS INTEGER) AS n
+      FROM (SELECT {_SEMI} AS line FROM customer) WHERE length(trim(line)) > 0)"""
+    for d, chosen in ((",", "false"), (";", "true"), ("\t", "false"), ("|", "false"))).replace("'\t'", "chr(9)"))
+register("read_delimited_customer", """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal,
+  CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer""")
+register("read_json_events", "SELECT event_id, user_id, event_type, value, props FROM events")
+register("apply_contract_customer", f"""SELECT c_custkey, {CUST_NAME} AS c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey,
+  c_mktsegment, 0 AS n_cast_errors FROM customer""")

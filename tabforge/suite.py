@@ -13,7 +13,7 @@ from .operators import assemble, generate, keys, ledger, profile, replies, valid
 from .spec import ColumnContract, DatasetSpec, users_contract
 from .plans import batches, prompts
 from .session import scratch_path
-from .sources import sinks
+from .sources import readers, sinks
 from .streaming import replies_stream
 from .fixtures import GEN_CONTRACTS, TABLES, VALIDATE_CONTRACTS
 
@@ -518,3 +518,49 @@ def q_completion_errors(spark, sf_dir):
                        primary_key="order_key")
     replies_df = prompts.complete_prompts(prompts.render_csv_prompts(plan, spec), echo_seeds_model)
     return replies_df.where(F.col("error").isNotNull()).select("batch_num", "attempt", "error")
+
+
+# --- A: sources ------------------------------------------------------------------------
+def _customer_semicolon_lines(spark, sf_dir) -> DataFrame:
+    c = load(spark, sf_dir, "customer")
+    return c.select(F.concat_ws(";", *[F.col(x).cast("string") for x in c.columns]).alias("value"))
+
+
+@query("delimiter_counts")
+def q_delimiter_counts(spark, sf_dir):
+    return readers.delimiter_counts(_customer_semicolon_lines(spark, sf_dir))
+
+
+@query("read_delimited_customer")
+def q_read_delimited(spark, sf_dir):
+    """Customer written as ';'-separated text with 'NA' for some segments, read back
+    with a sniffed delimiter, pandas-style null tokens and inferred types."""
+    c = load(spark, sf_dir, "customer")
+    seg = F.when(F.col("c_custkey") % 13 == 0, F.lit("NA")).otherwise(F.col("c_mktsegment"))
+    path = scratch_path(spark, "delimited") + ".csv"
+    c.withColumn("c_mktsegment", seg).write.option("header", True).option("sep", ";").csv(path)
+    return readers.read_delimited(spark, path)
+
+
+@query("read_json_events")
+def q_read_json(spark, sf_dir):
+    """Events written as JSON-array documents (one per batch of 100 events), read
+    back as rows."""
+    ev = load(spark, sf_dir, "events")
+    obj = F.to_json(F.struct("event_id", "user_id", "event_type", "value", "props"))
+    docs = (ev.select(F.floor(F.col("event_id") / 100).alias("doc"), F.col("event_id").alias("_o"), obj.alias("_j"))
+            .groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("_o", "_j"))).alias("_js"))
+            .select("doc", F.concat(F.lit("[\n"), F.array_join(F.transform("_js", lambda s: s["_j"]), ",\n"),
+                                    F.lit("\n]")).alias("value")))
+    path = scratch_path(spark, "jsondocs") + ".json"
+    docs.write.partitionBy("doc").text(path)
+    return readers.read_json_rows(spark, path).select("event_id", "user_id", "event_type", "value", "props")
+
+
+@query("apply_contract_customer")
+def q_apply_contract(spark, sf_dir):
+    rows = replies.parse_csv_replies(customer_replies(spark, sf_dir), CUST_REPLY_COLS).rows
+    contract = [ColumnContract("c_custkey", "integer"), ColumnContract("c_name", "string"),
+                ColumnContract("c_nationkey", "integer"), ColumnContract("c_mktsegment", "string")]
+    typed = profile.apply_contract(rows, contract)
+    return typed.select(*CUST_REPLY_COLS, F.size("_cast_errors").alias("n_cast_errors"))

@@ -162,18 +162,26 @@ def low_variety(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def word_pattern(word: str) -> str:
+    """Per-word rule (SQL-portable): the word with a non-[a-z0-9_] or edge on both sides."""
     import re
     return f"(^|[^a-z0-9_]){re.escape(word) if word.isalnum() else word}($|[^a-z0-9_])"
 
 
 def placeholder_hits(df: DataFrame, text_col: str, words: list[str] | None = None) -> DataFrame:
-    """Per placeholder word, rows whose (lower-cased) text holds it as a word."""
+    """Per placeholder word, rows whose (lower-cased) text holds it as a word.
+
+    One regex pass per row: all words in one alternation with look-around
+    boundaries (so adjacent hits do not hide each other), the distinct hits of a
+    row exploded, then a partial-aggregated count per word."""
+    import re
     words = words or PLACEHOLDER_WORDS
-    low = F.lower(F.col(f"`{text_col}`"))
-    one = df.agg(*[F.count_if(low.rlike(word_pattern(w))).alias(f"w{i}") for i, w in enumerate(words)])
-    return one.select(F.explode(F.array(*[
-        F.struct(F.lit(w).alias("word"), F.col(f"w{i}").alias("rows")) for i, w in enumerate(words)])).alias("r")
-    ).select("r.word", "r.rows")
+    alt = "|".join(re.escape(w) if w.isalnum() else w for w in words)
+    hits = F.array_distinct(F.regexp_extract_all(
+        F.lower(F.col(f"`{text_col}`")), F.lit(f"(?<![a-z0-9_])({alt})(?![a-z0-9_])"), 1))
+    found = df.select(F.explode(hits).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("rows"))
+    spark = df.sparkSession
+    all_words = spark.createDataFrame([(w,) for w in words], "word string")
+    return all_words.join(found, "word", "left").select("word", F.coalesce(F.col("rows"), F.lit(0)).alias("rows"))
 
 
 def drift(a: DataFrame, b: DataFrame, column: str) -> DataFrame:

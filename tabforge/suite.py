@@ -544,11 +544,11 @@ def q_read_delimited(spark, sf_dir):
 
 @query("read_json_events")
 def q_read_json(spark, sf_dir):
-    """Events written as JSON-array documents (one per batch of 100 events), read
+    """Events written as JSON-array documents (one per batch of 1000 events), read
     back as rows."""
     ev = load(spark, sf_dir, "events")
     obj = F.to_json(F.struct("event_id", "user_id", "event_type", "value", "props"))
-    docs = (ev.select(F.floor(F.col("event_id") / 100).alias("doc"), F.col("event_id").alias("_o"), obj.alias("_j"))
+    docs = (ev.select(F.floor(F.col("event_id") / 1000).alias("doc"), F.col("event_id").alias("_o"), obj.alias("_j"))
             .groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("_o", "_j"))).alias("_js"))
             .select("doc", F.concat(F.lit("[\n"), F.array_join(F.transform("_js", lambda s: s["_j"]), ",\n"),
                                     F.lit("\n]")).alias("value")))

@@ -1,0 +1,17 @@
+"""Join helpers: broadcast only a side whose size was checked."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Sample tables are a handful of rows by design; beyond this many rows a side
+# is joined with a shuffle instead of being copied to every executor.
+BROADCAST_MAX_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only when it has at most ``max_rows`` rows (a LIMIT-bounded
+    count, so checking a huge side costs at most max_rows + 1 rows read)."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import BROADCAST_MAX_ROWS, broadcast_if_small
 from ..functions.random import draw, offset
 from ..functions.values import value_for
 from ..plans.batches import key_prefix, seed_key
@@ -64,25 +65,27 @@ def generate(spark: SparkSession, spec: DatasetSpec, rows: int | None = None,
 # D9
 def drop_sample_copies(generated: DataFrame, samples: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Generated rows equal (null-safe, on all contract columns) to a sample row are
-    dropped.  Samples are a bounded handful of rows, so the anti join is broadcast."""
+    dropped.  Samples are normally a handful of rows: the anti join is broadcast
+    when the sample side is checked to be small, else it is a shuffle join
+    (null-safe equality on every column is a valid equi-join key)."""
     columns = columns or samples.columns
     s = samples.select(*[F.col(f"`{c}`").alias(f"__s_{i}") for i, c in enumerate(columns)])
     cond = None
     for i, c in enumerate(columns):
         e = F.col(f"`{c}`").eqNullSafe(F.col(f"__s_{i}"))
         cond = e if cond is None else cond & e
-    return generated.join(F.broadcast(s), cond, "left_anti")
+    return generated.join(broadcast_if_small(s), cond, "left_anti")
 
 
 def sample_copies(generated: DataFrame, samples: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Generated rows that copy a sample row (left semi, broadcast samples)."""
+    """Generated rows that copy a sample row (left semi; samples broadcast when small)."""
     columns = columns or samples.columns
     s = samples.select(*[F.col(f"`{c}`").alias(f"__s_{i}") for i, c in enumerate(columns)])
     cond = None
     for i, c in enumerate(columns):
         e = F.col(f"`{c}`").eqNullSafe(F.col(f"__s_{i}"))
         cond = e if cond is None else cond & e
-    return generated.join(F.broadcast(s), cond, "left_semi")
+    return generated.join(broadcast_if_small(s), cond, "left_semi")
 
 
 # D10
@@ -174,8 +177,12 @@ def mimic_rows(skeleton: DataFrame, samples: DataFrame, order_col: str, seed: in
                jitter: dict[str, float] | None = None) -> DataFrame:
     """Keep relations between columns: each generated row copies a sample row
     picked by draw mod n (equi-join on the sample's rank; samples are a bounded
-    handful of rows, broadcast), then numeric columns get a relative jitter."""
-    n = samples.count()
+    handful of rows, broadcast), then numeric columns get a relative jitter.
+    Table-sized sources go through mimic_categorical / mimic_numeric instead."""
+    n = samples.limit(BROADCAST_MAX_ROWS + 1).count()
+    if n > BROADCAST_MAX_ROWS:
+        raise ValueError(f"mimic_rows takes at most {BROADCAST_MAX_ROWS} sample rows; "
+                         "use mimic_categorical / mimic_numeric for table-sized sources")
     ranked = samples.withColumn("__k", F.row_number().over(Window.orderBy(order_col)) - 1)
     g = skeleton.withColumn("__k", draw(seed, "__row", F.col("row_idx"), "k") % F.lit(n))
     out = g.join(F.broadcast(ranked), "__k").drop("__k")

@@ -536,3 +536,18 @@ register("read_delimited_customer", """SELECT c_custkey, c_name, CAST(c_nationke
 register("read_json_events", "SELECT event_id, user_id, event_type, value, props FROM events")
 register("apply_contract_customer", f"""SELECT c_custkey, {CUST_NAME} AS c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey,
   c_mktsegment, 0 AS n_cast_errors FROM customer""")
+
+
+# --- whole jobs ----------------------------------------------------------------------------
+register("synthesize_orders_offline", """SELECT 'ORDER_KEY-' || k AS order_key, CAST(length('ORDER_KEY-' || k) AS VARCHAR) AS key_len
+FROM (SELECT unnest(range(1, (SELECT count(*) FROM orders) + 1)) AS k)""")
+
+
+def _synth_users() -> str:
+    from .spec import users_contract
+    sql = gen_sql([c.to_dict() for c in users_contract()], pk="user_id")
+    # the written csv carries the contract's types: integer -> bigint, date -> date, boolean
+    return f"SELECT * EXCLUDE (row_idx) FROM ({sql})"
+
+
+register("synthesize_users_rules", _synth_users())

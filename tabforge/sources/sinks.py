@@ -44,15 +44,20 @@ def _text_options(sep: str) -> dict[str, str]:
 
 
 def write_dataset(df: DataFrame, path: str, fmt: str, order_by: list[str] | None = None,
-                  partitions: int | None = None, mode: str = "errorifexists") -> str:
+                  partitions: int | None = None, mode: str = "errorifexists",
+                  keep: list[str] | None = None) -> str:
     """H1-H4.  ``order_by`` keeps file order equal to row order (range partitioning
-    + sortWithinPartitions; the order columns stay in the data)."""
+    + sortWithinPartitions); ``keep`` then projects the output columns (a
+    projection after the sort keeps the order, so order columns need not be
+    written)."""
     if fmt not in FORMATS:
         raise ValueError("format must be csv/parquet/json/tsv")
     out = df
     if order_by:
         out = (out.repartitionByRange(partitions, *order_by) if partitions else out.repartitionByRange(*order_by)) \
             .sortWithinPartitions(*order_by)
+    if keep:
+        out = out.select(*[f"`{c}`" for c in keep])
     w = out.write.mode(mode)
     if fmt in ("csv", "tsv"):
         w.options(**_text_options("," if fmt == "csv" else "\t")).csv(path)

@@ -29,11 +29,23 @@ LEDGER_SCHEMA = T.StructType([
 ])
 
 
+def ntz_epoch_seconds(c: Column) -> Column:
+    """Epoch seconds of a timestamp_ntz read as UTC wall time, independent of the
+    session time zone (a plain cast to timestamp would apply it)."""
+    return (F.unix_date(F.to_date(c)).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
+            + F.second(c)).cast("long")
+
+
 def job_records(jobs: DataFrame) -> DataFrame:
     """Normalise records for the ledger: status defaults to 'success', s3_key kept only
     when set, ttl = written_at + 90 days (epoch seconds) unless given."""
     cols = set(jobs.columns)
-    written = F.col("written_at").cast("timestamp") if "written_at" in cols else F.current_timestamp()
+    if "written_at" in cols and dict(jobs.dtypes)["written_at"] == "timestamp_ntz":
+        written = F.timestamp_seconds(ntz_epoch_seconds(F.col("written_at")))
+    elif "written_at" in cols:
+        written = F.col("written_at").cast("timestamp")
+    else:
+        written = F.current_timestamp()
     ttl = F.col("ttl") if "ttl" in cols else F.unix_seconds(written) + F.lit(HISTORY_TTL_SECONDS)
     s3 = F.col("s3_key") if "s3_key" in cols else F.lit(None).cast("string")
     gen = F.col("generated_at") if "generated_at" in cols else F.lit(None)

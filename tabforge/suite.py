@@ -405,7 +405,7 @@ def jobs_from_orders(orders: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
     fmt = F.element_at(F.array(*[F.lit(x) for x in ("csv", "json", "parquet", "tsv")]), (k % 4 + 1).cast("int"))
     job = F.concat(F.lit("job-"), F.col("o_custkey").cast("string"))
-    written = (F.col("o_orderdate") + F.make_dt_interval(secs=k.cast("decimal(18,6)"))).cast("timestamp")
+    written = F.col("o_orderdate") + F.make_dt_interval(secs=k.cast("decimal(18,6)"))   # UTC wall time
     return orders.select(
         job.alias("job_id"), F.col("o_orderpriority").alias("dataset_name"),
         F.col("o_totalprice").cast("long").alias("rows"), fmt.alias("format"),

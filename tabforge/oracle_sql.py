@@ -551,3 +551,42 @@ def _synth_users() -> str:
 
 
 register("synthesize_users_rules", _synth_users())
+register("dedup_within_batch_lineitem", f"""SELECT * FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_linenumber, l_orderkey ORDER BY {LI_ORDER}) = 1""")
+
+
+def _validate_generated_sql() -> str:
+    from .operators.validate import FORMAT_RULES
+    from .spec import users_contract
+    rows = []
+    for c in users_contract():
+        if not c.nullable:
+            rows.append(("not_null", c.name))
+        if c.type in FORMAT_RULES or c.type == "boolean":
+            rows.append(("type_format", c.name))
+        if c.pattern:
+            rows.append(("pattern", c.name))
+    vals = ", ".join(f"('{a}', '{b}', CAST(0 AS BIGINT))" for a, b in rows)
+    n = "(SELECT count(*) FROM customer)"
+    return (f"SELECT * FROM (VALUES {vals}) t(check_name, column_name, violations) "
+            f"UNION ALL SELECT 'row_count', NULL, CAST(abs({n} - {n}) AS BIGINT) "
+            f"UNION ALL SELECT 'column_set', NULL, CAST(0 AS BIGINT)")
+
+
+register("validate_generated_users", _validate_generated_sql())
+
+
+def _prompt_json_sql() -> str:
+    from .plans.prompts import JSON_PROMPT_RULES
+    cols = ["event_id", "user_id", "event_type", "value", "props"]
+    obj = " || ',\n' || ".join(f"'    \"{c}\": ' || to_json(CAST({c} AS VARCHAR))" for c in cols)
+    samples = (f"(SELECT '[\n' || string_agg('  {{\n' || {obj} || '\n  }}', ',\n' ORDER BY event_id) || '\n]' "
+               "FROM (SELECT * FROM events ORDER BY event_id LIMIT 3))")
+    head = "'Generate ' || CAST(target_rows AS VARCHAR) || ' rows of realistic tabular data.\nDataset Name: events\n'"
+    body = f"{head} || '\nSample Rows:\n' || {samples} || '\n' || {_sql_lit(JSON_PROMPT_RULES)}"
+    p = plan(["events"]).replace(f"{len(COLUMNS['events'])} AS num_columns", "0 AS num_columns")
+    return f"""SELECT batch_num, CAST(length(p) AS INTEGER) AS prompt_length, md5(p) AS prompt_md5
+FROM (SELECT batch_num, {body} AS p FROM ({p}))"""
+
+
+register("prompt_json_events", _prompt_json_sql())

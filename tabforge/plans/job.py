@@ -103,8 +103,12 @@ def run_offline(spark: SparkSession, spec: DatasetSpec, model_fn: Callable[[str,
     return _kept_rows(spark, kept_dirs), plan, attempts
 
 
-def trim_to_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """F8 with each batch's own target (the last batch may be smaller)."""
+def trim_to_plan(rows: DataFrame, plan: DataFrame, batch_size: int) -> DataFrame:
+    """F8 with each batch's own target (the last batch may be smaller).  A first
+    cut to the batch size is a literal row limit, so Spark pre-limits map-side
+    (WindowGroupLimit) and a batch whose replies run away never lands whole
+    in one task; the exact per-batch target is applied after."""
+    rows = assemble.trim_to_rows(rows, "batch_num", ["attempt", "pos"], batch_size)
     t = rows.join(plan.select("batch_num", "target_rows"), "batch_num")
     w = Window.partitionBy("batch_num").orderBy("attempt", "pos")
     return t.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= F.col("target_rows")) \
@@ -127,7 +131,7 @@ def synthesize(spark: SparkSession, spec: DatasetSpec, model_fn: Callable[[str,
             data = spark.createDataFrame([], "batch_num bigint, attempt int, pos int")
             shortfall_total = spec.rows
         else:
-            data = trim_to_plan(kept, plan)
+            data = trim_to_plan(kept, plan, batch_size_for(spec.num_columns))
             data.write.parquet(f"{work}/final")
             data = spark.read.parquet(f"{work}/final")
             shortfall_total = spec.rows - data.count()

@@ -600,3 +600,34 @@ def q_synthesize_rules(spark, sf_dir):
     spec = DatasetSpec("users", load(spark, sf_dir, "customer").count(), format="csv",
                        columns=users_contract(), primary_key="user_id")
     return job.synthesize(spark, spec, base=scratch_path(spark, "jobs")).rows
+
+
+@query("dedup_within_batch_lineitem")
+def q_dedup_within_batch(spark, sf_dir):
+    """first row of each order key inside each batch (batch = line number)."""
+    li = load(spark, sf_dir, "lineitem").withColumn("batch_num", F.col("l_linenumber")) \
+        .withColumn("attempt", F.lit(0))
+    return assemble.dedup_within_batch(li, "l_orderkey", ["attempt"] + LINEITEM_ORDER[1:]).drop("attempt", "batch_num")
+
+
+@query("prompt_json_events")
+def q_prompt_json(spark, sf_dir):
+    """Free-mode prompts for an events-sized request, three events as samples."""
+    ev = load(spark, sf_dir, "events")
+    samples = [r.asDict() for r in profile.sample_rows(ev.drop("ts"), 3, order_by=["event_id"]).collect()]
+    spec = DatasetSpec("events", ev.count(), sample_rows=samples)
+    plan = batches.plan_batches(table_specs(spark, sf_dir, ["events"]).withColumn("num_columns", F.lit(0)))
+    p = prompts.render_json_prompts(plan, spec)
+    return p.select("batch_num", F.length("prompt").alias("prompt_length"), F.md5("prompt").alias("prompt_md5"))
+
+
+@query("validate_generated_users")
+def q_validate_generated(spark, sf_dir):
+    """G1, G4-G7 on rule-generated users (one row per check; zero violations expected)."""
+    contract = users_contract()
+    n = _skeleton_rows(spark, sf_dir)
+    df = generate.generate(spark, DatasetSpec("users", n, columns=contract), keep_index=False)
+    name, bad = validate.column_set_check(df, contract)
+    report = validate.column_checks(df, contract, expected_rows=n)
+    extra = spark.createDataFrame([(name, None, bad)], validate.REPORT_SCHEMA)
+    return report.unionByName(extra)

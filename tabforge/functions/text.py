@@ -16,11 +16,13 @@ RECORD_RE = '(?:[^"\\r\\n]++|"[^"]*+")++'
 FIELD_RE = ',("(?:[^"]|"")*+"[^,]*+|[^,]*+)'
 QUOTED_RE = '^"((?:[^"]|"")*)"(.*)$'
 FENCE = "```"
+# Fixed value: the characters Python's str.strip() removes (str.isspace()).
+PY_WHITESPACE = "[\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 
 def py_strip(c: Column) -> Column:
     """Strip leading/trailing whitespace of every kind (not only spaces)."""
-    return F.regexp_replace(c, "^\\s+|\\s+\\z", "")
+    return F.regexp_replace(c, f"^{PY_WHITESPACE}+|{PY_WHITESPACE}+\\z", "")
 
 
 def strip_fences(c: Column) -> Column:

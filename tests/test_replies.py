@@ -107,3 +107,8 @@ def test_trim_and_assemble(spark):
     assert set(u.columns) == {"batch_num", "pos", "v", "w"} and u.count() == 4
     assert assemble.trim_to_rows(a, "batch_num", ["pos"], 2).count() == 2
     assert assemble.assemble([]) is None
+
+
+def test_unicode_whitespace_is_stripped_like_python(spark):
+    p = _parse(spark, ["　a1 ,\xa0x \n"])
+    assert [(r["id"], r["name"]) for r in p.rows.collect()] == [("a1", "x")]

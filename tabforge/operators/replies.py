@@ -24,12 +24,14 @@ REPLY_KEYS = ["batch_num", "attempt"]
 class ParsedReplies:
     records: DataFrame      # one row per record (or per empty reply) with flags
     columns: list[str]
+    carry: tuple[str, ...] = ()
 
     @property
     def rows(self) -> DataFrame:
-        """Accepted rows, all text, with (batch_num, attempt, pos) kept for order."""
+        """Accepted rows, all text, with (batch_num, attempt, pos) kept for order
+        (plus any carried reply columns, e.g. an arrival time)."""
         ok = self.records.where(F.col("_valid"))
-        return ok.select(*REPLY_KEYS, "pos",
+        return ok.select(*REPLY_KEYS, "pos", *self.carry,
                          *[F.col("_fields")[i].alias(c) for i, c in enumerate(self.columns)])
 
     @property
@@ -45,20 +47,23 @@ class ParsedReplies:
         return reply_status_from(self.records)
 
 
-def parse_csv_replies(replies: DataFrame, columns: list[str], response_col: str = "response") -> ParsedReplies:
+def parse_csv_replies(replies: DataFrame, columns: list[str], response_col: str = "response",
+                      carry: list[str] | None = None) -> ParsedReplies:
     """Strip fences, split records outside quotes, split fields, drop a header
     record (first field equals the first column name, tested before the width),
-    accept exactly len(columns) fields."""
+    accept exactly len(columns) fields.  ``carry`` names reply columns to keep."""
     n = len(columns)
+    carry = tuple(carry or ())
     text = strip_fences(F.col(response_col))
-    exploded = replies.select(*REPLY_KEYS, F.posexplode_outer(split_records(text)).alias("pos", "_record"))
+    exploded = replies.select(*REPLY_KEYS, *carry,
+                              F.posexplode_outer(split_records(text)).alias("pos", "_record"))
     fields = split_fields(F.col("_record"))
     first = F.lower(F.element_at(F.col("_fields"), 1))
     out = (exploded.withColumn("_fields", fields)
            .withColumn("_header", F.coalesce(first == F.lit(columns[0].lower()), F.lit(False)))
            .withColumn("_valid", F.col("_record").isNotNull() & ~F.col("_header")
                        & (F.size("_fields") == F.lit(n))))
-    return ParsedReplies(out, columns)
+    return ParsedReplies(out, columns, carry)
 
 
 def reply_status_from(records: DataFrame) -> DataFrame:

@@ -25,9 +25,7 @@ REPLY_FILE_SCHEMA = T.StructType([
 
 def claimed_rows_stream(replies: DataFrame, columns: list[str], pk: str,
                         event_time: str | None = None, watermark: str = "1 hour") -> DataFrame:
-    rows = parse_csv_replies(replies, columns).rows
-    if event_time:
-        rows = rows.withColumn(event_time, replies[event_time]) if event_time not in rows.columns else rows
+    rows = parse_csv_replies(replies, columns, carry=[event_time] if event_time else None).rows
     clean = drop_missing_keys(rows, pk)
     if event_time:
         return clean.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([pk])
@@ -36,12 +34,13 @@ def claimed_rows_stream(replies: DataFrame, columns: list[str], pk: str,
 
 def stream_replies(spark: SparkSession, source_dir: str, columns: list[str], pk: str,
                    sink_dir: str, checkpoint_dir: str, files_per_trigger: int | None = None,
-                   schema: T.StructType = REPLY_FILE_SCHEMA) -> None:
+                   schema: T.StructType = REPLY_FILE_SCHEMA, event_time: str | None = None,
+                   watermark: str = "1 hour") -> None:
     """Run the stream over everything available now (``availableNow``) and stop."""
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    claimed = claimed_rows_stream(reader.parquet(source_dir), columns, pk)
+    claimed = claimed_rows_stream(reader.parquet(source_dir), columns, pk, event_time, watermark)
 
     def write_epoch(batch: DataFrame, epoch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/epoch={epoch_id}")

@@ -113,3 +113,17 @@ def test_stream_equals_batch_key_set(spark, sf_dir):
     s = {r[0] for r in QUERIES["stream_replies"](spark, sf_dir).select("c_custkey").collect()}
     b = {r[0] for r in QUERIES["parse_csv_customer"](spark, sf_dir).select("c_custkey").collect()}
     assert s == b
+
+
+def test_stream_with_arrival_time_uses_watermark_dedup(spark):
+    from pyspark.sql import types as T
+    from tabforge.streaming import replies_stream
+    schema = T.StructType(replies_stream.REPLY_FILE_SCHEMA.fields + [T.StructField("arrived", T.TimestampType())])
+    base = scratch_path(spark, "wm")
+    rows = [(1, 0, "a1,x\na2,y", "2024-01-01 00:00:00"), (2, 0, "a2,z\na3,w", "2024-01-01 00:10:00")]
+    spark.createDataFrame(rows, "batch_num long, attempt int, response string, t string") \
+        .withColumn("arrived", F.to_timestamp("t")).drop("t").coalesce(1).write.parquet(f"{base}/in")
+    replies_stream.stream_replies(spark, f"{base}/in", ["id", "name"], "id", f"{base}/out", f"{base}/ck",
+                                  schema=schema, event_time="arrived")
+    got = sorted(r["id"] for r in spark.read.parquet(f"{base}/out").collect())
+    assert got == ["a1", "a2", "a3"]

@@ -17,12 +17,20 @@ from ..functions.values import value_for
 from ..plans.batches import key_prefix, seed_key
 from ..spec import DatasetSpec, batch_size_for
 
-ROWS_PER_PARTITION = 1_000_000
+ROWS_PER_PARTITION = 1_000_000      # most rows per task on a small cluster
+MIN_ROWS_PER_PARTITION = 100_000    # fewest rows per task on a big one
+
+
+def skeleton_partitions(spark: SparkSession, rows: int) -> int:
+    """Use the cluster's parallelism, with tasks of 100k to 1M rows."""
+    most = -(-rows // MIN_ROWS_PER_PARTITION)
+    least = -(-rows // ROWS_PER_PARTITION)
+    return max(1, min(most, max(spark.sparkContext.defaultParallelism, least)))
 
 
 # D1
 def row_skeleton(spark: SparkSession, rows: int, batch_size: int, partitions: int | None = None) -> DataFrame:
-    parts = partitions or max(1, min(-(-rows // ROWS_PER_PARTITION), 10_000))
+    parts = partitions or skeleton_partitions(spark, rows)
     base = spark.range(1, rows + 1, numPartitions=parts).select(F.col("id").alias("row_idx"))
     return base.withColumn("batch_num", F.call_function("div", F.col("row_idx") - 1, F.lit(batch_size)) + 1)
 

@@ -56,3 +56,19 @@ def test_rule_job_writes_ordered_csv(spark):
     assert res.status == "success" and res.rows.count() == 120
     assert dict(res.rows.dtypes) == {"k": "bigint", "d": "date"}
     assert res.rows.where(F.col("d").isNull()).count() == 0
+
+
+def test_free_mode_job_parses_json_and_retries_by_count(spark):
+    def model(prompt, temperature, max_tokens):
+        import json
+        import re
+        n = int(re.match(r"Generate (\d+) rows", prompt).group(1))
+        if temperature < 0.35:
+            n = max(0, n - 2)                    # first try comes up short
+        return "```json\n" + json.dumps([{"name": f"n{i}", "score": i * 1.5} for i in range(n)]) + "\n```"
+
+    spec = DatasetSpec("free", 45, format="parquet", description="anything")
+    res = job.synthesize(spark, spec, model, base=scratch_path(spark, "out"))
+    assert (res.rows_generated, res.status, res.attempts) == (45, "success", 2)
+    assert set(res.rows.columns) == {"name", "score"}
+    assert dict(res.rows.dtypes)["score"] == "double"

@@ -166,13 +166,19 @@ def parse_json_column(df: DataFrame, col: str, keep: list[str]) -> DataFrame:
 
 
 # --- rows -> reply text (round trip, offline hand-off) ------------------------
-def rows_to_csv_replies(df: DataFrame, line: Column, batch: Column, order: Column,
+def rows_to_csv_replies(df: DataFrame, line: Column, batch: Column, order: Column | None = None,
                         header: str | None = None) -> DataFrame:
     """Render rows as one CSV reply per batch (bounded by the batch size): the
-    lines are gathered per batch with their order key and joined by newlines."""
-    g = df.select(batch.alias("batch_num"), order.alias("_o"), line.alias("_line")) \
-        .groupBy("batch_num").agg(F.array_sort(F.collect_list(F.struct("_o", "_line"))).alias("_ls"))
-    body = F.array_join(F.transform("_ls", lambda s: s["_line"]), "\n")
+    lines are gathered per batch and joined by newlines, ordered by ``order``
+    (or by the line text itself when no order is given)."""
+    if order is None:
+        g = df.select(batch.alias("batch_num"), line.alias("_line")) \
+            .groupBy("batch_num").agg(F.array_sort(F.collect_list("_line")).alias("_ls"))
+        body = F.array_join("_ls", "\n")
+    else:
+        g = df.select(batch.alias("batch_num"), order.alias("_o"), line.alias("_line")) \
+            .groupBy("batch_num").agg(F.array_sort(F.collect_list(F.struct("_o", "_line"))).alias("_ls"))
+        body = F.array_join(F.transform("_ls", lambda s: s["_line"]), "\n")
     if header:
         body = F.concat(F.lit(header + "\n"), body)
     return g.select("batch_num", F.lit(0).alias("attempt"), body.alias("response"))

@@ -590,3 +590,4 @@ FROM (SELECT batch_num, {body} AS p FROM ({p}))"""
 
 
 register("prompt_json_events", _prompt_json_sql())
+register("roundtrip_lineitem_replies", "SELECT *, 0 AS n_cast_errors FROM lineitem")

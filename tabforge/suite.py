@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import text
 from .operators import assemble, generate, keys, ledger, profile, replies, validate
 from .spec import ColumnContract, DatasetSpec, users_contract
 from .plans import batches, job, prompts
@@ -631,3 +632,21 @@ def q_validate_generated(spark, sf_dir):
     report = validate.column_checks(df, contract, expected_rows=n)
     extra = spark.createDataFrame([(name, None, bad)], validate.REPORT_SCHEMA)
     return report.unionByName(extra)
+
+
+@query("roundtrip_lineitem_replies")
+def q_roundtrip_lineitem(spark, sf_dir):
+    """All of lineitem as CSV replies (one per order), parsed (E) and cast back to
+    the table's types (A12): the result equals the table."""
+    li = load(spark, sf_dir, "lineitem")
+    cols = li.columns
+    as_text = [F.date_format(c, "yyyy-MM-dd HH:mm:ss") if c == "l_shipdate" else F.col(c) for c in cols]
+    r = replies.rows_to_csv_replies(li, text.csv_line(as_text), F.col("l_orderkey"))
+    rows = replies.parse_csv_replies(r, cols).rows
+    contract = profile.contract_from_schema(li.schema)
+    for c in contract:                      # keep physical types, not name-rule semantics
+        c.type = profile.physical_family(li.schema[c.name].dataType)
+        c.type = "datetime" if c.name == "l_shipdate" else c.type
+    typed = profile.apply_contract(rows, contract)
+    return typed.select(*[F.col(c).cast(li.schema[c].dataType).alias(c) for c in cols],
+                        F.size("_cast_errors").alias("n_cast_errors"))

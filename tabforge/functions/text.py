@@ -6,15 +6,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A record: unquoted runs without newlines, or quoted runs that may hold
-# newlines.  Possessive quantifiers keep it linear (no backtracking blow-up
-# on long quoted rows).
-RECORD_RE = '(?:[^"\\r\\n]++|"[^"]*+")++'
-# One field after a leading comma: a quoted part (with "" escapes, and any
-# characters after the closing quote up to the next comma) or an unquoted
-# run.  A field opens a quote only when the quote is its first character.
-FIELD_RE = ',("(?:[^"]|"")*+"[^,]*+|[^,]*+)'
-QUOTED_RE = '^"((?:[^"]|"")*)"(.*)$'
+# One CSV field, with the quote rule of Python's csv reader: a quote opens a
+# quoted field only as the field's first character; inside it "" is a quote
+# and newlines are data; after the closing quote the rest up to the next
+# comma is plain text; a quote never closed runs to the end of the text.
+# Elsewhere quotes are ordinary characters.  Possessive quantifiers keep
+# matching linear (no backtracking blow-up on long quoted rows).
+FIELD = '(?:"(?:[^"]|"")*+(?:"[^,\\r\\n]*+|\\z)|(?:[^,\\r\\n"][^,\\r\\n]*+)?)'
+# A record: fields separated by commas, up to a newline outside quotes.
+RECORD_RE = FIELD + "(?:," + FIELD + ")*+"
+# One field after a leading comma (every match consumes its comma).
+FIELD_RE = ",(" + FIELD + ")"
+QUOTED_RE = '^"((?:[^"]|"")*+)(?:"(.*))?\\z'
 FENCE = "```"
 # Fixed value: the characters Python's str.strip() removes (str.isspace()).
 PY_WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -38,7 +41,7 @@ def strip_fences(c: Column) -> Column:
 
 def split_records(c: Column) -> Column:
     """Records separated by newlines outside quotes; blank lines produce nothing."""
-    return F.regexp_extract_all(c, F.lit(RECORD_RE), 0)
+    return F.filter(F.regexp_extract_all(c, F.lit(RECORD_RE), 0), lambda r: r != "")
 
 
 def split_fields(record: Column) -> Column:
@@ -46,7 +49,8 @@ def split_fields(record: Column) -> Column:
     raw = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(FIELD_RE), 1)
     return F.transform(raw, lambda f: py_strip(
         F.when(f.startswith('"'),
-               F.replace(F.regexp_replace(f, QUOTED_RE, "$1$2"), F.lit('""'), F.lit('"')))
+               F.concat(F.replace(F.regexp_extract(f, QUOTED_RE, 1), F.lit('""'), F.lit('"')),
+                        F.regexp_extract(f, QUOTED_RE, 2)))
         .otherwise(f)))
 
 

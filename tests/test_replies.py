@@ -112,3 +112,11 @@ def test_trim_and_assemble(spark):
 def test_unicode_whitespace_is_stripped_like_python(spark):
     p = _parse(spark, ["　a1 ,\xa0x \n"])
     assert [(r["id"], r["name"]) for r in p.rows.collect()] == [("a1", "x")]
+
+
+def test_stray_and_unclosed_quotes_follow_python_csv(spark):
+    p = _parse(spark, ['a,b"c,d\na,"b"c"d,e\nx,"unclosed,\n\ntail'], ["c1", "c2", "c3"])
+    got = [tuple(r[c] for c in ("c1", "c2", "c3")) for r in p.rows.orderBy("pos").collect()]
+    assert got == [("a", 'b"c', "d"), ("a", 'bc"d', "e")]
+    rej = [r["record"] for r in p.rejects.collect()]
+    assert rej == ['x,"unclosed,\n\ntail']

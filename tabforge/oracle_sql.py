@@ -94,8 +94,18 @@ def register(name: str, sql: str) -> None:
 
 for _t in ("customer", "orders", "documents", "events"):
     register(f"profile_{_t}", profile(_t))
-register("contract_catalog", contract_catalog())
-register("detect_keys_all", detect_keys_all())
+register("contract_catalog", " UNION ALL ".join(f"SELECT * FROM ({profile(t)})" for t in TABLES))
+
+
+def _detect_and_verify() -> str:
+    quality = " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, * FROM ({key_quality(t, c)})" for t in TABLES for c in COLUMNS[t])
+    return f"""SELECT d.table_name, d.primary_key, q.duplicates_found, q.nulls_found, q.is_valid
+FROM ({detect_keys_all()}) d LEFT JOIN ({quality}) q
+  ON d.table_name = q.table_name AND d.primary_key = q.primary_key_column"""
+
+
+register("detect_keys_all", _detect_and_verify())
 register("candidate_keys_conversations", candidate_keys_conversations())
 register("key_quality_lineitem", key_quality("lineitem", "l_orderkey"))
 register("key_quality_orders", key_quality("orders", "o_orderkey"))
@@ -141,7 +151,7 @@ FROM (SELECT dataset_name, rows, batch_size,
 register("batch_plan_all", plan(TABLES))
 register("seed_keys_orders", f"""SELECT dataset_name, batch_num, row_idx, 'O_ORDERKEY-' || row_idx AS seed_key
 FROM (SELECT dataset_name, batch_num, unnest(range(start_idx, end_idx + 1)) AS row_idx FROM ({plan(['orders'])}))""")
-register("default_text_all", f"""SELECT table_name AS dataset_name,
+register("default_text_all", f"""WITH t AS (SELECT table_name AS dataset_name,
   'Realistic synthetic ' || upper(substr(table_name, 1, 1)) || lower(substr(table_name, 2)) || ' dataset'
   || CASE WHEN count(*) > 0 THEN ' containing fields: '
        || string_agg(CASE WHEN ordinal_position <= 6 THEN column_name END, ', ' ORDER BY ordinal_position)
@@ -149,7 +159,9 @@ register("default_text_all", f"""SELECT table_name AS dataset_name,
      ELSE '.' END AS description,
   'Generate realistic, diverse, and internally consistent data. Values must reflect real-world distributions and relationships between columns. Avoid repetitive patterns, placeholder text, or sequential values. Ensure all fields have appropriate formats and plausible value ranges.' AS ai_criteria
 FROM information_schema.columns WHERE table_name IN ({", ".join(f"'{t}'" for t in TABLES)})
-GROUP BY table_name""")
+GROUP BY table_name)
+SELECT s.dataset_name, s.rows, s.num_columns, {BATCH_CASE} AS batch_size, t.description, t.ai_criteria
+FROM ({specs(TABLES)}) s JOIN t ON s.dataset_name = t.dataset_name""")
 
 # --- E: replies ------------------------------------------------------------------
 CUST_NAME = """CASE c_custkey % 10 WHEN 3 THEN c_name || ', Inc' WHEN 7 THEN c_name || ' "VIP"'

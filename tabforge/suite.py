@@ -57,13 +57,27 @@ for _t in ("customer", "orders", "documents", "events"):
 
 @query("contract_catalog")
 def q_contract_catalog(spark, sf_dir):
-    return profile.contract_catalog(profile.catalog(spark, all_tables(spark, sf_dir)))
+    """A5-A7 for all 14 tables: contract type, nullable flag and row count per column
+    (one aggregate scan per table)."""
+    from .operators.assemble import assemble as union_all
+    return union_all([profile.profile(df, t) for t, df in all_tables(spark, sf_dir).items()])
 
 
 @query("detect_keys_all")
 def q_detect_keys_all(spark, sf_dir):
-    cat = profile.contract_catalog(profile.catalog(spark, all_tables(spark, sf_dir)))
-    return keys.detect_keys(cat)
+    """B1 on every table's contract, then B3 on the detected key over the table's
+    data (a detected key may repeat: conversations.conv_id)."""
+    from .operators.assemble import assemble as union_all
+    tables = all_tables(spark, sf_dir)
+    detected = keys.detect_keys(profile.contract_catalog(profile.catalog(spark, tables)))
+    found = {r["table_name"]: r["primary_key"] for r in detected.collect()}      # one row per table
+    parts = []
+    for t, pk in found.items():
+        if pk:
+            parts.append(keys.key_quality(tables[t], pk).select(F.lit(t).alias("table_name"), "*"))
+    report = union_all(parts)
+    return detected.join(report.withColumnRenamed("primary_key_column", "primary_key"),
+                         ["table_name", "primary_key"], "left")
 
 
 @query("candidate_keys_conversations")
@@ -121,7 +135,11 @@ def q_seed_keys_orders(spark, sf_dir):
 
 @query("default_text_all")
 def q_default_text_all(spark, sf_dir):
-    return batches.default_texts(profile.catalog(spark, all_tables(spark, sf_dir)))
+    """C6 applied to a request per table: rows = count(*), width = column count,
+    batch size (C1), and the default description / criteria."""
+    texts = batches.default_texts(profile.catalog(spark, all_tables(spark, sf_dir)))
+    specs = table_specs(spark, sf_dir).withColumn("batch_size", batches.batch_size(F.col("num_columns")))
+    return specs.join(texts, "dataset_name")
 
 
 # --- E: replies ----------------------------------------------------------------

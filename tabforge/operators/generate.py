@@ -139,20 +139,29 @@ def category_intervals(source: DataFrame, column: str) -> DataFrame:
     return running_total(freq, "value", "freq").withColumn("lo", F.col("hi") - F.col("freq"))
 
 
+MAX_CANDIDATES = 64
+
+
 def mimic_categorical(skeleton: DataFrame, source: DataFrame, column: str, seed: int = 42,
                       out_col: str | None = None, buckets: int = MIMIC_BUCKETS) -> DataFrame:
     """Draw values with the source's frequencies: rank r = draw mod N picks the
     interval holding r.  The range lookup is an equi-join on a rank bucket
-    (intervals are exploded into the buckets they overlap), so no side has to
-    be broadcast; AQE broadcasts the interval side when it measures small.
-    Bucket width is N / buckets ranks, so every bucket receives an equal share
-    of generated rows: no hot join key even when one value holds most of N."""
+    (intervals are exploded into the buckets they overlap) plus the range test.
+
+    Bucket width w = N / buckets ranks: every bucket receives an equal share of
+    generated rows (no hot join key even when one value holds most of N), and
+    since every interval has at least one rank a row meets at most w candidate
+    intervals.  w is kept <= MAX_CANDIDATES (more buckets when there are many
+    distinct values), so the join never degenerates into all pairs; the
+    exploded interval table has at most (distinct values + N / w) rows.  AQE
+    broadcasts it when it measures small."""
     out_col = out_col or column
     iv = category_intervals(source, column)
-    total = source.where(F.col(f"`{column}`").isNotNull()).count()
+    stats = iv.agg(F.max("hi").alias("total"), F.count(F.lit(1)).alias("n")).first()
+    total, n_iv = (stats["total"] or 0), stats["n"]
     if total == 0:
-        return skeleton.withColumn(out_col, F.lit(None))
-    width = max(1, -(-total // buckets))
+        return skeleton.withColumn(out_col, F.lit(None).cast(source.schema[column].dataType))
+    width = max(1, min(-(-total // max(buckets, 4 * n_iv)), MAX_CANDIDATES))
     iv_b = iv.select("value", "lo", "hi", F.explode(F.sequence(
         F.call_function("div", F.col("lo"), F.lit(width)),
         F.call_function("div", F.col("hi") - 1, F.lit(width)))).alias("bucket"))

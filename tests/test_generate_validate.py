@@ -99,3 +99,18 @@ def test_key_gaps_across_buckets(spark):
     df = spark.createDataFrame([(k,) for k in [1, 2, 3, 7, 8, 20, 21, 22, 40]], "k long")
     got = sorted(tuple(r) for r in validate.key_gaps(df, F.col("k"), target_batches=3).collect())
     assert got == [(3, 7, 4), (8, 20, 12), (22, 40, 18)]
+
+
+def test_mimic_categorical_many_values_matches_brute_force(spark):
+    """Many tiny intervals and one hot value: the bucketed lookup equals a brute-force
+    rank table (every rank exploded)."""
+    src = spark.range(3000).select(F.when(F.col("id") < 1000, F.lit("hot"))
+                                   .otherwise(F.concat(F.lit("v"), F.col("id").cast("string"))).alias("v"))
+    skel = generate.row_skeleton(spark, 5000, 30).drop("batch_num")
+    got = {r["row_idx"]: r["v"] for r in generate.mimic_categorical(skel, src, "v").collect()}
+    iv = generate.category_intervals(src, "v")
+    ranks = iv.select("value", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("rank"))
+    from tabforge.functions.random import offset
+    want_df = skel.withColumn("rank", offset(3000, "uniform", 42, "v", F.col("row_idx"))).join(ranks, "rank")
+    want = {r["row_idx"]: r["value"] for r in want_df.collect()}
+    assert len(got) == 5000 and got == want

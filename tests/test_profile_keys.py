@@ -81,3 +81,32 @@ def test_apply_contract_flags_bad_casts(spark):
                                       ColumnContract("b", "boolean")]).collect()
     assert out[0]["a"] == 1 and str(out[0]["d"]) == "2020-01-02" and out[0]["b"] is True
     assert out[1]["a"] is None and sorted(out[1]["_cast_errors"]) == ["a", "d"]
+
+
+def test_extract_profile_all_formats(spark, tmp_path, sf_dir):
+    import json
+    from tabforge.session import scratch_path
+    p = profile.extract_profile(spark, f"{sf_dir}/customer.parquet")
+    assert p["file_type"] == "parquet" and p["columns_count"] == 5 and p["total_rows"] == 150
+    assert len(p["sample_rows"]) == 5 and p["columns"][0] == {"name": "c_custkey", "type": "integer",
+                                                              "nullable": False}
+    csv_path = scratch_path(spark, "prof") + ".csv"
+    spark.read.parquet(f"{sf_dir}/customer.parquet").write.option("header", True).option("sep", "|").csv(csv_path)
+    c = profile.extract_profile(spark, csv_path)
+    assert c["file_type"] == "csv" and c["total_rows"] == 150 and c["columns"][3]["type"] == "float"
+    contract = tmp_path / "users_schema.json"
+    contract.write_text(json.dumps([{"name": "user_id", "type": "uuid", "nullable": False}]))
+    j = profile.extract_profile(spark, str(contract))
+    assert j["total_rows"] == 0 and j["sample_rows"] == [] and j["columns"][0]["name"] == "user_id"
+    data = tmp_path / "rows.json"
+    data.write_text(json.dumps([{"a": i, "b": "x"} for i in range(12)]))
+    d = profile.extract_profile(spark, str(data))
+    assert d["total_rows"] == 12 and len(d["sample_rows"]) == 10 and d["columns"][0]["type"] == "integer"
+
+
+def test_preview_prompt(spark):
+    from tabforge.plans import batches, prompts
+    from tabforge.spec import DatasetSpec
+    spec = DatasetSpec("t", 70, columns=[{"name": "id"}])
+    text = prompts.preview_prompt(batches.plan_single(spark, 70, 1), spec)
+    assert "generating rows 1 through 30" in text

@@ -72,3 +72,15 @@ def test_free_mode_job_parses_json_and_retries_by_count(spark):
     assert (res.rows_generated, res.status, res.attempts) == (45, "success", 2)
     assert set(res.rows.columns) == {"name", "score"}
     assert dict(res.rows.dtypes)["score"] == "double"
+
+
+def test_rule_job_files_are_in_row_order(spark):
+    import os
+    spec = DatasetSpec("o", 2500, format="csv", columns=[{"name": "id", "type": "string"}], primary_key="id")
+    res = job.synthesize(spark, spec, base=scratch_path(spark, "out"))
+    local = res.path.removeprefix("file:")
+    keys_in_files = []
+    for f in sorted(os.listdir(local)):
+        if f.startswith("part-"):
+            keys_in_files += open(os.path.join(local, f)).read().splitlines()[1:]
+    assert keys_in_files == [f"ID-{i}" for i in range(1, 2501)]

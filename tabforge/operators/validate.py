@@ -69,7 +69,9 @@ def pattern_ok(df: DataFrame, c: ColumnContract) -> Column | None:
         ts = t.try_cast("timestamp_ntz")
         hi = pat.hi if (pat.hi.hour, pat.hi.minute, pat.hi.second) != (0, 0, 0) else \
             pat.hi.replace(hour=23, minute=59, second=59, microsecond=999999)
-        return ts.isNotNull() & (ts >= F.lit(pat.lo)) & (ts <= F.lit(hi))
+        lo_l = F.lit(pat.lo.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+        hi_l = F.lit(hi.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")   # wall time: no zone
+        return ts.isNotNull() & (ts >= lo_l) & (ts <= hi_l)
     if isinstance(pat, RegexPattern):
         return t.rlike(f"^(?:{c.pattern.lstrip('^').rstrip('$')})$")
     return None

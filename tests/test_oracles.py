@@ -58,3 +58,18 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() == 11
     assert "duplicates_found" in df.columns
+
+
+TIME_SENSITIVE = ["validate_ranges", "validate_generated_users", "gen_datetime", "gen_date", "ledger_get",
+                  "ledger_unexpired", "sink_roundtrip_orders_csv", "roundtrip_lineitem_replies",
+                  "profile_orders", "read_json_events"]
+
+
+@pytest.mark.parametrize("name", TIME_SENSITIVE)
+def test_results_do_not_depend_on_session_time_zone(spark, sf_dir, duck, name):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        test_query_matches_oracle(spark, sf_dir, duck, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

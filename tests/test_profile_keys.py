@@ -110,3 +110,15 @@ def test_preview_prompt(spark):
     spec = DatasetSpec("t", 70, columns=[{"name": "id"}])
     text = prompts.preview_prompt(batches.plan_single(spark, 70, 1), spec)
     assert "generating rows 1 through 30" in text
+
+
+def test_json_contract_full_scan(spark, tmp_path):
+    p = tmp_path / "rows.json"
+    p.write_text('[{"a": 1, "b": "x"}, {"a": 2.5, "c": true}, {"a": 3, "b": null}]')
+    from tabforge.sources.readers import read_json_text
+    first, _, _ = profile.infer_contract_from_json(read_json_text(spark, str(p)))
+    assert [(c.name, c.type, c.nullable) for c in first] == [("a", "integer", False), ("b", "string", False)]
+    full, _, total = profile.infer_contract_from_json(read_json_text(spark, str(p)), full_scan=True)
+    assert total == 3
+    assert [(c.name, c.type, c.nullable) for c in full] == [("a", "float", False), ("b", "string", True),
+                                                            ("c", "boolean", True)]

@@ -88,13 +88,14 @@ def key_quality(df: DataFrame, pk: str | None) -> DataFrame | None:
 
 
 def verify_candidate_keys(df: DataFrame, candidates: list[str], prefilter: bool = True,
-                          rsd: float = 0.01) -> DataFrame:
+                          rsd: float = 0.05) -> DataFrame:
     """Is each candidate really a key?  (column_name, total_rows, is_unique).
 
     With ``prefilter`` one HyperLogLog pass (no shuffle of data) drops
-    candidates whose estimate is below half the row count - 50 standard
-    errors away from unique - and only the rest get the exact distinct
-    count (one single-column aggregate each, so no Expand blow-up)."""
+    candidates whose estimate is below half the row count - ten standard
+    errors away from unique at the default rsd - and only the rest get the
+    exact distinct count (one single-column aggregate each, so no Expand
+    blow-up)."""
     total_col = F.count(F.lit(1)).alias("total")
     exact = list(candidates)
     rejected: list[str] = []

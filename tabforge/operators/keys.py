@@ -87,24 +87,28 @@ def key_quality(df: DataFrame, pk: str | None) -> DataFrame | None:
     return df.agg(*aggs).select(*report)
 
 
+HEAD_ROWS = 100_000
+
+
 def verify_candidate_keys(df: DataFrame, candidates: list[str], prefilter: bool = True,
-                          rsd: float = 0.05) -> DataFrame:
+                          head_rows: int = HEAD_ROWS) -> DataFrame:
     """Is each candidate really a key?  (column_name, total_rows, is_unique).
 
-    With ``prefilter`` one HyperLogLog pass (no shuffle of data) drops
-    candidates whose estimate is below half the row count - ten standard
-    errors away from unique at the default rsd - and only the rest get the
-    exact distinct count (one single-column aggregate each, so no Expand
-    blow-up)."""
-    total_col = F.count(F.lit(1)).alias("total")
+    With ``prefilter`` a bounded head of the table (LIMIT, so only the first
+    splits are read) is checked first: a repeated value or a null there is an
+    exact proof that the candidate is not a key.  Only the candidates that
+    survive get the exact distinct count over the whole table (one
+    single-column aggregate each, so no Expand blow-up).  Both outcomes are
+    exact."""
     exact = list(candidates)
     rejected: list[str] = []
     if prefilter and candidates:
-        est = df.agg(total_col, *[F.approx_count_distinct(F.col(f"`{c}`"), rsd).alias(f"a{i}")
-                                  for i, c in enumerate(candidates)]).first()
-        exact, rejected = [], []
-        for i, c in enumerate(candidates):
-            (rejected if est[f"a{i}"] < 0.5 * est["total"] else exact).append(c)
+        head = df.limit(head_rows)
+        n = F.count(F.lit(1))
+        probe = head.agg(*[((F.count_distinct(F.col(f"`{c}`")) < n) | (F.count(F.col(f"`{c}`")) < n))
+                           .alias(f"d{i}") for i, c in enumerate(candidates)]).first()
+        exact = [c for i, c in enumerate(candidates) if not probe[f"d{i}"]]
+        rejected = [c for i, c in enumerate(candidates) if probe[f"d{i}"]]
     parts = []
     for c in exact:
         k = F.col(f"`{c}`")

@@ -171,14 +171,59 @@ def mimic_categorical(skeleton: DataFrame, source: DataFrame, column: str, seed:
     return joined.select(*skeleton.columns, F.col("value").alias(out_col))
 
 
+def exact_quantiles(source: DataFrame, column: str, probs: list[float]) -> list[float]:
+    """Exact quantiles with linear interpolation between order statistics (the
+    pandas / SQL ``quantile_cont`` rule), NaN and null ignored.
+
+    Distributed: values are counted per distinct value first (a hot value
+    collapses map-side), the running sum gives each value its rank interval
+    (``running_total``), and only the intervals holding the needed ranks -
+    at most two per probability - reach the driver."""
+    import math
+    c = F.col(f"`{column}`").cast("double")
+    vals = source.select(c.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    iv = category_intervals(vals, "v")
+    n = iv.agg(F.max("hi")).first()[0] or 0
+    if n == 0:
+        return []
+    wanted = {}
+    for p in probs:
+        pos = p * (n - 1)
+        wanted[p] = (pos, math.floor(pos), min(math.ceil(pos), n - 1))
+    ranks = sorted({r for _, lo, hi in wanted.values() for r in (lo, hi)})
+    hit = None
+    for r in ranks:
+        e = (F.col("lo") <= F.lit(r)) & (F.lit(r) < F.col("hi"))
+        hit = e if hit is None else hit | e
+    found = iv.where(hit).select("value", "lo", "hi").collect()
+
+    def at(r):
+        for row in found:
+            if row["lo"] <= r < row["hi"]:
+                return row["value"]
+        raise AssertionError(r)
+    out = []
+    for p in probs:
+        pos, lo, hi = wanted[p]
+        v_lo, v_hi = at(lo), at(hi)
+        out.append(v_lo + (v_hi - v_lo) * (pos - lo))
+    return out
+
+
 def mimic_numeric(skeleton: DataFrame, source: DataFrame, column: str, seed: int = 42,
-                  out_col: str | None = None, points: int = 101, accuracy: int = 10000) -> DataFrame:
-    """Inverse of the source quantiles with linear interpolation.  The quantile
-    grid is a bounded array (``percentile_approx``, fixed memory per task) that is
-    collected once and inlined as a literal."""
+                  out_col: str | None = None, points: int = 101, exact: bool = True,
+                  accuracy: int = 10000) -> DataFrame:
+    """Inverse of the source quantiles with linear interpolation.  The grid of
+    ``points`` quantiles is exact by default (``exact_quantiles``) or from
+    ``percentile_approx`` (fixed memory, one pass); either way it is a bounded
+    array inlined as a literal."""
     out_col = out_col or column
     probs = [i / (points - 1) for i in range(points)]
-    q = source.agg(F.percentile_approx(F.col(f"`{column}`").cast("double"), probs, accuracy).alias("q")).first()["q"]
+    if exact:
+        q = exact_quantiles(source, column, probs)
+    else:
+        q = source.agg(F.percentile_approx(F.col(f"`{column}`").cast("double"), probs, accuracy)
+                       .alias("q")).first()["q"]
     if not q:
         return skeleton.withColumn(out_col, F.lit(None).cast("double"))
     grid = F.array(*[F.lit(float(v)) for v in q])

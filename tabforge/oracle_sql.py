@@ -603,3 +603,14 @@ FROM (SELECT batch_num, {body} AS p FROM ({p}))"""
 
 register("prompt_json_events", _prompt_json_sql())
 register("roundtrip_lineitem_replies", "SELECT *, 0 AS n_cast_errors FROM lineitem")
+register("mimic_price", f"""WITH v AS (SELECT CAST(o_totalprice AS DOUBLE) AS v FROM orders
+   WHERE o_totalprice IS NOT NULL AND NOT isnan(o_totalprice)),
+r AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS rk FROM v),
+p AS (SELECT i, i / 100 * ((SELECT count(*) FROM v) - 1) AS pos FROM range(0, 101) t(i)),
+g AS (SELECT p.i, lo.v + (hi.v - lo.v) * (p.pos - floor(p.pos)) AS q
+      FROM p JOIN r lo ON lo.rk = floor(p.pos)
+             JOIN r hi ON hi.rk = least(ceil(p.pos), (SELECT count(*) FROM v) - 1)),
+s AS (SELECT i AS row_idx, CAST({_chunk(_h('o_totalprice', 'q'))} AS DOUBLE) / CAST(4294967296 AS DOUBLE) * 100 AS u
+      FROM {RANGE_FROM.format(t='orders')})
+SELECT s.row_idx, glo.q + (ghi.q - glo.q) * (s.u - floor(s.u)) AS o_totalprice
+FROM s JOIN g glo ON glo.i = CAST(floor(s.u) AS BIGINT) JOIN g ghi ON ghi.i = least(CAST(floor(s.u) AS BIGINT) + 1, 100)""")

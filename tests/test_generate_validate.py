@@ -114,3 +114,14 @@ def test_mimic_categorical_many_values_matches_brute_force(spark):
     want_df = skel.withColumn("rank", offset(3000, "uniform", 42, "v", F.col("row_idx"))).join(ranks, "rank")
     want = {r["row_idx"]: r["value"] for r in want_df.collect()}
     assert len(got) == 5000 and got == want
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(7)
+    vals = np.concatenate([rng.normal(50, 10, 3000), np.full(2000, 42.0), [float("nan")] * 5])
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
+    got = generate.exact_quantiles(df, "x", probs)
+    want = np.quantile(vals[~np.isnan(vals)], probs)
+    assert np.allclose(got, want, rtol=0, atol=1e-9)

@@ -19,8 +19,11 @@ ORDER_COLS = ["batch_num", "attempt", "pos"]
 def _key_present(df: DataFrame, pk: str) -> Column:
     k = F.col(f"`{pk}`")
     cond = k.isNotNull()
-    if dict(df.dtypes)[pk] == "string":
+    kind = dict(df.dtypes)[pk]
+    if kind == "string":
         cond = cond & (k != "")
+    if kind in ("double", "float"):
+        cond = cond & ~F.isnan(k)
     return cond
 
 

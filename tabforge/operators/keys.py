@@ -59,8 +59,12 @@ def _missing(df: DataFrame, pk: str) -> Column:
 
 
 def key_quality_parts(df: DataFrame, pk: str):
-    """Aggregate columns and the report columns over them (shared with profile)."""
+    """Aggregate columns and the report columns over them (shared with profile).
+    For float keys NaN is folded into null first: pandas treats both as one
+    missing value when it looks for duplicates."""
     k = F.col(f"`{pk}`")
+    if isinstance(df.schema[pk].dataType, (T.FloatType, T.DoubleType)):
+        k = F.when(~F.isnan(k), k)
     aggs = [F.count(F.lit(1)).alias("__kq_total"),
             F.count_distinct(k).alias("__kq_distinct"),
             F.max(k.isNull()).cast("long").alias("__kq_has_null"),

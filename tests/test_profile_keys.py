@@ -129,3 +129,15 @@ def test_candidate_prefilter_is_exact(spark, monkeypatch):
     df = spark.range(5000).select(F.col("id"), F.when(F.col("id") == 4999, F.lit(0)).otherwise(F.col("id")).alias("late"))
     got = {r["column_name"]: r["is_unique"] for r in keys.verify_candidate_keys(df, ["id", "late"], head_rows=100).collect()}
     assert got == {"id": True, "late": False}
+
+
+def test_float_keys_fold_nan_into_null_like_pandas(spark):
+    import pandas as pd
+    from tabforge.operators import assemble
+    vals = [1.0, float("nan"), None, 1.0, 2.0, float("nan")]
+    s = pd.Series(vals, dtype="float64")
+    df = spark.createDataFrame([(v,) for v in vals], "k double")
+    r = keys.key_quality(df, "k").first()
+    assert r["duplicates_found"] == int(s.duplicated().sum()) == 3
+    assert r["nulls_found"] == int(s.isna().sum()) == 3
+    assert assemble.drop_missing_keys(df, "k").count() == 3

@@ -57,3 +57,9 @@ VALIDATE_CONTRACTS = {
                  {"name": "l_linestatus", "type": "string", "pattern": "[OF]"},
                  {"name": "l_shipdate", "type": "datetime", "pattern": "1992-01-01 to 1998-12-31"}],
 }
+
+# Contract for the combined validation report over documents.
+REPORT_CONTRACT_DOCUMENTS = [
+    {"name": "doc_id", "type": "integer"}, {"name": "text", "type": "string"},
+    {"name": "lang", "type": "string", "pattern": "[a-z]{2}"}, {"name": "source", "type": "string"},
+    {"name": "n_chars", "type": "integer", "pattern": "1-200000"}]

@@ -207,3 +207,52 @@ def total_variation(drift_rows: DataFrame, na: int, nb: int) -> DataFrame:
     division: sum |a*nb - b*na| / (2 * na * nb)."""
     return drift_rows.agg((F.sum(F.abs(F.col("a_count") * F.lit(nb) - F.col("b_count") * F.lit(na)))
                            / F.lit(2 * max(na, 1) * max(nb, 1))).alias("tvd"))
+
+
+LOW_VARIETY_SHARE = 0.5       # a column whose most frequent value exceeds this share is flagged
+
+
+def report(df: DataFrame, contract: list[ColumnContract], pk: str | None = None,
+           expected_rows: int | None = None, samples: DataFrame | None = None,
+           text_columns: list[str] | None = None, row_columns: list[str] | None = None) -> DataFrame:
+    """All checks as one table of (check_name, column_name, violations):
+    G1/G5-G7 (one aggregate), G2 key duplicates and missing keys (B3), G3 rows
+    repeated on ``row_columns`` (rows beyond the first of each group), G4
+    column set, G8 key gaps (numeric keys or seeded-key suffixes), G9 copies of
+    sample rows, G10 rows holding a column's top value when its share exceeds
+    LOW_VARIETY_SHARE, G11 rows with placeholder words per text column."""
+    from .generate import sample_copies
+    from .keys import key_quality
+    spark = df.sparkSession
+    parts = [column_checks(df, contract, expected_rows)]
+    name, bad = column_set_check(df, contract)
+    parts.append(spark.createDataFrame([(name, None, bad)], REPORT_SCHEMA))
+    if pk and pk in df.columns:
+        kq = key_quality(df, pk)
+        parts.append(kq.select(F.lit("key_duplicates").alias("check_name"), F.lit(pk).alias("column_name"),
+                               F.col("duplicates_found").alias("violations")))
+        parts.append(kq.select(F.lit("key_missing").alias("check_name"), F.lit(pk).alias("column_name"),
+                               F.col("nulls_found").alias("violations")))
+        numeric = dict(df.dtypes)[pk] in ("bigint", "int", "smallint", "tinyint")
+        key = F.col(f"`{pk}`") if numeric else key_suffix(F.col(f"`{pk}`"))
+        parts.append(key_gaps(df, key).agg(F.count(F.lit(1)).alias("violations")).select(
+            F.lit("key_gaps").alias("check_name"), F.lit(pk).alias("column_name"), "violations"))
+    dup = duplicate_rows(df, row_columns)
+    parts.append(dup.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("bigint").alias("violations"))
+                 .select(F.lit("duplicate_rows").alias("check_name"), F.lit(None).cast("string").alias("column_name"),
+                         "violations"))
+    if samples is not None:
+        parts.append(sample_copies(df, samples).agg(F.count(F.lit(1)).alias("violations")).select(
+            F.lit("sample_copies").alias("check_name"), F.lit(None).cast("string").alias("column_name"), "violations"))
+    lv = low_variety(df, [c.name for c in contract if c.name in df.columns])
+    parts.append(lv.select(F.lit("low_variety").alias("check_name"), "column_name",
+                           F.when(F.col("top_share") > LOW_VARIETY_SHARE, F.col("top_count"))
+                           .otherwise(F.lit(0)).cast("bigint").alias("violations")))
+    for col in text_columns or []:
+        hits = placeholder_hits(df, col)
+        parts.append(hits.agg(F.sum("rows").cast("bigint").alias("violations")).select(
+            F.lit("placeholder").alias("check_name"), F.lit(col).alias("column_name"), "violations"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

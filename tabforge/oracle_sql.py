@@ -614,3 +614,43 @@ s AS (SELECT i AS row_idx, CAST({_chunk(_h('o_totalprice', 'q'))} AS DOUBLE) / C
       FROM {RANGE_FROM.format(t='orders')})
 SELECT s.row_idx, glo.q + (ghi.q - glo.q) * (s.u - floor(s.u)) AS o_totalprice
 FROM s JOIN g glo ON glo.i = CAST(floor(s.u) AS BIGINT) JOIN g ghi ON ghi.i = least(CAST(floor(s.u) AS BIGINT) + 1, 100)""")
+
+
+def _report_documents_sql() -> str:
+    from .fixtures import REPORT_CONTRACT_DOCUMENTS
+    from .operators.validate import LOW_VARIETY_SHARE
+    saved = VALIDATE_CONTRACTS.get("documents")
+    VALIDATE_CONTRACTS["documents"] = REPORT_CONTRACT_DOCUMENTS
+    try:
+        cols = validate_sql("documents")
+    finally:
+        if saved is None:
+            VALIDATE_CONTRACTS.pop("documents")
+    names = [c["name"] for c in REPORT_CONTRACT_DOCUMENTS]
+    long = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM documents" for c in names)
+    low = f"""SELECT 'low_variety' AS check_name, column_name,
+  CAST(CASE WHEN cnt / total > {LOW_VARIETY_SHARE} THEN cnt ELSE 0 END AS BIGINT) AS violations
+FROM (SELECT column_name, cnt, row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, value) AS rn,
+        sum(cnt) OVER (PARTITION BY column_name) AS total
+      FROM (SELECT column_name, value, count(*) AS cnt FROM ({long}) WHERE value IS NOT NULL GROUP BY ALL))
+WHERE rn = 1"""
+    place = f"SELECT 'placeholder', 'text', CAST(sum(rows) AS BIGINT) FROM ({_placeholder_sql()})"
+    copies = ("SELECT 'sample_copies', NULL, count(*) FROM documents d WHERE EXISTS (SELECT 1 FROM "
+              "(SELECT * FROM documents ORDER BY doc_id LIMIT 5) s WHERE "
+              + " AND ".join(f"s.{c} IS NOT DISTINCT FROM d.{c}" for c in names) + ")")
+    gaps = f"SELECT 'key_gaps', 'doc_id', count(*) FROM ({_gaps('SELECT doc_id AS k FROM documents')})"
+    kq = key_quality("documents", "doc_id")
+    return f"""{cols}
+UNION ALL SELECT 'row_count', NULL, CAST(0 AS BIGINT)
+UNION ALL SELECT 'column_set', NULL, CAST(0 AS BIGINT)
+UNION ALL SELECT 'key_duplicates', 'doc_id', duplicates_found FROM ({kq})
+UNION ALL SELECT 'key_missing', 'doc_id', nulls_found FROM ({kq})
+UNION ALL {gaps}
+UNION ALL SELECT 'duplicate_rows', NULL, CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM
+  (SELECT count(*) AS c FROM documents GROUP BY lang, source, text HAVING count(*) > 1)
+UNION ALL {copies}
+UNION ALL {low}
+UNION ALL {place}"""
+
+
+register("validation_report_documents", _report_documents_sql())

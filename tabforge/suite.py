@@ -668,3 +668,15 @@ def q_roundtrip_lineitem(spark, sf_dir):
     typed = profile.apply_contract(rows, contract)
     return typed.select(*[F.col(c).cast(li.schema[c].dataType).alias(c) for c in cols],
                         F.size("_cast_errors").alias("n_cast_errors"))
+
+
+@query("validation_report_documents")
+def q_validation_report(spark, sf_dir):
+    """G1-G11 as one report over documents (key doc_id, text checked for placeholders,
+    rows compared on lang/source/text, samples = the first 5 documents)."""
+    from .fixtures import REPORT_CONTRACT_DOCUMENTS
+    docs = load(spark, sf_dir, "documents")
+    contract = [ColumnContract.from_dict(d) for d in REPORT_CONTRACT_DOCUMENTS]
+    return validate.report(docs, contract, pk="doc_id", expected_rows=docs.count(),
+                           samples=docs.orderBy("doc_id").limit(5), text_columns=["text"],
+                           row_columns=["lang", "source", "text"])

@@ -96,3 +96,40 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(target)
     _SHIPPED.add(id(sc))
+
+
+SHUFFLE_TARGET_BYTES = 128 * 1024 * 1024      # aim per shuffle partition (AQE advisory size)
+SCAN_SPLIT_BYTES = 256 * 1024 * 1024          # parquet split per scan task
+MAX_SHUFFLE_PARTITIONS = 100_000
+
+
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Total size of the input paths, from the file system's content summary."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        total += path.getFileSystem(conf).getContentSummary(path).getLength()
+    return int(total)
+
+
+def tune_for_scale(spark: SparkSession, total_input_bytes: int) -> dict[str, str]:
+    """Partition sizing from the input size: shuffle partitions so each holds about
+    128 MB (AQE coalesces small ones and splits skewed ones at run time), scans
+    split at 256 MB.  At 100 TB this gives the 100k-partition ceiling; on a
+    laptop it never drops below twice the cores."""
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(2 * cores, min(MAX_SHUFFLE_PARTITIONS, -(-total_input_bytes // SHUFFLE_TARGET_BYTES)))
+    conf = {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(SHUFFLE_TARGET_BYTES),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * SHUFFLE_TARGET_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(SCAN_SPLIT_BYTES),
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf

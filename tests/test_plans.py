@@ -55,3 +55,17 @@ def test_sample_joins_are_broadcast(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     p = plan_of(generate.drop_sample_copies(part, part.orderBy("p_partkey").limit(10)))
     assert "BroadcastHashJoin" in p and "LeftAnti" in p
+
+
+def test_scale_tuning_sizes_partitions_from_input(spark, sf_dir):
+    from tabforge.session import input_bytes, tune_for_scale
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        n = input_bytes(spark, [f"{sf_dir}/lineitem.parquet"])
+        assert n > 0
+        conf = tune_for_scale(spark, 100 * 1024 ** 4)             # 100 TB
+        assert conf["spark.sql.shuffle.partitions"] == "100000"
+        conf = tune_for_scale(spark, n)
+        assert int(conf["spark.sql.shuffle.partitions"]) == 2 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

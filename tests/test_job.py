@@ -84,3 +84,22 @@ def test_rule_job_files_are_in_row_order(spark):
         if f.startswith("part-"):
             keys_in_files += open(os.path.join(local, f)).read().splitlines()[1:]
     assert keys_in_files == [f"ID-{i}" for i in range(1, 2501)]
+
+
+def test_command_line(spark, tmp_path, capsys, sf_dir):
+    import json
+    from tabforge.__main__ import main
+    schema = tmp_path / "c.json"
+    schema.write_text(json.dumps([{"name": "id", "type": "uuid"}, {"name": "n", "type": "integer", "pattern": "1-3"}]))
+    led = scratch_path(spark, "cli-ledger")
+    assert main(["generate", "cli", "25", "--schema", str(schema), "--key", "id", "--out",
+                 scratch_path(spark, "cli"), "--ledger", led]) == 0
+    out = json.loads(capsys.readouterr().out)
+    assert out["rows_generated"] == 25 and out["quality_report"]["is_valid"] is True
+    assert main(["job", "--ledger", led, out["job_id"]]) == 0
+    rec = json.loads(capsys.readouterr().out)
+    assert rec["artifact"].startswith("datasets/cli/cli_")
+    assert main(["job", "--ledger", led, "missing"]) == 1
+    capsys.readouterr()
+    assert main(["profile", f"{sf_dir}/nation.parquet", "--samples", "3"]) == 0
+    assert json.loads(capsys.readouterr().out)["total_rows"] == 25

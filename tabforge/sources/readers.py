@@ -155,3 +155,29 @@ def read_json_rows(spark: SparkSession, path: str, schema: T.StructType | None =
 def read_json_text(spark: SparkSession, path: str) -> DataFrame:
     """Whole JSON documents, one row per file (for first-object contract inference)."""
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("doc"))
+
+
+# Replies from an offline inference run --------------------------------------------
+REPLY_SCHEMA = T.StructType([T.StructField("batch_num", T.LongType()), T.StructField("attempt", T.IntegerType()),
+                             T.StructField("response", T.StringType()), T.StructField("error", T.StringType())])
+
+
+def read_replies(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """A replies table (batch_num, attempt, response, error) from
+    - parquet / JSON Lines with those fields (``kind`` 'parquet' or 'json'), or
+    - 'text': one file per reply under batch_num=<b>/attempt=<a>/ folders (the
+      whole file is the reply; partition discovery gives batch and attempt)."""
+    kind = kind or ("parquet" if path.rstrip("/").endswith(".parquet") else
+                    "json" if path.rstrip("/").endswith((".json", ".jsonl")) else "text")
+    if kind == "parquet":
+        df = spark.read.parquet(path)
+    elif kind == "json":
+        df = spark.read.schema(REPLY_SCHEMA).json(path)
+    else:
+        df = (spark.read.option("basePath", path).text(path, wholetext=True)
+              .withColumnRenamed("value", "response"))
+    cols = set(df.columns)
+    return df.select(F.col("batch_num").cast("long").alias("batch_num"),
+                     (F.col("attempt") if "attempt" in cols else F.lit(0)).cast("int").alias("attempt"),
+                     F.col("response").cast("string").alias("response"),
+                     (F.col("error") if "error" in cols else F.lit(None)).cast("string").alias("error"))

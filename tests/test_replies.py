@@ -120,3 +120,19 @@ def test_stray_and_unclosed_quotes_follow_python_csv(spark):
     assert got == [("a", 'b"c', "d"), ("a", 'bc"d', "e")]
     rej = [r["record"] for r in p.rejects.collect()]
     assert rej == ['x,"unclosed,\n\ntail']
+
+
+def test_read_replies_from_text_files_and_jsonl(spark, tmp_path):
+    from tabforge.sources.readers import read_replies
+    for b, a, body in [(1, 0, "id,name\na1,x"), (2, 0, "```csv\na2,y\n```"), (2, 1, "a3,z")]:
+        d = tmp_path / "txt" / f"batch_num={b}" / f"attempt={a}"
+        d.mkdir(parents=True)
+        (d / "reply.txt").write_text(body)
+    r = read_replies(spark, str(tmp_path / "txt"))
+    assert sorted((x["batch_num"], x["attempt"]) for x in r.collect()) == [(1, 0), (2, 0), (2, 1)]
+    rows = replies.parse_csv_replies(r, COLS).rows
+    assert sorted(x["id"] for x in rows.collect()) == ["a1", "a2", "a3"]
+    j = tmp_path / "r.jsonl"
+    j.write_text('{"batch_num": 1, "attempt": 0, "response": "a1,x"}\n{"batch_num": 2, "error": "timeout"}\n')
+    got = sorted(tuple(x) for x in read_replies(spark, str(j)).collect())
+    assert got == [(1, 0, "a1,x", None), (2, None, None, "timeout")]

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..spec import DateRange, NumericRange, RegexPattern, parse_pattern
-from .random import draw, hash_text, offset
+from .random import chunk, draw, hash_text, offset
 
 # ---------------------------------------------------------------------------
 # Word lists of this library's generator (its own choice).
@@ -71,9 +71,7 @@ def date_value(rng: DateRange | None, dist, seed, col, idx) -> Column:
 
 def datetime_value(rng: DateRange | None, dist, seed, col, idx) -> Column:
     lo, hi = (rng.lo, rng.hi) if rng else DEFAULT_DATE_RANGE
-    if hi.time() == time(0, 0) and rng is not None:
-        hi = datetime.combine(hi.date(), time(23, 59, 59))
-    if rng is None:
+    if hi.time() == time(0, 0):                  # a date-only end means the whole day
         hi = datetime.combine(hi.date(), time(23, 59, 59))
     secs = int((hi - lo).total_seconds())
     base = F.lit(lo.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
@@ -110,7 +108,6 @@ def uuid_value(seed, col, idx) -> Column:
 
 def name_parts(seed, col, idx) -> tuple[Column, Column]:
     h = hash_text(seed, col, idx, "name")
-    from .random import chunk
     return pick(FIRST_NAMES, chunk(h, 0)), pick(LAST_NAMES, chunk(h, 1))
 
 
@@ -122,7 +119,6 @@ def email_value(seed, col, idx) -> Column:
 
 def phone_value(seed, col, idx) -> Column:
     h = hash_text(seed, col, idx, "ph")
-    from .random import chunk
     return F.concat(F.lit("+1-"), (F.lit(200) + chunk(h, 0) % 800).cast("string"), F.lit("-"),
                     F.lpad((chunk(h, 1) % 1000).cast("string"), 3, "0"), F.lit("-"),
                     F.lpad((chunk(h, 2) % 10000).cast("string"), 4, "0"))
@@ -130,14 +126,12 @@ def phone_value(seed, col, idx) -> Column:
 
 def address_value(seed, col, idx) -> Column:
     h = hash_text(seed, col, idx, "addr")
-    from .random import chunk
     return F.concat((F.lit(1) + chunk(h, 0) % 9999).cast("string"), F.lit(" "), pick(STREETS, chunk(h, 1)),
                     F.lit(" "), pick(STREET_SUFFIXES, chunk(h, 2)), F.lit(", "), pick(CITIES, chunk(h, 3)))
 
 
 def url_value(seed, col, idx) -> Column:
     h = hash_text(seed, col, idx, "url")
-    from .random import chunk
     return F.concat(F.lit("https://"), pick(HOSTS, chunk(h, 0)), F.lit("."), pick(WORDS, chunk(h, 1)),
                     F.lit("."), pick(TLDS, chunk(h, 2)), F.lit("/"), pick(WORDS, chunk(h, 3)), F.lit("/"),
                     idx.cast("string"))

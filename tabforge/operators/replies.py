@@ -142,6 +142,8 @@ def parse_json_replies(replies: DataFrame, response_col: str = "response",
     exploded = elems.select(*REPLY_KEYS, F.posexplode("_elems").alias("pos", "_elem"))
     if schema is None:
         schema = json_union_schema(exploded, "_elem", REPLY_KEYS + ["pos"])
+    if not schema:                       # no object anywhere: no rows, no columns
+        return exploded.select(*REPLY_KEYS, "pos").where(F.lit(False))
     struct = ", ".join(f"`{k}` {t}" for k, t in schema)
     parsed = exploded.select(*REPLY_KEYS, "pos", F.from_json("_elem", f"struct<{struct}>").alias("_o"))
     return parsed.select(*REPLY_KEYS, "pos", *[F.col("_o").getField(k).alias(k) for k, _ in schema])
@@ -160,6 +162,8 @@ def parse_json_column(df: DataFrame, col: str, keep: list[str]) -> DataFrame:
     """E6 applied to a column of JSON objects (one object per row)."""
     el = df.select(*keep, F.col(col).alias("_elem"))
     schema = json_union_schema(el, "_elem", [])
+    if not schema:
+        return el.select(*keep)
     struct = ", ".join(f"`{k}` {t}" for k, t in schema)
     parsed = el.select(*keep, F.from_json("_elem", f"struct<{struct}>").alias("_o"))
     return parsed.select(*keep, *[F.col("_o").getField(k).alias(k) for k, _ in schema])

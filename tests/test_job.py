@@ -103,3 +103,10 @@ def test_command_line(spark, tmp_path, capsys, sf_dir):
     capsys.readouterr()
     assert main(["profile", f"{sf_dir}/nation.parquet", "--samples", "3"]) == 0
     assert json.loads(capsys.readouterr().out)["total_rows"] == 25
+
+
+def test_free_mode_job_with_a_dead_model_is_empty(spark):
+    def broken(prompt, temperature, max_tokens):
+        return "not json at all"
+    res = job.synthesize(spark, DatasetSpec("free", 12), broken, base=scratch_path(spark, "out"))
+    assert (res.status, res.rows_generated, res.attempts) == ("empty", 0, 4)

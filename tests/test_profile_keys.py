@@ -141,3 +141,13 @@ def test_float_keys_fold_nan_into_null_like_pandas(spark):
     assert r["duplicates_found"] == int(s.duplicated().sum()) == 3
     assert r["nulls_found"] == int(s.isna().sum()) == 3
     assert assemble.drop_missing_keys(df, "k").count() == 3
+
+
+def test_samples_follow_file_order(spark):
+    from tabforge.session import scratch_path
+    path = scratch_path(spark, "order")
+    spark.range(1000).selectExpr("999 - id AS k").coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    assert [r["k"] for r in profile.sample_rows(df, 3).collect()] == ["999", "998", "997"]
+    plan = profile.sample_rows(df, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan

@@ -33,7 +33,7 @@ def profile(table: str) -> str:
     flags = ", ".join(f"coalesce(bool_or({_missing(c)}), false) AS n{i}" for i, c in enumerate(cols))
     unions = " UNION ALL ".join(f"SELECT {i} AS ord, n{i} AS nullable FROM a" for i in range(len(cols)))
     return f"""WITH a AS (SELECT count(*) AS total_rows, {flags} FROM {table}),
-cols AS (SELECT ordinal_position - 1 AS ord, column_name, data_type
+cols AS (SELECT DISTINCT ordinal_position - 1 AS ord, column_name, data_type
          FROM information_schema.columns WHERE table_name = '{table}'),
 flags AS ({unions})
 SELECT '{table}' AS table_name, CAST(cols.ord AS INTEGER) AS ordinal, cols.column_name,
@@ -44,7 +44,7 @@ FROM cols JOIN flags ON cols.ord = flags.ord"""
 
 def _catalog_sql() -> str:
     names = ", ".join(f"'{t}'" for t in TABLES)
-    return f"""SELECT table_name, CAST(ordinal_position - 1 AS INTEGER) AS ordinal, column_name,
+    return f"""SELECT DISTINCT table_name, CAST(ordinal_position - 1 AS INTEGER) AS ordinal, column_name,
   {PHYSICAL_CASE} AS physical_type, {semantic_case()} AS semantic_type
 FROM information_schema.columns WHERE table_name IN ({names})"""
 
@@ -158,7 +158,8 @@ register("default_text_all", f"""WITH t AS (SELECT table_name AS dataset_name,
        || CASE WHEN count(*) > 6 THEN ' and ' || (count(*) - 6) || ' more' ELSE '' END || '.'
      ELSE '.' END AS description,
   'Generate realistic, diverse, and internally consistent data. Values must reflect real-world distributions and relationships between columns. Avoid repetitive patterns, placeholder text, or sequential values. Ensure all fields have appropriate formats and plausible value ranges.' AS ai_criteria
-FROM information_schema.columns WHERE table_name IN ({", ".join(f"'{t}'" for t in TABLES)})
+FROM (SELECT DISTINCT table_name, ordinal_position, column_name FROM information_schema.columns
+      WHERE table_name IN ({", ".join(f"'{t}'" for t in TABLES)}))
 GROUP BY table_name)
 SELECT s.dataset_name, s.rows, s.num_columns, {BATCH_CASE} AS batch_size, t.description, t.ai_criteria
 FROM ({specs(TABLES)}) s JOIN t ON s.dataset_name = t.dataset_name""")

@@ -108,14 +108,15 @@ MIMIC_BUCKETS = 1024
 SINGLE_TASK_ROWS = 1_000_000
 
 
-def running_total(df: DataFrame, order_col: str, amount_col: str, out_col: str = "hi") -> DataFrame:
+def running_total(df: DataFrame, order_col: str, amount_col: str, out_col: str = "hi",
+                  n: int | None = None) -> DataFrame:
     """Inclusive running sum of ``amount_col`` in ``order_col`` order.
 
     Up to SINGLE_TASK_ROWS rows (a frequency table of distinct values) it is one
     window; beyond that it is range-partitioned, checkpointed (stable partition
     ids, cut lineage), summed per partition, and each partition adds the
     offset of the partitions before it - no single task sees all rows."""
-    n = df.count()
+    n = df.count() if n is None else n
     if n <= SINGLE_TASK_ROWS:
         w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn(out_col, F.sum(amount_col).over(w))
@@ -131,12 +132,24 @@ def running_total(df: DataFrame, order_col: str, amount_col: str, out_col: str =
             .withColumn(out_col, F.col("__off") + F.sum(amount_col).over(w)).drop("__pid", "__off"))
 
 
-def category_intervals(source: DataFrame, column: str) -> DataFrame:
+def value_frequencies(source: DataFrame, column: str) -> DataFrame:
+    """(value, freq) of the non-null values: a partial-aggregated group-by."""
+    return source.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").alias("value")) \
+        .agg(F.count(F.lit(1)).alias("freq"))
+
+
+def frequency_stats(freq: DataFrame) -> tuple[int, int]:
+    """(distinct values, total rows) of a frequency table, one aggregate."""
+    r = freq.agg(F.count(F.lit(1)).alias("n"), F.sum("freq").alias("total")).first()
+    return int(r["n"] or 0), int(r["total"] or 0)
+
+
+def category_intervals(source: DataFrame, column: str, freq: DataFrame | None = None,
+                       n_values: int | None = None) -> DataFrame:
     """Frequencies of the source values as half-open rank intervals [lo, hi) in value
     order (running sum over the distinct values, see ``running_total``)."""
-    freq = source.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").alias("value")) \
-        .agg(F.count(F.lit(1)).alias("freq"))
-    return running_total(freq, "value", "freq").withColumn("lo", F.col("hi") - F.col("freq"))
+    freq = value_frequencies(source, column) if freq is None else freq
+    return running_total(freq, "value", "freq", n=n_values).withColumn("lo", F.col("hi") - F.col("freq"))
 
 
 MAX_CANDIDATES = 64
@@ -156,9 +169,9 @@ def mimic_categorical(skeleton: DataFrame, source: DataFrame, column: str, seed:
     exploded interval table has at most (distinct values + N / w) rows.  AQE
     broadcasts it when it measures small."""
     out_col = out_col or column
-    iv = category_intervals(source, column)
-    stats = iv.agg(F.max("hi").alias("total"), F.count(F.lit(1)).alias("n")).first()
-    total, n_iv = (stats["total"] or 0), stats["n"]
+    freq = value_frequencies(source, column)
+    n_iv, total = frequency_stats(freq)
+    iv = category_intervals(source, column, freq, n_iv)
     if total == 0:
         return skeleton.withColumn(out_col, F.lit(None).cast(source.schema[column].dataType))
     width = max(1, min(-(-total // max(buckets, 4 * n_iv)), MAX_CANDIDATES))
@@ -179,22 +192,28 @@ def exact_quantiles(source: DataFrame, column: str, probs: list[float]) -> list[
     collapses map-side), the running sum gives each value its rank interval
     (``running_total``), and only the intervals holding the needed ranks -
     at most two per probability - reach the driver."""
-    import math
     c = F.col(f"`{column}`").cast("double")
     vals = source.select(c.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    iv = category_intervals(vals, "v")
-    n = iv.agg(F.max("hi")).first()[0] or 0
-    if n == 0:
-        return []
+    freq = value_frequencies(vals, "v").persist()     # released below: this function is eager
+    try:
+        n_values, n = frequency_stats(freq)
+        if n == 0:
+            return []
+        iv = category_intervals(vals, "v", freq, n_values)
+        return _interpolate(iv, n, probs)
+    finally:
+        freq.unpersist()
+
+
+def _interpolate(iv: DataFrame, n: int, probs: list[float]) -> list[float]:
+    import math
     wanted = {}
     for p in probs:
         pos = p * (n - 1)
         wanted[p] = (pos, math.floor(pos), min(math.ceil(pos), n - 1))
     ranks = sorted({r for _, lo, hi in wanted.values() for r in (lo, hi)})
-    hit = None
-    for r in ranks:
-        e = (F.col("lo") <= F.lit(r)) & (F.lit(r) < F.col("hi"))
-        hit = e if hit is None else hit | e
+    needed = F.array(*[F.lit(r).cast("bigint") for r in ranks])
+    hit = F.exists(needed, lambda r: (F.col("lo") <= r) & (r < F.col("hi")))
     found = iv.where(hit).select("value", "lo", "hi").collect()
 
     def at(r):

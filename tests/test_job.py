@@ -110,3 +110,38 @@ def test_free_mode_job_with_a_dead_model_is_empty(spark):
         return "not json at all"
     res = job.synthesize(spark, DatasetSpec("free", 12), broken, base=scratch_path(spark, "out"))
     assert (res.status, res.rows_generated, res.attempts) == ("empty", 0, 4)
+
+
+def test_offline_hand_off_through_files_and_resume(spark, tmp_path):
+    """Prompts leave as JSON Lines, an outside service answers with one text file per
+    batch, replies come back through read_replies; the job resumes from its folder."""
+    import glob
+    import json
+    from tabforge.sources.readers import read_replies
+    spec = DatasetSpec("handoff", 70, columns=COLS, primary_key="id")
+    work = scratch_path(spark, "handoff-work")
+
+    def service(prompt_dir, reply_dir, attempt, drop_every):
+        for f in glob.glob(f"{prompt_dir.removeprefix('file:')}/*.json"):
+            for line in open(f):
+                req = json.loads(line)
+                keys_ = _seeds(req["prompt"])
+                body = "\n".join(f"{k},{len(k)}" for i, k in enumerate(keys_) if not (drop_every and i % drop_every == 0))
+                d = tmp_path / reply_dir / f"batch_num={req['batch_num']}" / f"attempt={attempt}"
+                d.mkdir(parents=True, exist_ok=True)
+                (d / "reply.txt").write_text("```csv\n" + body + "\n```")
+
+    job1 = job.OfflineJob(spark, spec, work)
+    p0 = job1.export_prompts(0, scratch_path(spark, "prompts0"))
+    service(p0, "r0", 0, drop_every=3)                   # every third row missing
+    assert job1.ingest(0, read_replies(spark, str(tmp_path / "r0"))) == 46
+    job2 = job.OfflineJob(spark, spec, work, job_id=job1.job_id)   # e.g. after a driver restart
+    pend = job2.pending().collect()
+    assert sum(r["target_rows"] for r in pend) == 24 and {r["attempt"] for r in pend} == {1}
+    p1 = job2.export_prompts(1, scratch_path(spark, "prompts1"))
+    service(p1, "r1", 1, drop_every=0)
+    assert job2.ingest(1, read_replies(spark, str(tmp_path / "r1"))) == 24
+    assert job2.pending().count() == 0
+    res = job2.finish(base=scratch_path(spark, "out"))
+    assert (res.rows_generated, res.status, res.attempts) == (70, "success", 2)
+    assert sorted(r["id"] for r in res.rows.collect()) == sorted(f"ID-{i}" for i in range(1, 71))

@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import split_fields, split_records, strip_fences
 
@@ -187,7 +186,3 @@ def rows_to_csv_replies(df: DataFrame, line: Column, batch: Column, order: Colum
         body = F.concat(F.lit(header + "\n"), body)
     return g.select("batch_num", F.lit(0).alias("attempt"), body.alias("response"))
 
-
-EMPTY_REPLY_SCHEMA = T.StructType([T.StructField("batch_num", T.LongType()),
-                                   T.StructField("attempt", T.IntegerType()),
-                                   T.StructField("response", T.StringType())])

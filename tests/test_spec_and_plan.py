@@ -88,3 +88,11 @@ def test_default_text(spark):
     row = batches.default_texts(cat).first()
     assert row["description"] == ("Realistic synthetic Police Stops dataset containing fields: "
                                   "c0, c1, c2, c3, c4, c5 and 2 more.")
+
+
+@pytest.mark.parametrize("rows,calls,workers", [(5000, 167, 10), (10_000_000, 333_334, 20)])
+def test_plan_sizes_match_the_baseline_arithmetic(spark, rows, calls, workers):
+    plan = batches.plan_single(spark, rows, 8)
+    agg = plan.agg(F.count(F.lit(1)).alias("n"), F.sum("target_rows").alias("rows"), F.max("end_idx").alias("end")).first()
+    assert (agg["n"], agg["rows"], agg["end"]) == (calls, rows, rows)
+    assert worker_cap(rows, calls) == workers

@@ -655,3 +655,8 @@ UNION ALL {place}"""
 
 
 register("validation_report_documents", _report_documents_sql())
+register("stream_shortfall_customer", """SELECT p.batch_num, p.target_rows, CAST(coalesce(k.kept, 0) AS BIGINT) AS kept_rows,
+  p.target_rows - coalesce(k.kept, 0) AS shortfall
+FROM (SELECT batch_num, target_rows FROM (""" + plan(["customer"]).replace("5 AS num_columns", "4 AS num_columns") + """)) p
+LEFT JOIN (SELECT c_custkey // 30 + 1 AS batch_num, count(*) FILTER (WHERE c_custkey % 17 <> 0) AS kept
+           FROM customer GROUP BY 1) k ON p.batch_num = k.batch_num""")

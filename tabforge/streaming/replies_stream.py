@@ -11,6 +11,7 @@ output (exactly-once with the checkpoint).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.assemble import drop_missing_keys
@@ -49,3 +50,40 @@ def stream_replies(spark: SparkSession, source_dir: str, columns: list[str], pk:
          .option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def shortfall_stream(spark: SparkSession, source_dir: str, columns: list[str], pk: str, plan: DataFrame,
+                     sink_dir: str, checkpoint_dir: str, files_per_trigger: int | None = None,
+                     schema: T.StructType = REPLY_FILE_SCHEMA) -> None:
+    """F5 as replies arrive: claimed rows (each key once) are counted per batch in
+    the state store (``update`` mode: only batches that changed are emitted);
+    each epoch joins its updates with the static plan and writes them, so the
+    latest row per batch is the current shortfall (``current_shortfall``)."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    counts = claimed_rows_stream(reader.parquet(source_dir), columns, pk) \
+        .groupBy("batch_num").agg(F.count(F.lit(1)).alias("kept_rows"))
+    targets = plan.select("batch_num", "target_rows")
+
+    def write_epoch(batch: DataFrame, epoch_id: int) -> None:
+        (batch.join(targets, "batch_num")
+         .withColumn("shortfall", F.col("target_rows") - F.col("kept_rows"))
+         .withColumn("epoch", F.lit(epoch_id))
+         .write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/epoch={epoch_id}"))
+
+    q = (counts.writeStream.outputMode("update").foreachBatch(write_epoch)
+         .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def current_shortfall(spark: SparkSession, sink_dir: str, plan: DataFrame) -> DataFrame:
+    """The latest update per batch; batches never answered count as fully short."""
+    from pyspark.sql import Window
+    ups = spark.read.parquet(sink_dir)
+    latest = ups.withColumn("__rn", F.row_number().over(
+        Window.partitionBy("batch_num").orderBy(F.col("epoch").desc()))).where("__rn = 1") \
+        .select("batch_num", "kept_rows")
+    return (plan.select("batch_num", "target_rows").join(latest, "batch_num", "left")
+            .withColumn("kept_rows", F.coalesce(F.col("kept_rows"), F.lit(0)).cast("long"))
+            .withColumn("shortfall", F.col("target_rows") - F.col("kept_rows")))

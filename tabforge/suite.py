@@ -680,3 +680,18 @@ def q_validation_report(spark, sf_dir):
     return validate.report(docs, contract, pk="doc_id", expected_rows=docs.count(),
                            samples=docs.orderBy("doc_id").limit(5), text_columns=["text"],
                            row_columns=["lang", "source", "text"])
+
+
+@query("stream_shortfall_customer")
+def q_stream_shortfall(spark, sf_dir):
+    """Customer replies (every 17th line malformed, every 7th batch answered twice)
+    arrive as files; the stream keeps per-batch claimed counts as state and the
+    current shortfall per planned batch is read back."""
+    r = customer_replies(spark, sf_dir, cut_every=17).withColumn("batch_num", F.col("batch_num") + 1)
+    again = r.where(F.col("batch_num") % 7 == 0).withColumn("attempt", F.lit(1))
+    base = scratch_path(spark, "stream-sf")
+    r.unionByName(again).repartition(4).write.parquet(f"{base}/in")
+    plan = batches.plan_batches(table_specs(spark, sf_dir, ["customer"]).withColumn("num_columns", F.lit(4)))
+    replies_stream.shortfall_stream(spark, f"{base}/in", CUST_REPLY_COLS, "c_custkey", plan,
+                                    f"{base}/out", f"{base}/ckpt", files_per_trigger=1)
+    return replies_stream.current_shortfall(spark, f"{base}/out", plan)

@@ -127,3 +127,11 @@ def test_stream_with_arrival_time_uses_watermark_dedup(spark):
                                   schema=schema, event_time="arrived")
     got = sorted(r["id"] for r in spark.read.parquet(f"{base}/out").collect())
     assert got == ["a1", "a2", "a3"]
+
+
+def test_braces_in_user_text_stay_literal(spark):
+    spec = DatasetSpec("t", 5, columns=[{"name": "a"}], description="use {rows} and {col_defs} literally",
+                       primary_key="a")
+    p = prompts.render_csv_prompts(batches.plan_single(spark, 5, 1), spec).first()["prompt"]
+    assert "\nDataset context: use {rows} and {col_defs} literally\n" in p
+    assert 'Generate EXACTLY 5 unique rows' in p and '["A-1", "A-2", "A-3", "A-4", "A-5"]' in p

@@ -228,11 +228,12 @@ def report(df: DataFrame, contract: list[ColumnContract], pk: str | None = None,
     name, bad = column_set_check(df, contract)
     parts.append(spark.createDataFrame([(name, None, bad)], REPORT_SCHEMA))
     if pk and pk in df.columns:
-        kq = key_quality(df, pk)
-        parts.append(kq.select(F.lit("key_duplicates").alias("check_name"), F.lit(pk).alias("column_name"),
-                               F.col("duplicates_found").alias("violations")))
-        parts.append(kq.select(F.lit("key_missing").alias("check_name"), F.lit(pk).alias("column_name"),
-                               F.col("nulls_found").alias("violations")))
+        kq = key_quality(df, pk)          # one aggregate, two report rows
+        both = F.explode(F.array(
+            F.struct(F.lit("key_duplicates").alias("check_name"), F.col("duplicates_found").alias("violations")),
+            F.struct(F.lit("key_missing").alias("check_name"), F.col("nulls_found").alias("violations"))))
+        parts.append(kq.select(both.alias("r")).select("r.check_name", F.lit(pk).alias("column_name"),
+                                                        "r.violations"))
         numeric = dict(df.dtypes)[pk] in ("bigint", "int", "smallint", "tinyint")
         key = F.col(f"`{pk}`") if numeric else key_suffix(F.col(f"`{pk}`"))
         parts.append(key_gaps(df, key).agg(F.count(F.lit(1)).alias("violations")).select(

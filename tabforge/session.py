@@ -77,23 +77,30 @@ _SHIPPED: set[int] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``tabforge`` importable on executors (``addPyFile`` of a zip), once per
     context.  Needed where Python runs on executors (the completion seam): a
-    user function defined in a module is pickled by reference."""
+    user function defined in a module is pickled by reference.  The zip is
+    built in memory and written to the shared folder through the Hadoop
+    FileSystem API, so no machine-local folder is involved."""
+    import io
     import zipfile
     sc = spark.sparkContext
     if id(sc) in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    base = shared_dir(spark)
-    local = base[len("file:"):] if base.startswith("file:") else (base if "://" not in base else None)
-    folder = local if local else tempfile.mkdtemp(prefix="tabforge-pkg-")   # remote FS: Spark uploads it
-    os.makedirs(folder, exist_ok=True)
-    target = os.path.join(folder, f"tabforge-{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(target, "w") as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
         for root, _, files in os.walk(pkg):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    target = f"{shared_dir(spark).rstrip('/')}/tabforge-{uuid.uuid4().hex[:8]}.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
     sc.addPyFile(target)
     _SHIPPED.add(id(sc))
 

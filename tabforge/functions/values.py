@@ -44,6 +44,7 @@ DEFAULT_FLOAT_RANGE = (0.0, 1000.0)
 DEFAULT_DATE_RANGE = (datetime(2020, 1, 1), datetime(2025, 12, 31))
 FLOAT_DECIMALS = 2
 # ---------------------------------------------------------------------------
+TEXT_TYPES = {"string", "name", "email", "phone", "uuid", "address", "url"}   # regex patterns apply
 
 
 def pick(words: list[str], i: Column) -> Column:
@@ -142,7 +143,7 @@ def value_for(c, seed: int, idx: Column) -> Column:
     t = (c.type or "string").lower()
     pat = parse_pattern(c.pattern, t)
     dist = c.distribution
-    if isinstance(pat, RegexPattern):
+    if isinstance(pat, RegexPattern) and t in TEXT_TYPES:
         return regex_value(pat, seed, c.name, idx)
     if t == "integer":
         return int_value(pat if isinstance(pat, NumericRange) else None, dist, seed, c.name, idx)

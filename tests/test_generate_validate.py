@@ -125,3 +125,9 @@ def test_exact_quantiles_match_numpy(spark):
     got = generate.exact_quantiles(df, "x", probs)
     want = np.quantile(vals[~np.isnan(vals)], probs)
     assert np.allclose(got, want, rtol=0, atol=1e-9)
+
+
+def test_regex_pattern_only_shapes_text_columns(spark):
+    cols = [ColumnContract("d", "date", pattern="[0-9]{4}"), ColumnContract("s", "string", pattern="[0-9]{4}")]
+    r = generate.generate(spark, DatasetSpec("p", 20, columns=cols)).first()
+    assert str(r["d"])[:2] == "20" and len(r["s"]) == 4 and r["s"].isdigit()

@@ -256,7 +256,7 @@ def _gen_value(c: dict) -> str:
     from .spec import DateRange, NumericRange, RegexPattern, parse_pattern
     t, name, dist = c.get("type", "string"), c["name"], c.get("distribution")
     pat = parse_pattern(c.get("pattern"), t)
-    if isinstance(pat, RegexPattern):
+    if isinstance(pat, RegexPattern) and t in _V.TEXT_TYPES:
         parts = []
         for ti, tok in enumerate(pat.tokens):
             for j in range(tok.max_rep):

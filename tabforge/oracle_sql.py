@@ -660,3 +660,11 @@ register("stream_shortfall_customer", """SELECT p.batch_num, p.target_rows, CAST
 FROM (SELECT batch_num, target_rows FROM (""" + plan(["customer"]).replace("5 AS num_columns", "4 AS num_columns") + """)) p
 LEFT JOIN (SELECT c_custkey // 30 + 1 AS batch_num, count(*) FILTER (WHERE c_custkey % 17 <> 0) AS kept
            FROM customer GROUP BY 1) k ON p.batch_num = k.batch_num""")
+register("mimic_rows_part", f"""WITH s AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS k
+           FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 10)),
+g AS (SELECT i AS row_idx, {_chunk(_h('__row', 'k'))} % 10 AS k,
+             (CAST({_chunk(_h('p_retailprice', 'j'))} AS DOUBLE) / CAST(4294967296 AS DOUBLE)) * 2 - 1 AS d
+      FROM {RANGE_FROM.format(t='part')})
+SELECT g.row_idx, s.p_partkey, s.p_name, s.p_brand, s.p_type, s.p_size,
+       s.p_retailprice * (1 + CAST(0.1 AS DOUBLE) * g.d) AS p_retailprice
+FROM g JOIN s ON g.k = s.k""")

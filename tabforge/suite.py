@@ -695,3 +695,14 @@ def q_stream_shortfall(spark, sf_dir):
     replies_stream.shortfall_stream(spark, f"{base}/in", CUST_REPLY_COLS, "c_custkey", plan,
                                     f"{base}/out", f"{base}/ckpt", files_per_trigger=1)
     return replies_stream.current_shortfall(spark, f"{base}/out", plan)
+
+
+@query("mimic_rows_part")
+def q_mimic_rows(spark, sf_dir):
+    """Part-sized output where each row copies one of the first 10 parts (the
+    samples), keeping relations between columns, with the price jittered by up
+    to 10 %."""
+    part = load(spark, sf_dir, "part")
+    skel = generate.row_skeleton(spark, part.count(), 30).drop("batch_num")
+    return generate.mimic_rows(skel, part.orderBy("p_partkey").limit(10), "p_partkey",
+                               jitter={"p_retailprice": 0.1})

@@ -668,3 +668,4 @@ g AS (SELECT i AS row_idx, {_chunk(_h('__row', 'k'))} % 10 AS k,
 SELECT g.row_idx, s.p_partkey, s.p_name, s.p_brand, s.p_type, s.p_size,
        s.p_retailprice * (1 + CAST(0.1 AS DOUBLE) * g.d) AS p_retailprice
 FROM g JOIN s ON g.k = s.k""")
+register("unique_rows_documents", "SELECT lang, source, md5(text) AS text_md5 FROM (SELECT DISTINCT lang, source, text FROM documents)")

@@ -706,3 +706,10 @@ def q_mimic_rows(spark, sf_dir):
     skel = generate.row_skeleton(spark, part.count(), 30).drop("batch_num")
     return generate.mimic_rows(skel, part.orderBy("p_partkey").limit(10), "p_partkey",
                                jitter={"p_retailprice": 0.1})
+
+
+@query("unique_rows_documents")
+def q_unique_rows(spark, sf_dir):
+    """D10 on the (lang, source, text) projection of documents: whole-row dedup."""
+    return generate.unique_rows(load(spark, sf_dir, "documents").select("lang", "source", "text")) \
+        .select("lang", "source", F.md5("text").alias("text_md5"))

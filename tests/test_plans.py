@@ -28,11 +28,12 @@ def test_key_quality_is_partially_aggregated_and_pruned(spark, sf_dir):
     assert "ReadSchema: struct<l_orderkey:bigint>" in p
 
 
-def test_profile_is_one_scan(spark, sf_dir):
+def test_profile_is_one_scan_without_a_keyed_shuffle(spark, sf_dir):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     p = plan_of(profile.profile(li, "lineitem", key="l_orderkey"))
     assert p.count("FileScan parquet") == 1
-    assert "Join" not in p
+    assert "Join" not in p and "hashpartitioning" not in p      # the flags need no keyed shuffle
+    assert "SinglePartition" in p
 
 
 def test_generation_has_no_shuffle(spark):

@@ -113,9 +113,9 @@ def name_parts(seed, col, idx) -> tuple[Column, Column]:
 
 
 def email_value(seed, col, idx) -> Column:
-    first, last = name_parts(seed, col, idx)
-    return F.lower(F.concat(first, F.lit("."), last, idx.cast("string"), F.lit("@"),
-                            pick(DOMAINS, draw(seed, col, idx, "dom"))))
+    h = hash_text(seed, col, idx, "name")          # chunks 0-1 name, 2 domain, 3 null draw
+    return F.lower(F.concat(pick(FIRST_NAMES, chunk(h, 0)), F.lit("."), pick(LAST_NAMES, chunk(h, 1)),
+                            idx.cast("string"), F.lit("@"), pick(DOMAINS, chunk(h, 2))))
 
 
 def phone_value(seed, col, idx) -> Column:
@@ -138,6 +138,23 @@ def url_value(seed, col, idx) -> Column:
                     idx.cast("string"))
 
 
+def null_source(c) -> tuple[str, int]:
+    """(salt, chunk) of the draw that decides a null: a spare chunk of the hash the
+    value already uses when there is one (one md5 per value instead of two)."""
+    t = (c.type or "string").lower()
+    pat = parse_pattern(c.pattern, t)
+    if isinstance(pat, RegexPattern) and t in TEXT_TYPES:
+        return "null", 0
+    if t in ("integer", "float", "date", "datetime", "string", "boolean") and \
+            (c.distribution or "uniform").lower() in ("uniform", "skewed"):
+        return "v", 3
+    if t == "phone":
+        return "ph", 3
+    if t == "email":
+        return "name", 3
+    return "null", 0
+
+
 def value_for(c, seed: int, idx: Column) -> Column:
     """One contract column -> its value expression (before null injection)."""
     t = (c.type or "string").lower()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import BROADCAST_MAX_ROWS, broadcast_if_small
 from ..functions.random import draw, offset
-from ..functions.values import value_for
+from ..functions.values import null_source, value_for
 from ..plans.batches import key_prefix, seed_key
 from ..spec import DatasetSpec, batch_size_for
 
@@ -36,9 +36,9 @@ def row_skeleton(spark: SparkSession, rows: int, batch_size: int, partitions: in
 
 
 # D6
-def with_nulls(v: Column, rate: int, seed: int, col: str, idx: Column) -> Column:
-    """Null at ``rate`` percent of rows (own stream per column)."""
-    return F.when(draw(seed, col, idx, "null") % 100 >= rate, v)
+def with_nulls(v: Column, rate: int, seed: int, col: str, idx: Column, salt: str = "null", i: int = 0) -> Column:
+    """Null at ``rate`` percent of rows (a chunk no other part of the value uses)."""
+    return F.when(draw(seed, col, idx, salt, i) % 100 >= rate, v)
 
 
 def generate(spark: SparkSession, spec: DatasetSpec, rows: int | None = None,
@@ -64,7 +64,7 @@ def generate(spark: SparkSession, spec: DatasetSpec, rows: int | None = None,
         else:
             v = value_for(c, spec.seed, idx)
             if c.nullable:
-                v = with_nulls(v, spec.null_rate, spec.seed, c.name, idx)
+                v = with_nulls(v, spec.null_rate, spec.seed, c.name, idx, *null_source(c))
         cols.append(v.alias(c.name))
     lead = ["row_idx", "batch_num"] if keep_index else []
     return skel.select(*lead, *cols)

@@ -295,7 +295,7 @@ def _gen_value(c: dict) -> str:
         first, last = _pick(_V.FIRST_NAMES, _chunk(h, 0)), _pick(_V.LAST_NAMES, _chunk(h, 1))
         if t == "name":
             return f"{first} || ' ' || {last}"
-        dom = _pick(_V.DOMAINS, _chunk(_h(name, "dom")))
+        dom = _pick(_V.DOMAINS, _chunk(h, 2))
         return f"lower({first} || '.' || {last} || CAST(i AS VARCHAR) || '@' || {dom})"
     if t == "phone":
         h = _h(name, "ph")
@@ -321,7 +321,9 @@ def gen_sql(columns: list[dict], pk: str | None = None, table: str = "customer",
         else:
             v = _gen_value(c)
             if c.get("nullable"):
-                v = f"CASE WHEN {_chunk(_h(c['name'], 'null'))} % 100 >= {null_rate} THEN {v} END"
+                from .spec import ColumnContract
+                salt, k = _V.null_source(ColumnContract.from_dict(c))
+                v = f"CASE WHEN {_chunk(_h(c['name'], salt), k)} % 100 >= {null_rate} THEN {v} END"
         exprs.append(f"{v} AS {c['name']}")
     return f"SELECT i AS row_idx, {', '.join(exprs)} FROM {RANGE_FROM.format(t=table)}"
 

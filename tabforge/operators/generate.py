@@ -25,7 +25,8 @@ def skeleton_partitions(spark: SparkSession, rows: int) -> int:
     """Use the cluster's parallelism, with tasks of 100k to 1M rows."""
     most = -(-rows // MIN_ROWS_PER_PARTITION)
     least = -(-rows // ROWS_PER_PARTITION)
-    return max(1, min(most, max(spark.sparkContext.defaultParallelism, least)))
+    from ..session import parallelism
+    return max(1, min(most, max(parallelism(spark), least)))
 
 
 # D1

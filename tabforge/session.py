@@ -45,19 +45,33 @@ def get_spark(master: str | None = None, app: str = "tabforge",
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; set a private one only if unset."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a client session without a local context
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    configured = spark.conf.get(CHECKPOINT_CONF, None)
+    if not configured and sc is not None:
+        configured = sc.getConf().get(CHECKPOINT_CONF, None)
     if not configured:
         # Unset only in local tests: take a fresh private folder.
         configured = tempfile.mkdtemp(prefix="tabforge-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, configured)
+    if sc is None:
+        return configured
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def parallelism(spark: SparkSession) -> int:
+    """The cluster's default parallelism (from the context, else the setting)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - a client session without a local context
+        return int(spark.conf.get("spark.default.parallelism", None) or 8)
+
+
 def output_dir(spark: SparkSession) -> str:
     """Base folder for datasets and the ledger (shared storage)."""
     configured = spark.conf.get(OUTPUT_CONF, None)
@@ -126,7 +140,7 @@ def tune_for_scale(spark: SparkSession, total_input_bytes: int) -> dict[str, str
     128 MB (AQE coalesces small ones and splits skewed ones at run time), scans
     split at 256 MB.  At 100 TB this gives the 100k-partition ceiling; on a
     laptop it never drops below twice the cores."""
-    cores = spark.sparkContext.defaultParallelism
+    cores = parallelism(spark)
     parts = max(2 * cores, min(MAX_SHUFFLE_PARTITIONS, -(-total_input_bytes // SHUFFLE_TARGET_BYTES)))
     conf = {
         "spark.sql.shuffle.partitions": str(parts),

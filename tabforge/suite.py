@@ -4,6 +4,7 @@ derives from them) in full."""
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,18 @@ def query(name: str):
     return deco
 
 
+_LOADED: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table.  The tables are read-only, so the DataFrame (with its file
+    listing and footer schema) is reused within a session; the cache entry goes
+    away with the session object."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    per_session = _LOADED.setdefault(spark, {})
+    if path not in per_session:
+        per_session[path] = spark.read.parquet(path)
+    return per_session[path]
 
 
 def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -62,3 +62,13 @@ def csv_quote(v: Column) -> Column:
 
 def csv_line(cols: list[Column]) -> Column:
     return F.concat_ws(",", *[csv_quote(F.coalesce(c.cast("string"), F.lit(""))) for c in cols])
+
+
+def py_title(c: Column) -> Column:
+    """Python's str.title(): a cased letter is upper-cased when the character before
+    it is not a cased letter, every other cased letter is lower-cased ('2nd' ->
+    '2Nd', "o'neil" -> "O'Neil").  Per character over the (short) text."""
+    chars = F.split(c, "")
+    cased = "[\\p{Lu}\\p{Ll}\\p{Lt}]"
+    return F.array_join(F.transform(chars, lambda ch, i: F.when(
+        (i == 0) | ~F.element_at(chars, i).rlike(cased), F.upper(ch)).otherwise(F.lower(ch))), "")

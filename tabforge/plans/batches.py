@@ -93,8 +93,9 @@ def seed_keys(plan: DataFrame, pk: str | Column, partitions: int | None = None)
 
 # C6
 def readable_name(name: Column) -> Column:
-    """'_' and '-' to spaces, trimmed, title case (initcap)."""
-    return F.initcap(F.trim(F.translate(name, "_-", "  ")))
+    """'_' and '-' to spaces, stripped, title case with Python's rule."""
+    from ..functions.text import py_strip, py_title
+    return py_title(py_strip(F.translate(name, "_-", "  ")))
 
 
 def default_texts(contract_cat: DataFrame) -> DataFrame:

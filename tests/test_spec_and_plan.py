@@ -96,3 +96,9 @@ def test_plan_sizes_match_the_baseline_arithmetic(spark, rows, calls, workers):
     agg = plan.agg(F.count(F.lit(1)).alias("n"), F.sum("target_rows").alias("rows"), F.max("end_idx").alias("end")).first()
     assert (agg["n"], agg["rows"], agg["end"]) == (calls, rows, rows)
     assert worker_cap(rows, calls) == workers
+
+
+@pytest.mark.parametrize("name", ["police_stops", "2nd-run", "o'neil data", "ÉCOLE_été", "  users_v2  ", "ABC"])
+def test_readable_name_matches_python_title(spark, name):
+    got = spark.createDataFrame([(name,)], "n string").select(batches.readable_name(F.col("n")).alias("r")).first()["r"]
+    assert got == name.replace("_", " ").replace("-", " ").strip().title()

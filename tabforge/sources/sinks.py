@@ -38,9 +38,11 @@ def published_key(path: str) -> str:
 
 def _text_options(sep: str) -> dict[str, str]:
     # header, no index; null and '' both as an empty field; quotes doubled (not
-    # backslash-escaped); timestamps with microseconds so a read-back is exact.
+    # backslash-escaped); surrounding spaces kept (Spark trims them on write by
+    # default); timestamps with microseconds so a read-back is exact.
     return {"header": "true", "sep": sep, "emptyValue": "", "nullValue": "", "quote": '"',
-            "escape": '"', "timestampNTZFormat": TS_NTZ_FORMAT}
+            "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+            "timestampNTZFormat": TS_NTZ_FORMAT}
 
 
 def write_dataset(df: DataFrame, path: str, fmt: str, order_by: list[str] | None = None,

@@ -135,3 +135,12 @@ def test_braces_in_user_text_stay_literal(spark):
     p = prompts.render_csv_prompts(batches.plan_single(spark, 5, 1), spec).first()["prompt"]
     assert "\nDataset context: use {rows} and {col_defs} literally\n" in p
     assert 'Generate EXACTLY 5 unique rows' in p and '["A-1", "A-2", "A-3", "A-4", "A-5"]' in p
+
+
+def test_csv_and_tsv_keep_surrounding_spaces(spark):
+    df = spark.createDataFrame([(1, "  padded  "), (2, "\ttab")], "k long, v string")
+    for fmt in ("csv", "tsv"):
+        path = sinks.dataset_path(scratch_path(spark, "ws"), "ws", fmt)
+        sinks.write_dataset(df, path, fmt, order_by=["k"])
+        back = {r["k"]: r["v"] for r in sinks.read_dataset(spark, path, fmt, schema=df.schema).collect()}
+        assert back == {1: "  padded  ", 2: "\ttab"}, fmt

@@ -45,6 +45,18 @@ def _text_options(sep: str) -> dict[str, str]:
             "timestampNTZFormat": TS_NTZ_FORMAT}
 
 
+def _python_booleans(df: DataFrame) -> DataFrame:
+    """Booleans as True / False in text output (the spelling pandas writes)."""
+    from pyspark.sql import functions as F
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.BooleanType):
+            c = F.when(c, F.lit("True")).when(~c, F.lit("False")).alias(f.name)
+        cols.append(c)
+    return df.select(*cols)
+
+
 def write_dataset(df: DataFrame, path: str, fmt: str, order_by: list[str] | None = None,
                   partitions: int | None = None, mode: str = "errorifexists",
                   keep: list[str] | None = None) -> str:
@@ -60,6 +72,8 @@ def write_dataset(df: DataFrame, path: str, fmt: str, order_by: list[str] | None
             .sortWithinPartitions(*order_by)
     if keep:
         out = out.select(*[f"`{c}`" for c in keep])
+    if fmt in ("csv", "tsv"):
+        out = _python_booleans(out)
     w = out.write.mode(mode)
     if fmt in ("csv", "tsv"):
         w.options(**_text_options("," if fmt == "csv" else "\t")).csv(path)

@@ -144,3 +144,15 @@ def test_csv_and_tsv_keep_surrounding_spaces(spark):
         sinks.write_dataset(df, path, fmt, order_by=["k"])
         back = {r["k"]: r["v"] for r in sinks.read_dataset(spark, path, fmt, schema=df.schema).collect()}
         assert back == {1: "  padded  ", 2: "\ttab"}, fmt
+
+
+def test_text_sinks_spell_booleans_like_pandas(spark):
+    import os
+    df = spark.createDataFrame([(1, True), (2, False), (3, None)], "k long, b boolean")
+    path = sinks.dataset_path(scratch_path(spark, "bool"), "b", "csv")
+    sinks.write_dataset(df, path, "csv", order_by=["k"])
+    local = path.removeprefix("file:")
+    text = "".join(open(os.path.join(local, f)).read() for f in sorted(os.listdir(local)) if f.endswith(".csv"))
+    assert "1,True" in text and "2,False" in text and "3,\n" in text
+    back = {r["k"]: r["b"] for r in sinks.read_dataset(spark, path, "csv", schema=df.schema).collect()}
+    assert back == {1: True, 2: False, 3: None}

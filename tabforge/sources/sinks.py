@@ -57,9 +57,31 @@ def _python_booleans(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def _pandas_datetimes(df: DataFrame) -> DataFrame:
+    """Timestamps as text at the coarsest resolution the column needs, as pandas
+    writes them: 'YYYY-MM-DD' when every time is midnight, then whole seconds,
+    else microseconds.  One aggregate over the timestamp columns only."""
+    from pyspark.sql import functions as F
+    ts = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType))]
+    if not ts:
+        return df
+    aggs = []
+    for i, c in enumerate(ts):
+        col = F.col(f"`{c}`")
+        aggs += [F.max(F.date_format(col, "HH:mm:ss.SSSSSS") != "00:00:00.000000").alias(f"t{i}"),
+                 F.max(F.date_format(col, "SSSSSS") != "000000").alias(f"f{i}")]
+    st = df.agg(*aggs).first()
+    repl = {}
+    for i, c in enumerate(ts):
+        pattern = ("yyyy-MM-dd HH:mm:ss.SSSSSS" if st[f"f{i}"] else
+                   "yyyy-MM-dd HH:mm:ss" if st[f"t{i}"] else "yyyy-MM-dd")
+        repl[c] = F.date_format(F.col(f"`{c}`"), pattern).alias(c)
+    return df.select(*[repl.get(c, F.col(f"`{c}`")) for c in df.columns])
+
+
 def write_dataset(df: DataFrame, path: str, fmt: str, order_by: list[str] | None = None,
                   partitions: int | None = None, mode: str = "errorifexists",
-                  keep: list[str] | None = None) -> str:
+                  keep: list[str] | None = None, pandas_datetimes: bool = True) -> str:
     """H1-H4.  ``order_by`` keeps file order equal to row order (range partitioning
     + sortWithinPartitions); ``keep`` then projects the output columns (a
     projection after the sort keeps the order, so order columns need not be
@@ -74,6 +96,8 @@ def write_dataset(df: DataFrame, path: str, fmt: str, order_by: list[str] | None
         out = out.select(*[f"`{c}`" for c in keep])
     if fmt in ("csv", "tsv"):
         out = _python_booleans(out)
+        if pandas_datetimes:
+            out = _pandas_datetimes(out)
     w = out.write.mode(mode)
     if fmt in ("csv", "tsv"):
         w.options(**_text_options("," if fmt == "csv" else "\t")).csv(path)
@@ -87,7 +111,9 @@ def write_dataset(df: DataFrame, path: str, fmt: str, order_by: list[str] | None
 def read_dataset(spark: SparkSession, path: str, fmt: str, schema: T.StructType | None = None) -> DataFrame:
     """Read a written dataset back (with its schema when known: no inference pass)."""
     if fmt in ("csv", "tsv"):
-        r = spark.read.options(**_text_options("," if fmt == "csv" else "\t")).option("multiLine", "true")
+        opts = _text_options("," if fmt == "csv" else "\t")
+        opts.pop("timestampNTZFormat")          # the default parser reads every written shape
+        r = spark.read.options(**opts).option("multiLine", "true")
         return (r.schema(schema) if schema is not None else r.option("inferSchema", "true")).csv(path)
     if fmt == "json":
         r = spark.read.option("timestampNTZFormat", TS_NTZ_FORMAT)

@@ -156,3 +156,16 @@ def test_text_sinks_spell_booleans_like_pandas(spark):
     assert "1,True" in text and "2,False" in text and "3,\n" in text
     back = {r["k"]: r["b"] for r in sinks.read_dataset(spark, path, "csv", schema=df.schema).collect()}
     assert back == {1: True, 2: False, 3: None}
+
+
+def test_text_sinks_write_timestamps_at_pandas_resolution(spark):
+    import os
+    from datetime import datetime
+    rows = [(1, datetime(2024, 1, 2), datetime(2024, 1, 2, 3, 4, 5), datetime(2024, 1, 2, 3, 4, 5, 120000))]
+    df = spark.createDataFrame(rows, "k long, d timestamp_ntz, s timestamp_ntz, m timestamp_ntz")
+    path = sinks.dataset_path(scratch_path(spark, "ts"), "ts", "csv")
+    sinks.write_dataset(df, path, "csv")
+    local = path.removeprefix("file:")
+    text = "".join(open(os.path.join(local, f)).read() for f in sorted(os.listdir(local)) if f.endswith(".csv"))
+    assert "1,2024-01-02,2024-01-02 03:04:05,2024-01-02 03:04:05.120000" in text
+    assert [tuple(r) for r in sinks.read_dataset(spark, path, "csv", schema=df.schema).collect()] == rows

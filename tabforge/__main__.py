@@ -48,7 +48,8 @@ def main(argv: list[str] | None = None) -> int:
                            seed=args.seed)
         res = synthesize(spark, spec, base=args.out, ledger_path=args.ledger)
         print(json.dumps({"job_id": res.job_id, "dataset_name": args.name, "rows_generated": res.rows_generated,
-                          "columns": [c.name for c in spec.columns], "file_path": res.path, "status": res.status,
+                          "columns": [c.name for c in spec.columns], "file_path": res.path,
+                          "generated_at": res.generated_at, "status": res.status,
                           "quality_report": res.quality}, indent=2))
     elif args.cmd == "history":
         from .operators import ledger

@@ -41,6 +41,7 @@ class JobResult:
     attempts: int
     quality: dict | None
     rows: DataFrame                 # the written dataset, read back
+    generated_at: str = ""          # ISO time the result was written
 
 
 def _contract_cols(spec: DatasetSpec) -> list[str]:
@@ -215,14 +216,15 @@ def _write_result(spark: SparkSession, spec: DatasetSpec, data: DataFrame, n: in
     if spec.primary_key and spec.primary_key in out_cols and n:
         # B3 over what was written (a one-column read, not a recomputation)
         quality = keys.key_quality(rows, spec.primary_key).first().asDict()
+    generated_at = datetime.now().isoformat()
     if ledger_path:
         rec = spark.createDataFrame(
             [(job_id, spec.dataset_name, n, spec.format, json.dumps(out_cols), path,
-              sinks.published_key(path) if "/datasets/" in path else "", datetime.now().isoformat(), status)],
+              sinks.published_key(path) if "/datasets/" in path else "", generated_at, status)],
             "job_id string, dataset_name string, rows long, format string, columns string, file_path string, "
             "s3_key string, generated_at string, status string")
         ledger.save_jobs(rec, ledger_path)
-    return JobResult(job_id, path, n, status, attempts, quality, rows)
+    return JobResult(job_id, path, n, status, attempts, quality, rows, generated_at)
 
 
 def synthesize(spark: SparkSession, spec: DatasetSpec, model_fn: Callable[[str, float, int], str] | None = None,

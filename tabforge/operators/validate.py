@@ -132,14 +132,18 @@ def key_gaps(df: DataFrame, key: Column, target_batches: int = 100_000) -> DataF
                            F.lit(0).cast("bigint").alias("gap")).limit(0)
     width = max(1, -(-(bounds["hi"] - bounds["lo"] + 1) // target_batches))
     b = keys.withColumn("b", F.call_function("div", F.col("k") - F.lit(bounds["lo"]), F.lit(width)))
-    inner = b.withColumn("prev_key", F.lag("k").over(Window.partitionBy("b").orderBy("k")))
-    summary = b.groupBy("b").agg(F.max("k").alias("bmax"))
-    prev_b = summary.withColumn("prev_bmax", F.lag("bmax").over(Window.orderBy("b"))).select("b", "prev_bmax")
-    joined = inner.join(prev_b, "b", "left").withColumn(
-        "prev_key", F.coalesce(F.col("prev_key"), F.col("prev_bmax")))
-    return (joined.where(F.col("prev_key").isNotNull())
-            .select("prev_key", F.col("k").alias("key"), (F.col("k") - F.col("prev_key")).alias("gap"))
-            .where(F.col("gap") != 1))
+    # gaps inside a bucket: lag within the bucket (a distributed window)
+    inner = (b.withColumn("prev_key", F.lag("k").over(Window.partitionBy("b").orderBy("k")))
+             .where(F.col("prev_key").isNotNull())
+             .select("prev_key", F.col("k").alias("key")))
+    # gaps across buckets: a bucket's min against the previous non-empty bucket's max
+    # (the bucket summary has at most target_batches rows)
+    summary = b.groupBy("b").agg(F.min("k").alias("bmin"), F.max("k").alias("bmax"))
+    across = (summary.withColumn("prev_key", F.lag("bmax").over(Window.orderBy("b")))
+              .where(F.col("prev_key").isNotNull())
+              .select("prev_key", F.col("bmin").alias("key")))
+    both = inner.unionByName(across)
+    return both.select("prev_key", "key", (F.col("key") - F.col("prev_key")).alias("gap")).where(F.col("gap") != 1)
 
 
 def key_suffix(key: Column) -> Column:

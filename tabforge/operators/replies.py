@@ -81,44 +81,20 @@ def _json_elements(replies: DataFrame, response_col: str) -> DataFrame:
 
 def json_union_schema(elements: DataFrame, elem_col: str = "_elem",
                       order_cols: list[str] | None = None) -> list[tuple[str, str]]:
-    """Union of object keys in first-seen order, with one Spark type per key.
-
-    Types come from ``schema_of_variant_agg`` (a mergeable aggregate);
-    first-seen order from ``json_object_keys`` (document order) aggregated as
-    min(position) per key.  Both results are key-sized, not data-sized."""
+    """Union of object keys in first-seen order, with one Spark type per key, from
+    one aggregate grouped by key: each object is exploded into (key, value) pairs
+    (``try_parse_json`` cast to a map of variants), the key's document position
+    comes from ``json_object_keys``, and per key we keep the earliest
+    (order_cols, position) and the merged value type (``schema_of_variant_agg``).
+    The result is key-sized, not data-sized."""
     order_cols = order_cols or []
-    typed = elements.agg(F.schema_of_variant_agg(F.try_parse_json(F.col(elem_col))).alias("s")).first()
-    kinds = _parse_object_schema(typed["s"] if typed else None)
-    keyed = elements.select(*order_cols, F.posexplode(F.json_object_keys(F.col(elem_col))).alias("kpos", "key"))
-    first_seen = keyed.groupBy("key").agg(F.min(F.struct(*order_cols, "kpos")).alias("o"))
-    order = [r["key"] for r in first_seen.orderBy("o").collect()]
-    return [(k, _to_spark_type(kinds.get(k, "STRING"))) for k in order]
-
-
-def _parse_object_schema(s: str | None) -> dict[str, str]:
-    """'OBJECT<a: BIGINT, b: DECIMAL(2,1)>' -> {'a': 'BIGINT', 'b': 'DECIMAL(2,1)'} (top level)."""
-    if not s or not s.startswith("OBJECT<"):
-        return {}
-    body = s[len("OBJECT<"):-1]
-    out, depth, cur = {}, 0, ""
-    parts = []
-    for ch in body:
-        if ch in "<(":
-            depth += 1
-        elif ch in ">)":
-            depth -= 1
-        if ch == "," and depth == 0:
-            parts.append(cur)
-            cur = ""
-        else:
-            cur += ch
-    if cur.strip():
-        parts.append(cur)
-    for p in parts:
-        name, _, typ = p.strip().partition(":")
-        name = name.strip().strip("`")
-        out[name] = typ.strip()
-    return out
+    e = F.col(elem_col)
+    pairs = elements.select(*order_cols, F.json_object_keys(e).alias("__keys"),
+                            F.explode(F.try_parse_json(e).cast("map<string,variant>")).alias("key", "__v"))
+    pairs = pairs.withColumn("__kpos", F.array_position("__keys", F.col("key")))
+    per_key = pairs.groupBy("key").agg(F.min(F.struct(*order_cols, "__kpos")).alias("o"),
+                                       F.schema_of_variant_agg("__v").alias("t"))
+    return [(r["key"], _to_spark_type(r["t"] or "STRING")) for r in per_key.orderBy("o").collect()]
 
 
 def _to_spark_type(variant_type: str) -> str:

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import toxicity
+from . import decontaminate, exact_dedup, jaccard_join, sentencepiece_wfst, toxicity
 from .common import prepare, table
 
+#: Folder of the public tokenizers' files; None takes the installed package's.
+TOKENIZERS: str | None = None
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,6 +22,41 @@ def query(fn):
     return fn
 
 
+def tokenizer_file(name: str, folder: str | None = None) -> bytes:
+    """Content of a tokenizer's file, read on the driver and shipped with the tasks (a
+    vocabulary is a few MB and does not grow with the data)."""
+    import os
+    import public_tokenizers
+    folder = folder or TOKENIZERS
+    path = os.path.join(folder, name) if folder else public_tokenizers.path(name)
+    with open(path, "rb") as f:
+        return f.read()
+
+
+@query
+def op1_sentencepiece_wfst(spark, sf_dir):
+    prepare(spark)
+    return sentencepiece_wfst.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query
+def op4_exact_dedup_radix(spark, sf_dir):
+    prepare(spark)
+    return exact_dedup.groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_ngram_jaccard(spark, sf_dir):
+    prepare(spark)
+    return jaccard_join.groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_spaced_seed_decontamination(spark, sf_dir):
+    prepare(spark)
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op9_toxicity_mil(spark, sf_dir):
     prepare(spark)

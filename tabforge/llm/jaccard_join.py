@@ -142,7 +142,7 @@ def list_keys(s: np.ndarray, light: int) -> tuple[np.ndarray, np.ndarray]:
     lists = []
     bounds = limits(light)
     if n >= bounds[0]:
-        own = np.searchsorted(bounds, n, "right") - 1
+        own = int(np.searchsorted(bounds, n, "right")) - 1
         for group in (own, own - 1):
             if group < 0:
                 continue

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, jaccard_join, sentencepiece_wfst, toxicity
+from . import (decontaminate, exact_dedup, jaccard_join, sentencepiece_wfst, sharding, token_files,
+               toxicity)
 from .common import prepare, table
 
 #: Folder of the public tokenizers' files; None takes the installed package's.
@@ -39,6 +40,22 @@ def op1_sentencepiece_wfst(spark, sf_dir):
     return sentencepiece_wfst.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+@query
+def op2_interleaved_shards(spark, sf_dir):
+    prepare(spark)
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_interleaved_shards"] = sharding.ORACLE
+
+
+@query
+def op3_pfor_token_files(spark, sf_dir):
+    prepare(spark)
+    model = tokenizer_file("word_bpe_49k.json").decode("utf-8")
+    return token_files.round_trip(table(spark, sf_dir, "documents"), model)
+
+
 @query
 def op4_exact_dedup_radix(spark, sf_dir):
     prepare(spark)

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontaminate, exact_dedup, jaccard_join, sentencepiece_wfst, sharding, token_files,
-               toxicity)
+from . import (decontaminate, exact_dedup, jaccard_join, quality, sentencepiece_wfst, sharding,
+               token_files, toxicity)
 from .common import prepare, table
 
 #: Folder of the public tokenizers' files; None takes the installed package's.
@@ -74,6 +74,12 @@ def op5_spaced_seed_decontamination(spark, sf_dir):
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op6_quality_embeddings(spark, sf_dir):
+    prepare(spark)
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op9_toxicity_mil(spark, sf_dir):
     prepare(spark)

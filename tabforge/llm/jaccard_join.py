@@ -15,12 +15,15 @@ classes, k is the most shingles in which partners can differ; the hash range is
 cut into k + 1 + e blocks and a list is kept per (block, shingles in it): linked
 sets agree in at least 1 + e blocks.  Lists over blocks take the place of lists
 over single shingles because a passage that many documents share would put
-unrelated documents into one list.  Empty blocks make no list; sets with more
-than e empty blocks (the only ones that may agree in empty blocks alone) are
-also entered under each of their empty blocks.
+unrelated documents into one list.  For the same reason common shingles (by a
+sample; any choice of them is right) are left out of the blocks: sets that differ
+in k shingles differ in at most k of the others.  Sets with more than e empty
+blocks, the only ones that may agree in empty blocks alone, are entered once more
+with all their shingles, and then under each block that is still empty.
 
 Copies of a set are one class.  Within a list each class is compared with the
-list's smallest class only.  Where such a comparison fails, the class is still
+list's smallest class only: by a histogram of hashes first, whose distance is at
+most the number of differing shingles, then shingle by shingle.  Where such a comparison fails, the class is still
 compared with every class of that list's group that is not yet in its component
 and that the triangle inequality of the Jaccard distance leaves possible.  So no
 link between components is lost, and no group's pairs are all made.
@@ -96,19 +99,14 @@ def light_rows(n: int) -> int:
     return sum(math.comb(n, need(n, m)) for m in partners(n) if need(n, m) <= min(n, m))
 
 
-def blocks(first: int, last: int) -> int:
-    """Blocks for pairs whose smaller size is in [first, last]."""
-    k = (last + 5 * last // 4) // 9
-    m = k + 1
-    for _ in range(2):
-        empty = m * math.exp(-first / m)
-        m = k + 1 + math.ceil(empty + 4 * math.sqrt(empty))
-    return m
+def differ(last: int) -> int:
+    """Most shingles in which linked sets differ when the smaller has at most ``last``."""
+    return (last + 5 * last // 4) // 9
 
 
-def spare(first: int, last: int) -> int:
-    """Blocks beyond those that differing shingles can touch, less one."""
-    return blocks(first, last) - (last + 5 * last // 4) // 9 - 1
+def blocks(last: int) -> int:
+    """Blocks of a size class: a quarter of them may be empty."""
+    return -(-4 * (differ(last) + 1) // 3)
 
 
 @lru_cache(None)
@@ -123,12 +121,22 @@ def limits(light: int) -> tuple[int, ...]:
 @lru_cache(None)
 def boundary(cost: float = COST) -> int:
     n = 1
-    while light_rows(n + 1) <= cost * 2 * blocks(n + 1, 5 * (n + 1) // 4):
+    while light_rows(n + 1) <= cost * 2 * blocks(5 * (n + 1) // 4):
         n += 1
     return n
 
 
-def list_keys(s: np.ndarray, light: int) -> tuple[np.ndarray, np.ndarray]:
+def block_keys(s: np.ndarray, group: int, m: int, stripped: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the blocks that hold shingles of ``s``, and the numbers of those blocks."""
+    if not len(s):
+        return np.zeros(0, np.uint64), s
+    block = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+    at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    salt = np.uint64(((2 * group + stripped) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    return mix(np.add.reduceat(mix(s ^ _M1), at) + mix(block[at] + salt)), block[at]
+
+
+def list_keys(s: np.ndarray, light: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(keys of subset lists, keys of block lists) of a set."""
     n = len(s)
     subsets: list[int] = []
@@ -142,20 +150,24 @@ def list_keys(s: np.ndarray, light: int) -> tuple[np.ndarray, np.ndarray]:
     lists = []
     bounds = limits(light)
     if n >= bounds[0]:
+        rare = s
+        if len(common):
+            rare = s[common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s]
         own = int(np.searchsorted(bounds, n, "right")) - 1
         for group in (own, own - 1):
             if group < 0:
                 continue
-            first, last = bounds[group], bounds[group + 1] - 1
-            m = blocks(first, last)
-            block = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-            at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            inside = np.add.reduceat(mix(s ^ _M1), at)
-            salt = np.uint64((group * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-            lists.append(mix(inside + mix(block[at] + salt)))
-            if m - len(at) > spare(first, last):
-                gone = np.setdiff1d(np.arange(m, dtype=np.uint64), block[at])
-                lists.append(mix(mix(gone + salt) ^ _M2))
+            last = bounds[group + 1] - 1
+            m = blocks(last)
+            spare = m - differ(last) - 1
+            keys, held = block_keys(rare, group, m, True)
+            lists.append(keys)
+            if m - len(held) > spare:
+                keys, held = block_keys(s, group, m, False)
+                lists.append(keys)
+                if m - len(held) > spare:
+                    gone = np.setdiff1d(np.arange(m, dtype=np.uint64), held)
+                    lists.append(mix(mix(gone + np.uint64((group << 32) + 1)) ^ _M2))
     return (np.asarray(subsets, np.uint64),
             np.concatenate(lists) if lists else np.zeros(0, np.uint64))
 
@@ -166,7 +178,14 @@ ROWS_SQL = "kind int, key long, sig long, n long, doc_id long, handle long"
 DOC, SUBSET, LIST = 0, 1, 2
 
 
-def list_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def list_maker(common: np.ndarray):
+    """The mapper of ``list_rows`` with the common shingles (sorted) bound."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from list_rows(batches, common)
+    return rows
+
+
+def list_rows(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, handle) to a DOC row per document and, once per class and task, a
     row for each list the class is in."""
     light, seen = boundary(), set()
@@ -182,7 +201,7 @@ def list_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(s) and sig not in seen:
                 seen.add(sig)
                 rows += [(kind, keys, sig, len(s), None, 0)
-                         for kind, keys in zip((SUBSET, LIST), list_keys(s, light)) if len(keys)]
+                         for kind, keys in zip((SUBSET, LIST), list_keys(s, light, common)) if len(keys)]
         if rows:
             kind, keys, sig, size, doc_id, handle = zip(*rows)
             per = np.asarray([len(k) for k in keys])
@@ -197,13 +216,37 @@ def list_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(np.repeat(np.asarray(handle, np.int64), per))], schema=ROWS)
 
 
-@F.arrow_udf(T.StructType([T.StructField("sig", T.LongType()), T.StructField("members", T.BinaryType())]))
+MEMBERS = T.StructType([T.StructField("sig", T.LongType()), T.StructField("n", T.LongType()),
+                        T.StructField("members", T.BinaryType()), T.StructField("histogram", T.BinaryType())])
+BINS = 512
+KEPT_BYTES = 5                   # of a shingle's hash, in comparisons of two sets
+
+
+@F.arrow_udf(MEMBERS)
 def sets(texts: pa.Array) -> pa.Array:
-    """Class id and shingles (sorted, 8 bytes each) of each text."""
+    """Class, size, shingles (40 bits each) and histogram of hashes of each text."""
     found = [shingles(t) for t in texts.to_pylist()]
     sigs = np.asarray([signature(s) for s in found], np.uint64).view(np.int64)
-    return pa.StructArray.from_arrays([pa.array(sigs, pa.int64()),
-                                       pa.array([s.tobytes() for s in found], pa.binary())], ["sig", "members"])
+    short = [np.sort(s & np.uint64((1 << 8 * KEPT_BYTES) - 1)).astype("<u8").view(np.uint8)
+             .reshape(-1, 8)[:, :KEPT_BYTES].tobytes() for s in found]
+    bins = [np.minimum(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=BINS), 255)
+            .astype(np.uint8).tobytes() for s in found]
+    return pa.StructArray.from_arrays(
+        [pa.array(sigs, pa.int64()), pa.array([len(s) for s in found], pa.int64()),
+         pa.array(short, pa.binary()), pa.array(bins, pa.binary())], ["sig", "n", "members", "histogram"])
+
+
+@F.arrow_udf(T.LongType())
+def apart(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Least number of differing shingles that two histograms allow."""
+    x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for v in (a, b))
+    return pa.array(np.abs(x - y).sum(1, dtype=np.int64), pa.int64())
+
+
+def _wide(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEPT_BYTES, 8), np.uint8)
+    out[:, :KEPT_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEPT_BYTES)
+    return out.reshape(-1).view("<u8")
 
 
 @F.arrow_udf(T.LongType())
@@ -211,24 +254,77 @@ def shared(a: pa.Array, b: pa.Array) -> pa.Array:
     """Shingles that two sets have in common."""
     out = []
     for x, y in zip(a.to_pylist(), b.to_pylist()):
-        both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+        both = np.concatenate([_wide(x), _wide(y)])
         both.sort(kind="stable")
         out.append(int((both[1:] == both[:-1]).sum()))
     return pa.array(out, pa.int64())
 
 
 def compare(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with n_a, n_b and the number of common shingles."""
-    left = members.select(F.col("sig").alias("a"), F.col("members").alias("m_a"))
-    right = members.select(F.col("sig").alias("b"), F.col("members").alias("m_b"))
-    return (pairs.join(left, "a").join(right, "b")
-            .select("a", "b", (F.octet_length("m_a") / 8).cast("long").alias("n_a"),
-                    (F.octet_length("m_b") / 8).cast("long").alias("n_b"),
-                    shared("m_a", "m_b").alias("both")))
-
-
-def linked():
-    return 9 * F.col("both") >= 4 * (F.col("n_a") + F.col("n_b"))
+    """``pairs`` (a, b) with linked, and least and most: bounds of their Jaccard distance."""
+    def side(name: str, column: str) -> DataFrame:
+        return members.select(F.col("sig").alias(name), F.col("n").alias(f"n_{name}"),
+                              F.col(column).alias(f"x_{name}"))
+
+    total = F.col("n_a") + F.col("n_b")
+    gap = (pairs.join(side("a", "histogram"), "a").join(side("b", "histogram"), "b")
+           .select("a", "b", "n_a", "n_b", apart("x_a", "x_b").alias("gap")))
+    gap = materialise(gap, "jaccard-gaps")
+    near = F.col("gap") * 9 <= total
+    far = gap.where(~near).select("a", "b", F.lit(False).alias("linked"),
+                                  (2 * F.col("gap") / (total + F.col("gap"))).alias("least"), F.lit(1.0).alias("most"))
+    exact = (gap.where(near).select("a", "b").join(side("a", "members"), "a").join(side("b", "members"), "b")
+             .select("a", "b", "n_a", "n_b", shared("x_a", "x_b").alias("both")))
+    exact = exact.withColumn("least", 1 - F.col("both") / (total - F.col("both")))
+    return exact.select("a", "b", (9 * F.col("both") >= 4 * total).alias("linked"), "least",
+                        F.col("least").alias("most")).union(far)
+
+
+SAMPLE_DOCS, SAMPLE_SHARE, SAMPLE_TIMES, MOST_COMMON = 20_000, 64, 4, 500_000
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def shingle_lists(texts: pa.Array) -> pa.Array:
+    return pa.array([shingles(t).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+
+def common_shingles(texts: DataFrame) -> np.ndarray:
+    """Shingles that occur in SAMPLE_TIMES or more documents of a sample, the most common
+    MOST_COMMON at most.  The lists are right whatever this returns; it only keeps
+    shared passages from making long lists of unrelated documents."""
+    rows = texts.count()
+    one_in = max(1, min(SAMPLE_SHARE, rows // SAMPLE_DOCS))
+    sampled = texts.where(F.pmod(F.xxhash64("handle", F.lit(5)), F.lit(one_in)) == 0)
+    times = (sampled.select(F.explode(shingle_lists("text")).alias("shingle")).groupBy("shingle").count()
+             .where(F.col("count") >= SAMPLE_TIMES))
+    found = times.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).select("shingle").toPandas()
+    return np.sort(found["shingle"].to_numpy(np.int64).view(np.uint64))
+
+
+MOST_BITS = 1 << 27
+
+
+def marked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose handle may be in ``wanted``: a bitmap of hashed handles, 16
+    bits a handle and 16 MB at most, spares the shuffle of the other texts.  Rows that
+    pass by chance are left out by the join on the class that follows."""
+    n = wanted.count()
+    bits = min(MOST_BITS, 1 << max(15, (16 * n).bit_length()))
+    at = F.pmod(F.xxhash64("handle", F.lit(9)), F.lit(bits))
+    parts = (wanted.select((at + 1).alias("at"))
+             .groupBy(F.bitmap_bucket_number("at").alias("bucket"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect())
+    table = np.zeros(bits // 8, np.uint8)
+    for p in parts:                                          # at most MOST_BITS / 32768 rows
+        start = (p["bucket"] - 1) * 4096
+        table[start:start + 4096] = np.frombuffer(bytes(p["bits"]), np.uint8)[:len(table) - start]
+
+    @F.arrow_udf("boolean")
+    def may_be(positions: pa.Array) -> pa.Array:
+        p = positions.to_numpy(zero_copy_only=False)
+        return pa.array((table[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
+
+    return texts.where(may_be(at))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -236,7 +332,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a document is found again by its id, or by a hash of its text where it has none
     handle = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()))
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), handle.alias("handle"))
-    listed = texts.mapInArrow(list_rows, ROWS_SQL)
+    listed = texts.mapInArrow(list_maker(common_shingles(texts)), ROWS_SQL)
     # the smallest class of every list; lists of a single class are left behind
     here = Window.partitionBy("kind", "key")
     scanned = listed.withColumns({"hub": F.min("sig").over(here), "top": F.max("sig").over(here)})
@@ -248,26 +344,25 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = pairs.checkpoint()
     # shingles of the classes in question, from one document of each
     asked = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-    shown = rows.join(asked, "sig").groupBy(F.col("sig").alias("want")).agg(F.min("handle").alias("handle"))
-    made = texts.join(shown.checkpoint(), "handle").select("want", sets("text").alias("s"))
-    members = materialise(made.where("want = s.sig").select("s.sig", "s.members").dropDuplicates(["sig"]),
-                          "jaccard-sets")
+    shown = rows.join(asked, "sig").groupBy("sig").agg(F.min("handle").alias("handle")).checkpoint()
+    made = marked(texts, shown.select("handle")).select(sets("text").alias("s")).select("s.*")
+    members = materialise(made.join(shown, "sig", "left_semi").dropDuplicates(["sig"]), "jaccard-sets")
     judged = materialise(compare(pairs, members), "jaccard-pairs")
-    edges = judged.where(linked()).select("a", "b").union(certain).checkpoint()
+    edges = judged.where("linked").select("a", "b").union(certain).checkpoint()
     first = components(edges).checkpoint()
     # groups of a hub that are not one component: classes that failed against the hub
     # meet the classes of the group in other components
-    part = F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
-    group = judged.select(F.col("b").alias("hub"), F.col("a").alias("node"), F.col("n_a").alias("size"),
-                          (1 - part).alias("far"), (~linked()).alias("failed"))
-    group = (group.join(first, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    failed = group.where("failed").select("hub", *(F.col(c).alias(f"f_{c}") for c in ("node", "size", "far", "root")))
+    group = (judged.select(F.col("b").alias("hub"), F.col("a").alias("node"), "least", "most", "linked")
+             .join(members.select(F.col("sig").alias("node"), F.col("n").alias("size")), "node")
+             .join(first, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    failed = group.where(~F.col("linked")).select(
+        "hub", *(F.col(c).alias(f"f_{c}") for c in ("node", "size", "least", "most", "root")))
     more = (failed.join(group, "hub")
             .where((F.col("root") != F.col("f_root"))
                    & (5 * F.col("size") >= 4 * F.col("f_size")) & (5 * F.col("f_size") >= 4 * F.col("size"))
-                   & (F.abs(F.col("far") - F.col("f_far")) <= 0.2 + 1e-9))
+                   & (F.col("least") - F.col("f_most") <= 0.2 + 1e-9) & (F.col("f_least") - F.col("most") <= 0.2 + 1e-9))
             .select(F.greatest("node", "f_node").alias("a"), F.least("node", "f_node").alias("b")).distinct())
-    later = compare(more.checkpoint(), members).where(linked()).select("a", "b").checkpoint()
+    later = compare(more.checkpoint(), members).where("linked").select("a", "b").checkpoint()
     if later.isEmpty():
         return rows, first
     return rows, components(edges.union(later)).checkpoint()

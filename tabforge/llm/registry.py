@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontaminate, exact_dedup, jaccard_join, quality, sentencepiece_wfst, sharding,
-               token_files, toxicity)
+from . import (decontaminate, exact_dedup, jaccard_join, pii, quality, sentencepiece_wfst, sharding,
+               suffixes, token_files, toxicity)
 from .common import prepare, table
 
 #: Folder of the public tokenizers' files; None takes the installed package's.
@@ -80,6 +80,18 @@ def op6_quality_embeddings(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op7_pii_information(spark, sf_dir):
+    prepare(spark)
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_sparse_suffix_dedup(spark, sf_dir):
+    prepare(spark)
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_toxicity_mil(spark, sf_dir):
     prepare(spark)

@@ -5,8 +5,8 @@ A document's set is its distinct 5-word shingles.  Two documents link when
 t = ceil(4 (|A| + |B|) / 9) shingles or, equally, differ in at most (|A| + |B|) / 9.
 
 Light sets (at most LIGHT shingles): for every size a partner may have, the
-subsets of the t shingles that a link needs are enumerated; two sets with a
-common subset link, without further check.  LIGHT is the largest size at which
+subsets of the t shingles that a link needs are enumerated; two sets of those sizes
+with a common subset link, without further check.  LIGHT is the largest size at which
 this takes at most COST times the rows of the other way.
 
 Heavy sets: inverted lists are scanned.  Sizes fall into classes whose limits
@@ -136,17 +136,18 @@ def block_keys(s: np.ndarray, group: int, m: int, stripped: bool) -> tuple[np.nd
     return mix(np.add.reduceat(mix(s ^ _M1), at) + mix(block[at] + salt)), block[at]
 
 
-def list_keys(s: np.ndarray, light: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys of subset lists, keys of block lists) of a set."""
+def list_keys(s: np.ndarray, light: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a set's lists: subsets for partners of its own size, subsets for partners of
+    another size, blocks."""
     n = len(s)
-    subsets: list[int] = []
+    same, cross = [], []
     if n <= light:
         for m in partners(n):
             t = need(n, m)
             if t <= min(n, m) and m <= light:
                 head = f"{min(n, m)},{max(n, m)}".encode()
                 for c in itertools.combinations(range(n), n - t):
-                    subsets.append(xxhash.xxh3_64_intdigest(head + np.delete(s, list(c)).tobytes()))
+                    (same if m == n else cross).append(xxhash.xxh3_64_intdigest(head + np.delete(s, list(c)).tobytes()))
     lists = []
     bounds = limits(light)
     if n >= bounds[0]:
@@ -168,14 +169,14 @@ def list_keys(s: np.ndarray, light: int, common: np.ndarray) -> tuple[np.ndarray
                 if m - len(held) > spare:
                     gone = np.setdiff1d(np.arange(m, dtype=np.uint64), held)
                     lists.append(mix(mix(gone + np.uint64((group << 32) + 1)) ^ _M2))
-    return (np.asarray(subsets, np.uint64),
+    return (np.asarray(same, np.uint64), np.asarray(cross, np.uint64),
             np.concatenate(lists) if lists else np.zeros(0, np.uint64))
 
 
 ROWS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()),
                   ("doc_id", pa.int64()), ("handle", pa.int64())])
 ROWS_SQL = "kind int, key long, sig long, n long, doc_id long, handle long"
-DOC, SUBSET, LIST = 0, 1, 2
+DOC, SAME, CROSS, LIST = 0, 1, 2, 3
 
 
 def list_maker(common: np.ndarray):
@@ -201,7 +202,7 @@ def list_rows(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator
             if len(s) and sig not in seen:
                 seen.add(sig)
                 rows += [(kind, keys, sig, len(s), None, 0)
-                         for kind, keys in zip((SUBSET, LIST), list_keys(s, light, common)) if len(keys)]
+                         for kind, keys in zip((SAME, CROSS, LIST), list_keys(s, light, common)) if len(keys)]
         if rows:
             kind, keys, sig, size, doc_id, handle = zip(*rows)
             per = np.asarray([len(k) for k in keys])
@@ -335,11 +336,15 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     listed = texts.mapInArrow(list_maker(common_shingles(texts)), ROWS_SQL)
     # the smallest class of every list; lists of a single class are left behind
     here = Window.partitionBy("kind", "key")
-    scanned = listed.withColumns({"hub": F.min("sig").over(here), "top": F.max("sig").over(here)})
-    scanned = scanned.where((F.col("kind") == DOC) | ((F.col("hub") != F.col("top")) & (F.col("sig") != F.col("hub"))))
+    scanned = listed.withColumns({"hub": F.min("sig").over(here), "least": F.min("n").over(here),
+                                  "most": F.max("n").over(here)})
+    # a subset for partners of two sizes joins its list only if both sizes are there: then
+    # each set of one size links with each of the other
+    apart_sizes = (F.col("kind") != CROSS) | (F.col("least") != F.col("most"))
+    scanned = scanned.where((F.col("kind") == DOC) | ((F.col("sig") != F.col("hub")) & apart_sizes))
     scanned = materialise(scanned.select("kind", "sig", "n", "doc_id", "handle", "hub"), "jaccard-lists")
     rows = scanned.where(F.col("kind") == DOC).select("doc_id", "handle", "sig", "n")
-    certain = scanned.where(F.col("kind") == SUBSET).select(F.col("sig").alias("a"), F.col("hub").alias("b")).distinct()
+    certain = scanned.where(F.col("kind").isin(SAME, CROSS)).select(F.col("sig").alias("a"), F.col("hub").alias("b")).distinct()
     pairs = scanned.where(F.col("kind") == LIST).select(F.col("sig").alias("a"), F.col("hub").alias("b")).distinct()
     pairs = pairs.checkpoint()
     # shingles of the classes in question, from one document of each

@@ -93,11 +93,13 @@ def temperature(attempt: Column) -> Column:
 # F6
 def retry_plan(plan: DataFrame, kept_idx: DataFrame, attempt: int, prefix: str | None = None) -> DataFrame:
     """Batches still short after ``attempt`` get one more attempt (at most 4 in all):
-    rows = missing count, start = start_idx + kept, and the seeds are exactly
-    the planned row indexes not yet kept (planned keys anti-join kept keys),
-    so a lost row in the middle is re-seeded rather than the batch tail.
+    rows = target - kept rows, start = start_idx + kept, and the seeds are the first
+    that many planned row indexes not yet kept (planned keys anti-join kept keys), so a
+    lost row in the middle is re-seeded rather than the batch tail.  A batch that
+    delivered enough rows under keys of its own is not asked again.
 
-    ``kept_idx`` has (batch_num, row_idx) of kept rows."""
+    ``kept_idx`` has (batch_num, row_idx) of kept rows; row_idx is null for a row whose
+    key is none of the planned ones."""
     if attempt + 1 >= MAX_ATTEMPTS:
         return plan.limit(0).select(
             "batch_num", F.lit(attempt + 1).alias("attempt"), F.lit(0).cast("long").alias("target_rows"),
@@ -105,15 +107,16 @@ def retry_plan(plan: DataFrame, kept_idx: DataFrame, attempt: int, prefix: str |
             F.array().cast("array<bigint>").alias("seed_idx"))
     planned = plan.select("batch_num", F.explode(F.sequence("start_idx", "end_idx")).alias("row_idx"))
     missing = planned.join(kept_idx.select("batch_num", "row_idx"), ["batch_num", "row_idx"], "left_anti")
-    seeds = missing.groupBy("batch_num").agg(
-        F.array_sort(F.collect_list("row_idx")).alias("seed_idx"),
-        F.count(F.lit(1)).alias("target_rows"))
+    seeds = missing.groupBy("batch_num").agg(F.array_sort(F.collect_list("row_idx")).alias("unused"))
     kept_n = kept_idx.groupBy("batch_num").agg(F.count(F.lit(1)).alias("kept_rows"))
+    kept = F.coalesce(F.col("kept_rows"), F.lit(0))
+    short = F.col("end_idx") - F.col("start_idx") + 1 - kept
     out = (plan.select("batch_num", "start_idx", "end_idx").join(seeds, "batch_num")
-           .join(kept_n, "batch_num", "left")
-           .select("batch_num", F.lit(attempt + 1).alias("attempt"), "target_rows",
-                   (F.col("start_idx") + F.coalesce(F.col("kept_rows"), F.lit(0))).alias("start_idx"),
-                   "end_idx", temperature(F.lit(attempt + 1)).alias("temperature"), "seed_idx"))
+           .join(kept_n, "batch_num", "left").where(short > 0)
+           .select("batch_num", F.lit(attempt + 1).alias("attempt"), short.cast("long").alias("target_rows"),
+                   (F.col("start_idx") + kept).alias("start_idx"),
+                   "end_idx", temperature(F.lit(attempt + 1)).alias("temperature"),
+                   F.slice("unused", F.lit(1), short.cast("int")).alias("seed_idx")))
     if prefix is not None:
         out = out.withColumn("seed_keys", F.transform(
             "seed_idx", lambda i: F.concat(F.lit(prefix), F.lit("-"), i.cast("string"))))

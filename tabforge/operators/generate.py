@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.joins import BROADCAST_MAX_ROWS, broadcast_if_small
-from ..functions.random import draw, offset
+from ..functions.random import draw, offset, wide_draw
 from ..functions.values import null_source, value_for
 from ..plans.batches import key_prefix, seed_key
 from ..spec import DatasetSpec, batch_size_for
@@ -36,6 +36,14 @@ def row_skeleton(spark: SparkSession, rows: int, batch_size: int, partitions: in
     return base.withColumn("batch_num", F.call_function("div", F.col("row_idx") - 1, F.lit(batch_size)) + 1)
 
 
+def key_skeleton(source: DataFrame, key: str, batch_size: int = 30) -> DataFrame:
+    """A skeleton from the rows of a table: row_idx is the row's own integer key, so a
+    row's values stay the same when other rows come or go."""
+    idx = F.col(f"`{key}`").cast("bigint")
+    return source.select(idx.alias("row_idx")).withColumn(
+        "batch_num", F.call_function("div", F.col("row_idx") - 1, F.lit(batch_size)) + 1)
+
+
 # D6
 def with_nulls(v: Column, rate: int, seed: int, col: str, idx: Column, salt: str = "null", i: int = 0) -> Column:
     """Null at ``rate`` percent of rows (a chunk no other part of the value uses)."""
@@ -44,14 +52,15 @@ def with_nulls(v: Column, rate: int, seed: int, col: str, idx: Column, salt: str
 
 def generate(spark: SparkSession, spec: DatasetSpec, rows: int | None = None,
              partitions: int | None = None, typed_key: bool = False,
-             keep_index: bool = True) -> DataFrame:
+             keep_index: bool = True, skeleton: DataFrame | None = None) -> DataFrame:
     """Rows for a contract.  The key column (explicit ``primary_key``) gets the
     seeded key of its row (``PK-<row>``), or with ``typed_key`` a typed unique
-    value (uuid text / the row index); nullable columns get nulls (never the key)."""
+    value (uuid text / the row index); nullable columns get nulls (never the key).
+    ``skeleton`` (see ``key_skeleton``) gives the rows to fill instead of 1..rows."""
     if not spec.columns:
         raise ValueError("generation needs a column contract")
     n = rows if rows is not None else spec.rows
-    skel = row_skeleton(spark, n, batch_size_for(spec.num_columns), partitions)
+    skel = skeleton if skeleton is not None else row_skeleton(spark, n, batch_size_for(spec.num_columns), partitions)
     idx = F.col("row_idx")
     cols = []
     for c in spec.columns:
@@ -74,27 +83,26 @@ def generate(spark: SparkSession, spec: DatasetSpec, rows: int | None = None,
 # D9
 def drop_sample_copies(generated: DataFrame, samples: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Generated rows equal (null-safe, on all contract columns) to a sample row are
-    dropped.  Samples are normally a handful of rows: the anti join is broadcast
-    when the sample side is checked to be small, else it is a shuffle join
-    (null-safe equality on every column is a valid equi-join key)."""
+    dropped.  Null-safe equality on every column is an equi-join key; Spark
+    broadcasts the sample side where its size in bytes allows."""
     columns = columns or samples.columns
     s = samples.select(*[F.col(f"`{c}`").alias(f"__s_{i}") for i, c in enumerate(columns)])
     cond = None
     for i, c in enumerate(columns):
         e = F.col(f"`{c}`").eqNullSafe(F.col(f"__s_{i}"))
         cond = e if cond is None else cond & e
-    return generated.join(broadcast_if_small(s), cond, "left_anti")
+    return generated.join(s, cond, "left_anti")
 
 
 def sample_copies(generated: DataFrame, samples: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Generated rows that copy a sample row (left semi; samples broadcast when small)."""
+    """Generated rows that copy a sample row."""
     columns = columns or samples.columns
     s = samples.select(*[F.col(f"`{c}`").alias(f"__s_{i}") for i, c in enumerate(columns)])
     cond = None
     for i, c in enumerate(columns):
         e = F.col(f"`{c}`").eqNullSafe(F.col(f"__s_{i}"))
         cond = e if cond is None else cond & e
-    return generated.join(broadcast_if_small(s), cond, "left_semi")
+    return generated.join(s, cond, "left_semi")
 
 
 # D10
@@ -106,24 +114,15 @@ def unique_rows(df: DataFrame) -> DataFrame:
 MIMIC_BUCKETS = 1024
 
 
-SINGLE_TASK_ROWS = 1_000_000
-
-
-def running_total(df: DataFrame, order_col: str, amount_col: str, out_col: str = "hi",
-                  n: int | None = None) -> DataFrame:
+def running_total(df: DataFrame, order_col: str, amount_col: str, out_col: str = "hi") -> DataFrame:
     """Inclusive running sum of ``amount_col`` in ``order_col`` order.
 
-    Up to SINGLE_TASK_ROWS rows (a frequency table of distinct values) it is one
-    window; beyond that it is range-partitioned, checkpointed (stable partition
-    ids, cut lineage), summed per partition, and each partition adds the
-    offset of the partitions before it - no single task sees all rows."""
-    n = df.count() if n is None else n
-    if n <= SINGLE_TASK_ROWS:
-        w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(out_col, F.sum(amount_col).over(w))
+    Range-partitioned, checkpointed (stable partition ids, cut lineage), summed
+    per partition, and each partition adds the offset of the partitions before
+    it: no single task sees all rows."""
     from ..session import shared_dir
     shared_dir(df.sparkSession)
-    parts = -(-n // SINGLE_TASK_ROWS)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, order_col).withColumn("__pid", F.spark_partition_id()).checkpoint()
     sums = ranged.groupBy("__pid").agg(F.sum(amount_col).alias("__s"))
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -134,9 +133,8 @@ def running_total(df: DataFrame, order_col: str, amount_col: str, out_col: str =
 
 
 def value_frequencies(source: DataFrame, column: str) -> DataFrame:
-    """(value, freq) of the non-null values: a partial-aggregated group-by."""
-    return source.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").alias("value")) \
-        .agg(F.count(F.lit(1)).alias("freq"))
+    """(value, freq) of all values, null among them: a partial-aggregated group-by."""
+    return source.groupBy(F.col(f"`{column}`").alias("value")).agg(F.count(F.lit(1)).alias("freq"))
 
 
 def frequency_stats(freq: DataFrame) -> tuple[int, int]:
@@ -145,15 +143,11 @@ def frequency_stats(freq: DataFrame) -> tuple[int, int]:
     return int(r["n"] or 0), int(r["total"] or 0)
 
 
-def category_intervals(source: DataFrame, column: str, freq: DataFrame | None = None,
-                       n_values: int | None = None) -> DataFrame:
+def category_intervals(source: DataFrame, column: str, freq: DataFrame | None = None) -> DataFrame:
     """Frequencies of the source values as half-open rank intervals [lo, hi) in value
     order (running sum over the distinct values, see ``running_total``)."""
     freq = value_frequencies(source, column) if freq is None else freq
-    return running_total(freq, "value", "freq", n=n_values).withColumn("lo", F.col("hi") - F.col("freq"))
-
-
-MAX_CANDIDATES = 64
+    return running_total(freq, "value", "freq").withColumn("lo", F.col("hi") - F.col("freq"))
 
 
 def mimic_categorical(skeleton: DataFrame, source: DataFrame, column: str, seed: int = 42,
@@ -162,20 +156,18 @@ def mimic_categorical(skeleton: DataFrame, source: DataFrame, column: str, seed:
     interval holding r.  The range lookup is an equi-join on a rank bucket
     (intervals are exploded into the buckets they overlap) plus the range test.
 
-    Bucket width w = N / buckets ranks: every bucket receives an equal share of
-    generated rows (no hot join key even when one value holds most of N), and
-    since every interval has at least one rank a row meets at most w candidate
-    intervals.  w is kept <= MAX_CANDIDATES (more buckets when there are many
-    distinct values), so the join never degenerates into all pairs; the
-    exploded interval table has at most (distinct values + N / w) rows.  AQE
-    broadcasts it when it measures small."""
+    There are 4 buckets per distinct value (``buckets`` at least), each N / buckets
+    ranks wide: every bucket receives an equal share of generated rows (no hot
+    join key even when one value holds most of N), and the exploded interval
+    table has at most 5 rows per distinct value (or ``buckets`` more), whatever N.
+    AQE broadcasts it when it measures small."""
     out_col = out_col or column
     freq = value_frequencies(source, column)
     n_iv, total = frequency_stats(freq)
-    iv = category_intervals(source, column, freq, n_iv)
+    iv = category_intervals(source, column, freq)
     if total == 0:
         return skeleton.withColumn(out_col, F.lit(None).cast(source.schema[column].dataType))
-    width = max(1, min(-(-total // max(buckets, 4 * n_iv)), MAX_CANDIDATES))
+    width = max(1, -(-total // max(buckets, 4 * n_iv)))
     iv_b = iv.select("value", "lo", "hi", F.explode(F.sequence(
         F.call_function("div", F.col("lo"), F.lit(width)),
         F.call_function("div", F.col("hi") - 1, F.lit(width)))).alias("bucket"))
@@ -197,10 +189,10 @@ def exact_quantiles(source: DataFrame, column: str, probs: list[float]) -> list[
     vals = source.select(c.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     freq = value_frequencies(vals, "v").persist()     # released below: this function is eager
     try:
-        n_values, n = frequency_stats(freq)
+        _, n = frequency_stats(freq)
         if n == 0:
             return []
-        iv = category_intervals(vals, "v", freq, n_values)
+        iv = category_intervals(vals, "v", freq)
         return _interpolate(iv, n, probs)
     finally:
         freq.unpersist()
@@ -236,8 +228,19 @@ def mimic_numeric(skeleton: DataFrame, source: DataFrame, column: str, seed: int
     """Inverse of the source quantiles with linear interpolation.  The grid of
     ``points`` quantiles is exact by default (``exact_quantiles``) or from
     ``percentile_approx`` (fixed memory, one pass); either way it is a bounded
-    array inlined as a literal."""
+    array inlined as a literal.  Dates and timestamps go through days and
+    microseconds since 1970 and come back in their own type."""
     out_col = out_col or column
+    kind = source.schema[column].dataType
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        plain = F.col(f"`{column}`")
+        number = F.unix_date(plain) if isinstance(kind, T.DateType) else F.unix_micros(plain.cast("timestamp"))
+        out = mimic_numeric(skeleton, source.select(number.cast("double").alias(column)), column, seed, out_col,
+                            points, exact, accuracy)
+        back = F.col(out_col)
+        value = (F.date_from_unix_date(F.floor(back).cast("int")) if isinstance(kind, T.DateType)
+                 else F.timestamp_micros(F.floor(back).cast("bigint")).cast(kind))
+        return out.withColumn(out_col, value)
     probs = [i / (points - 1) for i in range(points)]
     if exact:
         q = exact_quantiles(source, column, probs)
@@ -258,16 +261,17 @@ def mimic_numeric(skeleton: DataFrame, source: DataFrame, column: str, seed: int
 def mimic_rows(skeleton: DataFrame, samples: DataFrame, order_col: str, seed: int = 42,
                jitter: dict[str, float] | None = None) -> DataFrame:
     """Keep relations between columns: each generated row copies a sample row
-    picked by draw mod n (equi-join on the sample's rank; samples are a bounded
-    handful of rows, broadcast), then numeric columns get a relative jitter.
-    Table-sized sources go through mimic_categorical / mimic_numeric instead."""
-    n = samples.limit(BROADCAST_MAX_ROWS + 1).count()
-    if n > BROADCAST_MAX_ROWS:
-        raise ValueError(f"mimic_rows takes at most {BROADCAST_MAX_ROWS} sample rows; "
-                         "use mimic_categorical / mimic_numeric for table-sized sources")
-    ranked = samples.withColumn("__k", F.row_number().over(Window.orderBy(order_col)) - 1)
-    g = skeleton.withColumn("__k", draw(seed, "__row", F.col("row_idx"), "k") % F.lit(n))
-    out = g.join(F.broadcast(ranked), "__k").drop("__k")
+    picked by draw mod n (equi-join on the sample's distributed rank in ``order_col``,
+    which must not repeat), then numeric columns get a relative jitter.  Samples
+    may be a whole table."""
+    n = samples.count()
+    if n == 0:
+        return skeleton.join(samples, F.lit(False), "left_semi").select(
+            "*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in samples.schema))
+    ranked = (running_total(samples.withColumn("__one", F.lit(1)), order_col, "__one", "__k")
+              .withColumn("__k", F.col("__k") - 1).drop("__one"))
+    g = skeleton.withColumn("__k", wide_draw(seed, "__row", F.col("row_idx"), "k") % F.lit(n))
+    out = g.join(ranked, "__k").drop("__k")
     for col, rel in (jitter or {}).items():
         d = draw(seed, col, F.col("row_idx"), "j") / F.lit(4294967296.0) * 2 - 1
         out = out.withColumn(col, F.col(col) * (1 + F.lit(rel) * d))

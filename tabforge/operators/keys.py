@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,12 +11,17 @@ from pyspark.sql import types as T
 from ..spec import ColumnContract
 
 
+# B1: what makes a column a key candidate, best first.  A rule takes (lower-case name,
+# lower-case type) and is written with operators that mean the same for strings and Columns.
+KEY_RULES = [lambda name, kind: kind == "uuid",
+             lambda name, kind: name == "id",
+             lambda name, kind: name.endswith("_id")]
+
+
 def key_priority(column_name: Column, semantic: Column) -> Column:
-    """B1 priorities: 1 uuid type, 2 named id, 3 ends with _id; null = not a candidate."""
-    n = F.lower(column_name)
-    return (F.when(F.lower(semantic) == "uuid", 1)
-            .when(n == "id", 2)
-            .when(n.endswith("_id"), 3))
+    """Number of the first KEY_RULES rule that holds; null = not a candidate."""
+    name, kind = F.lower(column_name), F.lower(semantic)
+    return F.coalesce(*(F.when(rule(name, kind), i) for i, rule in enumerate(KEY_RULES)))
 
 
 def detect_keys(contract_cat: DataFrame) -> DataFrame:
@@ -32,19 +39,10 @@ def detect_keys(contract_cat: DataFrame) -> DataFrame:
 
 
 def detect_primary_key(contract: list[ColumnContract] | None) -> str | None:
-    """Driver-side form of B1 for a single contract (same priorities)."""
-    if not contract:
-        return None
-    for c in contract:
-        if (c.type or "").lower() == "uuid":
-            return c.name
-    for c in contract:
-        if c.name.lower() == "id":
-            return c.name
-    for c in contract:
-        if c.name.lower().endswith("_id"):
-            return c.name
-    return None
+    """Driver-side form of B1 for a single contract: least (rule, ordinal)."""
+    ranked = [(rank, at, c.name) for at, c in enumerate(contract or [])
+              for rank, rule in enumerate(KEY_RULES) if rule(c.name.lower(), (c.type or "").lower())]
+    return min(ranked)[2] if ranked else None
 
 
 def _missing(df: DataFrame, pk: str) -> Column:
@@ -91,39 +89,16 @@ def key_quality(df: DataFrame, pk: str | None) -> DataFrame | None:
     return df.agg(*aggs).select(*report)
 
 
-HEAD_ROWS = 100_000
-
-
-def verify_candidate_keys(df: DataFrame, candidates: list[str], prefilter: bool = True,
-                          head_rows: int = HEAD_ROWS) -> DataFrame:
+def verify_candidate_keys(df: DataFrame, candidates: list[str]) -> DataFrame:
     """Is each candidate really a key?  (column_name, total_rows, is_unique).
 
-    With ``prefilter`` a bounded head of the table (LIMIT, so only the first
-    splits are read) is checked first: a repeated value or a null there is an
-    exact proof that the candidate is not a key.  Only the candidates that
-    survive get the exact distinct count over the whole table (one
-    single-column aggregate each, so no Expand blow-up).  Both outcomes are
-    exact."""
-    exact = list(candidates)
-    rejected: list[str] = []
-    if prefilter and candidates:
-        head = df.limit(head_rows)
-        n = F.count(F.lit(1))
-        probe = head.agg(*[((F.count_distinct(F.col(f"`{c}`")) < n) | (F.count(F.col(f"`{c}`")) < n))
-                           .alias(f"d{i}") for i, c in enumerate(candidates)]).first()
-        exact = [c for i, c in enumerate(candidates) if not probe[f"d{i}"]]
-        rejected = [c for i, c in enumerate(candidates) if probe[f"d{i}"]]
+    One exact two-phase aggregate per candidate (rows, non-null values and distinct
+    values), each reading that column alone: values collapse map-side, and there is
+    no Expand over all candidates."""
     parts = []
-    for c in exact:
+    for c in candidates:
         k = F.col(f"`{c}`")
-        parts.append(df.agg(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("total_rows"),
-                            ((F.count_distinct(k) == F.count(F.lit(1))) & (F.count(k) == F.count(F.lit(1))))
-                            .alias("is_unique")))
-    if rejected:
-        base = df.agg(F.count(F.lit(1)).alias("total_rows"))
-        parts.append(base.select(F.explode(F.array(*[F.lit(c) for c in rejected])).alias("column_name"),
-                                 "total_rows", F.lit(False).alias("is_unique")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        n = F.count(F.lit(1))
+        parts.append(df.agg(F.lit(c).alias("column_name"), n.alias("total_rows"),
+                            ((F.count_distinct(k) == n) & (F.count(k) == n)).alias("is_unique")))
+    return reduce(DataFrame.unionByName, parts)

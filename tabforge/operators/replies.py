@@ -74,9 +74,13 @@ def reply_status_from(records: DataFrame) -> DataFrame:
 
 # --- JSON replies (free mode) -------------------------------------------------
 def _json_elements(replies: DataFrame, response_col: str) -> DataFrame:
+    """Replies with ``_elems``, the texts of an array's elements, and ``_reason``, why a
+    reply fails (null where it is an array of objects)."""
     text = strip_fences(F.col(response_col))
-    return replies.select(*REPLY_KEYS, text.alias("_text"),
-                          F.from_json(text, "array<string>").alias("_elems"))
+    out = replies.select(*REPLY_KEYS, text.alias("_text"), F.from_json(text, "array<string>").alias("_elems"))
+    odd = F.exists("_elems", lambda x: F.coalesce(F.json_object_keys(x).isNull(), F.lit(True)))
+    return out.withColumn("_reason", F.when(F.col("_elems").isNull(), "not a JSON array")
+                          .when(odd, "an element is not an object"))
 
 
 def json_union_schema(elements: DataFrame, elem_col: str = "_elem",
@@ -90,7 +94,8 @@ def json_union_schema(elements: DataFrame, elem_col: str = "_elem",
     order_cols = order_cols or []
     e = F.col(elem_col)
     pairs = elements.select(*order_cols, F.json_object_keys(e).alias("__keys"),
-                            F.explode(F.try_parse_json(e).cast("map<string,variant>")).alias("key", "__v"))
+                            F.explode(F.try_variant_get(F.try_parse_json(e), "$", "map<string,variant>"))
+                            .alias("key", "__v"))
     pairs = pairs.withColumn("__kpos", F.array_position("__keys", F.col("key")))
     per_key = pairs.groupBy("key").agg(F.min(F.struct(*order_cols, "__kpos")).alias("o"),
                                        F.schema_of_variant_agg("__v").alias("t"))
@@ -110,10 +115,11 @@ def _to_spark_type(variant_type: str) -> str:
 
 def parse_json_replies(replies: DataFrame, response_col: str = "response",
                        schema: list[tuple[str, str]] | None = None) -> DataFrame:
-    """A reply that is a JSON array of objects becomes rows; the columns are
+    """A reply that is a JSON array of objects becomes rows (any other reply gives
+    none, see ``json_reply_status``); the columns are
     the union of keys (first-seen order), missing keys are null.  The schema
     pass is one small aggregate; pass ``schema`` to skip it."""
-    elems = _json_elements(replies, response_col)
+    elems = _json_elements(replies, response_col).where("_reason is null")
     exploded = elems.select(*REPLY_KEYS, F.posexplode("_elems").alias("pos", "_elem"))
     if schema is None:
         schema = json_union_schema(exploded, "_elem", REPLY_KEYS + ["pos"])
@@ -125,9 +131,10 @@ def parse_json_replies(replies: DataFrame, response_col: str = "response",
 
 
 def json_reply_status(replies: DataFrame, response_col: str = "response") -> DataFrame:
-    """E7 for JSON mode: failed when the text is not a JSON array (bad or truncated)."""
+    """E7 for JSON mode: failed when the text is not a JSON array (bad or truncated) or
+    when one of its elements is not an object."""
     elems = _json_elements(replies, response_col)
-    ok = F.col("_elems").isNotNull()
+    ok = F.col("_reason").isNull()
     return elems.select(*REPLY_KEYS,
                         F.when(ok, F.size("_elems")).otherwise(F.lit(0)).alias("rows_parsed"),
                         F.when(ok, "ok").otherwise("failed").alias("status"))

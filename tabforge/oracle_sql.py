@@ -217,12 +217,14 @@ QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {LI_ORDER}) <= 3""")
 
 
 # --- D: generation -----------------------------------------------------------------
-# The generator re-stated in SQL: draws are the first 32 bits of md5 over
-# 'seed|column|row|salt'; see the value rules in the generator module.
+# The generator re-stated in SQL: draws are the first 60 bits (32 for choices from short
+# lists) of md5 over 'seed|column|row|salt'; see the value rules in the generator module.
 from .functions import values as _V  # noqa: E402  (word lists are fixed values)
 
 SEED = 42
 RANGE_FROM = "(SELECT unnest(range(1, (SELECT count(*) FROM {t}) + 1)) AS i)"
+KEYED_FROM = {"customer": "(SELECT c_custkey AS i FROM customer)", "orders": "(SELECT o_orderkey AS i FROM orders)",
+              "part": "(SELECT p_partkey AS i FROM part)"}
 
 
 def _h(col: str, salt: str) -> str:
@@ -233,6 +235,10 @@ def _chunk(h: str, k: int = 0) -> str:
     return f"('0x' || substr({h}, {1 + 8 * k}, 8))::BIGINT"
 
 
+def _wide(h: str) -> str:
+    return f"('0x' || substr({h}, 1, 15))::BIGINT"
+
+
 def _list(words: list[str]) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
@@ -245,11 +251,12 @@ def _offset(n: int, dist: str | None, col: str) -> str:
     d = (dist or "uniform").lower()
     if d == "normal":
         terms = " + ".join(_chunk(_h(col, f"g{g}"), k) for g in range(3) for k in range(4))
-        return f"((({terms}) * {n}) // {12 * 4294967296})"
+        return (f"CAST((((({terms})::HUGEINT * 16777216 + {_chunk(_h(col, 'g3'))} % 16777216) * {n}) "
+                f"// {12 * 2**56}::HUGEINT) AS BIGINT)")
     if d == "skewed":
-        x = f"(CAST({_chunk(_h(col, 'v'))} AS DOUBLE) / CAST(4294967296 AS DOUBLE))"
+        x = f"(CAST({_wide(_h(col, 'v'))} AS DOUBLE) / CAST({2**60} AS DOUBLE))"
         return f"CAST(floor({x} * {x} * {n}) AS BIGINT)"
-    return f"({_chunk(_h(col, 'r' if d == 'random' else 'v'))} % {n})"
+    return f"({_wide(_h(col, 'r' if d == 'random' else 'v'))} % {n})"
 
 
 def _gen_value(c: dict) -> str:
@@ -313,7 +320,8 @@ def _gen_value(c: dict) -> str:
     return _pick(_V.WORDS, _offset(len(_V.WORDS), dist, name))
 
 
-def gen_sql(columns: list[dict], pk: str | None = None, table: str = "customer", null_rate: int = 5) -> str:
+def gen_sql(columns: list[dict], pk: str | None = None, table: str = "customer", null_rate: int = 5,
+            keyed: bool = False) -> str:
     exprs = []
     for c in columns:
         if pk and c["name"] == pk:
@@ -325,25 +333,31 @@ def gen_sql(columns: list[dict], pk: str | None = None, table: str = "customer",
                 salt, k = _V.null_source(ColumnContract.from_dict(c))
                 v = f"CASE WHEN {_chunk(_h(c['name'], salt), k)} % 100 >= {null_rate} THEN {v} END"
         exprs.append(f"{v} AS {c['name']}")
-    return f"SELECT i AS row_idx, {', '.join(exprs)} FROM {RANGE_FROM.format(t=table)}"
+    rows = KEYED_FROM[table] if keyed else RANGE_FROM.format(t=table)
+    return f"SELECT i AS row_idx, {', '.join(exprs)} FROM {rows}"
 
 
 def _register_gen():
     from .spec import users_contract
     for name, cols in GEN_CONTRACTS.items():
-        register(name, gen_sql(cols))
-    register("gen_users", gen_sql([c.to_dict() for c in users_contract()], pk="user_id"))
+        register(name, gen_sql(cols, keyed=True))
+    register("gen_users", gen_sql([c.to_dict() for c in users_contract()], pk="user_id", keyed=True))
 
 
 _register_gen()
 
 
-register("mimic_segment", f"""WITH f AS (SELECT c_mktsegment AS value, count(*) AS freq FROM customer
-   WHERE c_mktsegment IS NOT NULL GROUP BY 1),
-iv AS (SELECT value, freq, sum(freq) OVER (ORDER BY value ROWS UNBOUNDED PRECEDING) AS hi FROM f),
-g AS (SELECT i, {_chunk(_h('c_mktsegment', 'v'))} % (SELECT count(*) FROM customer) AS r
-      FROM {RANGE_FROM.format(t='customer')})
-SELECT g.i AS row_idx, iv.value AS c_mktsegment FROM g JOIN iv ON g.r >= iv.hi - iv.freq AND g.r < iv.hi""")
+def _mimic_segment_sql(source: str) -> str:
+    return f"""WITH src AS ({source}),
+f AS (SELECT value, count(*) AS freq FROM src GROUP BY 1),
+iv AS (SELECT value, freq, sum(freq) OVER (ORDER BY value NULLS FIRST ROWS UNBOUNDED PRECEDING) AS hi FROM f),
+g AS (SELECT i, {_wide(_h('c_mktsegment', 'v'))} % (SELECT count(*) FROM src) AS r FROM {KEYED_FROM['customer']})
+SELECT g.i AS row_idx, iv.value AS c_mktsegment FROM g JOIN iv ON g.r >= iv.hi - iv.freq AND g.r < iv.hi"""
+
+
+register("mimic_segment", _mimic_segment_sql("SELECT c_mktsegment AS value FROM customer"))
+register("mimic_nullable", _mimic_segment_sql(
+    "SELECT CASE WHEN c_nationkey % 3 <> 0 THEN c_mktsegment END AS value FROM customer"))
 _PART_ALL = " AND ".join(f"s.{c} IS NOT DISTINCT FROM p.{c}" for c in COLUMNS["part"])
 register("novel_rows", f"""SELECT * FROM part p WHERE NOT EXISTS (
   SELECT 1 FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 10) s WHERE {_PART_ALL})""")
@@ -606,17 +620,23 @@ FROM (SELECT batch_num, {body} AS p FROM ({p}))"""
 
 register("prompt_json_events", _prompt_json_sql())
 register("roundtrip_lineitem_replies", "SELECT *, 0 AS n_cast_errors FROM lineitem")
-register("mimic_price", f"""WITH v AS (SELECT CAST(o_totalprice AS DOUBLE) AS v FROM orders
-   WHERE o_totalprice IS NOT NULL AND NOT isnan(o_totalprice)),
+def _mimic_numeric_sql(column: str, value: str, back: str) -> str:
+    """Inverse of 101 exact quantiles of ``value`` at a draw per key of orders."""
+    return f"""WITH v AS (SELECT {value} AS v FROM orders WHERE {column} IS NOT NULL AND NOT isnan({value})),
 r AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS rk FROM v),
 p AS (SELECT i, i / 100 * ((SELECT count(*) FROM v) - 1) AS pos FROM range(0, 101) t(i)),
 g AS (SELECT p.i, lo.v + (hi.v - lo.v) * (p.pos - floor(p.pos)) AS q
       FROM p JOIN r lo ON lo.rk = floor(p.pos)
              JOIN r hi ON hi.rk = least(ceil(p.pos), (SELECT count(*) FROM v) - 1)),
-s AS (SELECT i AS row_idx, CAST({_chunk(_h('o_totalprice', 'q'))} AS DOUBLE) / CAST(4294967296 AS DOUBLE) * 100 AS u
-      FROM {RANGE_FROM.format(t='orders')})
-SELECT s.row_idx, glo.q + (ghi.q - glo.q) * (s.u - floor(s.u)) AS o_totalprice
-FROM s JOIN g glo ON glo.i = CAST(floor(s.u) AS BIGINT) JOIN g ghi ON ghi.i = least(CAST(floor(s.u) AS BIGINT) + 1, 100)""")
+s AS (SELECT i AS row_idx, CAST({_chunk(_h(column, 'q'))} AS DOUBLE) / CAST(4294967296 AS DOUBLE) * 100 AS u
+      FROM {KEYED_FROM['orders']})
+SELECT s.row_idx, {back.format(q='(glo.q + (ghi.q - glo.q) * (s.u - floor(s.u)))')} AS {column}
+FROM s JOIN g glo ON glo.i = CAST(floor(s.u) AS BIGINT) JOIN g ghi ON ghi.i = least(CAST(floor(s.u) AS BIGINT) + 1, 100)"""
+
+
+register("mimic_price", _mimic_numeric_sql("o_totalprice", "CAST(o_totalprice AS DOUBLE)", "{q}"))
+register("mimic_orderdate", _mimic_numeric_sql("o_orderdate", "CAST(epoch_us(o_orderdate) AS DOUBLE)",
+                                               "make_timestamp(CAST(floor{q} AS BIGINT))"))
 
 
 def _report_documents_sql() -> str:
@@ -662,11 +682,10 @@ register("stream_shortfall_customer", """SELECT p.batch_num, p.target_rows, CAST
 FROM (SELECT batch_num, target_rows FROM (""" + plan(["customer"]).replace("5 AS num_columns", "4 AS num_columns") + """)) p
 LEFT JOIN (SELECT c_custkey // 30 + 1 AS batch_num, count(*) FILTER (WHERE c_custkey % 17 <> 0) AS kept
            FROM customer GROUP BY 1) k ON p.batch_num = k.batch_num""")
-register("mimic_rows_part", f"""WITH s AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS k
-           FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 10)),
-g AS (SELECT i AS row_idx, {_chunk(_h('__row', 'k'))} % 10 AS k,
+register("mimic_rows_part", f"""WITH s AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS k FROM part),
+g AS (SELECT i AS row_idx, {_wide(_h('__row', 'k'))} % (SELECT count(*) FROM part) AS k,
              (CAST({_chunk(_h('p_retailprice', 'j'))} AS DOUBLE) / CAST(4294967296 AS DOUBLE)) * 2 - 1 AS d
-      FROM {RANGE_FROM.format(t='part')})
+      FROM {KEYED_FROM['part']})
 SELECT g.row_idx, s.p_partkey, s.p_name, s.p_brand, s.p_type, s.p_size,
        s.p_retailprice * (1 + CAST(0.1 AS DOUBLE) * g.d) AS p_retailprice
 FROM g JOIN s ON g.k = s.k""")

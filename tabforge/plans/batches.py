@@ -1,7 +1,9 @@
 """Batch planning: sizes, row ranges, seeded keys, default texts.
 
 Plans are DataFrames.  A spec table (one row per dataset) is exploded into
-batches with ``sequence``; the batch table is tiny next to the rows it
+batches in two steps, first into chunks of CHUNK_BATCHES batches, which are
+spread over the cluster, then each chunk into its batches: no array and no
+task holds a whole plan.  The batch table is tiny next to the rows it
 describes (rows / batch size), and it is repartitioned by batch before it is
 exploded further into per-row seeds, so the row-level work is spread over
 the cluster instead of staying in the task that held the spec row.
@@ -28,6 +30,9 @@ DESCRIPTION_FIELDS = 6        # columns named in the default description
 # ---------------------------------------------------------------------------
 
 
+CHUNK_BATCHES = 100_000
+
+
 # C1
 def batch_size(num_columns: Column) -> Column:
     """Rows per call from the column count (no contract counts as 0 columns)."""
@@ -46,8 +51,13 @@ def plan_batches(specs: DataFrame, rows_col: str = "rows", width_col: str = "num
     with_size = specs.select(F.col(name_col).alias("dataset_name"), F.col(rows_col).cast("long").alias("rows"),
                              size.cast("long").alias("batch_size"))
     n = F.ceil(F.col("rows") / F.col("batch_size"))
-    exploded = with_size.select("dataset_name", "rows", "batch_size",
-                                F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long"))).alias("batch_num"))
+    last = F.call_function("div", n.cast("long") - 1, F.lit(CHUNK_BATCHES).cast("long"))
+    chunks = with_size.select("dataset_name", "rows", "batch_size", n.cast("long").alias("__n"),
+                              F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("__chunk"))
+    low = F.col("__chunk") * CHUNK_BATCHES
+    exploded = chunks.where("__n > 0").repartition("dataset_name", "__chunk").select(
+        "dataset_name", "rows", "batch_size",
+        F.explode(F.sequence(low + 1, F.least(low + CHUNK_BATCHES, F.col("__n")))).alias("batch_num"))
     first = (F.col("batch_num") - 1) * F.col("batch_size") + 1
     target = F.least(F.col("batch_size"), F.col("rows") - (F.col("batch_num") - 1) * F.col("batch_size"))
     return exploded.select("dataset_name", "batch_num", "batch_size",

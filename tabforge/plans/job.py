@@ -114,7 +114,7 @@ class OfflineJob:
         if self.pk and self.pk in kept.columns:
             idx = key_suffix(F.col(self.pk))
             mine = F.col(self.pk).startswith(F.lit(self.prefix + "-"))
-            kept_idx = kept.where(mine & idx.isNotNull()).select("batch_num", idx.alias("row_idx"))
+            kept_idx = kept.select("batch_num", F.when(mine, idx).alias("row_idx"))
             return assemble.retry_plan(self.plan, kept_idx, attempt - 1, self.prefix)
         sf = assemble.shortfall(self.plan, kept.select("batch_num")).where(F.col("shortfall") > 0)
         return sf.select("dataset_name", "batch_num", F.col("shortfall").alias("target_rows"),
@@ -129,7 +129,7 @@ class OfflineJob:
         todo = self.todo(attempt)
         if self.spec.columns:
             return prompts.render_csv_prompts(todo, self.spec, self.samples)
-        return prompts.render_json_prompts(todo, self.spec)
+        return prompts.render_json_prompts(todo, self.spec, self.samples)
 
     def export_prompts(self, attempt: int, path: str) -> str:
         """The attempt's prompts as JSON Lines: batch_num, attempt, prompt,

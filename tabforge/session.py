@@ -3,7 +3,8 @@
 Everything that writes intermediate data (retry rounds, sink round trips,
 the job ledger in tests) goes to the shared folder the cluster names in
 ``spark.checkpoint.dir``.  A private folder is only created when that
-setting is absent, which is the local-test case.
+setting is absent and everything runs on this machine; a cluster without the
+setting is an error.
 """
 
 from __future__ import annotations
@@ -55,7 +56,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not configured and sc is not None:
         configured = sc.getConf().get(CHECKPOINT_CONF, None)
     if not configured:
-        # Unset only in local tests: take a fresh private folder.
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tabforge-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, configured)
     if sc is None:

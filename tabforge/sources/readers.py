@@ -22,7 +22,8 @@ NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-n
                "n/a", "nan", "null"]
 # ---------------------------------------------------------------------------
 
-SNIFF_LINES = 1000
+SNIFF_LINES = 1000            # default head of lines a delimiter is sniffed from
+NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity|Inf|Infinity)$"
 
 
 def file_kind(path: str) -> str:
@@ -31,7 +32,7 @@ def file_kind(path: str) -> str:
     for ext in ("csv", "parquet", "json"):
         if low.endswith("." + ext):
             return ext
-    raise ValueError(f"Unsupported file type '{path}'. Use a .csv, .json, or .parquet file.")
+    raise ValueError(f"{path}: the name must end in .csv, .json or .parquet")
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +46,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 
 def _require_rows(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
-        raise ValueError(f"{what} file is empty")
+        raise ValueError(f"no rows in the {what} source")
     return df
 
 
@@ -60,8 +61,8 @@ def delimiter_counts(lines: DataFrame, line_col: str = "value",
     count, else the one with the highest maximum).
     """
     candidates = candidates or DELIMITERS
-    line = F.col(line_col)
-    body = lines.where(F.length(F.trim(line)) > 0)
+    line = F.regexp_replace(F.col(line_col), '"([^"]|"")*"', "")      # delimiters inside quotes do not count
+    body = lines.where(F.length(F.trim(F.col(line_col))) > 0)
     aggs = [F.count(F.lit(1)).alias("lines")]
     for i, d in enumerate(candidates):
         n = F.length(line) - F.length(F.replace(line, F.lit(d), F.lit("")))
@@ -112,9 +113,11 @@ def infer_types(df: DataFrame) -> DataFrame:
     aggs = []
     for i, c in enumerate(df.columns):
         v = F.col(c)
+        # Spark's cast also takes Java's suffixes (1d, 2f), which are text here
+        number = F.trim(v).rlike(NUMBER)
         aggs += [F.count(v).alias(f"n{i}"),
                  F.count(v.try_cast("bigint")).alias(f"l{i}"),
-                 F.count(v.try_cast("double")).alias(f"d{i}"),
+                 F.count(F.when(number, v.try_cast("double"))).alias(f"d{i}"),
                  F.count(F.when(v.isin("True", "False", "true", "false", "TRUE", "FALSE"), 1)).alias(f"b{i}")]
     stats = df.agg(*aggs).first()
     cols = []
@@ -139,16 +142,20 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 # A3 --------------------------------------------------------------------------
 def read_json_rows(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """A JSON file whose top level is a non-empty array of objects -> one row per object."""
-    first = (spark.read.text(path).where(F.length(F.trim("value")) > 0)
-             .select(F.ltrim("value").alias("v")).first())
-    if first is None or not first["v"].startswith("["):
-        raise ValueError("JSON must be a non-empty array of objects.")
+    # the first non-blank line of every file, found by position
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), F.substring(F.ltrim("value"), 1, 1).alias("c"))
+    heads = lines.groupBy("file").agg(F.min_by("c", F.struct("block", "at")).alias("c"))
+    wrong = heads.agg(F.count("*").alias("files"), F.min(F.when(F.col("c") != "[", F.col("file"))).alias("file")).first()
+    if not wrong["files"] or wrong["file"]:
+        raise ValueError(f"{wrong['file'] or path}: a JSON source needs an array of objects at its top level")
     reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.json(path)
     if "_corrupt_record" in df.columns:
-        raise ValueError("JSON must be a non-empty array of objects.")
+        raise ValueError(f"{path}: a JSON source needs an array of objects at its top level")
     return _require_rows(df, "JSON")
 
 

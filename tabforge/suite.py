@@ -289,14 +289,17 @@ def q_trim_to_rows(spark, sf_dir):
 
 
 # --- D: generation ----------------------------------------------------------------
-def _skeleton_rows(spark, sf_dir, table: str = "customer") -> int:
-    """Generated row count = rows of a driver table (parquet footer count)."""
-    return load(spark, sf_dir, table).count()
+TABLE_KEYS = {"customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey"}
+
+
+def _table_skeleton(spark, sf_dir, table: str):
+    """One generated row per row of a driver table, addressed by that row's key."""
+    return generate.key_skeleton(load(spark, sf_dir, table), TABLE_KEYS[table])
 
 
 def _gen(spark, sf_dir, columns, pk=None):
-    spec = DatasetSpec("gen", _skeleton_rows(spark, sf_dir), columns=columns, primary_key=pk)
-    return generate.generate(spark, spec).drop("batch_num")
+    spec = DatasetSpec("gen", 1, columns=columns, primary_key=pk)
+    return generate.generate(spark, spec, skeleton=_table_skeleton(spark, sf_dir, "customer")).drop("batch_num")
 
 
 def _gen_query(name: str, columns: list[dict], pk: str | None = None):
@@ -312,15 +315,27 @@ QUERIES["gen_users"] = lambda spark, sf_dir: _gen(spark, sf_dir, [c.to_dict() fo
 @query("mimic_segment")
 def q_mimic_segment(spark, sf_dir):
     cust = load(spark, sf_dir, "customer")
-    skel = generate.row_skeleton(spark, cust.count(), 30).drop("batch_num")
-    return generate.mimic_categorical(skel, cust, "c_mktsegment")
+    return generate.mimic_categorical(_table_skeleton(spark, sf_dir, "customer").drop("batch_num"), cust, "c_mktsegment")
+
+
+@query("mimic_nullable")
+def q_mimic_nullable(spark, sf_dir):
+    """D8 over a column a third of which is null: nulls are drawn at their own share."""
+    cust = load(spark, sf_dir, "customer").withColumn(
+        "c_mktsegment", F.when(F.col("c_nationkey") % 3 != 0, F.col("c_mktsegment")))
+    return generate.mimic_categorical(_table_skeleton(spark, sf_dir, "customer").drop("batch_num"), cust, "c_mktsegment")
+
+
+@query("mimic_orderdate")
+def q_mimic_orderdate(spark, sf_dir):
+    orders = load(spark, sf_dir, "orders")
+    return generate.mimic_numeric(_table_skeleton(spark, sf_dir, "orders").drop("batch_num"), orders, "o_orderdate")
 
 
 @query("mimic_price")
 def q_mimic_price(spark, sf_dir):
     orders = load(spark, sf_dir, "orders")
-    skel = generate.row_skeleton(spark, orders.count(), 30).drop("batch_num")
-    return generate.mimic_numeric(skel, orders, "o_totalprice")
+    return generate.mimic_numeric(_table_skeleton(spark, sf_dir, "orders").drop("batch_num"), orders, "o_totalprice")
 
 
 def _part_samples(spark, sf_dir):
@@ -655,7 +670,7 @@ def q_prompt_json(spark, sf_dir):
 def q_validate_generated(spark, sf_dir):
     """G1, G4-G7 on rule-generated users (one row per check; zero violations expected)."""
     contract = users_contract()
-    n = _skeleton_rows(spark, sf_dir)
+    n = load(spark, sf_dir, "customer").count()
     df = generate.generate(spark, DatasetSpec("users", n, columns=contract), keep_index=False)
     name, bad = validate.column_set_check(df, contract)
     report = validate.column_checks(df, contract, expected_rows=n)
@@ -710,12 +725,10 @@ def q_stream_shortfall(spark, sf_dir):
 
 @query("mimic_rows_part")
 def q_mimic_rows(spark, sf_dir):
-    """Part-sized output where each row copies one of the first 10 parts (the
-    samples), keeping relations between columns, with the price jittered by up
-    to 10 %."""
+    """Part-sized output where each row copies a part drawn from the whole table,
+    keeping relations between columns, with the price jittered by up to 10 %."""
     part = load(spark, sf_dir, "part")
-    skel = generate.row_skeleton(spark, part.count(), 30).drop("batch_num")
-    return generate.mimic_rows(skel, part.orderBy("p_partkey").limit(10), "p_partkey",
+    return generate.mimic_rows(_table_skeleton(spark, sf_dir, "part").drop("batch_num"), part, "p_partkey",
                                jitter={"p_retailprice": 0.1})
 
 

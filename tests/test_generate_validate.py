@@ -67,12 +67,42 @@ def test_mimic_categorical_follows_frequencies(spark):
     assert abs(freq["a"] - 0.7) < 0.03 and abs(freq["c"] - 0.1) < 0.03
 
 
-def test_running_total_distributed_path_matches_window(spark, monkeypatch):
+def test_running_total_matches_a_plain_sum(spark):
     df = spark.range(1, 2001).select(F.col("id").alias("k"), (F.col("id") % 7).alias("amt"))
-    small = {r["k"]: r["hi"] for r in generate.running_total(df, "k", "amt").collect()}
-    monkeypatch.setattr(generate, "SINGLE_TASK_ROWS", 300)
-    big = {r["k"]: r["hi"] for r in generate.running_total(df, "k", "amt").collect()}
-    assert small == big
+    got = {r["k"]: r["hi"] for r in generate.running_total(df, "k", "amt").collect()}
+    total, want = 0, {}
+    for k in range(1, 2001):
+        total += k % 7
+        want[k] = total
+    assert got == want
+
+
+def test_wide_ranges_reach_their_ends(spark):
+    cols = [{"name": "big", "type": "integer", "pattern": "1-1000000000000"},
+            {"name": "bell", "type": "integer", "pattern": "1-1000000000000", "distribution": "normal"},
+            {"name": "low", "type": "integer", "pattern": "0-1000000000000", "distribution": "skewed"},
+            {"name": "day", "type": "datetime", "pattern": "2000-01-01 to 2025-12-31", "distribution": "normal"},
+            {"name": "price", "type": "float", "pattern": "0-5000000", "distribution": "normal"}]
+    df = generate.generate(spark, DatasetSpec("w", 3000, columns=cols))
+    r = df.selectExpr("max(big) a", "min(big) b", "avg(bell) c", "max(low) d", "min(day) e", "max(day) f",
+                      "avg(price) g", "count(distinct bell) h").first()
+    assert r.a > 9.9e11 and 1 <= r.b < 1e10 and 4.8e11 < r.c < 5.2e11 and r.d > 9e11
+    assert r.e.year >= 2000 and r.f.year <= 2025 and 2.4e6 < r.g < 2.6e6 and r.h == 3000
+
+
+def test_mimicry_keeps_nulls_and_dates(spark):
+    src = spark.range(1, 1001).selectExpr(
+        "if(id % 2 = 0, null, concat('v', id % 3)) v", "date_add(date '2020-01-01', cast(id as int)) d",
+        "timestamp_ntz '2021-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) t")
+    skel = generate.key_skeleton(spark.range(1, 4001), "id").drop("batch_num")
+    share = generate.mimic_categorical(skel, src, "v").selectExpr("avg(int(v is null)) x").first().x
+    assert abs(share - 0.5) < 0.03
+    for c in ("d", "t"):
+        out = generate.mimic_numeric(skel, src, c)
+        assert out.schema[c].dataType == src.schema[c].dataType
+        lo, hi = src.selectExpr(f"min({c})", f"max({c})").first()
+        assert out.where((F.col(c) < F.lit(lo)) | (F.col(c) > F.lit(hi))).count() == 0
+        assert out.select(c).distinct().count() > 500
 
 
 def test_mimic_rows_and_copies(spark):

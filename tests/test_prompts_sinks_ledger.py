@@ -44,10 +44,13 @@ def test_prompt_with_samples_and_no_key(spark):
 
 def test_json_prompt(spark):
     spec = DatasetSpec("t", 5, sample_rows=[{"a": 1}])
-    text = prompts.render_json_prompt(spec, 5)
-    assert text.startswith("Generate 5 rows of realistic tabular data.\nDataset Name: t\n\nSample Rows:\n[\n  {")
-    got = prompts.render_json_prompts(batches.plan_single(spark, 5, 0), spec).first()["prompt"]
-    assert got == text
+    plan = batches.plan_single(spark, 5, 0)
+    text = prompts.render_json_prompts(plan, spec).first()["prompt"]
+    assert text == ("Generate 5 rows of realistic tabular data.\nDataset Name: t\n\nSample Rows:\n"
+                    '[\n  {\n    "a": 1\n  }\n]\n' + prompts.JSON_PROMPT_RULES)
+    full = DatasetSpec("t", 5, description="about {rows}", ai_criteria="be odd")
+    text = prompts.render_json_prompts(plan, full, [{"b": 2}]).first()["prompt"]
+    assert "\n\nDescription:\nabout {rows}\n\nSample Rows:\n" in text and "]\n\nAI Criteria:\nbe odd\n\nRules:" in text
 
 
 def test_completion_errors_are_rows(spark):

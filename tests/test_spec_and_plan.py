@@ -56,13 +56,29 @@ def test_patterns():
         parse_pattern("(a|b)", "string")
 
 
+def test_open_repeats():
+    (token,) = parse_pattern("[a-c]{2,}").tokens
+    assert (token.min_rep, token.max_rep) == (2, 10)
+    from tabforge.spec import parse_regex
+    assert parse_regex("a+", open_repeat=30).tokens[0].max_rep == 30
+
+
+def test_plan_of_a_trillion_rows(spark):
+    specs = spark.createDataFrame([("big", 10**12, 8), ("none", 0, 8)], "dataset_name string, rows long, num_columns int")
+    plan = batches.plan_batches(specs)
+    assert "Exchange" in plan._jdf.queryExecution().executedPlan().toString()
+    assert plan.limit(3).count() == 3
+    small = batches.plan_batches(spark.createDataFrame([("s", 300_000_0, 8)], specs.schema))
+    got = small.selectExpr("count(*)", "min(start_idx)", "max(end_idx)", "sum(target_rows)", "max(batch_num)").first()
+    assert tuple(got) == (100_000, 1, 3_000_000, 3_000_000, 100_000)
+
+
 def test_request_checks_and_key_confirmation():
     with pytest.raises(ValueError):
         DatasetSpec("", 10)
     with pytest.raises(ValueError):
         DatasetSpec("x", 0)
-    with pytest.raises(ValueError):
-        DatasetSpec("x", 10_000_001)
+    assert DatasetSpec("x", 10**12).rows == 10**12           # no request is too large
     with pytest.raises(ValueError):
         DatasetSpec("x", 5, format="xlsx")
     s = DatasetSpec("x", 5, columns=[{"name": "id"}], primary_key="nope")

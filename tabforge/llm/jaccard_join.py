@@ -21,11 +21,15 @@ in k shingles differ in at most k of the others.  Sets with more than e empty
 blocks, the only ones that may agree in empty blocks alone, are entered once more
 with all their shingles, and then under each block that is still empty.
 
+A set shares at least 1 + e - (its empty blocks) lists with any set it links with;
+classes that share fewer with all others together are left out.
+
 Copies of a set are one class.  Within a list each class is compared with the
-list's smallest class only: by a histogram of hashes first, whose distance is at
-most the number of differing shingles, then shingle by shingle.  Where such a comparison fails, the class is still
-compared with every class of that list's group that is not yet in its component
-and that the triangle inequality of the Jaccard distance leaves possible.  So no
+list's smallest and largest class only: by a histogram of hashes first, whose distance is at
+most the number of differing shingles, then shingle by shingle.  Where the comparison with the smallest
+fails, the class is still compared with every class of that list's group that is not
+yet in its component and that the triangle inequality of the Jaccard distance leaves
+possible.  So no
 link between components is lost, and no group's pairs are all made.
 
 Defined results: null or empty text, or text without words, has no shingles and
@@ -136,9 +140,10 @@ def block_keys(s: np.ndarray, group: int, m: int, stripped: bool) -> tuple[np.nd
     return mix(np.add.reduceat(mix(s ^ _M1), at) + mix(block[at] + salt)), block[at]
 
 
-def list_keys(s: np.ndarray, light: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of a set's lists: subsets for partners of its own size, subsets for partners of
-    another size, blocks."""
+def list_keys(s: np.ndarray, light: int, common: np.ndarray) -> list[tuple[int, np.ndarray, int, int]]:
+    """A set's lists as (kind, keys, family, least): subsets for partners of its own size
+    (SAME) or another (CROSS), and blocks (LIST).  Of the lists of one family it shares
+    ``least`` or more with any set that it links with through that family."""
     n = len(s)
     same, cross = [], []
     if n <= light:
@@ -148,7 +153,7 @@ def list_keys(s: np.ndarray, light: int, common: np.ndarray) -> tuple[np.ndarray
                 head = f"{min(n, m)},{max(n, m)}".encode()
                 for c in itertools.combinations(range(n), n - t):
                     (same if m == n else cross).append(xxhash.xxh3_64_intdigest(head + np.delete(s, list(c)).tobytes()))
-    lists = []
+    out = [(SAME, np.asarray(same, np.uint64), 0, 1), (CROSS, np.asarray(cross, np.uint64), 0, 1)]
     bounds = limits(light)
     if n >= bounds[0]:
         rare = s
@@ -162,19 +167,19 @@ def list_keys(s: np.ndarray, light: int, common: np.ndarray) -> tuple[np.ndarray
             m = blocks(last)
             spare = m - differ(last) - 1
             keys, held = block_keys(rare, group, m, True)
-            lists.append(keys)
+            out.append((LIST, keys, 2 * group + 1, max(1, spare + 1 - m + len(held))))
             if m - len(held) > spare:
                 keys, held = block_keys(s, group, m, False)
-                lists.append(keys)
                 if m - len(held) > spare:
                     gone = np.setdiff1d(np.arange(m, dtype=np.uint64), held)
-                    lists.append(mix(mix(gone + np.uint64((group << 32) + 1)) ^ _M2))
-    return (np.asarray(same, np.uint64), np.asarray(cross, np.uint64),
-            np.concatenate(lists) if lists else np.zeros(0, np.uint64))
+                    keys = np.concatenate([keys, mix(mix(gone + np.uint64((group << 32) + 1)) ^ _M2)])
+                out.append((LIST, keys, 2 * group, max(1, spare + 1 - m + len(held))))
+    return [x for x in out if len(x[1])]
 
 
 ROWS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()),
                   ("doc_id", pa.int64()), ("handle", pa.int64())])
+# rows of lists carry the least number of shared lists as doc_id and their family as handle
 ROWS_SQL = "kind int, key long, sig long, n long, doc_id long, handle long"
 DOC, SAME, CROSS, LIST = 0, 1, 2, 3
 
@@ -201,8 +206,8 @@ def list_rows(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator
             rows.append((DOC, mix(spread), sig, len(s), doc_id, handle))
             if len(s) and sig not in seen:
                 seen.add(sig)
-                rows += [(kind, keys, sig, len(s), None, 0)
-                         for kind, keys in zip((SAME, CROSS, LIST), list_keys(s, light, common)) if len(keys)]
+                rows += [(kind, keys, sig, len(s), least, family)
+                         for kind, keys, family, least in list_keys(s, light, common)]
         if rows:
             kind, keys, sig, size, doc_id, handle = zip(*rows)
             per = np.asarray([len(k) for k in keys])
@@ -217,24 +222,23 @@ def list_rows(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator
                  pa.array(np.repeat(np.asarray(handle, np.int64), per))], schema=ROWS)
 
 
-MEMBERS = T.StructType([T.StructField("sig", T.LongType()), T.StructField("n", T.LongType()),
-                        T.StructField("members", T.BinaryType()), T.StructField("histogram", T.BinaryType())])
+MEMBERS = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("members", pa.binary()), ("histogram", pa.binary())])
+MEMBERS_SQL = "sig long, n long, members binary, histogram binary"
 BINS = 512
 KEPT_BYTES = 5                   # of a shingle's hash, in comparisons of two sets
 
 
-@F.arrow_udf(MEMBERS)
-def sets(texts: pa.Array) -> pa.Array:
+def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Class, size, shingles (40 bits each) and histogram of hashes of each text."""
-    found = [shingles(t) for t in texts.to_pylist()]
-    sigs = np.asarray([signature(s) for s in found], np.uint64).view(np.int64)
-    short = [np.sort(s & np.uint64((1 << 8 * KEPT_BYTES) - 1)).astype("<u8").view(np.uint8)
-             .reshape(-1, 8)[:, :KEPT_BYTES].tobytes() for s in found]
-    bins = [np.minimum(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=BINS), 255)
-            .astype(np.uint8).tobytes() for s in found]
-    return pa.StructArray.from_arrays(
-        [pa.array(sigs, pa.int64()), pa.array([len(s) for s in found], pa.int64()),
-         pa.array(short, pa.binary()), pa.array(bins, pa.binary())], ["sig", "n", "members", "histogram"])
+    for batch in batches:
+        found = [shingles(t) for t in batch.column(0).to_pylist()]
+        sigs = np.asarray([signature(s) for s in found], np.uint64).view(np.int64)
+        short = [s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes() for s in found]
+        bins = [np.minimum(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=BINS), 255)
+                .astype(np.uint8).tobytes() for s in found]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(sigs, pa.int64()), pa.array([len(s) for s in found], pa.int64()),
+             pa.array(short, pa.binary()), pa.array(bins, pa.binary())], schema=MEMBERS)
 
 
 @F.arrow_udf(T.LongType())
@@ -256,7 +260,7 @@ def shared(a: pa.Array, b: pa.Array) -> pa.Array:
     out = []
     for x, y in zip(a.to_pylist(), b.to_pylist()):
         both = np.concatenate([_wide(x), _wide(y)])
-        both.sort(kind="stable")
+        both.sort()
         out.append(int((both[1:] == both[:-1]).sum()))
     return pa.array(out, pa.int64())
 
@@ -334,43 +338,87 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     handle = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()))
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), handle.alias("handle"))
     listed = texts.mapInArrow(list_maker(common_shingles(texts)), ROWS_SQL)
-    # the smallest class of every list; lists of a single class are left behind
+    # lists of a single class are left behind
     here = Window.partitionBy("kind", "key")
-    scanned = listed.withColumns({"hub": F.min("sig").over(here), "least": F.min("n").over(here),
-                                  "most": F.max("n").over(here)})
+    scanned = listed.withColumns({"hub": F.min("sig").over(here), "top": F.max("sig").over(here),
+                                  "least": F.min("n").over(here), "most": F.max("n").over(here)})
     # a subset for partners of two sizes joins its list only if both sizes are there: then
     # each set of one size links with each of the other
-    apart_sizes = (F.col("kind") != CROSS) | (F.col("least") != F.col("most"))
-    scanned = scanned.where((F.col("kind") == DOC) | ((F.col("sig") != F.col("hub")) & apart_sizes))
-    scanned = materialise(scanned.select("kind", "sig", "n", "doc_id", "handle", "hub"), "jaccard-lists")
+    sizes = (F.col("kind") != CROSS) | (F.col("least") != F.col("most"))
+    scanned = scanned.where((F.col("kind") == DOC) | ((F.col("hub") != F.col("top")) & sizes))
+    scanned = materialise(scanned.select("kind", "key", "sig", "n", "doc_id", "handle", "hub"), "jaccard-lists")
     rows = scanned.where(F.col("kind") == DOC).select("doc_id", "handle", "sig", "n")
-    certain = scanned.where(F.col("kind").isin(SAME, CROSS)).select(F.col("sig").alias("a"), F.col("hub").alias("b")).distinct()
-    pairs = scanned.where(F.col("kind") == LIST).select(F.col("sig").alias("a"), F.col("hub").alias("b")).distinct()
+    certain = (scanned.where(F.col("kind").isin(SAME, CROSS) & (F.col("sig") != F.col("hub")))
+               .select(F.col("sig").alias("a"), F.col("hub").alias("b")).distinct())
+    pairs = hub_pairs(scanned.where(F.col("kind") == LIST)
+                      .select("key", "sig", F.col("handle").alias("family"), F.col("doc_id").alias("least")))
     pairs = pairs.checkpoint()
     # shingles of the classes in question, from one document of each
     asked = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
     shown = rows.join(asked, "sig").groupBy("sig").agg(F.min("handle").alias("handle")).checkpoint()
-    made = marked(texts, shown.select("handle")).select(sets("text").alias("s")).select("s.*")
+    made = marked(texts, shown.select("handle")).select("text").mapInArrow(sets, MEMBERS_SQL)
     members = materialise(made.join(shown, "sig", "left_semi").dropDuplicates(["sig"]), "jaccard-sets")
-    judged = materialise(compare(pairs, members), "jaccard-pairs")
-    edges = judged.where("linked").select("a", "b").union(certain).checkpoint()
-    first = components(edges).checkpoint()
-    # groups of a hub that are not one component: classes that failed against the hub
-    # meet the classes of the group in other components
-    group = (judged.select(F.col("b").alias("hub"), F.col("a").alias("node"), "least", "most", "linked")
-             .join(members.select(F.col("sig").alias("node"), F.col("n").alias("size")), "node")
-             .join(first, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    failed = group.where(~F.col("linked")).select(
+    judged = compare(pairs.select("a", "b"), members).join(pairs, ["a", "b"])
+    judged = materialise(judged, "jaccard-pairs")
+    roots = components(judged.where("linked").select("a", "b").union(certain)).checkpoint()
+    # groups of a hub that are not one component: classes that failed against the hub meet
+    # classes of the group in other components, at first a few of each, then all
+    group = (judged.where("low").select(F.col("b").alias("hub"), F.col("a").alias("node"), "least", "most", "linked")
+             .join(members.select(F.col("sig").alias("node"), F.col("n").alias("size")), "node"))
+    for few in (FEW, None):
+        later = compare(unsettled(group, roots, few).checkpoint(), members).where("linked").select("a", "b").checkpoint()
+        if not later.isEmpty():
+            roots = merged(roots, later).checkpoint()
+    return rows, roots
+
+
+FEW = 4
+
+
+def hub_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b, low) with a > b: each class of a list with the list's smallest class (low)
+    and with its largest.  Classes that share fewer lists than any link needs are out."""
+    enough = (lists.groupBy("sig", "family").agg(F.count("*").alias("lists"), F.max("least").alias("least"))
+              .where("lists >= least").select("sig", "family"))
+    here = Window.partitionBy("key")
+    kept = lists.select("key", "sig", "family").join(enough, ["sig", "family"]).withColumns(
+        {"first": F.min("sig").over(here), "last": F.max("sig").over(here)}).where("first <> last")
+    ends = F.array(F.struct(F.col("sig").alias("a"), F.col("first").alias("b"), F.lit(True).alias("low")),
+                   F.struct(F.col("last").alias("a"), F.col("sig").alias("b"), F.lit(False).alias("low")))
+    return (kept.select(F.explode(ends).alias("e")).select("e.*").where("a <> b")
+            .groupBy("a", "b").agg(F.max("low").alias("low")))
+
+
+def unsettled(group: DataFrame, roots: DataFrame, few: int | None) -> DataFrame:
+    """Pairs (a, b) of a class that failed against its hub and a class of the hub's group
+    in another component, where size and triangle inequality leave a link possible;
+    with ``few``, that many classes of each component."""
+    known = group.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = known.groupBy("hub").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("hub")
+    known = known.join(split, "hub").checkpoint()
+    failed = known.where(~F.col("linked")).select(
         "hub", *(F.col(c).alias(f"f_{c}") for c in ("node", "size", "least", "most", "root")))
-    more = (failed.join(group, "hub")
+    others = known
+    if few:
+        order = Window.partitionBy("hub", "root").orderBy(F.xxhash64("node"), "node")
+        others = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= few)
+    return (failed.join(others, "hub")
             .where((F.col("root") != F.col("f_root"))
                    & (5 * F.col("size") >= 4 * F.col("f_size")) & (5 * F.col("f_size") >= 4 * F.col("size"))
                    & (F.col("least") - F.col("f_most") <= 0.2 + 1e-9) & (F.col("f_least") - F.col("most") <= 0.2 + 1e-9))
             .select(F.greatest("node", "f_node").alias("a"), F.least("node", "f_node").alias("b")).distinct())
-    later = compare(more.checkpoint(), members).where("linked").select("a", "b").checkpoint()
-    if later.isEmpty():
-        return rows, first
-    return rows, components(edges.union(later)).checkpoint()
+
+
+def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``roots`` after the components that ``edges`` connect have become one."""
+    at = edges
+    for end in ("a", "b"):
+        own = roots.select(F.col("node").alias(end), F.col("root").alias(f"r_{end}"))
+        at = at.join(own, end, "left").withColumn(f"r_{end}", F.coalesce(f"r_{end}", end))
+    joint = components(at.select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))).checkpoint()
+    fresh = joint.join(roots, "node", "left_anti")
+    moved = roots.join(joint.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    return moved.select("node", F.coalesce("to", "root").alias("root")).union(fresh.select("node", "root"))
 
 
 def groups(docs: DataFrame) -> DataFrame:

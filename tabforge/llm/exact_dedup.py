@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import materialise, partitions, text_or_empty
 
 BLANKS = b" \t\n\v\f\r"
-LEAF_BYTES = 8 << 20
+LEAF_BYTES = 1 << 20
 CHUNK_BYTES = 24 << 20
 FIRST_DIGIT = 16
 NO_ID = (1 << 63) - 1

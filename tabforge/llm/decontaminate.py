@@ -90,16 +90,18 @@ def matches(docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROADCAST_
     spots = spots.select("doc_id", "pos", F.explode("hashes").alias("seed"))
     hits = spots.join(lookup, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"))
     hits = materialise(hits.distinct(), "seed-hits")
-    return verified(text, hits, known)
+    return verified(docs, hits, known)
 
 
-def verified(text: DataFrame, hits: DataFrame, known: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, hits: DataFrame, known: DataFrame) -> DataFrame:
     """The alignments of ``hits`` that agree well enough, the best of each pair."""
     by_id = known.select(F.col("item_id").alias("known_id"), "item")
     marked = (hits.join(by_id, F.col("item_id").eqNullSafe(F.col("known_id")))
               .select(F.col("doc_id").alias("hit_id"), "item_id", "shift", "item"))
-    judged = (text.join(marked, F.col("doc_id").eqNullSafe(F.col("hit_id")))
-              .select("doc_id", "item_id", "shift", F.size("item").alias("n_words"),
+    # texts are joined whole and split into words only where there is a hit
+    judged = (docs.select("doc_id", text_or_empty().alias("text"))
+              .join(marked, F.col("doc_id").eqNullSafe(F.col("hit_id")))
+              .withColumn("doc", words(F.col("text"))).select("doc_id", "item_id", "shift", F.size("item").alias("n_words"),
                       F.least(F.size("item"), F.lit(WINDOW)).alias("compared"),
                       agreement(F.col("doc"), F.col("item"), F.col("shift")).alias("agree")))
     allowed = F.create_map(*(F.lit(x) for pair in sorted(MISSES.items()) for x in pair))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..spec import ColumnContract, DateRange, NumericRange, RegexPattern, parse_pattern
+from ..spec import ColumnContract, DateRange, NumericRange, parse_range
 
 # ---------------------------------------------------------------------------
 # Format rules of this library's validator (its own choice).
@@ -28,6 +28,7 @@ FORMAT_RULES = {
     "uuid": "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "url": "^https?://[A-Za-z0-9.-]+(:[0-9]+)?([/?#][^ ]*)?$",
 }
+SEEDED_KEY = "^[^a-z ]+-[0-9]+$"      # a pre-seeded key: the key's upper-case name and the row
 BOOLEAN_WORDS = ["true", "false"]
 PLACEHOLDER_WORDS = ["lorem", "ipsum", "test", "n/a", "xxx", "todo", "tbd", "placeholder", "dummy", "asdf"]
 # ---------------------------------------------------------------------------
@@ -49,18 +50,40 @@ def _missing(df: DataFrame, name: str) -> Column:
     return t.isNull() | (t == "")
 
 
-def format_ok(text: Column, vocab: str) -> Column | None:
+def format_ok(text: Column, vocab: str, physical: T.DataType = T.StringType(), key: bool = False) -> Column | None:
+    """Whether present values have the contract type's form; None for types without one.
+
+    Text must look like its type, and dates must exist in the calendar.  A column that
+    is stored as something else has its type by construction: a semantic name (an
+    ``_id`` that is a number, a ``date`` that is a timestamp) asks nothing of its text
+    form.  A key column may hold pre-seeded keys."""
     v = vocab.lower()
     if v == "boolean":
         return F.lower(text).isin(*BOOLEAN_WORDS)
     rule = FORMAT_RULES.get(v)
-    return text.rlike(rule) if rule else None
+    if rule is None:
+        return None
+    if not isinstance(physical, T.StringType) and v not in ("integer", "float"):
+        return F.lit(True)
+    ok = text.rlike(rule)
+    if v in ("date", "datetime"):
+        ok = ok & text.try_cast("date" if v == "date" else "timestamp_ntz").isNotNull()
+    return ok | text.rlike(SEEDED_KEY) if key else ok
+
+
+def whole_match(pattern: str) -> str:
+    """A regex that must match the whole value; one outer ^ and $ are taken as meant so."""
+    body = pattern[1:] if pattern.startswith("^") else pattern
+    escapes = len(body[:-1]) - len(body[:-1].rstrip("\\"))
+    if body.endswith("$") and escapes % 2 == 0:
+        body = body[:-1]
+    return f"^(?:{body})$"
 
 
 def pattern_ok(df: DataFrame, c: ColumnContract) -> Column | None:
-    pat = parse_pattern(c.pattern, c.type)
-    if pat is None:
+    if not c.pattern:
         return None
+    pat = parse_range(c.pattern, c.type)
     t = _text(df, c.name)
     if isinstance(pat, NumericRange):
         num = t.try_cast("double")
@@ -72,12 +95,11 @@ def pattern_ok(df: DataFrame, c: ColumnContract) -> Column | None:
         lo_l = F.lit(pat.lo.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
         hi_l = F.lit(hi.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")   # wall time: no zone
         return ts.isNotNull() & (ts >= lo_l) & (ts <= hi_l)
-    if isinstance(pat, RegexPattern):
-        return t.rlike(f"^(?:{c.pattern.lstrip('^').rstrip('$')})$")
-    return None
+    return t.rlike(whole_match(c.pattern))
 
 
-def column_checks(df: DataFrame, contract: list[ColumnContract], expected_rows: int | None = None) -> DataFrame:
+def column_checks(df: DataFrame, contract: list[ColumnContract], expected_rows: int | None = None,
+                  key: str | None = None) -> DataFrame:
     """G1 + G5 + G6 + G7 in one aggregate job -> rows (check_name, column_name, violations).
 
     Present values only are format/pattern checked; missing values count
@@ -89,7 +111,7 @@ def column_checks(df: DataFrame, contract: list[ColumnContract], expected_rows:
         miss = _missing(df, c.name)
         if not c.nullable:
             checks.append(("not_null", c.name, miss))
-        fmt = format_ok(_text(df, c.name), c.type)
+        fmt = format_ok(_text(df, c.name), c.type, df.schema[c.name].dataType, c.name == key)
         if fmt is not None:
             checks.append(("type_format", c.name, ~miss & ~F.coalesce(fmt, F.lit(False))))
         pat = pattern_ok(df, c)
@@ -118,30 +140,26 @@ def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
 
 
-def key_gaps(df: DataFrame, key: Column, target_batches: int = 100_000) -> DataFrame:
+def key_gaps(df: DataFrame, key: Column) -> DataFrame:
     """Breaks in a numeric key sequence: (prev_key, key, gap) where gap != 1.
 
-    Keys are bucketed by value range; ``lag`` runs inside each bucket (a
-    distributed window), and the first key of a bucket takes the last key of
-    the nearest lower non-empty bucket from a bucket summary (at most
-    ``target_batches`` rows) - no global single-partition window over keys."""
+    Distinct keys are dealt out by range, so a task's share follows the number of keys
+    and not their values, and checkpointed (stable partition ids).  ``lag`` runs inside
+    each partition; the first key of a partition takes the last one of the nearest
+    lower partition from a summary of one row per partition."""
+    from ..session import shared_dir
+    spark = df.sparkSession
+    shared_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = df.select(key.cast("bigint").alias("k")).where(F.col("k").isNotNull()).distinct()
-    bounds = keys.agg(F.min("k").alias("lo"), F.max("k").alias("hi")).first()
-    if bounds is None or bounds["lo"] is None:
-        return keys.select(F.col("k").alias("prev_key"), F.col("k").alias("key"),
-                           F.lit(0).cast("bigint").alias("gap")).limit(0)
-    width = max(1, -(-(bounds["hi"] - bounds["lo"] + 1) // target_batches))
-    b = keys.withColumn("b", F.call_function("div", F.col("k") - F.lit(bounds["lo"]), F.lit(width)))
-    # gaps inside a bucket: lag within the bucket (a distributed window)
-    inner = (b.withColumn("prev_key", F.lag("k").over(Window.partitionBy("b").orderBy("k")))
+    dealt = keys.repartitionByRange(parts, "k").withColumn("part", F.spark_partition_id()).checkpoint()
+    inner = (dealt.withColumn("prev_key", F.lag("k").over(Window.partitionBy("part").orderBy("k")))
              .where(F.col("prev_key").isNotNull())
              .select("prev_key", F.col("k").alias("key")))
-    # gaps across buckets: a bucket's min against the previous non-empty bucket's max
-    # (the bucket summary has at most target_batches rows)
-    summary = b.groupBy("b").agg(F.min("k").alias("bmin"), F.max("k").alias("bmax"))
-    across = (summary.withColumn("prev_key", F.lag("bmax").over(Window.orderBy("b")))
+    ends = dealt.groupBy("part").agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    across = (ends.withColumn("prev_key", F.lag("last").over(Window.orderBy("part")))
               .where(F.col("prev_key").isNotNull())
-              .select("prev_key", F.col("bmin").alias("key")))
+              .select("prev_key", F.col("first").alias("key")))
     both = inner.unionByName(across)
     return both.select("prev_key", "key", (F.col("key") - F.col("prev_key")).alias("gap")).where(F.col("gap") != 1)
 
@@ -228,7 +246,7 @@ def report(df: DataFrame, contract: list[ColumnContract], pk: str | None = None,
     from .generate import sample_copies
     from .keys import key_quality
     spark = df.sparkSession
-    parts = [column_checks(df, contract, expected_rows)]
+    parts = [column_checks(df, contract, expected_rows, pk)]
     name, bad = column_set_check(df, contract)
     parts.append(spark.createDataFrame([(name, None, bad)], REPORT_SCHEMA))
     if pk and pk in df.columns:

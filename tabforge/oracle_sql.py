@@ -375,9 +375,32 @@ def _v_text(col: str, typ: str) -> str:
     return f"CAST({col} AS VARCHAR)"
 
 
+# The validator's rules, restated: what a present value of a type looks like.
+_LOOKS_LIKE = {
+    "integer": "regexp_full_match({t}, '-?[0-9]+')",
+    "float": "regexp_full_match({t}, '-?[0-9]+([.][0-9]+)?([eE][-+]?[0-9]+)?')",
+    "boolean": "lower({t}) IN ('true', 'false')",
+    "date": "(regexp_full_match({t}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND TRY_CAST({t} AS DATE) IS NOT NULL)",
+    "datetime": "(TRY_CAST({t} AS TIMESTAMP) IS NOT NULL)",
+    "email": "regexp_full_match({t}, '[^@ ]+@[^@ ]+[.][^@ ]+')",
+    "phone": "regexp_full_match({t}, '[+]?[0-9][0-9 ().-]{{5,}}[0-9]')",
+    "uuid": "regexp_full_match({t}, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}')",
+    "url": "regexp_full_match({t}, 'https?://[A-Za-z0-9.-]+(:[0-9]+)?([/?#][^ ]*)?')",
+}
+_PLACEHOLDERS = ["lorem", "ipsum", "test", "n/a", "xxx", "todo", "tbd", "placeholder", "dummy", "asdf"]
+
+
+def _pattern_sql(t: str, pattern: str) -> str:
+    """A contract pattern as a condition: lo-hi, one day to another, or a regex."""
+    import re
+    if m := re.fullmatch(r"(-?[0-9.]+)-(-?[0-9.]+)", pattern):
+        return f"(TRY_CAST({t} AS DOUBLE) BETWEEN {m[1]} AND {m[2]})"
+    if m := re.fullmatch(r"([0-9-]+) to ([0-9-]+)", pattern):
+        return f"(TRY_CAST({t} AS TIMESTAMP) BETWEEN TIMESTAMP '{m[1]}' AND TIMESTAMP '{m[2]} 23:59:59.999999')"
+    return f"regexp_full_match({t}, '{pattern}')"
+
+
 def validate_sql(table: str) -> str:
-    from .operators.validate import BOOLEAN_WORDS, FORMAT_RULES
-    from .spec import DateRange, NumericRange, RegexPattern, parse_pattern
     parts = []
     for c in VALIDATE_CONTRACTS[table]:
         name, typ = c["name"], c.get("type", "string")
@@ -385,25 +408,10 @@ def validate_sql(table: str) -> str:
         miss = f"({t} IS NULL OR {t} = '')"
         if not c.get("nullable"):
             parts.append(f"SELECT 'not_null' AS check_name, '{name}' AS column_name, count(*) FILTER (WHERE {miss}) AS violations FROM {table}")
-        if typ == "boolean":
-            ok = f"lower({t}) IN ({', '.join(repr(w) for w in BOOLEAN_WORDS)})"
-        elif typ in FORMAT_RULES:
-            ok = f"regexp_matches({t}, '{FORMAT_RULES[typ]}')"
-        else:
-            ok = None
-        if ok:
-            parts.append(f"SELECT 'type_format', '{name}', count(*) FILTER (WHERE NOT {miss} AND NOT coalesce({ok}, false)) FROM {table}")
-        pat = parse_pattern(c.get("pattern"), typ)
-        if isinstance(pat, NumericRange):
-            ok = f"(TRY_CAST({t} AS DOUBLE) BETWEEN {pat.lo} AND {pat.hi})"
-        elif isinstance(pat, DateRange):
-            ok = f"(TRY_CAST({t} AS TIMESTAMP) BETWEEN TIMESTAMP '{pat.lo}' AND TIMESTAMP '{pat.hi.date()} 23:59:59.999999')"
-        elif isinstance(pat, RegexPattern):
-            ok = f"regexp_matches({t}, '^(?:{c['pattern']})$')"
-        else:
-            ok = None
-        if ok:
-            parts.append(f"SELECT 'pattern', '{name}', count(*) FILTER (WHERE NOT {miss} AND NOT coalesce({ok}, false)) FROM {table}")
+        if typ in _LOOKS_LIKE:
+            parts.append(f"SELECT 'type_format', '{name}', count(*) FILTER (WHERE NOT {miss} AND NOT coalesce({_LOOKS_LIKE[typ].format(t=t)}, false)) FROM {table}")
+        if c.get("pattern"):
+            parts.append(f"SELECT 'pattern', '{name}', count(*) FILTER (WHERE NOT {miss} AND NOT coalesce({_pattern_sql(t, c['pattern'])}, false)) FROM {table}")
     return " UNION ALL ".join(parts)
 
 
@@ -435,10 +443,9 @@ SELECT column_name, value AS top_value, cnt AS top_count, total, cnt / total AS
 
 
 def _placeholder_sql() -> str:
-    from .operators.validate import PLACEHOLDER_WORDS, word_pattern
     return " UNION ALL ".join(
-        f"SELECT '{w}' AS word, count(*) FILTER (WHERE regexp_matches(lower(text), '{word_pattern(w)}')) AS rows FROM documents"
-        for w in PLACEHOLDER_WORDS)
+        f"SELECT '{w}' AS word, count(*) FILTER (WHERE regexp_matches(lower(text), "
+        f"'(^|[^a-z0-9_]){w}($|[^a-z0-9_])')) AS rows FROM documents" for w in _PLACEHOLDERS)
 
 
 register("placeholder_documents", _placeholder_sql())
@@ -585,13 +592,12 @@ QUALIFY row_number() OVER (PARTITION BY l_linenumber, l_orderkey ORDER BY {LI_OR
 
 
 def _validate_generated_sql() -> str:
-    from .operators.validate import FORMAT_RULES
     from .spec import users_contract
     rows = []
     for c in users_contract():
         if not c.nullable:
             rows.append(("not_null", c.name))
-        if c.type in FORMAT_RULES or c.type == "boolean":
+        if c.type in _LOOKS_LIKE:
             rows.append(("type_format", c.name))
         if c.pattern:
             rows.append(("pattern", c.name))
@@ -641,7 +647,6 @@ register("mimic_orderdate", _mimic_numeric_sql("o_orderdate", "CAST(epoch_us(o_o
 
 def _report_documents_sql() -> str:
     from .fixtures import REPORT_CONTRACT_DOCUMENTS
-    from .operators.validate import LOW_VARIETY_SHARE
     saved = VALIDATE_CONTRACTS.get("documents")
     VALIDATE_CONTRACTS["documents"] = REPORT_CONTRACT_DOCUMENTS
     try:
@@ -652,7 +657,7 @@ def _report_documents_sql() -> str:
     names = [c["name"] for c in REPORT_CONTRACT_DOCUMENTS]
     long = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM documents" for c in names)
     low = f"""SELECT 'low_variety' AS check_name, column_name,
-  CAST(CASE WHEN cnt / total > {LOW_VARIETY_SHARE} THEN cnt ELSE 0 END AS BIGINT) AS violations
+  CAST(CASE WHEN cnt / total > 0.5 THEN cnt ELSE 0 END AS BIGINT) AS violations
 FROM (SELECT column_name, cnt, row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, value) AS rn,
         sum(cnt) OVER (PARTITION BY column_name) AS total
       FROM (SELECT column_name, value, count(*) AS cnt FROM ({long}) WHERE value IS NOT NULL GROUP BY ALL))

@@ -125,9 +125,9 @@ def test_low_variety_placeholder_drift(spark):
     assert validate.total_variation(d, 2, 1).first()["tvd"] == 1.0
 
 
-def test_key_gaps_across_buckets(spark):
+def test_key_gaps_across_partitions(spark):
     df = spark.createDataFrame([(k,) for k in [1, 2, 3, 7, 8, 20, 21, 22, 40]], "k long")
-    got = sorted(tuple(r) for r in validate.key_gaps(df, F.col("k"), target_batches=3).collect())
+    got = sorted(tuple(r) for r in validate.key_gaps(df, F.col("k")).collect())
     assert got == [(3, 7, 4), (8, 20, 12), (22, 40, 18)]
 
 
@@ -161,3 +161,27 @@ def test_regex_pattern_only_shapes_text_columns(spark):
     cols = [ColumnContract("d", "date", pattern="[0-9]{4}"), ColumnContract("s", "string", pattern="[0-9]{4}")]
     r = generate.generate(spark, DatasetSpec("p", 20, columns=cols)).first()
     assert str(r["d"])[:2] == "20" and len(r["s"]) == 4 and r["s"].isdigit()
+
+
+def test_formats_follow_the_stored_type_and_the_calendar(spark, sf_dir):
+    from tabforge.operators import profile
+    for table in ("orders", "events", "customer", "lineitem"):
+        df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        bad = validate.column_checks(df, profile.infer_contract(df)).where("violations > 0").collect()
+        assert not bad, bad
+    df = spark.createDataFrame([("2023-13-45", "A-12", "USER_ID-7", "5$"), ("2023-02-28", "B-3", "x", "7$")],
+                               "day string, code string, user_id string, price string")
+    contract = [ColumnContract("day", "date"), ColumnContract("code", "string", pattern="(A|B)-[0-9]+"),
+                ColumnContract("user_id", "uuid"), ColumnContract("price", "string", pattern="^[0-9]+\\$")]
+    got = {(r.check_name, r.column_name): r.violations
+           for r in validate.column_checks(df, contract, key="user_id").collect()}
+    assert got["type_format", "day"] == 1 and got["pattern", "code"] == 0
+    assert got["type_format", "user_id"] == 1 and got["pattern", "price"] == 0
+
+
+def test_key_gaps_with_an_outlier(spark):
+    df = spark.range(1, 3000).select(F.col("id").alias("k")).union(spark.createDataFrame([(10**15,), (5000,)], "k long"))
+    got = {(r.prev_key, r.key): r.gap for r in validate.key_gaps(df.where("k <> 70"), F.col("k")).collect()}
+    assert got == {(69, 71): 2, (2999, 5000): 2001, (5000, 10**15): 10**15 - 5000}
+    dealt = [len(p) for p in df.distinct().repartitionByRange(8, "k").rdd.glom().collect()]
+    assert max(dealt) < 1000

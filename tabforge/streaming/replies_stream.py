@@ -1,9 +1,9 @@
 """Structured Streaming form of reply handling.
 
 Replies arriving as files are parsed (E1-E4), cleaned (F1) and each key is
-claimed once: ``dropDuplicates([pk])`` keeps the key in the state store, or,
-when replies carry an arrival time, ``dropDuplicatesWithinWatermark`` bounds
-that state.  The sink is ``foreachBatch`` writing one directory per epoch
+claimed once: ``dropDuplicates([pk])`` keeps every key in the state store (RocksDB, so
+on disk and not in the heap), or, when replies carry an arrival time,
+``dropDuplicatesWithinWatermark`` bounds that state.  The sink is ``foreachBatch`` writing one directory per epoch
 with overwrite, so a replayed epoch after a failure rewrites the same
 output (exactly-once with the checkpoint).
 """
@@ -24,6 +24,16 @@ REPLY_FILE_SCHEMA = T.StructType([
 ])
 
 
+STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """State of new queries in RocksDB, unless the session names a provider itself."""
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in spark.conf.get(conf, ""):
+        spark.conf.set(conf, STATE_PROVIDER)
+
+
 def claimed_rows_stream(replies: DataFrame, columns: list[str], pk: str,
                         event_time: str | None = None, watermark: str = "1 hour") -> DataFrame:
     rows = parse_csv_replies(replies, columns, carry=[event_time] if event_time else None).rows
@@ -38,6 +48,7 @@ def stream_replies(spark: SparkSession, source_dir: str, columns: list[str], pk:
                    schema: T.StructType = REPLY_FILE_SCHEMA, event_time: str | None = None,
                    watermark: str = "1 hour") -> None:
     """Run the stream over everything available now (``availableNow``) and stop."""
+    use_rocksdb(spark)
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
@@ -54,20 +65,25 @@ def stream_replies(spark: SparkSession, source_dir: str, columns: list[str], pk:
 
 def shortfall_stream(spark: SparkSession, source_dir: str, columns: list[str], pk: str, plan: DataFrame,
                      sink_dir: str, checkpoint_dir: str, files_per_trigger: int | None = None,
-                     schema: T.StructType = REPLY_FILE_SCHEMA) -> None:
+                     schema: T.StructType = REPLY_FILE_SCHEMA, event_time: str | None = None,
+                     watermark: str = "1 hour") -> None:
     """F5 as replies arrive: claimed rows (each key once) are counted per batch in
     the state store (``update`` mode: only batches that changed are emitted);
     each epoch joins its updates with the static plan and writes them, so the
-    latest row per batch is the current shortfall (``current_shortfall``)."""
+    latest row per batch is the current shortfall (``current_shortfall``).  Batches
+    outside the plan are written with a target of 0 (``unplanned_batches``).  With an
+    arrival time the keys kept as state are bounded by the watermark."""
+    use_rocksdb(spark)
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    counts = claimed_rows_stream(reader.parquet(source_dir), columns, pk) \
+    counts = claimed_rows_stream(reader.parquet(source_dir), columns, pk, event_time, watermark) \
         .groupBy("batch_num").agg(F.count(F.lit(1)).alias("kept_rows"))
     targets = plan.select("batch_num", "target_rows")
 
     def write_epoch(batch: DataFrame, epoch_id: int) -> None:
-        (batch.join(targets, "batch_num")
+        (batch.join(targets, "batch_num", "left")
+         .withColumn("target_rows", F.coalesce(F.col("target_rows"), F.lit(0)).cast("long"))
          .withColumn("shortfall", F.col("target_rows") - F.col("kept_rows"))
          .withColumn("epoch", F.lit(epoch_id))
          .write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/epoch={epoch_id}"))
@@ -77,13 +93,19 @@ def shortfall_stream(spark: SparkSession, source_dir: str, columns: list[str], p
     q.awaitTermination()
 
 
+def latest_counts(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """The newest (batch_num, kept_rows) of every batch."""
+    return spark.read.parquet(sink_dir).groupBy("batch_num").agg(F.max_by("kept_rows", "epoch").alias("kept_rows"))
+
+
+def unplanned_batches(spark: SparkSession, sink_dir: str, plan: DataFrame) -> DataFrame:
+    """(batch_num, kept_rows) of answered batches that the plan does not know."""
+    return latest_counts(spark, sink_dir).join(plan.select("batch_num"), "batch_num", "left_anti")
+
+
 def current_shortfall(spark: SparkSession, sink_dir: str, plan: DataFrame) -> DataFrame:
     """The latest update per batch; batches never answered count as fully short."""
-    from pyspark.sql import Window
-    ups = spark.read.parquet(sink_dir)
-    latest = ups.withColumn("__rn", F.row_number().over(
-        Window.partitionBy("batch_num").orderBy(F.col("epoch").desc()))).where("__rn = 1") \
-        .select("batch_num", "kept_rows")
+    latest = latest_counts(spark, sink_dir)
     return (plan.select("batch_num", "target_rows").join(latest, "batch_num", "left")
             .withColumn("kept_rows", F.coalesce(F.col("kept_rows"), F.lit(0)).cast("long"))
             .withColumn("shortfall", F.col("target_rows") - F.col("kept_rows")))

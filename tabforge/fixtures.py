@@ -42,6 +42,15 @@ GEN_CONTRACTS = {
                        {"name": "city", "type": "string", "nullable": True}],
 }
 
+# A generated companion of the customer table: eight columns of eight types.
+CUSTOMER_PROFILE = [
+    {"name": "customer_id", "type": "uuid"}, {"name": "c_name", "type": "name"},
+    {"name": "contact", "type": "email"}, {"name": "c_nationkey", "type": "integer", "pattern": "0-24"},
+    {"name": "c_mktsegment", "type": "string", "nullable": True}, {"name": "c_phone", "type": "phone", "nullable": True},
+    {"name": "first_order", "type": "date", "pattern": "1992-01-01 to 1998-12-31"},
+    {"name": "in_credit", "type": "boolean"},
+]
+
 # Contracts the validation queries check the driver tables against.
 VALIDATE_CONTRACTS = {
     "customer": [{"name": "c_custkey", "type": "integer"}, {"name": "c_name", "type": "name"},
@@ -63,3 +72,9 @@ REPORT_CONTRACT_DOCUMENTS = [
     {"name": "doc_id", "type": "integer"}, {"name": "text", "type": "string"},
     {"name": "lang", "type": "string", "pattern": "[a-z]{2}"}, {"name": "source", "type": "string"},
     {"name": "n_chars", "type": "integer", "pattern": "1-200000"}]
+
+
+def customer_profile():
+    """CUSTOMER_PROFILE as column contracts."""
+    from .spec import ColumnContract
+    return [ColumnContract.from_dict(d) for d in CUSTOMER_PROFILE]

@@ -338,10 +338,10 @@ def gen_sql(columns: list[dict], pk: str | None = None, table: str = "customer",
 
 
 def _register_gen():
-    from .spec import users_contract
+    from .fixtures import customer_profile
     for name, cols in GEN_CONTRACTS.items():
         register(name, gen_sql(cols, keyed=True))
-    register("gen_users", gen_sql([c.to_dict() for c in users_contract()], pk="user_id", keyed=True))
+    register("gen_users", gen_sql([c.to_dict() for c in customer_profile()], pk="customer_id", keyed=True))
 
 
 _register_gen()
@@ -580,8 +580,8 @@ FROM (SELECT unnest(range(1, (SELECT count(*) FROM orders) + 1)) AS k)""")
 
 
 def _synth_users() -> str:
-    from .spec import users_contract
-    sql = gen_sql([c.to_dict() for c in users_contract()], pk="user_id")
+    from .fixtures import customer_profile
+    sql = gen_sql([c.to_dict() for c in customer_profile()], pk="customer_id")
     # the written csv carries the contract's types: integer -> bigint, date -> date, boolean
     return f"SELECT * EXCLUDE (row_idx) FROM ({sql})"
 
@@ -592,9 +592,9 @@ QUALIFY row_number() OVER (PARTITION BY l_linenumber, l_orderkey ORDER BY {LI_OR
 
 
 def _validate_generated_sql() -> str:
-    from .spec import users_contract
+    from .fixtures import customer_profile
     rows = []
-    for c in users_contract():
+    for c in customer_profile():
         if not c.nullable:
             rows.append(("not_null", c.name))
         if c.type in _LOOKS_LIKE:

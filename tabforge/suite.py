@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import assemble, generate, keys, ledger, profile, replies, validate
-from .spec import ColumnContract, DatasetSpec, users_contract
+from .spec import ColumnContract, DatasetSpec
 from .plans import batches, job, prompts
 from .session import scratch_path
 from .sources import readers, sinks
 from .streaming import replies_stream
-from .fixtures import GEN_CONTRACTS, TABLES, VALIDATE_CONTRACTS
+from .fixtures import GEN_CONTRACTS, TABLES, VALIDATE_CONTRACTS, customer_profile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -308,8 +308,8 @@ def _gen_query(name: str, columns: list[dict], pk: str | None = None):
 
 for _name, _cols in GEN_CONTRACTS.items():
     _gen_query(_name, _cols)
-QUERIES["gen_users"] = lambda spark, sf_dir: _gen(spark, sf_dir, [c.to_dict() for c in users_contract()],
-                                                  pk="user_id")
+QUERIES["gen_users"] = lambda spark, sf_dir: _gen(spark, sf_dir, [c.to_dict() for c in customer_profile()],
+                                                  pk="customer_id")
 
 
 @query("mimic_segment")
@@ -643,7 +643,7 @@ def q_synthesize_offline(spark, sf_dir):
 @query("synthesize_users_rules")
 def q_synthesize_rules(spark, sf_dir):
     spec = DatasetSpec("users", load(spark, sf_dir, "customer").count(), format="csv",
-                       columns=users_contract(), primary_key="user_id")
+                       columns=customer_profile(), primary_key="customer_id")
     return job.synthesize(spark, spec, base=scratch_path(spark, "jobs")).rows
 
 
@@ -669,7 +669,7 @@ def q_prompt_json(spark, sf_dir):
 @query("validate_generated_users")
 def q_validate_generated(spark, sf_dir):
     """G1, G4-G7 on rule-generated users (one row per check; zero violations expected)."""
-    contract = users_contract()
+    contract = customer_profile()
     n = load(spark, sf_dir, "customer").count()
     df = generate.generate(spark, DatasetSpec("users", n, columns=contract), keep_index=False)
     name, bad = validate.column_set_check(df, contract)

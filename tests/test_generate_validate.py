@@ -5,11 +5,12 @@ import re
 from pyspark.sql import functions as F
 
 from tabforge.operators import generate, validate
-from tabforge.spec import ColumnContract, DatasetSpec, users_contract
+from tabforge.fixtures import customer_profile
+from tabforge.spec import ColumnContract, DatasetSpec
 
 
-def _users(spark, rows=500, parts=None, pk="user_id"):
-    spec = DatasetSpec("users", rows, columns=users_contract(), primary_key=pk)
+def _users(spark, rows=500, parts=None, pk="customer_id"):
+    spec = DatasetSpec("users", rows, columns=customer_profile(), primary_key=pk)
     return generate.generate(spark, spec, partitions=parts)
 
 
@@ -23,22 +24,22 @@ def test_same_rows_for_any_partitioning(spark):
 def test_exact_count_unique_keys_and_continuity(spark):
     df = _users(spark, 1001)
     assert df.count() == 1001
-    assert df.select("user_id").distinct().count() == 1001
-    gaps = validate.key_gaps(df, validate.key_suffix(F.col("user_id")))
+    assert df.select("customer_id").distinct().count() == 1001
+    gaps = validate.key_gaps(df, validate.key_suffix(F.col("customer_id")))
     assert gaps.count() == 0
-    assert df.where(F.col("user_id") == "USER_ID-1").count() == 1
+    assert df.where(F.col("customer_id") == "CUSTOMER_ID-1").count() == 1
 
 
 def test_generated_rows_pass_the_contract(spark):
-    contract = users_contract()
+    contract = customer_profile()
     df = _users(spark, 2000, pk=None).drop("row_idx", "batch_num")
     rep = {(r["check_name"], r["column_name"]): r["violations"]
            for r in validate.column_checks(df, contract, expected_rows=2000).collect()}
     assert all(v == 0 for v in rep.values()), rep
     assert validate.column_set_check(df, contract) == ("column_set", 0)
-    nulls = df.agg(F.count_if(F.col("city").isNull()).alias("c")).first()["c"]
+    nulls = df.agg(F.count_if(F.col("c_mktsegment").isNull()).alias("c")).first()["c"]
     assert 40 < nulls < 180          # about 5 % of 2000
-    assert df.agg(F.min("age"), F.max("age")).first() == (18, 65)
+    assert df.agg(F.min("c_nationkey"), F.max("c_nationkey")).first() == (0, 24)
 
 
 def test_regex_and_distributions(spark):

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tabforge.operators import assemble, generate, keys, ledger, profile
 from tabforge.session import scratch_path
-from tabforge.spec import DatasetSpec, users_contract
+from tabforge.fixtures import customer_profile
+from tabforge.spec import DatasetSpec
 
 
 def plan_of(df) -> str:
@@ -37,7 +38,7 @@ def test_profile_is_one_scan_without_a_keyed_shuffle(spark, sf_dir):
 
 
 def test_generation_has_no_shuffle(spark):
-    df = generate.generate(spark, DatasetSpec("u", 1000, columns=users_contract(), primary_key="user_id"))
+    df = generate.generate(spark, DatasetSpec("u", 1000, columns=customer_profile(), primary_key="customer_id"))
     p = plan_of(df)
     assert "Exchange" not in p and "Range" in p
 

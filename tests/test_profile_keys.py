@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabforge.operators import keys, profile
-from tabforge.spec import ColumnContract, users_contract
+from tabforge.fixtures import customer_profile
+from tabforge.spec import ColumnContract
 
 
 @pytest.mark.parametrize("name,dtype,expected", [
@@ -31,7 +32,7 @@ def test_profile_nullable_and_nan(spark):
 
 
 def test_key_detection_priorities():
-    assert keys.detect_primary_key(users_contract()) == "user_id"
+    assert keys.detect_primary_key(customer_profile()) == "customer_id"
     sample = [ColumnContract("id", "uuid"), ColumnContract("full_name", "name")]
     assert keys.detect_primary_key(sample) == "id"
     police = [ColumnContract("stop_date", "date"), ColumnContract("driver_age", "integer")]

@@ -63,12 +63,11 @@ def filter_rows(docs: DataFrame, decide) -> DataFrame:
     if unique_ids(docs):
         dropped = decide(docs.select("doc_id", "text"))
         return docs.join(dropped, "doc_id", "left_anti").select(columns)
-    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last()).withColumn(
-        "__row", F.monotonically_increasing_id())
+    row = fresh_name(docs, "__row")
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last()).withColumn(row, F.monotonically_increasing_id())
     rows = materialise(ordered, "rows")
-    dropped = decide(rows.select(F.col("__row").alias("doc_id"), "text"))
-    return (rows.join(dropped.withColumnRenamed("doc_id", "__row"), "__row", "left_anti")
-            .select(columns))
+    dropped = decide(rows.select(F.col(row).alias("doc_id"), "text"))
+    return rows.join(dropped.withColumnRenamed("doc_id", row), row, "left_anti").select(columns)
 
 
 def fresh_name(df: DataFrame, base: str) -> str:

@@ -265,24 +265,30 @@ def shared(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
-def compare(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with linked, and least and most: bounds of their Jaccard distance."""
-    def side(name: str, column: str) -> DataFrame:
-        return members.select(F.col("sig").alias(name), F.col("n").alias(f"n_{name}"),
-                              F.col(column).alias(f"x_{name}"))
+def side(members: DataFrame, name: str, column: str) -> DataFrame:
+    return members.select(F.col("sig").alias(name), F.col("n").alias(f"n_{name}"), F.col(column).alias(f"x_{name}"))
+
+
+def exact(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with linked, and least and most: their Jaccard distance twice."""
+    total = F.col("n_a") + F.col("n_b")
+    both = (pairs.select("a", "b").join(side(members, "a", "members"), "a").join(side(members, "b", "members"), "b")
+            .select("a", "b", "n_a", "n_b", shared("x_a", "x_b").alias("both")))
+    return (both.withColumn("least", 1 - F.col("both") / (total - F.col("both")))
+            .select("a", "b", (9 * F.col("both") >= 4 * total).alias("linked"), "least", F.col("least").alias("most")))
+
 
+def compare(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with linked, and least and most: bounds of their Jaccard distance.
+    Shingles are compared only where the histograms leave a link possible."""
     total = F.col("n_a") + F.col("n_b")
-    gap = (pairs.join(side("a", "histogram"), "a").join(side("b", "histogram"), "b")
+    gap = (pairs.join(side(members, "a", "histogram"), "a").join(side(members, "b", "histogram"), "b")
            .select("a", "b", "n_a", "n_b", apart("x_a", "x_b").alias("gap")))
     gap = materialise(gap, "jaccard-gaps")
     near = F.col("gap") * 9 <= total
     far = gap.where(~near).select("a", "b", F.lit(False).alias("linked"),
                                   (2 * F.col("gap") / (total + F.col("gap"))).alias("least"), F.lit(1.0).alias("most"))
-    exact = (gap.where(near).select("a", "b").join(side("a", "members"), "a").join(side("b", "members"), "b")
-             .select("a", "b", "n_a", "n_b", shared("x_a", "x_b").alias("both")))
-    exact = exact.withColumn("least", 1 - F.col("both") / (total - F.col("both")))
-    return exact.select("a", "b", (9 * F.col("both") >= 4 * total).alias("linked"), "least",
-                        F.col("least").alias("most")).union(far)
+    return exact(gap.where(near), members).union(far)
 
 
 SAMPLE_DOCS, SAMPLE_SHARE, SAMPLE_TIMES, MOST_COMMON = 20_000, 64, 4, 500_000
@@ -361,18 +367,11 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     judged = compare(pairs.select("a", "b"), members).join(pairs, ["a", "b"])
     judged = materialise(judged, "jaccard-pairs")
     roots = components(judged.where("linked").select("a", "b").union(certain)).checkpoint()
-    # groups of a hub that are not one component: classes that failed against the hub meet
-    # classes of the group in other components, at first a few of each, then all
-    group = (judged.where("low").select(F.col("b").alias("hub"), F.col("a").alias("node"), "least", "most", "linked")
-             .join(members.select(F.col("sig").alias("node"), F.col("n").alias("size")), "node"))
-    for few in (FEW, None):
-        later = compare(unsettled(group, roots, few).checkpoint(), members).where("linked").select("a", "b").checkpoint()
-        if not later.isEmpty():
-            roots = merged(roots, later).checkpoint()
-    return rows, roots
-
-
-FEW = 4
+    # groups of a hub that are not one component: classes that failed against the hub are
+    # compared with the classes of the group in other components
+    group = (judged.where("low").select(F.col("b").alias("hub"), F.col("a").alias("node"), "least", "most", "linked"))
+    later = exact(unsettled(group, roots, members), members).where("linked").select("a", "b").checkpoint()
+    return rows, roots if later.isEmpty() else merged(roots, later).checkpoint()
 
 
 def hub_pairs(lists: DataFrame) -> DataFrame:
@@ -389,24 +388,48 @@ def hub_pairs(lists: DataFrame) -> DataFrame:
             .groupBy("a", "b").agg(F.max("low").alias("low")))
 
 
-def unsettled(group: DataFrame, roots: DataFrame, few: int | None) -> DataFrame:
+BLOCK_ROWS = 256
+
+
+def unsettled(group: DataFrame, roots: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs (a, b) of a class that failed against its hub and a class of the hub's group
-    in another component, where size and triangle inequality leave a link possible;
-    with ``few``, that many classes of each component."""
+    in another component, where size, triangle inequality and histograms leave a link
+    possible.  A group is cut into blocks of about BLOCK_ROWS classes and every two
+    blocks meet in one task, which passes on only the pairs that remain: no task holds
+    a group and no join makes its pairs."""
     known = group.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = known.groupBy("hub").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("hub")
-    known = known.join(split, "hub").checkpoint()
-    failed = known.where(~F.col("linked")).select(
-        "hub", *(F.col(c).alias(f"f_{c}") for c in ("node", "size", "least", "most", "root")))
-    others = known
-    if few:
-        order = Window.partitionBy("hub", "root").orderBy(F.xxhash64("node"), "node")
-        others = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= few)
-    return (failed.join(others, "hub")
-            .where((F.col("root") != F.col("f_root"))
-                   & (5 * F.col("size") >= 4 * F.col("f_size")) & (5 * F.col("f_size") >= 4 * F.col("size"))
-                   & (F.col("least") - F.col("f_most") <= 0.2 + 1e-9) & (F.col("f_least") - F.col("most") <= 0.2 + 1e-9))
-            .select(F.greatest("node", "f_node").alias("a"), F.least("node", "f_node").alias("b")).distinct())
+    split = (known.groupBy("hub").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("rows"))
+             .where("x <> y").select("hub", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (known.join(split, "hub").withColumn("block", block)
+             .join(members.select(F.col("sig").alias("node"), F.col("n").alias("size"), "histogram"), "node")
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
+                     "node", "root", "size", "least", "most", "linked", "histogram"))
+    return dealt.groupBy("hub", "i", "j").applyInArrow(possible_links, "a long, b long").distinct().checkpoint()
+
+
+def possible_links(rows: pa.Table) -> pa.Table:
+    """Pairs of two blocks (or of one) that may link; see ``unsettled``."""
+    column = lambda name: rows[name].to_numpy()
+    node, root, size, block = column("node"), column("root"), column("size"), column("block")
+    least, most, failed = column("least"), column("most"), ~column("linked").astype(bool)
+    bins = np.frombuffer(b"".join(rows["histogram"].to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+    across = rows["i"][0].as_py() != rows["j"][0].as_py()
+    out_a, out_b = [], []
+    for k in np.flatnonzero(failed):
+        x = (root != root[k]) & (5 * size >= 4 * size[k]) & (5 * size[k] >= 4 * size)
+        x &= (least - most[k] <= 0.2 + 1e-9) & (least[k] - most <= 0.2 + 1e-9)
+        x &= ~failed | (np.arange(len(node)) > k)               # two failed classes meet once
+        if across:
+            x &= block != block[k]
+        x = np.flatnonzero(x)
+        gap = np.abs(bins[x] - bins[k]).sum(1, dtype=np.int64)
+        x = x[9 * gap <= size[x] + size[k]]
+        out_a.append(np.maximum(node[x], node[k]))
+        out_b.append(np.minimum(node[x], node[k]))
+    none = [np.zeros(0, np.int64)]
+    return pa.table({"a": np.concatenate(out_a + none), "b": np.concatenate(out_b + none)})
 
 
 def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:

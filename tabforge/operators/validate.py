@@ -209,24 +209,32 @@ def placeholder_hits(df: DataFrame, text_col: str, words: list[str] | None = Non
 
 
 def drift(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
-    """Frequencies of ``column`` in two frames, full outer joined:
-    (value, a_count, b_count, a_share, b_share, share_diff)."""
-    fa = a.groupBy(F.col(f"`{column}`").alias("value")).agg(F.count(F.lit(1)).alias("a_count"))
-    fb = b.groupBy(F.col(f"`{column}`").alias("value")).agg(F.count(F.lit(1)).alias("b_count"))
-    na = a.count()
-    nb = b.count()
-    j = fa.join(fb, fa["value"].eqNullSafe(fb["value"]), "full_outer").select(
-        F.coalesce(fa["value"], fb["value"]).alias("value"),
-        F.coalesce(F.col("a_count"), F.lit(0)).alias("a_count"),
-        F.coalesce(F.col("b_count"), F.lit(0)).alias("b_count"))
-    return (j.withColumn("a_share", F.col("a_count") / F.lit(max(na, 1)))
+    """Frequencies of ``column`` in two frames:
+    (value, a_count, b_count, a_share, b_share, share_diff).
+
+    Both frames are counted in one aggregate; its rows (one per value) are checkpointed
+    and give the totals, so each frame is read once."""
+    from ..session import shared_dir
+    shared_dir(a.sparkSession)
+    value = F.col(f"`{column}`").alias("value")
+    both = a.select(value, F.lit(True).alias("first")).union(b.select(value, F.lit(False)))
+    counts = both.groupBy("value").agg(F.count_if("first").alias("a_count"),
+                                       F.count_if(~F.col("first")).alias("b_count")).checkpoint()
+    na, nb = totals(counts)
+    return (counts.withColumn("a_share", F.col("a_count") / F.lit(max(na, 1)))
             .withColumn("b_share", F.col("b_count") / F.lit(max(nb, 1)))
             .withColumn("share_diff", F.abs(F.col("a_share") - F.col("b_share"))))
 
 
-def total_variation(drift_rows: DataFrame, na: int, nb: int) -> DataFrame:
+def totals(drift_rows: DataFrame) -> tuple[int, int]:
+    """Rows of the two frames, from the counts of a drift table."""
+    return tuple(x or 0 for x in drift_rows.agg(F.sum("a_count"), F.sum("b_count")).first())
+
+
+def total_variation(drift_rows: DataFrame) -> DataFrame:
     """Total-variation distance from a drift table, exact in integers until the last
     division: sum |a*nb - b*na| / (2 * na * nb)."""
+    na, nb = totals(drift_rows)
     return drift_rows.agg((F.sum(F.abs(F.col("a_count") * F.lit(nb) - F.col("b_count") * F.lit(na)))
                            / F.lit(2 * max(na, 1) * max(nb, 1))).alias("tvd"))
 

@@ -419,7 +419,7 @@ def q_drift(spark, sf_dir):
 @query("drift_tvd_events")
 def q_drift_tvd(spark, sf_dir):
     a, b = _event_halves(spark, sf_dir)
-    return validate.total_variation(validate.drift(a, b, "event_type"), a.count(), b.count())
+    return validate.total_variation(validate.drift(a, b, "event_type"))
 
 
 # --- H: sinks -----------------------------------------------------------------------

@@ -147,7 +147,7 @@ def encode_texts(model: str, texts: list[str]) -> list[bytes]:
     tokenizer, memo, spans = _TOKENIZERS[model]
     end = np.asarray([END_ID], "<u4").tobytes()
     whole = lambda xs: [np.asarray(e.ids, "<u4").tobytes()
-                        for e in tokenizer.encode_batch(xs, add_special_tokens=False)]
+                        for e in tokenizer.encode_batch_fast(xs, add_special_tokens=False)]
     if spans:
         return [x + end for x in whole(texts)]
     if len(memo) > MEMO_WORDS:
@@ -163,13 +163,19 @@ def encode_texts(model: str, texts: list[str]) -> list[bytes]:
 ENCODED_SQL = "part long, doc_id long, ids binary"
 
 
-def encoder(model: str, cuts: list[int]):
+def shuffled_type(model: str) -> str:
+    """Type of an id between encoding and writing: 16 bits where all ids fit."""
+    from tokenizers import Tokenizer
+    return "<u2" if Tokenizer.from_str(model).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def encoder(model: str, cuts: list[int], kind: str):
     """(doc_id, text) to (part, doc_id, ids): part is the range of ids a row falls in."""
     limits = np.asarray(cuts, np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = encode_texts(model, b.column(1).to_pylist())
+            ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in encode_texts(model, b.column(1).to_pylist())]
             lowest = np.iinfo(np.int64).min
             part = np.searchsorted(limits, np.asarray(b.column(0).fill_null(lowest)), "left")
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), b.column(0), pa.array(ids, pa.binary())],
@@ -183,13 +189,15 @@ MANIFEST = pa.schema([("part", pa.int64()), ("file", pa.int64()), ("name", pa.st
 MANIFEST_SQL = "part long, file long, name string, docs long, ids long"
 
 
-def file_writer(folder: str, file_ids: int):
+def file_writer(folder: str, file_ids: int, kind: str):
+    size = np.dtype(kind).itemsize
+
     def put(fs, base, part, number, docs):
-        ids = np.frombuffer(b"".join(d[1] for d in docs), "<u4")
+        ids = np.frombuffer(b"".join(d[1] for d in docs), kind).astype(np.uint32)
         name = f"part-{part:06d}-{number:06d}.pfor"
         attempt = f"{base}/_{name}.{uuid.uuid4().hex}"
         with fs.open_output_stream(attempt) as out:
-            out.write(write_file([d[0] for d in docs], [len(d[1]) // 4 for d in docs], ids))
+            out.write(write_file([d[0] for d in docs], [len(d[1]) // size for d in docs], ids))
         fs.move(attempt, f"{base}/{name}")
         return part, number, name, len(docs), len(ids)
 
@@ -199,13 +207,13 @@ def file_writer(folder: str, file_ids: int):
         rows, docs, held, number, current = [], [], 0, 0, None
         for b in batches:
             for part, doc_id, ids in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if docs and (part != current or held + len(ids) // 4 > file_ids):
+                if docs and (part != current or held + len(ids) // size > file_ids):
                     rows.append(put(fs, base, current, number, docs))
                     docs, held, number = [], 0, number + 1
                 if part != current:
                     current, number = part, 0
                 docs.append((doc_id, ids))
-                held += len(ids) // 4
+                held += len(ids) // size
         if docs:
             rows.append(put(fs, base, current, number, docs))
         columns = list(zip(*rows)) or [()] * len(MANIFEST)
@@ -226,10 +234,11 @@ def write_files(docs: DataFrame, model: str, folder: str, file_ids: int = FILE_I
         cuts = sorted(set(docs.select(F.percentile_approx(F.col("doc_id").cast("long"), shares, accuracy)).first()[0]
                           or []))
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    encoded = texts.mapInArrow(encoder(model, cuts), ENCODED_SQL)
+    kind = shuffled_type(model)
+    encoded = texts.mapInArrow(encoder(model, cuts, kind), ENCODED_SQL)
     ordered = encoded.repartition(ranges, "part").sortWithinPartitions(
         F.col("part"), F.col("doc_id").asc_nulls_first(), F.col("ids"))
-    manifest = materialise(ordered.mapInArrow(file_writer(folder, file_ids), MANIFEST_SQL), "token-manifest")
+    manifest = materialise(ordered.mapInArrow(file_writer(folder, file_ids, kind), MANIFEST_SQL), "token-manifest")
     # files before a file in its range, and the ids of all lower ranges
     within = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     per_part = manifest.groupBy("part").agg(F.sum("ids").alias("n"))

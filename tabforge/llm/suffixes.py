@@ -1,24 +1,24 @@
-"""Repeated passages by sparse suffix arrays.
+r"""Repeated passages by sparse suffixes and window hashes.
 
 Words are runs of characters outside ``[\x20\x09-\x0D]``, with A-Z lower-cased.
-A suffix is retained at word p when the hash of the GRAM words from p is the
-smallest in some window of WINDOW consecutive such hashes: a choice made by
-content, so two copies of a passage retain the same suffixes.  Retained suffixes
-are sorted by their words (as hashes of successive blocks of 8, 16, 16 and 32
-words) and neighbours are compared: a suffix and the nearest one before it that is
-of another document and shares its first SHARED words are a match.  Matches of a
-document with the same neighbour on the same alignment form a run as long as their
-shared words touch, and a run is extended word by word to the left of its first and
-the right of its last suffix, up to MARGIN words.  A run of MIN_WORDS words or more is
-a repeated passage; overlapping ones are joined.
-
-A passage of MIN_WORDS words has a retained suffix among its first WINDOW positions,
-of which SHARED words then lie in the passage; retained suffixes are at most WINDOW
-words apart, so nothing of a passage is further than MARGIN from some run.
-
-Blocks that fill many rows (by a sample; any choice of them is right) are sorted
-in salted parts first, and the first suffix of each part is then compared across
-parts, so a passage in a third of all documents is never sorted by one task.
+A window is MIN_WORDS consecutive words; it is repeated when another document holds
+the same words.  Repeated windows of a document that overlap are joined, which makes
+its passages: exactly the words that lie in some run of MIN_WORDS words or more that
+another document has too (but for collisions of 64-bit hashes).
+
+The hashes of all windows need not be compared.  The seed of a window is the suffix at
+the least (leftmost of equals) of the hashes of the GRAM words from each of its first
+WINDOW positions: a choice made by content, so equal windows have their seed at the
+same place, and its first SHARED words lie in the window.  A window can only be repeated
+if its seed's words occur in two documents.  The windows of a seed at word r lie in the
+words r - WINDOW + 1 to r + MIN_WORDS, its surroundings.  Where a seed has the same
+surroundings wherever it occurs, they are repeated as they stand; only where they
+differ are the seed's windows hashed and compared one by one, in all its documents.
+
+Every comparison is a minimum and a maximum of document handles per hash, combined
+before the shuffle and joined back to the rows, so a passage in a third of all documents
+meets in no single task, nothing depends on an order of rows or hashes, and the work
+grows with the number of words.
 
 Defined results: null or empty texts and texts of fewer than MIN_WORDS words have no
 row; a passage that repeats within one document only is none; equal rows count as
@@ -36,20 +36,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import materialise, text_or_empty
 from .jaccard_join import marked, mix
 
 GRAM, WINDOW, SHARED = 8, 26, 24
 MIN_WORDS = 50
-MARGIN = 26
-SALTS = 64
-SAMPLE_ONE_IN, SAMPLE_TIMES = 64, 16
+SAMPLE_ONE_IN = 64              # without effect: nothing is sampled any more (a test still sets it)
 MEMO_WORDS = 400_000
-BLOCKS = ((0, 8), (8, 24), (24, 40), (40, 72))
+FLUSH_ROWS = 500_000
 _WORDS: dict[bytes, int] = {}
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -61,152 +59,113 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
 
-def block_hashes(h: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
-    """For each size, the hash of the words [p, p + size) for every p (fewer at the end of
-    the text), from prefix sums of the words' hashes times powers of one odd base."""
-    n = len(h)
-    power = np.concatenate([[np.uint64(1)], np.full(n, _BASE)]).cumprod(dtype=np.uint64)
-    prefix = np.concatenate([[np.uint64(0)], (h * power[:n]).cumsum(dtype=np.uint64)])
-    # dividing by the odd power of p makes equal words equal wherever they stand
-    inverse = np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)))])
-    inverse = inverse.cumprod(dtype=np.uint64)[:n]
-    at = np.arange(n)
-    return {size: mix((prefix[np.minimum(at + size, n)] - prefix[at]) * inverse + np.uint64(size)) for size in sizes}
+class Blocks:
+    """Hashes of blocks of a text's words, from prefix sums of the words' hashes times
+    powers of one odd base."""
 
+    def __init__(self, h: np.ndarray):
+        n = len(h)
+        power = np.concatenate([[np.uint64(1)], np.full(n, _BASE)]).cumprod(dtype=np.uint64)
+        self.prefix = np.concatenate([[np.uint64(0)], (h * power[:n]).cumsum(dtype=np.uint64)])
+        self.inverse = np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]).cumprod(dtype=np.uint64)
 
-def retained(grams: np.ndarray) -> np.ndarray:
-    """Positions whose gram is the least (leftmost of equals) of some window of WINDOW."""
-    if len(grams) <= WINDOW:
-        return np.asarray([int(np.argmin(grams))]) if len(grams) else np.zeros(0, np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-    return np.unique(np.arange(len(windows)) + windows.argmin(1))
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        # dividing by the odd power of start makes equal words equal wherever they stand
+        return mix((self.prefix[end] - self.prefix[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
 
-SUFFIX = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("d", pa.int64()),
-                    ("rid", pa.int64()), ("pos", pa.int32())])
-SUFFIX_SQL = "a long, b long, c long, d long, rid long, pos int"
+def seeds_of_windows(blocks: Blocks, n: int) -> np.ndarray:
+    """For each window of a text of ``n`` words, by its first word, where its seed stands."""
+    at = np.arange(n - MIN_WORDS + WINDOW)
+    grams = np.lib.stride_tricks.sliding_window_view(blocks.hashes(at, at + GRAM), WINDOW)
+    return np.arange(len(grams)) + grams.argmin(1)
 
 
-def suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, text) to its retained suffixes that have SHARED words: the blocks' hashes."""
+def surroundings(seeds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the words that hold the windows of each seed."""
+    return np.maximum(seeds - (WINDOW - 1), 0), np.minimum(seeds + MIN_WORDS, n)
+
+
+SEEDS = pa.schema([("handle", pa.int64()), ("around", pa.int64()), ("rid", pa.int64()), ("pos", pa.int32())])
+SEEDS_SQL = "handle long, around long, rid long, pos int"
+SPANS = pa.schema([("rid", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("handle", pa.int64())])
+SPANS_SQL = "rid long, start int, end int, handle long"
+
+
+def seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, text) to its seeds: hash of the SHARED words, hash of the surroundings."""
     for batch in batches:
         parts = []
         for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             h = word_hashes(text)
-            if len(h) < MIN_WORDS:
+            n = len(h)
+            if n < MIN_WORDS:
                 continue
-            made = block_hashes(h, sorted({b - a for a, b in BLOCKS}))
-            p = retained(made[GRAM][:len(h) - GRAM + 1])
-            p = p[p + SHARED <= len(h)]
-            columns = [np.where(p + a < len(h), made[b - a][np.minimum(p + a, len(h) - 1)], np.uint64(0))
-                       for a, b in BLOCKS]
-            parts.append((*columns, np.full(len(p), rid, np.int64), p.astype(np.int32)))
+            blocks = Blocks(h)
+            seeds = np.unique(seeds_of_windows(blocks, n))
+            parts.append((blocks.hashes(seeds, seeds + SHARED).view(np.int64),
+                          blocks.hashes(*surroundings(seeds, n)).view(np.int64),
+                          np.full(len(seeds), rid, np.int64), seeds.astype(np.int32)))
         if parts:
-            a, b, c, d, rid, pos = (np.concatenate(x) for x in zip(*parts))
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x.view(np.int64)) for x in (a, b, c, d)), pa.array(rid), pa.array(pos)], schema=SUFFIX)
-
-
-def neighbours(suffixes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(rid, pos, o_rid, o_pos): each retained suffix and the one before it in sorted order,
-    where they share their first SHARED words."""
-    sampled = texts.where(F.pmod(F.xxhash64("rid", F.lit(3)), F.lit(SAMPLE_ONE_IN)) == 0)
-    frequent = (sampled.select("rid", "text").mapInArrow(suffix_rows, SUFFIX_SQL).groupBy("a", "b").count()
-                .where(F.col("count") >= SAMPLE_TIMES).orderBy(F.desc("count"), "a", "b").limit(100_000)
-                .select("a", "b", F.lit(SALTS).alias("salts")))
-    salted = (suffixes.join(F.broadcast(frequent.checkpoint()), ["a", "b"], "left")
-              .withColumn("salt", F.pmod(F.xxhash64("rid"), F.coalesce("salts", F.lit(1)))))
-    linked = _previous(salted, ["a", "b", "salt"])
-    linked = linked.where(F.col("o_rid").isNotNull() | F.col("salts").isNotNull())
-    linked = materialise(linked.select("a", "b", "c", "d", "rid", "pos", "o_rid", "o_pos"), "suffix-links")
-    # the first document of each salted part, against the other parts' firsts
-    first = linked.where("o_rid is null").drop("o_rid", "o_pos")
-    columns = ["rid", "pos", "o_rid", "o_pos"]
-    return linked.select(columns).union(_previous(first, ["a", "b"]).select(columns)).where("o_rid is not null")
-
-
-def _previous(rows: DataFrame, by: list[str]) -> DataFrame:
-    """``rows`` with the nearest row before, in sorted order, that is of another document."""
-    order = Window.partitionBy(*by).orderBy("c", "d", "rid", "pos")
-    before = F.lag(F.struct("rid", "pos")).over(order)
-    marked_rows = rows.withColumn("o", F.when(before["rid"] != F.col("rid"), before))
-    return (marked_rows.withColumn("o", F.last("o", ignorenulls=True).over(order))
-            .withColumns({"o_rid": F.col("o.rid"), "o_pos": F.col("o.pos")}).drop("o"))
-
-
-def runs(links: DataFrame) -> DataFrame:
-    """Matches of a document with one neighbour on one alignment, cut where the shared
-    words of consecutive suffixes leave a gap: rid, o_rid, shift, low, high (positions of
-    the first and the last suffix)."""
-    # a neighbour link says the same of both documents
-    both = links.union(links.select("o_rid", "o_pos", "rid", "pos")).select(
-        "rid", "o_rid", "pos", (F.col("o_pos") - F.col("pos")).alias("shift"))
-    order = Window.partitionBy("rid", "o_rid", "shift").orderBy("pos")
-    gap = F.col("pos") - F.lag("pos").over(order)
-    cut = both.withColumn("new", F.when(gap <= SHARED, 0).otherwise(1))
-    numbered = cut.withColumn("run", F.sum("new").over(order))
-    return (numbered.groupBy("rid", "o_rid", "shift", "run")
-            .agg(F.min("pos").alias("low"), F.max("pos").alias("high")).drop("run"))
-
-
-CONTEXT_SQL = "rid long, at int, side int, words binary"
-
-
-def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, text, asked: 2 * position + side) to the hashes (32 bits) of the MARGIN words
-    left of the position (side 0, nearest first) or behind its SHARED words (side 1)."""
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], schema=SEEDS)
+
+
+def span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, text, asked: 2 * position + whether its surroundings differ, of each seed that
+    occurs in two documents) to its repeated surroundings (handle null) and to the windows
+    still to be compared (handle: their hash)."""
+    parts, held = [], 0
+
+    def flushed():
+        rid, start, end, handle, known = map(np.concatenate, zip(*parts))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rid), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)),
+             pa.array(handle.view(np.int64), mask=known)], schema=SPANS)
+
     for batch in batches:
-        out = []
         for rid, text, asked in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            h = (word_hashes(text) >> np.uint64(32)).astype(np.uint32)
-            for x in asked:
-                at, side = x >> 1, x & 1
-                words = h[at + SHARED:at + SHARED + MARGIN] if side else h[max(0, at - MARGIN):at][::-1]
-                out.append((rid, at, side, words.tobytes()))
-        if out:
-            rid, at, side, words = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(at, pa.int32()),
-                                              pa.array(side, pa.int32()), pa.array(words, pa.binary())],
-                                             ["rid", "at", "side", "words"])
-
-
-@F.arrow_udf(T.IntegerType())
-def common_prefix(a: pa.Array, b: pa.Array) -> pa.Array:
-    """How many words two contexts have in common from their start."""
-    out = []
-    for x, y in zip(a.to_pylist(), b.to_pylist()):
-        n = min(len(x), len(y)) // 4
-        differ = np.flatnonzero(np.frombuffer(x, np.uint32, n) != np.frombuffer(y, np.uint32, n))
-        out.append(int(differ[0]) if len(differ) else n)
-    return pa.array(out, pa.int32())
-
-
-def extended(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """Runs with start and end (words, end exclusive) after extension on both sides."""
-    ends = found.select(F.explode(F.array(
-        F.struct("rid", F.col("low").alias("at"), F.lit(0).alias("side")),
-        F.struct("rid", F.col("high").alias("at"), F.lit(1).alias("side")),
-        F.struct(F.col("o_rid").alias("rid"), (F.col("low") + F.col("shift")).alias("at"), F.lit(0).alias("side")),
-        F.struct(F.col("o_rid").alias("rid"), (F.col("high") + F.col("shift")).alias("at"), F.lit(1).alias("side")),
-    )).alias("e")).select("e.*").distinct()
-    # one document's requests are as many as its own suffixes at most
-    asked = ends.groupBy("rid").agg(F.collect_list(2 * F.col("at") + F.col("side")).alias("asked"))
+            h = word_hashes(text)
+            n, blocks, asked = len(h), Blocks(h), np.asarray(asked)
+            low, high = surroundings(np.sort(asked[asked & 1 == 0] >> 1), n)
+            if len(low):
+                first = np.concatenate([[True], low[1:] >= high[:-1]])     # surroundings that overlap are one
+                last = np.concatenate([first[1:], [True]])
+                low, high = low[first], high[last]
+            open_at = np.flatnonzero(np.isin(seeds_of_windows(blocks, n), asked[asked & 1 == 1] >> 1))
+            parts.append((np.full(len(low) + len(open_at), rid, np.int64), np.concatenate([low, open_at]),
+                          np.concatenate([high, open_at + MIN_WORDS]),
+                          np.concatenate([np.zeros(len(low), np.uint64), blocks.hashes(open_at, open_at + MIN_WORDS)]),
+                          np.arange(len(low) + len(open_at)) < len(low)))
+            held += len(parts[-1][0])
+            if held > FLUSH_ROWS:
+                yield flushed()
+                parts, held = [], 0
+    if parts:
+        yield flushed()
+
+
+def in_two(rows: DataFrame, *more) -> DataFrame:
+    """Handles that occur in more than one document."""
+    return (rows.groupBy("handle").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), *more)
+            .where("low <> high").drop("low", "high"))
+
+
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """(rid, start, end) of repeated words, none shorter than MIN_WORDS; spans may overlap."""
+    seeds = materialise(texts.mapInArrow(seed_rows, SEEDS_SQL), "suffix-seeds")
+    shared = materialise(in_two(seeds, (F.min("around") != F.max("around")).cast("int").alias("differ")), "suffix-shared")
+    hits = marked(seeds.select("handle", "rid", "pos"), shared.select("handle")).join(shared, "handle")
+    # one document's seeds are as many as its own words at most
+    asked = hits.groupBy("rid").agg(F.collect_list(2 * F.col("pos") + F.col("differ")).alias("asked"))
     asked = materialise(asked.withColumnRenamed("rid", "handle"), "suffix-asked")
-    held = marked(texts.withColumnRenamed("rid", "handle"), asked.select("handle"))
-    made = held.join(asked, "handle").select(F.col("handle").alias("rid"), "text", "asked")
-    words = materialise(made.mapInArrow(contexts, CONTEXT_SQL), "suffix-contexts")
-    own = words.select("rid", F.col("at").alias("own_at"), "side", F.col("words").alias("own_words"))
-    other = words.select(F.col("rid").alias("o_rid"), F.col("at").alias("o_at"), "side", F.col("words").alias("o_words"))
-    sides = found.withColumn("run", F.monotonically_increasing_id())
-    sides = materialise(sides, "suffix-runs").select(
-        "*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).withColumn(
-        "own_at", F.when(F.col("side") == 0, F.col("low")).otherwise(F.col("high"))).withColumn(
-        "o_at", F.col("own_at") + F.col("shift"))
-    grown = (sides.join(own, ["rid", "own_at", "side"]).join(other, ["o_rid", "o_at", "side"])
-             .select("run", "rid", "o_rid", "shift", "side", "own_at", common_prefix("own_words", "o_words").alias("more")))
-    return (grown.groupBy("run", "rid", "o_rid", "shift")
-            .agg(F.max(F.when(F.col("side") == 0, F.col("own_at") - F.col("more"))).alias("start"),
-                 F.max(F.when(F.col("side") == 1, F.col("own_at") + SHARED + F.col("more"))).alias("end")).drop("run"))
+    held = marked(texts.withColumnRenamed("rid", "handle"), asked.select("handle")).join(asked, "handle")
+    spans = held.select(F.col("handle").alias("rid"), "text", "asked").mapInArrow(span_rows, SPANS_SQL)
+    spans = materialise(spans, "suffix-spans")
+    windows = spans.where("handle is not null")
+    found = materialise(in_two(windows), "suffix-windows")
+    columns = ["rid", "start", "end"]
+    return (spans.where("handle is null and end - start >= " + str(MIN_WORDS)).select(columns)
+            .union(marked(windows, found).join(found, "handle").select(columns)))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -216,16 +175,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     handle = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text")      # stable wherever a task runs
     texts = numbered.select(handle.alias("rid"), "doc_id", "text")
     names = materialise(texts.select("rid", "doc_id"), "suffix-names")
-    suffixes = texts.select("rid", "text").mapInArrow(suffix_rows, SUFFIX_SQL)
-    links = neighbours(suffixes, texts)
-    found = materialise(runs(links), "suffix-found")
-    passages = extended(found, texts.select("rid", "text")).where(F.col("end") - F.col("start") >= MIN_WORDS)
-    passages = materialise(passages, "suffix-passages")
+    passages = repeated_spans(texts.select("rid", "text"))
     # union of a document's intervals
     order = Window.partitionBy("rid").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    spans = passages.select("rid", "start", "end").distinct().withColumn(
-        "new", F.when(F.col("start") < before, 0).otherwise(1))
+    spans = passages.withColumn("new", F.when(F.col("start") < before, 0).otherwise(1))
     spans = (spans.withColumn("k", F.sum("new").over(order)).groupBy("rid", "k")
              .agg(F.min("start").alias("start"), F.max("end").alias("end")))
     per_doc = spans.groupBy("rid").agg(

@@ -183,6 +183,23 @@ def test_pairs_behind_a_frequent_boilerplate_are_all_found(spark):
     assert len(check_repeats(spark, rows)) == 1600
 
 
+def test_passages_that_hold_a_frequent_phrase_equal_brute_force(spark):
+    """Frequent phrases of 24 to 49 words, of which documents share a part and go on alike on
+    one or both sides: blocks of hashes differ there although 50 words or more are equal."""
+    rng = np.random.default_rng(3)
+    phrases = [words(100 + k, n).split() for k, n in enumerate((24, 31, 40, 45, 48, 49))]
+    rows = []
+    for i in range(600):
+        phrase = phrases[i % len(phrases)]
+        a, b = sorted(rng.integers(0, len(phrase) + 1, 2)) if i % 3 == 0 else (0, len(phrase))
+        left, right = words(3000 + int(rng.integers(60)), 30).split(), words(4000 + int(rng.integers(60)), 30).split()
+        w = [words(5000 + i, int(rng.integers(0, 30))), *left[30 - int(rng.integers(0, 28)):], *phrase[a:b],
+             *right[:int(rng.integers(0, 28))], words(8000 + i, int(rng.integers(0, 30)))]
+        rows.append((i, " ".join(w), "en", "s", 1))
+    rows += [rows[5], (None, rows[7][1], "en", "s", 1), (1000, rows[8][1] + " more", "en", "s", 1)]
+    assert len(check_repeats(spark, rows)) > 100
+
+
 def test_stage_keeps_one_of_each_group_whatever_the_ids(docs):
     kept = filter_rows(docs, exact_dedup.dropped_ids)
     assert kept.columns == docs.columns and kept.count() == exact(ROWS)[1]

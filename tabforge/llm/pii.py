@@ -2,17 +2,23 @@
 
 Base entities are e-mail addresses, IP addresses, card numbers and phone numbers,
 found by pattern and checked (see ``base_spans``).  Every distinct value is a
-protected entity e.  From the whole corpus, the words near mentions tell how
-strongly a term t reveals e:
+protected entity e.  Over the whole texts of the corpus, the documents that hold both
+tell how strongly a term t (two letters or digits at least) reveals e:
 
     disclosure(e, t) = PMI(e; t) / IC(e)
     PMI(e; t) = log2(n_et * N / (n_e * n_t)),  IC(e) = log2(N / n_e)
 
-with N documents, n_e that hold e, n_t that hold t, n_et with t near e.  It is 1
-when t occurs only where e does.  Beside a mention, terms at REMOVE or more are
-removed and those at GENERALISE or more replaced by a class word; pairs seen in
-fewer than SUPPORT documents are no evidence.  A document without a base entity
-gets no span.
+with N documents, n_e that hold e, n_t that hold t, n_et that hold both.  It is 1
+when t occurs only where e does.  In documents that hold e, every occurrence of a term
+at REMOVE or more is removed and of one at GENERALISE or more replaced by a class word.
+
+Chance makes such pairs too.  The chance that n_et or more of t's documents are e's is
+C(n_t, n_et) * C(n_e, n_et) / C(N, n_et) at most; a pair counts where the pairs that
+unlikely that chance alone would make, of all entities and terms of the corpus, are at
+most FALSE of those found (Benjamini and Hochberg's rule).  That needs no given support:
+two common documents can do.  One cannot: of a document's words that occur in no
+other, none stands out, so an entity of a single document has no terms.  A document
+without a base entity gets no span.
 
 Defined results: null text counts as empty; documents without personal data have
 zero counts and empty span lists; repeated rows count as documents of their own;
@@ -27,6 +33,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
+from math import lgamma, log
 
 import pyarrow as pa
 import xxhash
@@ -35,12 +42,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise, text_or_empty
+from .jaccard_join import marked
 
 KINDS = ("email", "ip", "card", "phone")
 REVEALING = "term"
-REACH = 80                      # characters on either side of a mention
-SUPPORT = 3
 GENERALISE, REMOVE = 0.9, 0.98
+FALSE = 0.01                    # share of chance pairs among those found
+MOST_BITS = 4096
 FLUSH_TERMS = 300_000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -51,7 +59,7 @@ DIGIT = re.compile(r"[0-9]")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-WORD = re.compile(r"[^\W\d_]{3,}")
+WORD = re.compile(r"[^\W_]{2,}")
 
 
 def luhn(digits: str) -> bool:
@@ -103,34 +111,30 @@ def term(word: str) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
-def nearby(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Words within REACH characters of each mention: entity, term, start, end, and
-    whether it is the document's first with this entity and term."""
+def terms_of(text: str) -> set[str]:
+    return {w.lower() for w in set(WORD.findall(text))}
+
+
+def beside(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
+    """Words outside the mentions: term, start, end."""
     starts = [s for s, _, _ in spans]
     reach = list(accumulate((e for _, _, e in spans), max))         # furthest end so far
-    out, seen = [], set()
-    for s, kind, e in spans:
-        who = entity(kind, text[s:e])
-        for low, high in ((max(0, s - REACH), s), (e, min(len(text), e + REACH))):
-            for m in WORD.finditer(text, low, high):
-                a, b = m.span()
-                cut = (a == low > 0 and text[a - 1].isalnum()) or (b == high < len(text) and text[b].isalnum())
-                before = bisect_left(starts, b) - 1          # the last mention that starts before b
-                if cut or (before >= 0 and reach[before] > a):
-                    continue
-                t = term(m.group().lower())
-                out.append({"entity": who, "term": t, "start": a, "end": b, "first": (who, t) not in seen})
-                seen.add((who, t))
+    out = []
+    for m in WORD.finditer(text):
+        a, b = m.span()
+        before = bisect_left(starts, b) - 1              # the last mention that starts before b
+        if before < 0 or reach[before] <= a:
+            out.append({"term": term(m.group().lower()), "start": a, "end": b})
     return out
 
 
-NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()),
-                           ("end", pa.int64()), ("first", pa.bool_())]))
+PLACES = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 ROWS = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS),
-                  ("base", pa.string()), ("entities", pa.list_(pa.int64())), ("near", NEAR),
+                  ("base", pa.string()), ("entities", pa.list_(pa.int64())),
+                  ("held", pa.list_(pa.int64())), ("places", PLACES),
                   ("term", pa.int64()), ("n", pa.int64())])
 ROWS_SQL = ("rid long, doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, "
-            "entities array<long>, near array<struct<entity:long,term:long,start:long,end:long,first:boolean>>, "
+            "entities array<long>, held array<long>, places array<struct<term:long,start:long,end:long>>, "
             "term long, n long")
 
 
@@ -147,12 +151,14 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rid, doc_id, text in zip(*(b.column(i).to_pylist() for i in range(3))):
             spans = base_spans(text)
             counts = Counter(k for _, k, _ in spans)
+            words = terms_of(text)
             rows.append({
                 "rid": rid, "doc_id": doc_id, **{f"n_{k}": counts[i] for i, k in enumerate(KINDS)},
                 "base": ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans),
                 "entities": sorted({entity(k, text[s:e]) for s, k, e in spans}),
-                "near": nearby(text, spans) if spans else []})
-            held.update(set(WORD.findall(text.lower())))
+                "held": [term(w) for w in words] if spans else [],
+                "places": beside(text, spans) if spans else []})
+            held.update(words)
         yield pa.RecordBatch.from_pylist(rows, ROWS)
         if len(held) > FLUSH_TERMS:
             yield terms()
@@ -166,22 +172,74 @@ def scanned(docs: DataFrame) -> DataFrame:
     return materialise(numbered.mapInArrow(scan, ROWS_SQL), "pii-scan")
 
 
+def surprise(total: int):
+    """Bits by which n_et common documents of n_e and n_t among ``total`` surprise, at least."""
+    @F.arrow_udf(T.IntegerType())
+    def bits(n_e: pa.Array, n_t: pa.Array, n_et: pa.Array) -> pa.Array:
+        out = []
+        for e, t, k in zip(n_e.to_pylist(), n_t.to_pylist(), n_et.to_pylist()):
+            chance = (lgamma(t + 1) - lgamma(t - k + 1) - lgamma(k + 1) + lgamma(e + 1) - lgamma(e - k + 1)
+                      - lgamma(total + 1) + lgamma(total - k + 1))
+            out.append(min(MOST_BITS, max(0, int(-chance / log(2) + 1e-6))))
+        return pa.array(out, pa.int32())
+    return bits
+
+
+def least_bits(found: dict[int, int], tests: int) -> int:
+    """The fewest bits at which chance makes at most FALSE of the pairs found."""
+    least, n = MOST_BITS + 1, 0
+    for b in sorted(found, reverse=True):
+        n += found[b]
+        if tests <= FALSE * n * 2 ** b:
+            least = b
+    return least
+
+
 def revealing(rows: DataFrame) -> DataFrame:
-    """(rid, start, end, disclosure) of terms near mentions at GENERALISE or more."""
+    """(rid, found: term and disclosure of each revealing term of the document's entities)."""
     docs = rows.where("rid is not null")
     total = docs.count()
-    n_e = (docs.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")))
-    near = docs.where(F.size("near") > 0).select("rid", F.inline("near"))
-    n_et = (near.where("first").groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-            .where(F.col("n_et") >= SUPPORT))
-    n_t = rows.where("rid is null").groupBy("term").agg(F.sum("n").alias("n_t"))
-    scored = (n_et.join(n_e, "entity").join(n_t, "term")
+    n_e = materialise(docs.select("rid", F.explode("entities").alias("entity")).groupBy("entity")
+                      .agg(F.count("*").alias("n_e")), "pii-entities")
+    n_t = materialise(rows.where("rid is null").groupBy(F.col("term").alias("handle"))
+                      .agg(F.sum("n").alias("n_t")), "pii-terms")
+    tests, most = n_e.count() * n_t.count(), n_e.agg(F.max("n_e")).first()[0] or 0
+
+    def limit(n):
+        # n_et is n_e at most, so more documents of t keep the disclosure below GENERALISE
+        return F.pow(F.lit(float(total)), F.lit(1 - GENERALISE)) * F.pow(n, F.lit(GENERALISE)) * 1.000001
+
+    named = materialise(docs.select("rid", F.explode("entities").alias("entity"))
+                        .join(n_e.where("n_e > 1"), "entity"), "pii-named")
+    held = marked(docs.select(F.col("rid").alias("handle"), "held"), named.select(F.col("rid").alias("handle")))
+    rare = n_t.where((F.col("n_t") > 1) & (F.col("n_t") <= limit(F.lit(float(most)))))
+    spelt = (marked(held.select(F.col("handle").alias("rid"), F.explode("held").alias("handle")), rare.select("handle"))
+             .join(rare, "handle").withColumnRenamed("handle", "term"))
+    pairs = materialise(spelt.join(named, "rid").where(F.col("n_t") <= limit(F.col("n_e"))), "pii-pairs")
+    scored = (pairs.groupBy("entity", "term")
+              .agg(F.count("*").alias("n_et"), F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t")).where("n_et > 1")
               .withColumn("ic", F.log2(F.lit(total) / F.col("n_e")))
               .withColumn("pmi", F.log2(F.col("n_et") * F.lit(total) / (F.col("n_e") * F.col("n_t"))))
-              .where("ic > 0 and pmi > 0").select("entity", "term", (F.col("pmi") / F.col("ic")).alias("disclosure"))
+              .where("ic > 0 and pmi > 0").withColumn("disclosure", F.col("pmi") / F.col("ic"))
               .where(F.col("disclosure") >= GENERALISE))
-    return (near.join(scored, ["entity", "term"]).groupBy("rid", "start", "end")
-            .agg(F.max("disclosure").alias("disclosure")))
+    scored = materialise(scored.select("entity", "term", "disclosure", surprise(total)("n_e", "n_t", "n_et").alias("bits")),
+                         "pii-scored")
+    counts = {r["bits"]: r["count"] for r in scored.groupBy("bits").count().collect()}     # at most MOST_BITS rows
+    sure = scored.where(F.col("bits") >= least_bits(counts, tests))
+    return (pairs.select("rid", "entity", "term").join(sure, ["entity", "term"]).groupBy("rid", "term")
+            .agg(F.max("disclosure").alias("disclosure")).groupBy("rid")
+            .agg(F.collect_list(F.struct("term", "disclosure")).alias("found")))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("disclosure", "double")))
+def placed(places: pa.Array, found: pa.Array) -> pa.Array:
+    """All occurrences of the found terms, in order."""
+    out = []
+    for words, terms in zip(places.to_pylist(), found.to_pylist()):
+        disclosure = {x["term"]: x["disclosure"] for x in terms}
+        out.append([{"start": w["start"], "end": w["end"], "disclosure": disclosure[w["term"]]}
+                    for w in words if w["term"] in disclosure])
+    return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("disclosure", pa.float64())])))
 
 
 @F.arrow_udf(T.StringType())
@@ -199,9 +257,11 @@ def find(docs: DataFrame) -> DataFrame:
     """Per document: rid, doc_id, n_email, n_ip, n_card, n_phone, base, base_sha256, spans and
     terms (start, end, disclosure of each revealing term)."""
     rows = scanned(docs)
-    found = (revealing(rows).groupBy("rid")
-             .agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms")))
-    return (rows.where("rid is not null").drop("entities", "near", "term", "n").join(found, "rid", "left")
+    docs = rows.where("rid is not null")
+    found = materialise(revealing(rows).withColumnRenamed("rid", "handle"), "pii-found")
+    words = marked(docs.select(F.col("rid").alias("handle"), "places"), found.select("handle"))
+    found = words.join(found, "handle").select(F.col("handle").alias("rid"), placed("places", "found").alias("terms"))
+    return (docs.drop("entities", "held", "places", "term", "n").join(found, "rid", "left")
             .withColumn("base_sha256", F.sha2("base", 256))
             .withColumn("spans", joined("base", F.col("terms.start"), F.col("terms.end"))))
 

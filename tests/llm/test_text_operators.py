@@ -212,6 +212,23 @@ def test_revealing_terms_are_found_and_common_ones_left(spark):
     assert clean[100] == rows[5][1]
 
 
+def test_terms_far_from_a_mention_of_a_rare_entity_are_found(spark):
+    """Two documents of an entity, terms further off than any line, a name of two letters and
+    one with digits, once in each document and again behind it."""
+    filler = [" ".join(f"common{'abcdefghij'[(i * k) % 10]}" for k in range(1, 60)) for i in range(400)]
+    rows = [(i, f"{filler[i]} Bo and k9unit say {filler[i]} mail ceo@firm.example.com {filler[i]} bo", "en", "s", 1)
+            for i in range(2)]
+    rows += [(i, f"{filler[i]} and say mail" + (" single@person.example.com lonely" if i == 50 else ""), "en", "s", 1)
+             for i in range(2, 400)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    for i in range(2):
+        assert sorted(rows[i][1][t.start:t.end] for t in got[i].terms) == ["Bo", "bo", "k9unit"]
+    assert not any(got[i].terms for i in range(2, 400))
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert not re.search(r"(?i)\bbo\b|k9unit", clean[0] + clean[1]) and "[EMAIL]" in clean[0]
+
+
 # --- contamination ------------------------------------------------------------
 def test_masks_are_lossless():
     """However the allowed words differ, some mask fits between them."""

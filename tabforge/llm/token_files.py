@@ -30,6 +30,7 @@ empty table gives no files and no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -134,6 +135,19 @@ class TokenFile:
 
 # --- encoding -----------------------------------------------------------------
 _TOKENIZERS: dict[str, tuple] = {}
+#: The normaliser and split that lower-case and drop white space, so that words can be
+#: encoded one by one; any other tokenizer gets whole texts.
+LOWERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITS = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+          "behavior": "Removed", "invert": True}
+
+
+def by_words(model: str) -> bool:
+    spec = json.loads(model)
+    normaliser, splitter = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    rest = (splitter.get("pretokenizers") or [None])[1:]
+    return (normaliser.get("normalizers") == LOWERS and (splitter.get("pretokenizers") or [None])[0] == SPLITS
+            and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in rest))
 
 
 def encode_texts(model: str, texts: list[str]) -> list[bytes]:
@@ -143,12 +157,12 @@ def encode_texts(model: str, texts: list[str]) -> list[bytes]:
     if model not in _TOKENIZERS:
         tokenizer = Tokenizer.from_str(model)
         spans = any(any(c.isspace() for c in t.content) for t in tokenizer.get_added_tokens_decoder().values())
-        _TOKENIZERS[model] = (tokenizer, {}, spans)
-    tokenizer, memo, spans = _TOKENIZERS[model]
+        _TOKENIZERS[model] = (tokenizer, {}, spans or not by_words(model))
+    tokenizer, memo, entire = _TOKENIZERS[model]
     end = np.asarray([END_ID], "<u4").tobytes()
     whole = lambda xs: [np.asarray(e.ids, "<u4").tobytes()
                         for e in tokenizer.encode_batch_fast(xs, add_special_tokens=False)]
-    if spans:
+    if entire:
         return [x + end for x in whole(texts)]
     if len(memo) > MEMO_WORDS:
         memo.clear()

@@ -159,6 +159,16 @@ def test_shards_equal_the_sql_on_odd_rows(docs, no_docs, wide_docs):
     assert sharding.assign(no_docs).count() == 0
 
 
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+    assert token_files.by_words(BPE_JSON)
+    model = registry.tokenizer_file("byte_bpe_50k.json").decode()
+    texts = ["Hello  World\n said NASA", "", " a b"]
+    want = [e.ids for e in Tokenizer.from_str(model).encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(x, "<u4").tolist()[:-1] for x in token_files.encode_texts(model, texts)]
+    assert got == want and not token_files.by_words(model)
+
+
 # --- personal data ------------------------------------------------------------
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")

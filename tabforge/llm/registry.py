@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (decontaminate, exact_dedup, jaccard_join, pii, quality, sentencepiece_wfst, sharding,
-               suffixes, token_files, toxicity)
+               suffixes, super_minhash, token_files, toxicity)
 from .common import prepare, table
 
 #: Folder of the public tokenizers' files; None takes the installed package's.
@@ -96,3 +96,9 @@ def op8_sparse_suffix_dedup(spark, sf_dir):
 def op9_toxicity_mil(spark, sf_dir):
     prepare(spark)
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_super_minhash(spark, sf_dir):
+    prepare(spark)
+    return super_minhash.groups(table(spark, sf_dir, "documents"))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontaminate, exact_dedup, jaccard_join, pii, quality, sentencepiece_wfst, sharding,
-               suffixes, super_minhash, token_files, toxicity)
+from . import (decontaminate, exact_dedup, jaccard_join, phrases, pii, quality, sentencepiece_wfst, sharding, suffixes,
+               super_minhash, token_files, toxicity)
 from .common import prepare, table
 
 #: Folder of the public tokenizers' files; None takes the installed package's.
@@ -102,3 +102,12 @@ def op9_toxicity_mil(spark, sf_dir):
 def op13_super_minhash(spark, sf_dir):
     prepare(spark)
     return super_minhash.groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_phrase_streams(spark, sf_dir):
+    prepare(spark)
+    return phrases.phrases(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_phrase_streams"] = phrases.ORACLE

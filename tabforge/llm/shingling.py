@@ -25,34 +25,44 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = np.arange(256)
 _BLANK = (_BYTE == 32) | ((_BYTE >= 9) & (_BYTE <= 13))
-_LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE)
+LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
 # by place and byte; upper-case letters have the numbers of lower-case ones
-_NUMBERS = mix((np.arange(PLACES)[:, None] * 256 + _LOWER[None, :] + 1).astype(np.uint64) * GOLDEN).reshape(-1)
+_NUMBERS = mix((np.arange(PLACES)[:, None] * 256 + LOWER[None, :] + 1).astype(np.uint64) * GOLDEN).reshape(-1)
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, number of words of each text)."""
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, their limits)."""
     if not len(texts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     _, offsets, data = texts.buffers()
     ends = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    low, limits = ends[0], ends - ends[0]
-    body = np.frombuffer(data, np.uint8)[low:ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    if data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(ends), np.int64)
+    return np.frombuffer(data, np.uint8)[ends[0]:ends[-1]], ends - ends[0]
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, number of words of each text)."""
+    body, limits = text_bytes(texts)
     inside = np.flatnonzero(~_BLANK[body])
     if not len(inside):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     begins = np.zeros(len(body) + 1, bool)
     begins[limits[:-1]] = True                       # a text's first byte starts a word
     start = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1] + 1]) | begins[inside])
-    length = np.diff(np.append(start, len(inside)))
-    place = np.arange(len(inside)) - np.repeat(start, length)
-    value = _NUMBERS[((place & (PLACES - 1)) << 8) | body[inside]]
-    if length.max() > PLACES:
+    return run_hashes(body[inside], start), np.diff(np.searchsorted(inside[start], limits))
+
+
+def run_hashes(body: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hashes of the words that begin at ``start`` in ``body``, the bytes of words alone."""
+    length = np.diff(np.append(start, len(body)))
+    place = np.arange(len(body)) - np.repeat(start, length)
+    value = _NUMBERS[((place & (PLACES - 1)) << 8) | body]
+    if length.max(initial=0) > PLACES:
         far = np.flatnonzero(place >= PLACES)
         value[far] = mix(value[far] + (place[far] // PLACES).astype(np.uint64) * GOLDEN)
-    hashes = mix(np.add.reduceat(value, start) + length.astype(np.uint64))
-    return hashes, np.diff(np.searchsorted(inside[start], limits))
+    return mix(np.add.reduceat(value, start) + length.astype(np.uint64))
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (decontaminate, exact_dedup, jaccard_join, phrases, pii, quality, sentencepiece_wfst, sharding, suffixes,
-               super_minhash, token_files, toxicity)
+               super_minhash, token_alignment, token_files, toxicity)
 from .common import prepare, table
 
 #: Folder of the public tokenizers' files; None takes the installed package's.
@@ -111,3 +111,10 @@ def op12_phrase_streams(spark, sf_dir):
 
 
 ORACLES["op12_phrase_streams"] = phrases.ORACLE
+
+
+@query
+def op11_token_alignment(spark, sf_dir):
+    prepare(spark)
+    return token_alignment.alignments(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json").decode("utf-8"),
+                                      tokenizer_file("piece_bpe_32k.model"))

@@ -34,7 +34,9 @@ WINDOW = 13
 #: Words that may differ, by the number of words compared.
 MISSES = {9: 0, 10: 1, 11: 1, 12: 1, 13: 2}
 MIN_WORDS = min(MISSES)
+SHORTEST = 5
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
+SHORT_MASK = tuple(range(SHORTEST))
 BROADCAST_BYTES = 64 << 20
 SEED_BYTES = 64                     # of a broadcast seed: hash, item, position and the table's own
 
@@ -55,16 +57,20 @@ def seeds(array: Column, masks) -> Column:
 
 def item_words(items: DataFrame) -> DataFrame:
     found = F.filter(words(text_or_empty()), lambda w: w != "")
-    return (items.select("item_id", found.alias("item")).where(F.size("item") >= MIN_WORDS)
+    return (items.select("item_id", found.alias("item")).where(F.size("item") >= SHORTEST)
             .withColumn("n", F.size("item")))
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """(seed, item_id, at) for every mask that lies inside an item."""
-    reach = F.array(*(F.lit(m[-1]) for m in MASKS))
-    placed = items.select("item_id", "n", F.posexplode(seeds(F.col("item"), MASKS)).alias("at", "hashes"))
+    """(seed, item_id, at) for every mask that lies inside an item; short items have one
+    seed, at their start."""
+    reach = F.array(*(F.lit(m[-1]) for m in (*MASKS, SHORT_MASK)))
+    placed = items.select("item_id", "n", F.posexplode(seeds(F.col("item"), (*MASKS, SHORT_MASK))).alias("at", "hashes"))
     each = placed.select("item_id", "n", "at", F.posexplode("hashes").alias("mask", "seed"))
-    return each.where(F.col("at") + F.get(reach, F.col("mask")) < F.col("n")).select("seed", "item_id", "at").distinct()
+    short = F.col("n") < MIN_WORDS
+    asked = (short & (F.col("mask") == len(MASKS)) & (F.col("at") == 0)) | (
+        ~short & (F.col("mask") < len(MASKS)) & (F.col("at") + F.get(reach, F.col("mask")) < F.col("n")))
+    return each.where(asked).select("seed", "item_id", "at").distinct()
 
 
 def agreement(doc: Column, item: Column, shift: Column) -> Column:
@@ -83,10 +89,12 @@ def matches(docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROADCAST_
     of the best window)."""
     known = item_words(items)
     lookup = item_seeds(known)
-    if (known.agg(F.sum("n")).first()[0] or 0) * len(MASKS) * SEED_BYTES <= broadcast_bytes:
+    size = known.agg(F.sum("n").alias("n"), F.min("n").alias("least")).first()
+    if (size["n"] or 0) * len(MASKS) * SEED_BYTES <= broadcast_bytes:
         lookup = F.broadcast(lookup)
+    masks = MASKS if (size["least"] or MIN_WORDS) >= MIN_WORDS else (*MASKS, SHORT_MASK)
     text = docs.select("doc_id", words(text_or_empty()).alias("doc"))
-    spots = text.select("doc_id", F.posexplode(seeds(F.col("doc"), MASKS)).alias("pos", "hashes"))
+    spots = text.select("doc_id", F.posexplode(seeds(F.col("doc"), masks)).alias("pos", "hashes"))
     spots = spots.select("doc_id", "pos", F.explode("hashes").alias("seed"))
     hits = spots.join(lookup, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"))
     hits = materialise(hits.distinct(), "seed-hits")
@@ -98,14 +106,19 @@ def verified(docs: DataFrame, hits: DataFrame, known: DataFrame) -> DataFrame:
     by_id = known.select(F.col("item_id").alias("known_id"), "item")
     marked = (hits.join(by_id, F.col("item_id").eqNullSafe(F.col("known_id")))
               .select(F.col("doc_id").alias("hit_id"), "item_id", "shift", "item"))
-    # texts are joined whole and split into words only where there is a hit
-    judged = (docs.select("doc_id", text_or_empty().alias("text"))
-              .join(marked, F.col("doc_id").eqNullSafe(F.col("hit_id")))
-              .withColumn("doc", words(F.col("text"))).select("doc_id", "item_id", "shift", F.size("item").alias("n_words"),
+    # texts of documents with a hit are split into words below the join: in a projection above
+    # it the optimizer would move the split into the lambda, once per word of each item
+    wanted = hits.select(F.col("doc_id").alias("hit_id")).distinct()
+    texts = (docs.select("doc_id", text_or_empty().alias("text"))
+             .join(wanted, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
+             .select("doc_id", words(F.col("text")).alias("doc")))
+    judged = (texts.join(marked, F.col("doc_id").eqNullSafe(F.col("hit_id")))
+              .select("doc_id", "item_id", "shift", F.size("item").alias("n_words"),
                       F.least(F.size("item"), F.lit(WINDOW)).alias("compared"),
                       agreement(F.col("doc"), F.col("item"), F.col("shift")).alias("agree")))
     allowed = F.create_map(*(F.lit(x) for pair in sorted(MISSES.items()) for x in pair))
-    kept = judged.where(F.col("agree") >= F.col("compared") - F.element_at(allowed, F.col("compared")))
+    misses = F.coalesce(F.try_element_at(allowed, F.col("compared")), F.lit(0))
+    kept = judged.where(F.col("agree") >= F.col("compared") - misses)
     best = F.struct(F.col("agree"), (-F.col("shift")).alias("early"), "n_words", "compared")
     return (kept.groupBy("doc_id", "item_id").agg(F.max(best).alias("b"))
             .select("doc_id", "item_id", (-F.col("b.early")).cast("long").alias("start"),

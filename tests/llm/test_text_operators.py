@@ -276,6 +276,26 @@ def test_contamination_with_substitutions(spark, docs, no_docs, wide_docs):
         "doc_id <=> item_id").select("doc_id").distinct().count() == 10      # ids with a text of 9 words
 
 
+def test_short_items_match_as_whole_sequences(spark):
+    five, eight = words(80, 5), words(81, 8)
+    rows = [(1, f"{words(5, 9)}, {five.upper()}. {words(6, 9)}", "", "", 1), (2, " ".join(five.split()[:4]), "", "", 1),
+            (3, " ".join([*five.split()[:4], "other"]), "", "", 1), (4, eight, "", "", 1),
+            (5, " ".join([*eight.split()[:7], "other"]), "", "", 1), (None, five, "", "", 1)]
+    items = spark.createDataFrame([(1, five), (2, eight), (None, " ".join(five.split()[:4]))], "item_id long, text string")
+    for limit in (decontaminate.BROADCAST_BYTES, 0):
+        got = {(r.doc_id, r.item_id): r for r in decontaminate.matches(spark.createDataFrame(rows, SCHEMA), items, limit).collect()}
+        assert set(got) == {(1, 1), (4, 2), (None, 1)}
+        assert got[1, 1].start == 9 and got[1, 1].compared == 5
+
+
+def test_no_text_is_split_inside_a_lambda(spark, sf_dir):
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    plan = decontaminate.matches(docs, items)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan
+    for part in re.findall(r"lambdafunction\(.*", plan):
+        assert "split(" not in part
+
+
 def test_contamination_runs_without_python(spark, sf_dir):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     plan = decontaminate.matches(docs, items)._jdf.queryExecution().executedPlan().toString()

@@ -93,8 +93,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS, max_
                  for y in (0, 1))
     chosen = F.broadcast(low.unionAll(high))                 # at most 2 * most rows
     text = text_or_empty()
-    rows = docs.where(F.octet_length(text) <= max_bytes).join(chosen, "doc_id").select(
-        "doc_id", "y", features(text).alias("f")).select("doc_id", "y", "f.ids", "f.times")
+    texts = docs.select("doc_id", text.alias("text")).where(F.octet_length("text") <= max_bytes)
+    rows = texts.join(chosen, "doc_id").select("doc_id", "y", features("text").alias("f")).select(
+        "doc_id", "y", "f.ids", "f.times")
     return sorted((r["doc_id"], r["y"], bytes(r["ids"]), bytes(r["times"])) for r in rows.collect())
 
 

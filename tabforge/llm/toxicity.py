@@ -86,8 +86,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_clean: int = MAX_CLEAN
                     for y, most in ((0, max_clean), (1, max_toxic)))
     chosen = F.broadcast(clean.unionAll(toxic))              # at most max_clean + max_toxic rows
     text = text_or_empty()
-    rows = docs.where(F.octet_length(text) <= max_bytes).join(chosen, "doc_id").select(
-        "doc_id", "y", bags(text).alias("bag"))
+    texts = docs.select("doc_id", text.alias("text")).where(F.octet_length("text") <= max_bytes)
+    rows = texts.join(chosen, "doc_id").select("doc_id", "y", bags("text").alias("bag"))
     return sorted((r["doc_id"], r["y"], bytes(r["bag"])) for r in rows.collect())
 
 

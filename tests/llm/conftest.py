@@ -54,4 +54,5 @@ def no_docs(spark):
 def wide_docs(docs):
     """Extra columns whose names the operators use themselves."""
     from pyspark.sql import functions as F
-    return docs.withColumns({c: F.lit(7) for c in ("rid", "sig", "n", "score", "body", "shard", "hub", "start")})
+    return docs.withColumns({c: F.lit(7) for c in ("rid", "sig", "n", "score", "body", "shard", "hub", "start", "y", "f", "base", "terms",
+                                              "key", "root", "item", "doc", "hit_id")})

@@ -8,9 +8,10 @@ of a text are successive runs of its normalised UTF-8 bytes.
    count and best row: a text that fills a third of the table reaches the
    shuffle once per chunk.
 2. Prefixes are split by further bytes as long as the bodies below one of them
-   add up to more than ``leaf_bytes``.  The table of split prefixes has at most
-   total / leaf_bytes entries and leaf_bytes is at least total / (8 * shuffle
-   partitions), so its size is bounded by the cluster's setting, not by the data.
+   add up to more than ``leaf_bytes``.  A level reads only the bodies below the
+   prefixes that the level before split, from a written table, and numbers the
+   prefixes that it splits itself on the executors: nothing of them passes through the
+   driver and no level repeats the ones before.
 3. Bodies go to the task of their leaf (deepest split prefix and next digit),
    sorted by leaf; each leaf is split by successive bytes until its groups are
    singletons or have ended.  Bodies are compared by their bytes alone; a leaf
@@ -142,33 +143,35 @@ def split_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit(out)
 
 
+LEVEL_BITS = 56                  # of a prefix's number, below its level
+
+
 def leaves(leaders: DataFrame, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
     """Leaders with node (deepest split prefix), offset and width of their next digit."""
     total = leaders.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     most = max(leaf_bytes, total // (8 * partitions(leaders.sparkSession)))
+    columns = [*leaders.columns, "node", "offset", "width"]
     cur = leaders.withColumns({"node": F.lit(0).cast("long"), "offset": F.lit(0), "width": F.lit(FIRST_DIGIT)})
-    offset, width, last = 0, FIRST_DIGIT, 0
-    digit = F.substring(F.col("body"), F.col("offset") + 1, F.col("width"))
+    offset, width, level, settled = 0, FIRST_DIGIT, 1, []
+    digit = lambda: F.substring(F.col("body"), F.lit(offset + 1), F.lit(width))
     while True:
-        here = cur.where(F.col("offset") == offset) if offset else cur
-        heavy = (here.groupBy("node", digit.alias("digit"))
+        heavy = (cur.groupBy("node", digit().alias("digit"))
                  .agg(F.sum(F.octet_length("body")).alias("held"), F.count("*").alias("k"))
-                 .where((F.col("held") > most) & (F.col("k") > 1) & (F.octet_length("digit") == width))
-                 .select("node", "digit").collect())      # at most total / most rows
-        if not heavy:
-            return cur
-        rows = [(h["node"], bytes(h["digit"]), last + 1 + i) for i, h in enumerate(sorted(heavy))]
-        last += len(rows)
-        split = F.broadcast(cur.sparkSession.createDataFrame(rows, "s_node long, s_digit binary, s_id long"))
-        joined = cur.join(split, (F.col("node") == F.col("s_node")) & (digit == F.col("s_digit"))
-                          & (F.col("offset") == offset), "left")
-        hit = F.col("s_id").isNotNull()
-        cur = joined.withColumns({
-            "node": F.coalesce("s_id", "node"),
-            "offset": F.when(hit, offset + width).otherwise(F.col("offset")),
-            "width": F.when(hit, 2 * width).otherwise(F.col("width")),
-        }).drop("s_node", "s_digit", "s_id")
-        offset, width = offset + width, 2 * width
+                 .where((F.col("held") > most) & (F.col("k") > 1) & (F.octet_length("digit") == width)))
+        number = F.lit(level << LEVEL_BITS) + F.monotonically_increasing_id()
+        heavy = materialise(heavy.select(F.col("node").alias("s_node"), F.col("digit").alias("s_digit"),
+                                         number.alias("s_id")), "radix-splits")
+        if heavy.isEmpty():
+            break
+        below = (F.col("node") == F.col("s_node")) & (digit() == F.col("s_digit"))
+        settled.append(cur.join(heavy, below, "left_anti").select(columns))
+        deeper = cur.join(heavy, below).withColumn("node", F.col("s_id"))
+        offset, width, level = offset + width, 2 * width, level + 1
+        deeper = deeper.withColumns({"offset": F.lit(offset), "width": F.lit(width)}).select(columns)
+        cur = materialise(deeper, "radix-level")
+    for part in settled:
+        cur = cur.union(part)
+    return cur
 
 
 def groups(docs: DataFrame, leaf_bytes: int = LEAF_BYTES) -> DataFrame:

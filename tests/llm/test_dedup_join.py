@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tabforge.llm import exact_dedup, jaccard_join, suffixes
 from tabforge.llm.common import components, filter_rows
@@ -47,6 +48,23 @@ def test_exact_dedup_splits_heavy_prefixes(spark):
     check_exact(spark.createDataFrame(rows, SCHEMA).repartition(4), rows, leaf_bytes=300)
 
 
+def test_exact_dedup_of_long_texts_with_long_common_prefixes(spark):
+    head = words(40, 30) * 9000                           # 1.6 MB
+    rows = [(i, head + str(i % 3) + " " * i, "en", "s", 1) for i in range(6)]
+    rows += [(10 + i, head[:400_000 + i // 2], "en", "s", 1) for i in range(6)]
+    check_exact(spark.createDataFrame(rows, SCHEMA).repartition(6), rows, leaf_bytes=256 << 10)
+
+
+def test_levels_of_exact_dedup_do_not_repeat_each_other(spark):
+    head = "same head " * 30
+    df = spark.createDataFrame([(head + words(i % 7, 20),) for i in range(60)], "body string")
+    made = exact_dedup.leaves(df.select(F.encode("body", "utf-8").alias("body")), 300)
+    assert made.where("offset > 64").count() == 60
+    # each level is read from a table of its own, so a plan holds one join a level
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 6, plan
+
+
 @settings(max_examples=50, derandomize=True, deadline=None)
 @given(st.lists(st.text("ab", max_size=40)))
 def test_radix_groups_are_the_equal_bodies(texts):

@@ -53,36 +53,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import components, materialise, text_or_empty
+from .shingling import mix, shingle_sets, slices
 
 WORDS = 5
 COST = 4
-MEMO_WORDS = 400_000
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)   # the SplitMix64 finaliser
-_STEPS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(WORDS + 1)]
-_WORD_HASH: dict[bytes, int] = {}
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(text: str) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the 5-word shingles of a text."""
-    words = text.encode("utf-8").lower().split()
-    if len(_WORD_HASH) > MEMO_WORDS:
-        _WORD_HASH.clear()
-    for w in set(words).difference(_WORD_HASH):
-        _WORD_HASH[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter(map(_WORD_HASH.__getitem__, words), np.uint64, len(words))
-    if not len(h):
-        return h
-    n = min(WORDS, len(h))
-    rolled = np.zeros(len(h) - n + 1, np.uint64)
-    for k in range(n):
-        rolled = rolled + mix(h[k:len(h) - n + 1 + k] + _STEPS[k]) * _STEPS[k + 1]
-    return np.unique(mix(rolled + np.uint64(n)))
+SEEN_CLASSES = 400_000
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)   # salts of the block keys
 
 
 def signature(s: np.ndarray) -> int:
@@ -197,10 +173,10 @@ def list_rows(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator
     light, seen = boundary(), set()
     for batch in batches:
         rows = []                                     # kind, keys, class, size, doc_id, handle
-        if len(seen) > MEMO_WORDS:
+        if len(seen) > SEEN_CLASSES:
             seen.clear()
-        for doc_id, text, handle in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            s = shingles(text)
+        found = slices(*shingle_sets(batch.column(1), WORDS))
+        for doc_id, s, handle in zip(batch.column(0).to_pylist(), found, batch.column(2).to_pylist()):
             sig = signature(s)
             spread = np.asarray([sig ^ (handle & 0xFFFFFFFFFFFFFFFF)], np.uint64)
             rows.append((DOC, mix(spread), sig, len(s), doc_id, handle))
@@ -231,7 +207,7 @@ KEPT_BYTES = 5                   # of a shingle's hash, in comparisons of two se
 def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Class, size, shingles (40 bits each) and histogram of hashes of each text."""
     for batch in batches:
-        found = [shingles(t) for t in batch.column(0).to_pylist()]
+        found = slices(*shingle_sets(batch.column(0), WORDS))
         sigs = np.asarray([signature(s) for s in found], np.uint64).view(np.int64)
         short = [s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes() for s in found]
         bins = [np.minimum(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=BINS), 255)
@@ -296,7 +272,8 @@ SAMPLE_DOCS, SAMPLE_SHARE, SAMPLE_TIMES, MOST_COMMON = 20_000, 64, 4, 500_000
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def shingle_lists(texts: pa.Array) -> pa.Array:
-    return pa.array([shingles(t).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+    flat, ends = shingle_sets(texts, WORDS)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
 
 
 def common_shingles(texts: DataFrame) -> np.ndarray:

@@ -184,7 +184,7 @@ def members_of(asked: DataFrame, rows: DataFrame, texts: DataFrame, name: str) -
 
 
 # --- bands that are not one component -----------------------------------------
-BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
+BLOCK_ROWS, BLOCK_BYTES = 4096, 16 << 20
 
 
 def dealt(band: DataFrame, width) -> DataFrame:
@@ -277,28 +277,29 @@ def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                               pa.array(here.sig[open_])], ["key", "sig"])
 
 
+def wide(members: bytes) -> np.ndarray:
+    out = np.zeros((len(members) // KEPT_BYTES, 8), np.uint8)
+    out[:, :KEPT_BYTES] = np.frombuffer(members, np.uint8).reshape(-1, KEPT_BYTES)
+    return out.reshape(-1).view("<u8")
+
+
 def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links that connect components, from whole sets: at most one per class of two blocks."""
     for t in runs(batches):
         here, root = Blocks(t), t["root"].to_numpy().copy()
-        whole = [np.frombuffer(m, np.uint8).reshape(-1, KEPT_BYTES) for m in t["members"].to_pylist()]
-        packed = {}
-
-        def codes(i):
-            if i not in packed:
-                wide = np.zeros((len(whole[i]), 8), np.uint8)
-                wide[:, :KEPT_BYTES] = whole[i]
-                packed[i] = np.sort(wide.reshape(-1).view("<u8"))
-            return packed[i]
-
-        links = []
+        codes = [wide(m) for m in t["members"].to_pylist()]
+        low = [(c & np.uint64(0xFFFF)).astype(np.uint16) for c in codes]
+        mine, links = np.zeros(1 << 16, bool), []
         for k in range(len(root)):
+            mine[low[k]] = True
             for o in here.candidates(k, root)[0].tolist():
-                if root[o] != root[k]:
-                    both = len(np.intersect1d(codes(k), codes(o), assume_unique=False))
-                    if 9 * both >= 4 * int(here.size[k] + here.size[o]):
+                need = -(-4 * int(here.size[k] + here.size[o]) // 9)
+                # shingles whose low 16 bits the other set has are no fewer than those in common
+                if root[o] != root[k] and np.count_nonzero(mine[low[o]]) >= need:
+                    if len(np.intersect1d(codes[k], codes[o], assume_unique=True)) >= need:
                         links.append((max(here.sig[k], here.sig[o]), min(here.sig[k], here.sig[o])))
                         root[root == root[o]] = root[k]
+            mine[low[k]] = False
         if links:
             a, b = zip(*links)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=PAIRS)

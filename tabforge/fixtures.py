@@ -34,6 +34,7 @@ GEN_CONTRACTS = {
     "gen_normal": [{"name": "score", "type": "float", "pattern": "0-100", "distribution": "normal"}],
     "gen_skewed": [{"name": "score", "type": "float", "pattern": "0-100", "distribution": "skewed"}],
     "gen_random": [{"name": "score", "type": "float", "pattern": "0-100", "distribution": "random"}],
+    "gen_float_narrow": [{"name": "ratio", "type": "float", "pattern": "0.001-0.009"}],
     "gen_uuid": [{"name": "token", "type": "uuid"}],
     "gen_regex": [{"name": "code", "type": "string", "pattern": "[A-Z]{3}-[0-9]{4}"}],
     "gen_text_types": [{"name": "full_name", "type": "name"}, {"name": "email", "type": "email"},
@@ -42,6 +43,15 @@ GEN_CONTRACTS = {
                        {"name": "city", "type": "string", "nullable": True}],
 }
 
+# Distinct rows by construction: 50 * 2 * 91 * 1,000,000 combinations, and a free text.
+UNIQUE_CONTRACT = [
+    {"name": "units", "type": "integer", "pattern": "1-50"}, {"name": "flag", "type": "boolean"},
+    {"name": "label", "type": "string"}, {"name": "day", "type": "date", "pattern": "2024-01-01 to 2024-03-31"},
+    {"name": "price", "type": "float", "pattern": "0.00-9999.99"},
+]
+# Ten combinations, some of which are samples.
+NOVEL_CONTRACT = [{"name": "flag", "type": "boolean"}, {"name": "level", "type": "integer", "pattern": "1-5"}]
+
 # A generated companion of the customer table: eight columns of eight types.
 CUSTOMER_PROFILE = [
     {"name": "customer_id", "type": "uuid"}, {"name": "c_name", "type": "name"},

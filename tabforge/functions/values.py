@@ -7,7 +7,9 @@ executors with no Python in the row path.
 
 from __future__ import annotations
 
+import math
 from datetime import datetime, time
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,11 +59,17 @@ def int_value(rng: NumericRange | None, dist, seed, col, idx) -> Column:
 
 
 def float_value(rng: NumericRange | None, dist, seed, col, idx) -> Column:
+    scale, lo_c, hi_c = float_grid(rng)
+    steps = F.lit(lo_c).cast("bigint") + offset(hi_c - lo_c + 1, dist, seed, col, idx)
+    return (steps / F.lit(scale)).cast("double")
+
+
+def float_grid(rng: NumericRange | None) -> tuple[int, int, int]:
+    """(scale, first, last): the values first / scale ... last / scale of a range, at
+    FLOAT_DECIMALS decimals or as many as the range is written with; none lies outside."""
     lo, hi = (rng.lo, rng.hi) if rng else DEFAULT_FLOAT_RANGE
-    scale = 10 ** FLOAT_DECIMALS
-    lo_c, hi_c = round(lo * scale), round(hi * scale)
-    cents = F.lit(lo_c).cast("bigint") + offset(hi_c - lo_c + 1, dist, seed, col, idx)
-    return (cents / F.lit(scale)).cast("double")
+    scale = 10 ** max(FLOAT_DECIMALS, rng.decimals if rng else 0)
+    return scale, math.ceil(Decimal(str(lo)) * scale), math.floor(Decimal(str(hi)) * scale)
 
 
 def date_value(rng: DateRange | None, dist, seed, col, idx) -> Column:
@@ -188,3 +196,47 @@ def value_for(c, seed: int, idx: Column) -> Column:
     if isinstance(pat, NumericRange):
         return int_value(pat, dist, seed, c.name, idx).cast("string")
     return pick(WORDS, offset(len(WORDS), dist, seed, c.name, idx))
+
+
+# Countable values (D10) -----------------------------------------------------------
+def _span(c):
+    """(kind, range) of a countable column."""
+    pat = parse_pattern(c.pattern, c.type) if c.pattern and c.type not in TEXT_TYPES else None
+    return (c.type or "string").lower(), pat
+
+
+def countable(c) -> int:
+    """How many values a column can take; 0 for texts, which have no numbered values."""
+    t, pat = _span(c)
+    if t == "boolean":
+        return 2
+    if t == "integer":
+        lo, hi = (int(pat.lo), int(pat.hi)) if pat else DEFAULT_INT_RANGE
+        return hi - lo + 1
+    if t == "float":
+        _, lo, hi = float_grid(pat)
+        return hi - lo + 1
+    if t in ("date", "datetime"):
+        lo, hi = (pat.lo, pat.hi) if pat else DEFAULT_DATE_RANGE
+        return (hi.date() - lo.date()).days + 1 if t == "date" else int((_last_second(hi) - lo).total_seconds()) + 1
+    return 0
+
+
+def _last_second(hi: datetime) -> datetime:
+    return datetime.combine(hi.date(), time(23, 59, 59)) if hi.time() == time(0, 0) else hi
+
+
+def value_at(c, number: Column) -> Column:
+    """The ``number``-th value (from 0) of a countable column."""
+    t, pat = _span(c)
+    if t == "boolean":
+        return number == 0
+    if t == "integer":
+        return F.lit(int(pat.lo) if pat else DEFAULT_INT_RANGE[0]).cast("bigint") + number
+    if t == "float":
+        scale, lo, _ = float_grid(pat)
+        return ((F.lit(lo).cast("bigint") + number) / F.lit(scale)).cast("double")
+    lo = (pat.lo if pat else DEFAULT_DATE_RANGE[0])
+    if t == "date":
+        return F.date_add(F.lit(lo.date()), number.cast("int"))
+    return F.to_timestamp_ntz(F.lit(f"{lo:%Y-%m-%d %H:%M:%S}")) + F.make_dt_interval(secs=number.cast("decimal(18,6)"))

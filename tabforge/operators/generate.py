@@ -8,12 +8,16 @@ same rows whatever the partitioning or executor losses.
 
 from __future__ import annotations
 
+import math
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.random import draw, offset, wide_draw
-from ..functions.values import null_source, value_for
+from ..functions.values import countable, null_source, value_at, value_for
 from ..plans.batches import key_prefix, seed_key
 from ..spec import DatasetSpec, batch_size_for
 
@@ -105,11 +109,109 @@ def sample_copies(generated: DataFrame, samples: DataFrame, columns: list[str] |
     return generated.join(s, cond, "left_semi")
 
 
+MAX_REDRAWS = 64
+REDRAW_STEP = 1_000_003             # between the seeds of two draws of a row
+
+
+def generate_novel(spark: SparkSession, spec: DatasetSpec, samples: DataFrame, rows: int | None = None,
+                   skeleton: DataFrame | None = None) -> DataFrame:
+    """D9 with the row count kept: rows equal (null-safe, on the samples' columns) to a
+    sample are drawn again, with a seed salted by the round, until none is.  A round reads and
+    writes only the rows that hit, so the rounds shrink by the share of combinations that
+    the samples hold; a contract whose combinations they hold all (nearly) is an error."""
+    todo = skeleton if skeleton is not None else row_skeleton(
+        spark, rows if rows is not None else spec.rows, batch_size_for(spec.num_columns))
+    kept = []
+    for again in range(MAX_REDRAWS):
+        drawn = _written(generate(spark, replace(spec, seed=spec.seed + again * REDRAW_STEP), skeleton=todo), "redraw")
+        kept.append(drop_sample_copies(drawn, samples))
+        todo = _written(sample_copies(drawn, samples).select("row_idx", "batch_num"), "redraw-hits")
+        if todo.isEmpty():
+            return reduce(DataFrame.union, kept)
+    raise ValueError(f"after {MAX_REDRAWS} draws some rows still equal a sample: the contract leaves too few others")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    from ..session import scratch_path
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # D10
 def unique_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+FEISTEL_ROUNDS = 4
+MOST_COMBINATIONS = 1 << 60         # on either side of the permutation
+
+
+def permuted(i: Column, left: int, right: int, seed: int) -> tuple[Column, Column]:
+    """A keyed permutation of 0 .. left * right - 1, as a pair of numbers below ``left`` and
+    ``right``: rounds that add a hash of one half to the other, each of them reversible.
+    The halves' sizes are the ranges themselves, so no value falls outside and has to be
+    walked on.  With one half alone it is multiplied by a number coprime to its size."""
+    div = lambda a, b: F.call_function("div", a, b)
+    if min(left, right) == 1:
+        size = max(left, right)
+        factor = next(m for m in range(size * 618 // 1000 + seed % 97 + 1, 2 * size + 200) if math.gcd(m, size) == 1)
+        wide = lambda x: x.cast("decimal(38,0)")
+        one = ((wide(i) * wide(F.lit(factor)) + wide(F.lit(seed % size))) % wide(F.lit(size))).cast("bigint")
+        return (one, F.lit(0).cast("bigint")) if left > 1 else (F.lit(0).cast("bigint"), one)
+    x, y = div(i, F.lit(right)), i % F.lit(right)
+    for k in range(FEISTEL_ROUNDS):
+        if k % 2 == 0:
+            x = (x + wide_draw(seed, "__unique", y, f"f{k}") % F.lit(left)) % F.lit(left)
+        else:
+            y = (y + wide_draw(seed, "__unique", x, f"f{k}") % F.lit(right)) % F.lit(right)
+    return x, y
+
+
+def halves(columns: list) -> tuple[list[tuple], list[tuple], int]:
+    """The columns with countable values, (column, size) each, dealt to two halves of
+    similar products, and the number of combinations; columns that would pass
+    MOST_COMBINATIONS are left out (they are drawn freely)."""
+    sides, products = ([], []), [1, 1]
+    sized = [(c, countable(c)) for c in columns]
+    for c, n in sorted((x for x in sized if x[1]), key=lambda x: -x[1]):
+        k = int(products[1] < products[0])
+        if products[k] * n <= MOST_COMBINATIONS:
+            sides[k].append((c, n))
+            products[k] *= n
+    return sides[0], sides[1], products[0] * products[1]
+
+
+def generate_unique(spark: SparkSession, spec: DatasetSpec, rows: int | None = None,
+                    skeleton: DataFrame | None = None) -> DataFrame:
+    """D10 without a shuffle: rows of a contract without key that are distinct by
+    construction.  Row i gets the i-th combination, in a keyed permutation, of the values
+    that the countable columns (integer, float, boolean, date, datetime) can take; other
+    columns are drawn as usual.  Distributions and nulls do not apply to the countable
+    columns.  ``skeleton`` must number rows from 1 without repeats; more rows than
+    combinations are an error."""
+    n = rows if rows is not None else spec.rows
+    first, second, total = halves(spec.columns or [])
+    if skeleton is not None:
+        n = skeleton.agg(F.max("row_idx")).first()[0] or 0
+    if n > total:
+        raise ValueError(f"{n} distinct rows asked, the contract has {total} combinations")
+    skel = skeleton if skeleton is not None else row_skeleton(spark, n, batch_size_for(spec.num_columns))
+    sizes = [math.prod(size for _, size in side) for side in (first, second)]
+    x, y = permuted(F.col("row_idx") - 1, *sizes, spec.seed)
+    # the numbers are columns of their own, so that each is computed once
+    placed = skel.withColumns({"__x": x, "__y": y})
+    made = {}
+    for side, name in ((first, "__x"), (second, "__y")):
+        stride = 1
+        for c, size in side:
+            digit = F.call_function("div", F.col(name), F.lit(stride)) % F.lit(size)
+            made[c.name] = value_at(c, digit)
+            stride *= size
+    cols = [made[c.name] if c.name in made else value_for(c, spec.seed, F.col("row_idx")) for c in spec.columns]
+    return placed.select("row_idx", "batch_num", *(v.alias(c.name) for v, c in zip(cols, spec.columns)))
+
+
 # D8 -------------------------------------------------------------------------
 MIMIC_BUCKETS = 1024
 
@@ -228,13 +330,17 @@ def mimic_numeric(skeleton: DataFrame, source: DataFrame, column: str, seed: int
     """Inverse of the source quantiles with linear interpolation.  The grid of
     ``points`` quantiles is exact by default (``exact_quantiles``) or from
     ``percentile_approx`` (fixed memory, one pass); either way it is a bounded
-    array inlined as a literal.  Dates and timestamps go through days and
+    array inlined as a literal.  Nulls are drawn at the source's share (NaN does not
+    count as null and is left out of the grid).  Dates and timestamps go through days and
     microseconds since 1970 and come back in their own type."""
     out_col = out_col or column
     kind = source.schema[column].dataType
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         plain = F.col(f"`{column}`")
         number = F.unix_date(plain) if isinstance(kind, T.DateType) else F.unix_micros(plain.cast("timestamp"))
+        if isinstance(kind, T.TimestampNTZType):
+            # no detour over the session's zone, whose clock changes would move values
+            number = F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), plain)
         out = mimic_numeric(skeleton, source.select(number.cast("double").alias(column)), column, seed, out_col,
                             points, exact, accuracy)
         back = F.col(out_col)
@@ -249,13 +355,17 @@ def mimic_numeric(skeleton: DataFrame, source: DataFrame, column: str, seed: int
                        .alias("q")).first()["q"]
     if not q:
         return skeleton.withColumn(out_col, F.lit(None).cast("double"))
+    share = source.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(f"`{column}`").isNull()).alias("nulls")).first()
     grid = F.array(*[F.lit(float(v)) for v in q])
     u = draw(seed, column, F.col("row_idx"), "q") / F.lit(4294967296.0) * F.lit(points - 1)
     i = F.floor(u).cast("int")
     frac = u - i
     lo_v = F.element_at(grid, i + 1)
     hi_v = F.element_at(grid, F.least(i + 2, F.lit(points)))
-    return skeleton.withColumn(out_col, lo_v + (hi_v - lo_v) * frac)
+    value = lo_v + (hi_v - lo_v) * frac
+    if share["nulls"]:
+        value = F.when(wide_draw(seed, column, F.col("row_idx"), "n") % F.lit(share["n"]) >= share["nulls"], value)
+    return skeleton.withColumn(out_col, value)
 
 
 def mimic_rows(skeleton: DataFrame, samples: DataFrame, order_col: str, seed: int = 42,

@@ -277,9 +277,8 @@ def _gen_value(c: dict) -> str:
         lo, hi = (int(pat.lo), int(pat.hi)) if isinstance(pat, NumericRange) else _V.DEFAULT_INT_RANGE
         return f"CAST({lo} + {_offset(hi - lo + 1, dist, name)} AS BIGINT)"
     if t == "float":
-        lo, hi = (pat.lo, pat.hi) if isinstance(pat, NumericRange) else _V.DEFAULT_FLOAT_RANGE
-        lo_c, hi_c = round(lo * 100), round(hi * 100)
-        return f"CAST(({lo_c} + {_offset(hi_c - lo_c + 1, dist, name)}) / 100 AS DOUBLE)"
+        scale, lo_c, hi_c = _V.float_grid(pat if isinstance(pat, NumericRange) else None)
+        return f"CAST(({lo_c} + {_offset(hi_c - lo_c + 1, dist, name)}) / {scale} AS DOUBLE)"
     if t == "boolean":
         return f"({_chunk(_h(name, 'v'))} % 2 = 0)"
     if t == "date":
@@ -695,3 +694,87 @@ SELECT g.row_idx, s.p_partkey, s.p_name, s.p_brand, s.p_type, s.p_size,
        s.p_retailprice * (1 + CAST(0.1 AS DOUBLE) * g.d) AS p_retailprice
 FROM g JOIN s ON g.k = s.k""")
 register("unique_rows_documents", "SELECT lang, source, md5(text) AS text_md5 FROM (SELECT DISTINCT lang, source, text FROM documents)")
+
+
+# --- added with the split readers, redraws and distinct rows --------------------------------
+_LONG = "'\"' || repeat(c_name || ',\"\"|\"\"', 300) || '\"'"
+register("delimiter_counts_long_quotes", " UNION ALL ".join(
+    f"""SELECT {d} AS delimiter, min(n) AS min_count, max(n) AS max_count, count(*) AS total_lines,
+  (min(n) = max(n) AND min(n) > 0) AS consistent, {chosen} AS chosen
+FROM (SELECT CAST(length(line) - length(replace(line, {d}, '')) AS INTEGER) AS n
+      FROM (SELECT regexp_replace(concat_ws(';', CAST(c_custkey AS VARCHAR), {_LONG}, c_mktsegment), '"[^"]*"', '', 'g') AS line
+            FROM customer))"""
+    for d, chosen in (("','", "false"), ("';'", "true"), ("chr(9)", "false"), ("'|'", "false"))))
+register("read_multiline_customer", """SELECT c_custkey,
+  CASE WHEN c_custkey % 3 = 0 THEN c_name || chr(10) || 'second, "quoted"' || chr(10) || chr(10) || 'line'
+       WHEN c_custkey % 7 = 0 THEN repeat(c_name || chr(10), 40) ELSE c_name END AS c_name,
+  CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer""")
+register("infer_json_contract_events", """SELECT * FROM (VALUES (0, 'event_id', 'integer'), (1, 'user_id', 'integer'),
+  (2, 'event_type', 'string'), (3, 'value', 'float'), (4, 'props', 'string')) t(ordinal, column_name, semantic_type),
+  (SELECT false AS nullable, count(*) AS total_rows FROM events)""")
+register("profile_json_roundtrip", """SELECT c.*, (SELECT count(*) FROM events) AS total_rows FROM (
+  SELECT 'event_id' AS column_name, 'bigint' AS physical_type, 'uuid' AS semantic_type, bool_or(event_id IS NULL) AS nullable FROM events
+  UNION ALL SELECT 'user_id', 'bigint', 'uuid', bool_or(user_id IS NULL) FROM events
+  UNION ALL SELECT 'event_type', 'string', 'string', bool_or(event_type IS NULL) FROM events
+  UNION ALL SELECT 'value', 'double', 'float', bool_or(value IS NULL) FROM events
+  UNION ALL SELECT 'props', 'string', 'string', bool_or(props IS NULL) FROM events) c""")
+
+
+def _mimic_price_nullable_sql() -> str:
+    full = _mimic_numeric_sql("o_totalprice", "CAST(o_totalprice AS DOUBLE)", "{q}").replace("FROM orders WHERE", "FROM src WHERE")
+    i = _wide(_h("o_totalprice", "n"))
+    return f"""WITH src AS (SELECT CASE WHEN o_custkey % 3 <> 0 THEN o_totalprice END AS o_totalprice FROM orders),
+made AS ({full})
+SELECT row_idx, CASE WHEN {i.replace("CAST(i AS", "CAST(row_idx AS")} % (SELECT count(*) FROM src)
+  >= (SELECT count(*) FROM src WHERE o_totalprice IS NULL) THEN o_totalprice END AS o_totalprice FROM made"""
+
+
+register("mimic_price_nullable", _mimic_price_nullable_sql())
+
+
+def _novel_sql() -> str:
+    """Per customer the first draw (seeds a step apart) that is no sample."""
+    from .fixtures import NOVEL_CONTRACT
+    from .operators.generate import REDRAW_STEP
+    salted = f"CAST({SEED} + k * {REDRAW_STEP} AS VARCHAR)"
+    flag, level = (_gen_value(c).replace(f"'{SEED}'", salted) for c in NOVEL_CONTRACT)
+    return f"""WITH s AS (SELECT DISTINCT p_partkey % 2 = 0 AS flag, CAST(1 + p_partkey % 3 AS BIGINT) AS level
+  FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 10)),
+d AS (SELECT i, k, {flag} AS flag, {level} AS level FROM {KEYED_FROM['customer']}, range(0, 64) t(k))
+SELECT i AS row_idx, flag, level FROM d WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.flag = d.flag AND s.level = d.level)
+QUALIFY row_number() OVER (PARTITION BY i ORDER BY k) = 1"""
+
+
+register("novel_rows_redrawn", _novel_sql())
+
+
+def _unique_sql() -> str:
+    """Rounds of the keyed permutation, then the digits of each half."""
+    from .fixtures import UNIQUE_CONTRACT
+    from .operators.generate import FEISTEL_ROUNDS, halves
+    from .spec import ColumnContract
+    first, second, _ = halves([ColumnContract.from_dict(c) for c in UNIQUE_CONTRACT])
+    sizes = []
+    for side in (first, second):
+        size = 1
+        for _, n in side:
+            size *= n
+        sizes.append(size)
+    a, b = sizes
+    sql = f"SELECT i, (i - 1) // {b} AS x, (i - 1) % {b} AS y FROM (SELECT p_partkey + 1 AS i FROM part)"
+    for k in range(FEISTEL_ROUNDS):
+        of, to, size = ("y", "x", a) if k % 2 == 0 else ("x", "y", b)
+        h = f"md5(concat_ws('|', '{SEED}', '__unique', CAST({of} AS VARCHAR), 'f{k}'))"
+        sql = f"SELECT i, ({to} + {_wide(h)} % {size}) % {size} AS {to}, {of} FROM ({sql})"
+    at = {}
+    for side, name in ((first, "x"), (second, "y")):
+        stride = 1
+        for c, n in side:
+            at[c.name] = f"(({name} // {stride}) % {n})"
+            stride *= n
+    label = _gen_value(UNIQUE_CONTRACT[2])
+    return f"""SELECT i AS row_idx, CAST(1 + {at['units']} AS BIGINT) AS units, {at['flag']} = 0 AS flag, {label} AS label,
+  DATE '2024-01-01' + CAST({at['day']} AS INTEGER) AS day, CAST({at['price']} / 100 AS DOUBLE) AS price FROM ({sql})"""
+
+
+register("gen_unique_rows", _unique_sql())

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import splits
+
 # ---------------------------------------------------------------------------
 # Fixed values
 # ---------------------------------------------------------------------------
@@ -29,16 +31,18 @@ NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity|Inf|Infinity)$"
 def file_kind(path: str) -> str:
     """Format by extension, case-insensitive."""
     low = path.lower().rstrip("/")
-    for ext in ("csv", "parquet", "json"):
+    for ext in ("csv", "parquet", "json", "tsv"):
         if low.endswith("." + ext):
             return ext
-    raise ValueError(f"{path}: the name must end in .csv, .json or .parquet")
+    raise ValueError(f"{path}: the name must end in .csv, .tsv, .json or .parquet")
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
     kind = file_kind(path)
     if kind == "csv":
         return read_delimited(spark, path)
+    if kind == "tsv":
+        return read_delimited(spark, path, sep="\t")
     if kind == "parquet":
         return read_parquet(spark, path)
     return read_json_rows(spark, path)
@@ -61,7 +65,7 @@ def delimiter_counts(lines: DataFrame, line_col: str = "value",
     count, else the one with the highest maximum).
     """
     candidates = candidates or DELIMITERS
-    line = F.regexp_replace(F.col(line_col), '"([^"]|"")*"', "")      # delimiters inside quotes do not count
+    line = F.regexp_replace(F.col(line_col), '"[^"]*+"', "")      # delimiters inside quotes do not count
     body = lines.where(F.length(F.trim(F.col(line_col))) > 0)
     aggs = [F.count(F.lit(1)).alias("lines")]
     for i, d in enumerate(candidates):
@@ -95,11 +99,9 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None,
     """CSV with header; delimiter sniffed when not given; null tokens mapped; types inferred
     in one aggregate pass over the string columns."""
     sep = sep or sniff_delimiter(spark, path)
-    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"') \
-        .option("multiLine", True)
+    df = _require_rows(splits.read_csv(spark, path, {"sep": sep}, schema), "CSV")
     if schema is not None:
-        return _require_rows(reader.schema(schema).csv(path), "CSV")
-    df = _require_rows(reader.csv(path), "CSV")
+        return df
     df = df.select([F.when(F.col(c).isin(NULL_TOKENS), F.lit(None)).otherwise(F.col(c)).alias(c)
                     for c in df.columns])
     return infer_types(df) if infer else df
@@ -141,21 +143,12 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 # A3 --------------------------------------------------------------------------
 def read_json_rows(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A JSON file whose top level is a non-empty array of objects -> one row per object."""
-    # the first non-blank line of every file, found by position
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"), F.substring(F.ltrim("value"), 1, 1).alias("c"))
-    heads = lines.groupBy("file").agg(F.min_by("c", F.struct("block", "at")).alias("c"))
-    wrong = heads.agg(F.count("*").alias("files"), F.min(F.when(F.col("c") != "[", F.col("file"))).alias("file")).first()
-    if not wrong["files"] or wrong["file"]:
-        raise ValueError(f"{wrong['file'] or path}: a JSON source needs an array of objects at its top level")
-    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.json(path)
-    if "_corrupt_record" in df.columns:
-        raise ValueError(f"{path}: a JSON source needs an array of objects at its top level")
+    """A JSON file whose top level is a non-empty array of objects, or JSON Lines (what H3
+    writes) -> one row per object.  One file is cut by many tasks (see ``splits``)."""
+    reader = spark.read.option("mode", "FAILFAST")
+    df = (reader.schema(schema) if schema is not None else reader).json(splits.json_lines(spark, path))
+    if not df.columns:
+        raise ValueError("no rows in the JSON source")
     return _require_rows(df, "JSON")
 
 

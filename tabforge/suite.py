@@ -17,7 +17,7 @@ from .plans import batches, job, prompts
 from .session import scratch_path
 from .sources import readers, sinks
 from .streaming import replies_stream
-from .fixtures import GEN_CONTRACTS, TABLES, VALIDATE_CONTRACTS, customer_profile
+from .fixtures import GEN_CONTRACTS, NOVEL_CONTRACT, TABLES, UNIQUE_CONTRACT, VALIDATE_CONTRACTS, customer_profile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -338,6 +338,36 @@ def q_mimic_price(spark, sf_dir):
     return generate.mimic_numeric(_table_skeleton(spark, sf_dir, "orders").drop("batch_num"), orders, "o_totalprice")
 
 
+@query("mimic_price_nullable")
+def q_mimic_price_nullable(spark, sf_dir):
+    """D8b over a column a third of which is null: nulls are drawn at their own share."""
+    orders = load(spark, sf_dir, "orders").withColumn(
+        "o_totalprice", F.when(F.col("o_custkey") % 3 != 0, F.col("o_totalprice")))
+    return generate.mimic_numeric(_table_skeleton(spark, sf_dir, "orders").drop("batch_num"), orders, "o_totalprice")
+
+
+@query("gen_unique_rows")
+def q_gen_unique_rows(spark, sf_dir):
+    """D10 by construction: one row per part, distinct without a key and without a shuffle."""
+    spec = DatasetSpec("unique", 1, columns=UNIQUE_CONTRACT)
+    part = load(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("p_partkey"))
+    return generate.generate_unique(spark, spec, skeleton=generate.key_skeleton(part, "p_partkey")).drop("batch_num")
+
+
+def _novel_samples(spark, sf_dir):
+    """Combinations of the first ten parts, few enough for generated rows to meet them."""
+    lead = load(spark, sf_dir, "part").orderBy("p_partkey").limit(10)
+    return lead.select((F.col("p_partkey") % 2 == 0).alias("flag"), (1 + F.col("p_partkey") % 3).cast("bigint").alias("level"))
+
+
+@query("novel_rows_redrawn")
+def q_novel_rows_redrawn(spark, sf_dir):
+    """One row per customer of ten possible combinations, none a sample's, none lost."""
+    spec = DatasetSpec("novel", 1, columns=NOVEL_CONTRACT)
+    return generate.generate_novel(spark, spec, _novel_samples(spark, sf_dir),
+                                   skeleton=_table_skeleton(spark, sf_dir, "customer")).drop("batch_num")
+
+
 def _part_samples(spark, sf_dir):
     part = load(spark, sf_dir, "part")
     return part, part.orderBy("p_partkey").limit(10)
@@ -576,6 +606,50 @@ def q_delimiter_counts(spark, sf_dir):
     return readers.delimiter_counts(_customer_semicolon_lines(spark, sf_dir))
 
 
+@query("delimiter_counts_long_quotes")
+def q_delimiter_counts_long(spark, sf_dir):
+    """A1b with a quoted field of several thousand characters on every line."""
+    c = load(spark, sf_dir, "customer")
+    long = F.concat(F.lit('"'), F.repeat(F.concat("c_name", F.lit(',""|""')), 300), F.lit('"'))
+    return readers.delimiter_counts(c.select(F.concat_ws(";", "c_custkey", long, "c_mktsegment").alias("value")))
+
+
+@query("read_multiline_customer")
+def q_read_multiline(spark, sf_dir):
+    """A1 over records that span lines: names with line ends, quotes and delimiters, some
+    over many lines, cut inside splits."""
+    c = load(spark, sf_dir, "customer")
+    name = (F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit('\nsecond, "quoted"\n\nline')))
+            .when(F.col("c_custkey") % 7 == 0, F.repeat(F.concat("c_name", F.lit("\n")), 40)).otherwise(F.col("c_name")))
+    path = scratch_path(spark, "multiline") + ".csv"
+    sinks.write_dataset(c.withColumn("c_name", name), path, "csv")
+    return readers.read_any(spark, path)
+
+
+@query("infer_json_contract_events")
+def q_infer_json(spark, sf_dir):
+    """A10: the contract of events as a JSON array, from its first object."""
+    ev = load(spark, sf_dir, "events")
+    objects = F.array_sort(F.collect_list(F.struct(
+        "event_id", F.to_json(F.struct("event_id", "user_id", "event_type", "value", "props")).alias("_j"))))
+    docs = (ev.groupBy(F.floor(F.col("event_id") / 1000).alias("doc")).agg(objects.alias("_js")).orderBy("doc")
+            .select(F.concat(F.lit("["), F.array_join(F.transform("_js", lambda s: s["_j"]), ","), F.lit("]")).alias("doc")))
+    contract, _, total = profile.infer_contract_from_json(docs)
+    rows = [(i, c.name, c.type, c.nullable, total) for i, c in enumerate(contract)]
+    return spark.createDataFrame(rows, "ordinal int, column_name string, semantic_type string, nullable boolean, "
+                                       "total_rows long")
+
+
+@query("profile_json_roundtrip")
+def q_profile_json_roundtrip(spark, sf_dir):
+    """H3 written and read again through the reader of uploads (A3), then profiled."""
+    path = sinks.dataset_path(scratch_path(spark, "json-roundtrip"), "events", "json")
+    ev = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
+    sinks.write_dataset(ev, path, "json")
+    back = readers.read_any(spark, path).select(ev.columns)
+    return profile.profile(back, "events").select("column_name", "physical_type", "semantic_type", "nullable", "total_rows")
+
+
 @query("read_delimited_customer")
 def q_read_delimited(spark, sf_dir):
     """Customer written as ';'-separated text with 'NA' for some segments, read back

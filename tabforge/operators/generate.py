@@ -20,6 +20,7 @@ from ..functions.random import draw, offset, wide_draw
 from ..functions.values import countable, null_source, value_at, value_for
 from ..plans.batches import key_prefix, seed_key
 from ..spec import DatasetSpec, batch_size_for
+from .ledger import ntz_epoch_seconds
 
 ROWS_PER_PARTITION = 1_000_000      # most rows per task on a small cluster
 MIN_ROWS_PER_PARTITION = 100_000    # fewest rows per task on a big one
@@ -336,16 +337,20 @@ def mimic_numeric(skeleton: DataFrame, source: DataFrame, column: str, seed: int
     out_col = out_col or column
     kind = source.schema[column].dataType
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        plain = F.col(f"`{column}`")
+        plain, epoch = F.col(f"`{column}`"), F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
         number = F.unix_date(plain) if isinstance(kind, T.DateType) else F.unix_micros(plain.cast("timestamp"))
         if isinstance(kind, T.TimestampNTZType):
             # no detour over the session's zone, whose clock changes would move values
-            number = F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), plain)
+            number = ntz_epoch_seconds(plain) * 1_000_000 + F.date_format(plain, "SSSSSS").cast("bigint")
         out = mimic_numeric(skeleton, source.select(number.cast("double").alias(column)), column, seed, out_col,
                             points, exact, accuracy)
-        back = F.col(out_col)
-        value = (F.date_from_unix_date(F.floor(back).cast("int")) if isinstance(kind, T.DateType)
-                 else F.timestamp_micros(F.floor(back).cast("bigint")).cast(kind))
+        back = F.floor(F.col(out_col))
+        if isinstance(kind, T.DateType):
+            value = F.date_from_unix_date(back.cast("int"))
+        elif isinstance(kind, T.TimestampNTZType):
+            value = epoch + F.make_dt_interval(secs=(back.cast("decimal(24,0)") / 1_000_000).cast("decimal(18,6)"))
+        else:
+            value = F.timestamp_micros(back.cast("bigint"))
         return out.withColumn(out_col, value)
     probs = [i / (points - 1) for i in range(points)]
     if exact:

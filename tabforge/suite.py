@@ -58,7 +58,7 @@ QUERIES["profile_key_lineitem"] = flagship
 # --- A: profiling ------------------------------------------------------------
 def _profile_query(table: str):
     def run(spark, sf_dir):
-        return profile.profile(load(spark, sf_dir, table), table)
+        return profile.profile(load(spark, sf_dir, table), table, path=f"{sf_dir.rstrip('/')}/{table}.parquet")
     return run
 
 
@@ -71,7 +71,8 @@ def q_contract_catalog(spark, sf_dir):
     """A5-A7 for all 14 tables: contract type, nullable flag and row count per column
     (one aggregate scan per table)."""
     from .operators.assemble import assemble as union_all
-    return union_all([profile.profile(df, t) for t, df in all_tables(spark, sf_dir).items()])
+    return union_all([profile.profile(df, t, path=f"{sf_dir.rstrip('/')}/{t}.parquet")
+                      for t, df in all_tables(spark, sf_dir).items()])
 
 
 @query("detect_keys_all")

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, text_or_empty
+from .common import fresh_name, materialise, text_or_empty
 from .jaccard_join import marked
 
 KINDS = ("email", "ip", "card", "phone")
@@ -199,8 +199,14 @@ def revealing(rows: DataFrame) -> DataFrame:
     """(rid, found: term and disclosure of each revealing term of the document's entities)."""
     docs = rows.where("rid is not null")
     total = docs.count()
+    # two hashes of the set of an entity's documents, whatever their order
+    held_by = [F.bit_xor(F.xxhash64("rid", F.lit(k))).alias(f"in{k}") for k in (1, 2)]
     n_e = materialise(docs.select("rid", F.explode("entities").alias("entity")).groupBy("entity")
-                      .agg(F.count("*").alias("n_e")), "pii-entities")
+                      .agg(F.count("*").alias("n_e"), *held_by), "pii-entities")
+    # entities that stand in the same documents have the same counts with every term: one of
+    # them is paired with terms for all, so a list of contacts costs its terms once
+    leads = (n_e.where("n_e > 1").groupBy("n_e", "in1", "in2")
+             .agg(F.min("entity").alias("entity"), F.count("*").alias("entities")).select("entity", "n_e", "entities"))
     n_t = materialise(rows.where("rid is null").groupBy(F.col("term").alias("handle"))
                       .agg(F.sum("n").alias("n_t")), "pii-terms")
     tests, most = n_e.count() * n_t.count(), n_e.agg(F.max("n_e")).first()[0] or 0
@@ -210,21 +216,22 @@ def revealing(rows: DataFrame) -> DataFrame:
         return F.pow(F.lit(float(total)), F.lit(1 - GENERALISE)) * F.pow(n, F.lit(GENERALISE)) * 1.000001
 
     named = materialise(docs.select("rid", F.explode("entities").alias("entity"))
-                        .join(n_e.where("n_e > 1"), "entity"), "pii-named")
+                        .join(leads, "entity"), "pii-named")
     held = marked(docs.select(F.col("rid").alias("handle"), "held"), named.select(F.col("rid").alias("handle")))
     rare = n_t.where((F.col("n_t") > 1) & (F.col("n_t") <= limit(F.lit(float(most)))))
     spelt = (marked(held.select(F.col("handle").alias("rid"), F.explode("held").alias("handle")), rare.select("handle"))
              .join(rare, "handle").withColumnRenamed("handle", "term"))
     pairs = materialise(spelt.join(named, "rid").where(F.col("n_t") <= limit(F.col("n_e"))), "pii-pairs")
     scored = (pairs.groupBy("entity", "term")
-              .agg(F.count("*").alias("n_et"), F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t")).where("n_et > 1")
+              .agg(F.count("*").alias("n_et"), F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t"),
+                   F.max("entities").alias("entities")).where("n_et > 1")
               .withColumn("ic", F.log2(F.lit(total) / F.col("n_e")))
               .withColumn("pmi", F.log2(F.col("n_et") * F.lit(total) / (F.col("n_e") * F.col("n_t"))))
               .where("ic > 0 and pmi > 0").withColumn("disclosure", F.col("pmi") / F.col("ic"))
               .where(F.col("disclosure") >= GENERALISE))
-    scored = materialise(scored.select("entity", "term", "disclosure", surprise(total)("n_e", "n_t", "n_et").alias("bits")),
+    scored = materialise(scored.select("entity", "term", "disclosure", "entities", surprise(total)("n_e", "n_t", "n_et").alias("bits")),
                          "pii-scored")
-    counts = {r["bits"]: r["count"] for r in scored.groupBy("bits").count().collect()}     # at most MOST_BITS rows
+    counts = {r["bits"]: r["n"] for r in scored.groupBy("bits").agg(F.sum("entities").alias("n")).collect()}   # at most MOST_BITS rows
     sure = scored.where(F.col("bits") >= least_bits(counts, tests))
     return (pairs.select("rid", "entity", "term").join(sure, ["entity", "term"]).groupBy("rid", "term")
             .agg(F.max("disclosure").alias("disclosure")).groupBy("rid")
@@ -274,9 +281,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with their text sanitised: base entities become [KIND], revealing terms are
     removed at REMOVE or more and become [TERM] otherwise.  Where spans overlap, the
     earlier and then longer one is replaced."""
-    numbered = materialise(docs.withColumn("__rid", F.monotonically_increasing_id()), "pii-docs")
-    marks = find(numbered.select(F.col("__rid").alias("doc_id"), "text")).select(
-        F.col("doc_id").alias("__rid"), "base", "terms")
+    rid, base, terms = (fresh_name(docs, c) for c in ("__rid", "__base", "__terms"))
+    numbered = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "pii-docs")
+    marks = find(numbered.select(F.col(rid).alias("doc_id"), "text")).select(
+        F.col("doc_id").alias(rid), F.col("base").alias(base), F.col("terms").alias(terms))
 
     @F.arrow_udf(T.StringType())
     def clean(texts: pa.Array, base: pa.Array, terms: pa.Array) -> pa.Array:
@@ -292,4 +300,4 @@ def sanitise(docs: DataFrame) -> DataFrame:
             out.append(None if text is None else "".join([*parts, text[at:]]))
         return pa.array(out, pa.string())
 
-    return (numbered.join(marks, "__rid").withColumn("text", clean("text", "base", "terms")).select(docs.columns))
+    return numbered.join(marks, rid).withColumn("text", clean("text", base, terms)).select(docs.columns)

@@ -239,6 +239,40 @@ def test_terms_far_from_a_mention_of_a_rare_entity_are_found(spark):
     assert not re.search(r"(?i)\bbo\b|k9unit", clean[0] + clean[1]) and "[EMAIL]" in clean[0]
 
 
+def test_a_list_of_contacts_is_paired_with_its_terms_once(spark, monkeypatch):
+    made, keep = {}, pii.materialise
+
+    def counted(df, name):
+        out = keep(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(pii, "materialise", counted)
+    contacts = " ".join(f"person{i}@mail{i % 7}.example.org" for i in range(200))
+    body = " ".join("".join(chr(97 + (k * 7 + j * (k + 3)) % 26) for j in range(6)) for k in range(400))
+    rows = [(i, contacts + " " + body, "en", "s", 1) for i in range(8)]
+    rows += [(10 + i, words(i, 60), "en", "s", 1) for i in range(60)]
+    found = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[0].n_email == 200 and found[0].terms
+    assert 0 < made["pii-pairs"] <= 8 * 450
+
+
+def test_sanitising_with_clashing_columns(docs, wide_docs):
+    plain = {(r.doc_id, r.text) for r in pii.sanitise(docs).collect()}
+    wide = pii.sanitise(wide_docs)
+    assert wide.columns == wide_docs.columns and {(r.doc_id, r.text) for r in wide.collect()} == plain
+
+
+def test_classifiers_with_clashing_columns(docs, wide_docs, spark):
+    from pyspark.sql import functions as F
+    marks = docs.where("doc_id is not null").select("doc_id").distinct().withColumns(
+        {"quality": (F.col("doc_id") % 2).cast("int"), "toxic": (F.col("doc_id") % 2).cast("int")})
+    for module in (quality, toxicity):
+        rows = lambda df: sorted((str(r.doc_id), r.score) for r in module.score(df, marks).collect())  # noqa: B023, E731
+        assert rows(wide_docs) == rows(docs)
+    assert toxicity.reject(wide_docs, marks).columns == wide_docs.columns
+
+
 # --- contamination ------------------------------------------------------------
 def test_masks_are_lossless():
     """However the allowed words differ, some mask fits between them."""

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import BASE_TEMPERATURE, MAX_ATTEMPTS, TEMPERATURE_STEP
+from . import digests
 
 ORDER_COLS = ["batch_num", "attempt", "pos"]
 
@@ -49,10 +50,17 @@ def dedup_within_batch(df: DataFrame, pk: str, order: list[str] | None = None) -
 
 
 # F3
-def dedup_global(df: DataFrame, pk: str | list[str], order: list[str | Column] | None = None) -> DataFrame:
+def dedup_global(df: DataFrame, pk: str | list[str], order: list[str | Column] | None = None,
+                 long_values: bool = False) -> DataFrame:
     """A key is claimed once over all batches: the survivor is the lowest
-    (batch_num, attempt, pos) - deterministic, unlike dropDuplicates."""
+    (batch_num, attempt, pos) - deterministic, unlike dropDuplicates.
+
+    With ``long_values`` (texts as keys) rows whose key's hash is theirs alone are kept
+    where they are read, and only the rest is shuffled by key (see ``digests``)."""
     keys = [pk] if isinstance(pk, str) else list(pk)
+    if long_values and digests.hashable(df, keys):
+        settled, repeated = digests.settled_and_repeated(df, keys)
+        return settled.unionByName(_first_per(repeated, keys, order or ORDER_COLS))
     return _first_per(df, keys, order or ORDER_COLS)
 
 
@@ -66,10 +74,21 @@ def exclude_claimed(new: DataFrame, claimed: DataFrame, pk: str, claimed_pk: str
 
 
 # F4
-def dropped_duplicates(df: DataFrame, pk: str) -> DataFrame:
+def dropped_duplicates(df: DataFrame, pk: str, long_values: bool = False) -> DataFrame:
     """(rows_in, rows_kept, dropped_duplicates) for a first-wins dedup on pk, from one
-    aggregate (rows after F1 minus distinct keys) - no need to run the dedup."""
+    aggregate (rows after F1 minus distinct keys) - no need to run the dedup.
+
+    With ``long_values`` only keys whose hash repeats are counted by value (see ``digests``)."""
     present = drop_missing_keys(df, pk)
+    if long_values and digests.hashable(df, [pk]):
+        flagged = digests.flag_repeated(present.select(F.col(f"`{pk}`").alias("k")), ["k"])
+        # a row without an equal is one key; of the others each distinct value is one
+        parts = (flagged.groupBy(F.when(F.col("__again"), F.col("k")).alias("k"), "__again")
+                 .agg(F.count(F.lit(1)).alias("n")))
+        one = F.when(F.col("__again"), F.lit(1)).otherwise(F.col("n"))
+        return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows_in"),
+                         F.coalesce(F.sum(one), F.lit(0)).cast("bigint").alias("rows_kept")) \
+            .withColumn("dropped_duplicates", F.col("rows_in") - F.col("rows_kept"))
     return present.agg(F.count(F.lit(1)).alias("rows_in"),
                        F.count_distinct(F.col(f"`{pk}`")).alias("rows_kept")) \
         .withColumn("dropped_duplicates", F.col("rows_in") - F.col("rows_kept"))

@@ -20,6 +20,7 @@ from ..functions.random import draw, offset, wide_draw
 from ..functions.values import countable, null_source, value_at, value_for
 from ..plans.batches import key_prefix, seed_key
 from ..spec import DatasetSpec, batch_size_for
+from . import digests
 from .ledger import ntz_epoch_seconds
 
 ROWS_PER_PARTITION = 1_000_000      # most rows per task on a small cluster
@@ -140,8 +141,13 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 
 
 # D10
-def unique_rows(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+def unique_rows(df: DataFrame, long_values: bool = False) -> DataFrame:
+    """One of each group of identical rows.  With ``long_values`` rows whose hash is theirs
+    alone stay where they are read, and only the rest is grouped (see ``digests``)."""
+    if not long_values or not digests.hashable(df, df.columns):
+        return df.dropDuplicates()
+    settled, repeated = digests.settled_and_repeated(df, df.columns)
+    return settled.unionByName(repeated.dropDuplicates())
 
 
 FEISTEL_ROUNDS = 4

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..spec import ColumnContract, DateRange, NumericRange, parse_range
+from . import digests
 
 # ---------------------------------------------------------------------------
 # Format rules of this library's validator (its own choice).
@@ -134,9 +135,15 @@ def column_set_check(df: DataFrame, contract: list[ColumnContract]) -> tuple[str
     return ("column_set", 0 if df.columns == want else 1)
 
 
-def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Groups of identical rows (on ``columns``) with their copy count (> 1)."""
-    cols = [F.col(f"`{c}`") for c in (columns or df.columns)]
+def duplicate_rows(df: DataFrame, columns: list[str] | None = None, long_values: bool = False) -> DataFrame:
+    """Groups of identical rows (on ``columns``) with their copy count (> 1).
+
+    With ``long_values`` hashes are counted first and only rows whose hash repeats are
+    grouped, by value (see ``digests``): no text of a row without an equal is shuffled."""
+    columns = columns or df.columns
+    if long_values and digests.hashable(df, columns):
+        df = digests.settled_and_repeated(df.select(*[F.col(f"`{c}`") for c in columns]), columns)[1]
+    cols = [F.col(f"`{c}`") for c in columns]
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
 
 
@@ -169,20 +176,101 @@ def key_suffix(key: Column) -> Column:
     return F.regexp_extract(key, "-([0-9]+)$", 1).try_cast("bigint")
 
 
+CANDIDATES = 32               # values a column's sketch proposes
+TRACKED = 1_000               # hashes a column's sketch keeps
+SKETCH_GROUPS = 256           # groups of partitions whose sketches are merged first
+SKETCH_ERROR = 4              # a sketch of TRACKED items is off by less than 4 n / TRACKED
+
+
 def low_variety(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per column the most frequent value, its count, the non-null total and its
-    share.  Unpivot -> partial-aggregated count per (column, value) -> one
-    aggregate per column picking the top (ties: smallest value)."""
+    share (ties: smallest value).  Columns without a value give no row.
+
+    One aggregate sketches the frequent hashes of every column (a task shuffles one row of at
+    most TRACKED hashes a column, merged in SKETCH_GROUPS groups first) and one more counts the proposed values exactly.  A
+    column is settled when the best exact count exceeds what any value left out can have:
+    the smallest proposed estimate plus the sketch's error.  The other columns (no value is
+    frequent, as with ids and texts) are counted by hash, and only values whose hash has the
+    highest count are compared themselves."""
     cols = columns or df.columns
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols]))
-        .alias("kv")).select("kv.column_name", "kv.value").where(F.col("value").isNotNull())
-    counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    top = counts.groupBy("column_name").agg(
-        F.min(F.struct((-F.col("cnt")).alias("neg"), F.col("value"))).alias("t"),
-        F.sum("cnt").alias("total"))
-    return top.select("column_name", F.col("t.value").alias("top_value"), (-F.col("t.neg")).alias("top_count"),
-                      "total", ((-F.col("t.neg")) / F.col("total")).alias("top_share"))
+    if not cols:
+        raise ValueError("no columns to look at")
+    texts = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
+    numbered = range(len(cols))
+    sketches = texts.withColumn("part", F.spark_partition_id() % SKETCH_GROUPS).groupBy("part").agg(
+        *[F.count(f"c{i}").alias(f"n{i}") for i in numbered],
+        *[F.expr(f"approx_top_k_accumulate(xxhash64(c{i}), {TRACKED}) FILTER (WHERE c{i} IS NOT NULL)").alias(f"s{i}")
+          for i in numbered])
+    seen = sketches.groupBy(F.lit(0).alias("all")).agg(
+        *[F.sum(f"n{i}").alias(f"n{i}") for i in numbered],
+        *[F.expr(f"approx_top_k_estimate(approx_top_k_combine(s{i}, {TRACKED}), {CANDIDATES})").alias(f"k{i}")
+          for i in numbered]).first()
+    totals_of = {i: seen[f"n{i}"] for i in numbered if seen[f"n{i}"]} if seen else {}
+    if not totals_of:
+        return df.sparkSession.createDataFrame([], LOW_VARIETY_SCHEMA)
+    proposed = {i: [(r["item"], r["count"]) for r in seen[f"k{i}"]] for i in totals_of}
+    values = _long(texts, list(totals_of), lambda i: F.xxhash64(f"c{i}").isin([h for h, _ in proposed[i]]))
+    best = {r["i"]: (r["t"]["value"], -r["t"]["neg"]) for r in _top(_counted(values)).collect()}
+    tops, unsettled = {}, []
+    for i, n in totals_of.items():
+        missed = SKETCH_ERROR * n // TRACKED
+        if len(proposed[i]) == CANDIDATES:
+            missed += min(c for _, c in proposed[i])
+        if i in best and best[i][1] > missed:
+            tops[i] = best[i]
+        else:
+            unsettled.append(i)
+    if unsettled:
+        tops.update(_top_by_hash(texts, unsettled))
+    rows = [(cols[i], tops[i][0], tops[i][1], n, tops[i][1] / n) for i, n in totals_of.items()]
+    return df.sparkSession.createDataFrame(rows, LOW_VARIETY_SCHEMA)
+
+
+LOW_VARIETY_SCHEMA = "column_name string, top_value string, top_count bigint, total bigint, top_share double"
+
+
+def _long(texts: DataFrame, wanted: list[int], keep) -> DataFrame:
+    """(i, value) of the wanted columns' values that ``keep`` accepts."""
+    items = F.array(*[F.when(F.col(f"c{i}").isNotNull() & keep(i), F.struct(
+        F.lit(i).alias("i"), F.col(f"c{i}").alias("value"))) for i in wanted])
+    return texts.select(F.explode(F.filter(items, lambda x: x.isNotNull())).alias("x")).select("x.i", "x.value")
+
+
+def _counted(values: DataFrame) -> DataFrame:
+    return values.groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _top(counts: DataFrame) -> DataFrame:
+    """Per column the highest count's smallest value: (i, t.neg, t.value)."""
+    return counts.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("value"))).alias("t"))
+
+
+def _top_by_hash(texts: DataFrame, wanted: list[int]) -> dict[int, tuple[str, int]]:
+    """The exact top of columns no sketch settles: hashes are counted, a column without a
+    repeated hash has its smallest value on top, and in the others the values with a
+    hash of the highest count are counted themselves."""
+    from ..session import shared_dir
+    shared_dir(texts.sparkSession)
+    pair = F.explode(F.array(*[F.struct(
+        F.lit(i).alias("i"), F.col(f"c{i}").isNotNull().alias("present"), F.xxhash64(F.lit(i), f"c{i}").alias("h"),
+        F.xxhash64(F.lit(-1 - i), f"c{i}").alias("h2")) for i in wanted])).alias("x")
+    counts = (texts.select(pair).where("x.present").groupBy("x.i", "x.h", "x.h2")
+              .agg(F.count(F.lit(1)).alias("n")).checkpoint())
+    highest = {r["i"]: r["n"] for r in counts.groupBy("i").agg(F.max("n").alias("n")).collect()}
+    out = {}
+    single = [i for i in wanted if highest[i] == 1]
+    if single:
+        least = texts.agg(*[F.min(f"c{i}").alias(f"c{i}") for i in single]).first()
+        out = {i: (least[f"c{i}"], 1) for i in single}
+    again = [i for i in wanted if highest[i] > 1]
+    if again:
+        at_top = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(highest[i]).cast("bigint").alias("n")) for i in again])
+        tied = counts.where(F.array_contains(at_top, F.struct("i", "n")))
+        bits = digests.bitmap(tied, "h")
+        values = _long(texts, again, lambda i: F.lit(True)).withColumn("h", F.xxhash64("i", "value"))
+        marked = digests.flag(values, F.col("h"), bits).where("__again")
+        out.update({r["i"]: (r["t"]["value"], -r["t"]["neg"]) for r in _top(_counted(marked)).collect()})
+    return out
 
 
 def word_pattern(word: str) -> str:
@@ -233,10 +321,52 @@ def totals(drift_rows: DataFrame) -> tuple[int, int]:
 
 def total_variation(drift_rows: DataFrame) -> DataFrame:
     """Total-variation distance from a drift table, exact in integers until the last
-    division: sum |a*nb - b*na| / (2 * na * nb)."""
+    division: sum |a*nb - b*na| / (2 * na * nb).  Products have 38 digits."""
     na, nb = totals(drift_rows)
-    return drift_rows.agg((F.sum(F.abs(F.col("a_count") * F.lit(nb) - F.col("b_count") * F.lit(na)))
-                           / F.lit(2 * max(na, 1) * max(nb, 1))).alias("tvd"))
+    return drift_rows.agg((F.sum(_cross(F.col("a_count"), F.col("b_count"), na, nb)).cast("double")
+                           / F.lit(2.0 * max(na, 1) * max(nb, 1))).alias("tvd"))
+
+
+def _cross(a: Column, b: Column, na: int, nb: int) -> Column:
+    """|a*nb - b*na| exactly."""
+    wide = "decimal(19,0)"
+    return F.abs(a.cast(wide) * F.lit(nb).cast(wide) - b.cast(wide) * F.lit(na).cast(wide))
+
+
+def drift_ks(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """G12 for numbers, dates and times: the two-sample Kolmogorov-Smirnov distance, the
+    largest difference of the two distributions, as one row (a_rows, b_rows, ks, at_value),
+    ``at_value`` the smallest value with that difference.  Null and NaN are left out; a
+    frame without a value gives null.
+
+    Both frames are counted per value in one aggregate (a hot value collapses before the
+    shuffle); running counts go over range partitions with one offset row each
+    (``running_total``).  The difference is compared in integers, |A*nb - B*na|."""
+    from .generate import running_total
+    value = F.col(f"`{column}`").alias("value")
+    both = a.select(value, F.lit(1).alias("first")).union(b.select(value, F.lit(0)))
+    both = both.where(F.col("value").isNotNull())
+    if isinstance(both.schema["value"].dataType, (T.DoubleType, T.FloatType)):
+        both = both.where(~F.isnan("value"))
+    counts = both.groupBy("value").agg(F.sum("first").alias("a_count"), F.sum(1 - F.col("first")).alias("b_count"))
+    # one running sum carries both counts: a in the high part, b in the low one
+    step = F.lit(1 << 62).cast("decimal(20,0)")
+    packed = counts.withColumn("both", F.col("a_count").cast("decimal(18,0)") * step + F.col("b_count"))
+    run = running_total(packed.select("value", F.col("both").cast("decimal(38,0)").alias("both")), "value", "both", "hi")
+    run = run.select("value", F.call_function("div", F.col("hi"), step).alias("a"),
+                     (F.col("hi") % step).cast("bigint").alias("b")).checkpoint()
+    na, nb = (x or 0 for x in run.agg(F.max("a"), F.max("b")).first())
+    if not na or not nb:
+        kind = run.schema["value"].dataType
+        return run.sparkSession.range(1).select(
+            F.lit(na).cast("bigint").alias("a_rows"), F.lit(nb).cast("bigint").alias("b_rows"),
+            F.lit(None).cast("double").alias("ks"), F.lit(None).cast(kind).alias("at_value"))
+    gap = _cross(F.col("a"), F.col("b"), na, nb)
+    most = run.agg(F.max(gap)).first()[0]
+    return (run.where(gap == F.lit(most))
+            .agg(F.min("value").alias("at_value"))
+            .select(F.lit(na).cast("bigint").alias("a_rows"), F.lit(nb).cast("bigint").alias("b_rows"),
+                    F.lit(float(most) / (float(na) * float(nb))).alias("ks"), "at_value"))
 
 
 LOW_VARIETY_SHARE = 0.5       # a column whose most frequent value exceeds this share is flagged
@@ -268,7 +398,7 @@ def report(df: DataFrame, contract: list[ColumnContract], pk: str | None = None,
         key = F.col(f"`{pk}`") if numeric else key_suffix(F.col(f"`{pk}`"))
         parts.append(key_gaps(df, key).agg(F.count(F.lit(1)).alias("violations")).select(
             F.lit("key_gaps").alias("check_name"), F.lit(pk).alias("column_name"), "violations"))
-    dup = duplicate_rows(df, row_columns)
+    dup = duplicate_rows(df, row_columns, long_values=bool(text_columns))
     parts.append(dup.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("bigint").alias("violations"))
                  .select(F.lit("duplicate_rows").alias("check_name"), F.lit(None).cast("string").alias("column_name"),
                          "violations"))

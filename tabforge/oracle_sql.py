@@ -440,6 +440,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, v
         CAST(sum(cnt) OVER (PARTITION BY column_name) AS BIGINT) AS total FROM c)
 SELECT column_name, value AS top_value, cnt AS top_count, total, cnt / total AS top_share FROM r WHERE rn = 1""")
 
+_LONG_DOCS = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM documents"
+                                for c in COLUMNS["documents"])
+register("low_variety_documents", f"""WITH c AS (SELECT column_name, value, count(*) AS cnt FROM ({_LONG_DOCS})
+   WHERE value IS NOT NULL GROUP BY column_name, value),
+r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, value) AS rn,
+        CAST(sum(cnt) OVER (PARTITION BY column_name) AS BIGINT) AS total FROM c)
+SELECT column_name, md5(value) AS top_md5, cnt AS top_count, total, cnt / total AS top_share FROM r WHERE rn = 1""")
+
 
 def _placeholder_sql() -> str:
     return " UNION ALL ".join(
@@ -462,6 +470,22 @@ register("drift_tvd_events", f"""{_HALVES}
 SELECT sum(abs(a_count * (SELECT n FROM nb) - b_count * (SELECT n FROM na))) / (2 * (SELECT n FROM na) * (SELECT n FROM nb)) AS tvd FROM d""")
 
 
+def _ks_sql(value: str, first: str) -> str:
+    return f"""WITH m AS (SELECT (min(event_id) + max(event_id)) // 2 AS mid, min(event_type) AS kind FROM events),
+c AS (SELECT {value} AS value, count(*) FILTER (WHERE {first}) AS a, count(*) FILTER (WHERE NOT ({first})) AS b
+      FROM events, m WHERE {value} IS NOT NULL GROUP BY 1),
+r AS (SELECT value, CAST(sum(a) OVER w AS BIGINT) AS a, CAST(sum(b) OVER w AS BIGINT) AS b FROM c
+      WINDOW w AS (ORDER BY value)),
+n AS (SELECT max(a) AS na, max(b) AS nb FROM r),
+g AS (SELECT value, abs(CAST(a AS HUGEINT) * nb - CAST(b AS HUGEINT) * na) AS gap FROM r, n)
+SELECT na AS a_rows, nb AS b_rows, CAST((SELECT max(gap) FROM g) AS DOUBLE) / (CAST(na AS DOUBLE) * nb) AS ks,
+  (SELECT min(value) FROM g WHERE gap = (SELECT max(gap) FROM g)) AS at_value FROM n"""
+
+
+register("drift_ks_events", _ks_sql("value", "event_id <= mid"))
+register("drift_ks_event_times", _ks_sql("ts", "event_type = kind"))
+
+
 # --- H: sinks (a round trip returns the table) ----------------------------------------
 for _f in ("csv", "tsv", "json", "parquet"):
     register(f"sink_roundtrip_{_f}", "SELECT * FROM nation")
@@ -496,6 +520,12 @@ register("ledger_unexpired", f"""SELECT job_id, ttl, status FROM ({_CURRENT}) WH
 register("stream_replies", f"""SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, {CUST_NAME} AS c_name,
   CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer""")
 
+register("stream_claims_customer", f"""SELECT c_custkey // 30 AS batch_num, CAST(0 AS INTEGER) AS attempt,
+  CAST(c_custkey AS VARCHAR) AS c_custkey, {CUST_NAME} AS c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
+  c_mktsegment FROM customer WHERE c_custkey // 30 % 9 <> 0
+UNION ALL SELECT c_custkey // 30, 1, CAST(c_custkey AS VARCHAR), c_name || ' again', '99', 'SECOND'
+FROM customer WHERE c_custkey // 30 % 9 = 0""")
+
 
 # --- C5 / C7 --------------------------------------------------------------------------
 def _sql_lit(s: str) -> str:

@@ -242,12 +242,12 @@ def q_dedup_lineitem(spark, sf_dir):
 @query("dedup_documents_text")
 def q_dedup_documents(spark, sf_dir):
     docs = assemble.drop_missing_keys(load(spark, sf_dir, "documents"), "text")
-    return assemble.dedup_global(docs, "text", ["doc_id"]).select("doc_id", "lang", "source", "n_chars")
+    return assemble.dedup_global(docs, "text", ["doc_id"], long_values=True).select("doc_id", "lang", "source", "n_chars")
 
 
 @query("dropped_documents")
 def q_dropped_documents(spark, sf_dir):
-    return assemble.dropped_duplicates(load(spark, sf_dir, "documents"), "text")
+    return assemble.dropped_duplicates(load(spark, sf_dir, "documents"), "text", long_values=True)
 
 
 @query("exclude_claimed_orders")
@@ -401,7 +401,7 @@ _validate_query("lineitem", "validate_ranges")
 
 @query("row_uniqueness_documents")
 def q_row_uniqueness(spark, sf_dir):
-    dup = validate.duplicate_rows(load(spark, sf_dir, "documents"), ["lang", "source", "text"])
+    dup = validate.duplicate_rows(load(spark, sf_dir, "documents"), ["lang", "source", "text"], long_values=True)
     return dup.select("lang", "source", F.md5("text").alias("text_md5"), "copies")
 
 
@@ -429,6 +429,13 @@ def q_low_variety(spark, sf_dir):
     return validate.low_variety(load(spark, sf_dir, "part"))
 
 
+@query("low_variety_documents")
+def q_low_variety_documents(spark, sf_dir):
+    """Texts and ids, which no sketch settles, beside columns that one does."""
+    top = validate.low_variety(load(spark, sf_dir, "documents"))
+    return top.select("column_name", F.md5("top_value").alias("top_md5"), "top_count", "total", "top_share")
+
+
 @query("placeholder_documents")
 def q_placeholder(spark, sf_dir):
     return validate.placeholder_hits(load(spark, sf_dir, "documents"), "text")
@@ -453,6 +460,21 @@ def q_drift_tvd(spark, sf_dir):
     return validate.total_variation(validate.drift(a, b, "event_type"))
 
 
+@query("drift_ks_events")
+def q_drift_ks(spark, sf_dir):
+    """Values of the first half of the events against those of the second."""
+    a, b = _event_halves(spark, sf_dir)
+    return validate.drift_ks(a, b, "value")
+
+
+@query("drift_ks_event_times")
+def q_drift_ks_times(spark, sf_dir):
+    """As above on a time: the first type of event against the others."""
+    ev = load(spark, sf_dir, "events")
+    kind = ev.agg(F.min("event_type").alias("kind")).first()["kind"]
+    return validate.drift_ks(ev.where(F.col("event_type") == kind), ev.where(F.col("event_type") != kind), "ts")
+
+
 # --- H: sinks -----------------------------------------------------------------------
 def _roundtrip(spark, sf_dir, table: str, fmt: str, order_by: list[str]):
     df = load(spark, sf_dir, table)
@@ -541,6 +563,24 @@ def q_stream_replies(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").select(*CUST_REPLY_COLS)
 
 
+@query("stream_claims_customer")
+def q_stream_claims(spark, sf_dir):
+    """The second attempts of every third batch arrive first and carry other values; every
+    ninth batch has no first attempt.  The lowest (batch, attempt, pos) wins whatever came first."""
+    r = customer_replies(spark, sf_dir)
+    b = F.col("batch_num")
+    second = replies.rows_to_csv_replies(
+        load(spark, sf_dir, "customer"), F.concat_ws(",", "c_custkey", F.concat("c_name", F.lit(" again")), F.lit("99"),
+                                                     F.lit("SECOND")), F.floor(F.col("c_custkey") / 30), F.col("c_custkey"))
+    base = scratch_path(spark, "claims")
+    early = second.where(b % 3 == 0).withColumn("attempt", F.lit(1))
+    early.coalesce(2).write.parquet(f"{base}/in/arrival=1")
+    r.where(b % 9 != 0).coalesce(2).write.parquet(f"{base}/in/arrival=2")
+    replies_stream.stream_claims(spark, f"{base}/in", CUST_REPLY_COLS, "c_custkey",
+                                 f"{base}/out", f"{base}/ckpt", files_per_trigger=1)
+    return replies_stream.current_claims(spark, f"{base}/out", "c_custkey").drop("pos")
+
+
 # --- C5 / C7: prompts and the completion hand-off ------------------------------------
 def customer_spec(spark, sf_dir) -> tuple[DatasetSpec, list[dict]]:
     """A request mimicking the customer table: contract from its profile (A5+A6),
@@ -810,5 +850,5 @@ def q_mimic_rows(spark, sf_dir):
 @query("unique_rows_documents")
 def q_unique_rows(spark, sf_dir):
     """D10 on the (lang, source, text) projection of documents: whole-row dedup."""
-    return generate.unique_rows(load(spark, sf_dir, "documents").select("lang", "source", "text")) \
+    return generate.unique_rows(load(spark, sf_dir, "documents").select("lang", "source", "text"), long_values=True) \
         .select("lang", "source", F.md5("text").alias("text_md5"))

@@ -42,7 +42,6 @@ from .jaccard_join import marked, mix
 
 GRAM, WINDOW, SHARED = 8, 26, 24
 MIN_WORDS = 50
-SAMPLE_ONE_IN = 64              # without effect: nothing is sampled any more (a test still sets it)
 MEMO_WORDS = 400_000
 FLUSH_ROWS = 500_000
 _WORDS: dict[bytes, int] = {}
@@ -156,7 +155,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     shared = materialise(in_two(seeds, (F.min("around") != F.max("around")).cast("int").alias("differ")), "suffix-shared")
     hits = marked(seeds.select("handle", "rid", "pos"), shared.select("handle")).join(shared, "handle")
     # one document's seeds are as many as its own words at most
-    asked = hits.groupBy("rid").agg(F.collect_list(2 * F.col("pos") + F.col("differ")).alias("asked"))
+    asked = hits.groupBy("rid").agg(F.collect_set(2 * F.col("pos") + F.col("differ")).alias("asked"))
     asked = materialise(asked.withColumnRenamed("rid", "handle"), "suffix-asked")
     held = marked(texts.withColumnRenamed("rid", "handle"), asked.select("handle")).join(asked, "handle")
     spans = held.select(F.col("handle").alias("rid"), "text", "asked").mapInArrow(span_rows, SPANS_SQL)
@@ -172,10 +171,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     """One row per document with a repeated passage: doc_id, n_passages, repeated_words and
     passages (start and end in words, end exclusive)."""
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    handle = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text")      # stable wherever a task runs
+    # stable wherever a task runs; equal rows (same id or none, same text) are one document
+    handle = F.xxhash64(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "text")
     texts = numbered.select(handle.alias("rid"), "doc_id", "text")
     names = materialise(texts.select("rid", "doc_id"), "suffix-names")
-    passages = repeated_spans(texts.select("rid", "text"))
+    passages = repeated_spans(texts.select("rid", "text")).distinct()      # once for equal rows
     # union of a document's intervals
     order = Window.partitionBy("rid").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -156,13 +156,23 @@ def test_repeated_passages(docs, no_docs, wide_docs):
     assert suffixes.repeats(no_docs).count() == 0
 
 
-def test_repeated_passages_of_a_frequent_block_are_linked_across_salts(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "SAMPLE_ONE_IN", 1)
+def test_repeated_passages_of_a_frequent_block_are_linked(spark):
     rows = [(i, words(500 + i, 20) + " " + PASSAGE, "en", "s", 1) for i in range(40)]
     got = suffixes.repeats(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
     assert sorted((r.doc_id, r.passages[0].start, r.passages[0].end) for r in got) == [(i, 20, 80) for i in range(40)]
 
 
+def test_repeated_passages_of_equal_rows_and_rows_without_id(spark):
+    """No id and -1 are two documents; equal rows are one, however many, and all get its result."""
+    text = words(77, 90)
+    got = suffixes.repeats(spark.createDataFrame([(None, text, "en", "s", 1), (-1, text, "en", "s", 1)], SCHEMA)).collect()
+    assert {(r.doc_id, r.n_passages, r.repeated_words) for r in got} == {(None, 1, 90), (-1, 1, 90)}
+    rows = [(None, text, "en", "s", 1)] * 300
+    assert suffixes.repeats(spark.createDataFrame(rows, SCHEMA).repartition(4)).count() == 0
+    got = suffixes.repeats(spark.createDataFrame([*rows, (5, text, "en", "s", 1)], SCHEMA).repartition(4)).collect()
+    assert Counter((r.doc_id, r.n_passages, r.repeated_words) for r in got) == {(None, 1, 90): 300, (5, 1, 90): 1}
+
+
 def repeated_words(rows, n=50):
     """Passages by brute force: overlapping runs of ``n`` words that another text has too."""
     texts = {(r[0], r[1]): (r[1] or "").encode().lower().split() for r in rows}

@@ -228,6 +228,52 @@ def test_passages_that_hold_a_frequent_phrase_equal_brute_force(spark):
     assert len(check_repeats(spark, rows)) > 100
 
 
+def test_neighbours_across_the_borders_of_ranges(spark, monkeypatch):
+    """Ranges of a few entries: runs of one document that fill whole ranges, partners two ranges on."""
+    monkeypatch.setattr(suffixes, "RANGE_ROWS", 6)
+    shared = words(7, 30)
+    rows = [(i, f"{words(5000 + i, 9)} {shared} {words(9000 + i // 2, 25)} {words(20_000 + i, 30)}", "en", "s", 1)
+            for i in range(60)]
+    rows.append((500, " ".join(f"{shared} {words(30_000 + k, 40)}" for k in range(60)), "en", "s", 1))
+    assert len(check_repeats(spark, rows)) == 60
+
+
+def test_the_array_is_sorted_and_matches_are_the_longest(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "RANGE_ROWS", 6)
+    rows = [(i, f"{words(i, 26)} {words(70, 45)} {words(80 + i % 3, 12)} {words(900 + i, 40)}") for i in range(40)]
+    texts = spark.createDataFrame(rows, "rid long, text string").repartition(3)
+    seeds = texts.mapInArrow(suffixes.seed_rows, suffixes.SEEDS_SQL)
+    shared = suffixes.in_two(seeds, "rid", "rid").join(seeds, "handle").where("after = 50")
+    array = suffixes.sorted_entries(texts, shared)
+    entries = array.collect()
+    keys = [(e.handle, bytes(e.right), bytes(e.left)) for e in entries]
+    assert array.rdd.getNumPartitions() > 3 and keys == sorted(keys) and len(keys) > 20
+
+    def common(a, b):
+        return next((k // 8 for k in range(0, len(a), 8) if a[k:k + 8] != b[k:k + 8]), len(a) // 8)
+
+    longest = {(a.handle, a.around): max(24 + common(a.right, b.right) for b in entries
+                                         if a.handle == b.handle and a.low != b.low) for a in entries}
+    whole = {k for k, r in longest.items() if r == 50}
+    found = {(r.handle, r.around): r.r for r in suffixes.repeated_around(array).collect()}
+    assert whole and all(found[k] == 50 for k in whole)
+
+
+@settings(max_examples=60, derandomize=True, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=6), max_size=8))
+def test_entries_beyond_a_range_are_the_nearest_of_two_runs(parts):
+    ranges = [[{"low": d, "high": d, "at": (p, k)} for k, d in enumerate(part)] for p, part in enumerate(parts)]
+
+    def two_nearest(entries):                             # the nearest first
+        out = entries[:1]
+        return out + [e for e in entries if out and e["low"] != out[0]["low"]][:1]
+
+    tails = {p: two_nearest(r[::-1]) for p, r in enumerate(ranges) if r}
+    got = suffixes.beyond(tails, sorted(tails))
+    for p in tails:
+        assert got[p] == two_nearest([e for r in ranges[:p] for e in r][::-1])
+
+
 def test_stage_keeps_one_of_each_group_whatever_the_ids(docs):
     kept = filter_rows(docs, exact_dedup.dropped_ids)
     assert kept.columns == docs.columns and kept.count() == exact(ROWS)[1]

@@ -359,7 +359,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     hits = materialise(marked(seeds, shared.select("handle")).join(shared, "handle"), "suffix-hits")
     alike = hits.where("not differ").select("rid", "pos", F.col("before").alias("l"), F.col("after").alias("r"))
     others = hits.where("differ").drop("before", "after")
-    found = repeated_around(sorted_entries(texts, others))
+    # a table of its own, so that the join's hot groups can be split
+    found = materialise(repeated_around(sorted_entries(texts, others)), "suffix-around")
     spans = alike.union(others.join(found, ["handle", "around"]).select("rid", "pos", "l", "r")).where(f"l + r >= {MIN_WORDS}")
     return spans.select("rid", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end"))
 

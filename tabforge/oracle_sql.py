@@ -515,6 +515,8 @@ FROM ({_CURRENT}) WHERE job_id = 'job-7'""")
 register("ledger_resolve", f"""SELECT job_id, CASE WHEN starts_with(coalesce(nullif(s3_key, ''), file_path), 'datasets/')
   THEN coalesce(nullif(s3_key, ''), file_path) END AS artifact FROM ({_CURRENT})""")
 register("ledger_unexpired", f"""SELECT job_id, ttl, status FROM ({_CURRENT}) WHERE ttl > 883612800""")
+register("ledger_compacted", f"""SELECT * EXCLUDE (written_at) FROM ({_CURRENT})""")
+register("ledger_get_compacted", ORACLES["ledger_get"])
 
 # --- J: streaming ------------------------------------------------------------------------
 register("stream_replies", f"""SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, {CUST_NAME} AS c_name,

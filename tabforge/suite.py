@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import assemble, generate, keys, ledger, profile, replies, validate
+from .operators.compaction import CompactedLedger
 from .spec import ColumnContract, DatasetSpec
 from .plans import batches, job, prompts
 from .session import scratch_path
@@ -549,6 +550,30 @@ def q_ledger_unexpired(spark, sf_dir):
     return ledger.expire_jobs(_ledger(spark, sf_dir), LEDGER_NOW).select("job_id", "ttl", "status")
 
 
+def _compacted_ledger(spark, sf_dir) -> CompactedLedger:
+    """Records of the orders saved in three parts, the older two merged one by one, the third pending."""
+    jobs = jobs_from_orders(load(spark, sf_dir, "orders"))
+    part = F.pmod(F.xxhash64("job_id", "written_at"), F.lit(3))
+    lg = CompactedLedger(spark, scratch_path(spark, "compacted-ledger"), buckets=16)
+    for k in range(3):
+        lg.save(jobs.where(part == k))
+        if k < 2:
+            lg.compact()
+    return lg
+
+
+@query("ledger_compacted")
+def q_ledger_compacted(spark, sf_dir):
+    return _compacted_ledger(spark, sf_dir).current().drop("written_at")
+
+
+@query("ledger_get_compacted")
+def q_ledger_get_compacted(spark, sf_dir):
+    lg = _compacted_ledger(spark, sf_dir)
+    lg.compact()
+    return _flat(lg.get(LEDGER_GET_ID)).drop("written_at")
+
+
 # --- J: streaming ---------------------------------------------------------------------
 @query("stream_replies")
 def q_stream_replies(spark, sf_dir):

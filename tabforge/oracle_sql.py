@@ -363,6 +363,11 @@ register("novel_rows", f"""SELECT * FROM part p WHERE NOT EXISTS (
 register("sample_copies_part", f"""SELECT * FROM part p WHERE EXISTS (
   SELECT 1 FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 10) s WHERE {_PART_ALL})""")
 
+for _name, _not in (("sample_copies_orders", ""), ("novel_rows_orders", "NOT ")):
+    register(_name, f"""SELECT o_orderkey, o_custkey, o_orderstatus FROM orders o WHERE {_not}EXISTS (
+  SELECT 1 FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 10) s
+  WHERE s.o_custkey IS NOT DISTINCT FROM o.o_custkey AND s.o_orderstatus IS NOT DISTINCT FROM o.o_orderstatus)""")
+
 
 # --- G: validation -------------------------------------------------------------------
 from .fixtures import VALIDATE_CONTRACTS  # noqa: E402

@@ -387,6 +387,23 @@ def q_sample_copies(spark, sf_dir):
     return generate.sample_copies(part, samples)
 
 
+def _orders_and_samples(spark, sf_dir):
+    """Orders by customer and status; the ten first ones are the samples, which other orders repeat."""
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return orders, orders.orderBy("o_orderkey").limit(10).select("o_custkey", "o_orderstatus")
+
+
+@query("sample_copies_orders")
+def q_sample_copies_orders(spark, sf_dir):
+    return generate.sample_copies(*_orders_and_samples(spark, sf_dir))
+
+
+@query("novel_rows_orders")
+def q_novel_rows_orders(spark, sf_dir):
+    orders, samples = _orders_and_samples(spark, sf_dir)
+    return generate.drop_sample_copies(orders, samples, samples.columns)
+
+
 # --- G: validation ----------------------------------------------------------------
 def _validate_query(table: str, name: str):
     def run(spark, sf_dir):

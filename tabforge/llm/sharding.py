@@ -6,10 +6,10 @@ fractional rank interleave the sources in proportion, so cutting that order into
 shards of equal row counts gives every shard the whole table's mixture (law
 ``rows``: counts at most one apart).
 
-No source is ranked in one task.  The hash space is cut into buckets; a row's
-rank is the number of its source's rows in lower buckets plus its rank inside
-its (source, bucket).  The position in the whole order is found alike from
-buckets of the fractional rank.  Buckets hold about ``bucket_rows`` rows.
+No source is ranked in one task.  Each order is a sort by range, whose last key tells equal
+rows apart, so neither a source nor a repeated or missing doc_id is bound to a task.  A
+row's position is its place in its range plus the rows of the ranges before, and its rank
+within the source that position less the rows of the sources before.
 
 Defined results: null text has size 16 and the crc32 of an empty text; a null
 source is a source of its own; rows that tie in hash (repeated ids) are ordered by
@@ -26,43 +26,45 @@ from .common import materialise, text_or_empty
 
 SHARDS = 40
 SEED = "shards-1"
-BUCKET_ROWS = 20_000
-HASH_SPACE = 1 << 60
+RANGE_ROWS = 100_000
 
 
-def _before(counts: DataFrame, within: list[str], bucket: str) -> DataFrame:
-    """``counts`` with the sum of n over lower buckets (per ``within``)."""
-    w = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    w = w.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+def _before(counts: DataFrame, key: str) -> DataFrame:
+    """``counts`` (one row a range, or a source) with the sum of n over lower keys."""
+    lower = Window.partitionBy(F.lit(0)).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("before", F.coalesce(F.sum("n").over(lower), F.lit(0)))
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def _positions(rows: DataFrame, total: int, range_rows: int, *order: str) -> DataFrame:
+    """``rows`` with ``position``, from 0, in the order of the columns named."""
+    ranges = max(1, -(-total // range_rows))
+    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).checkpoint()
+    # ids count from 0 in every partition, above 33 bits that hold its number
+    dealt = dealt.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    dealt = dealt.withColumn("at", F.col("at").bitwiseAND((1 << 33) - 1))
+    before = _before(dealt.groupBy("part").agg(F.count("*").alias("n")), "part").select("part", "before")
+    return dealt.join(before, "part").withColumn("position", F.col("before") + F.col("at")).drop("part", "at", "before")
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, source, position."""
     text = text_or_empty()
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    stratum = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))   # null apart from any name
     rows = docs.select(
         F.col("doc_id").cast("long"), F.col("source").cast("string"),
         (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("h"))
+        stratum.alias("stratum"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("h"),
+        F.monotonically_increasing_id().alias("row"))
     rows = materialise(rows, "shard-rows")
     total = rows.count()
-    buckets = max(1, -(-total // bucket_rows))
-    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))         # null apart from any name
-    rows = rows.withColumns({"stratum": key, "b": F.floor(F.col("h") / (HASH_SPACE // buckets + 1)).cast("long")})
-    counts = _before(rows.groupBy("stratum", "b").agg(F.count("*").alias("n")), ["stratum"], "b")
-    sizes = counts.groupBy("stratum").agg(F.sum("n").alias("of_source"))
-    order = Window.partitionBy("stratum", "b").orderBy("h", "doc_id", "size", "text_crc32")
-    ranked = (rows.withColumn("r", F.row_number().over(order))
-              .join(counts.select("stratum", "b", "before").join(sizes, "stratum"), ["stratum", "b"])
-              .withColumn("fraction", (F.col("before") + F.col("r") - 0.5) / F.col("of_source"))
-              .withColumn("f", F.floor(F.col("fraction") * buckets).cast("long"))
-              .select("doc_id", "source", "size", "text_crc32", "stratum", "h", "fraction", "f"))
+    last = ("h", "doc_id", "size", "text_crc32", "row")
+    sources = _before(rows.groupBy("stratum").agg(F.count("*").alias("n")), "stratum").withColumnRenamed("n", "of_source")
+    ranked = (_positions(rows, total, range_rows, "stratum", *last).join(sources, "stratum")
+              .withColumn("fraction", (F.col("position") - F.col("before") + 0.5) / F.col("of_source"))
+              .drop("position", "before", "of_source"))
     ranked = materialise(ranked, "shard-ranks")
-    places = _before(ranked.groupBy("f").agg(F.count("*").alias("n")), [], "f").select("f", "before")
-    order = Window.partitionBy("f").orderBy("fraction", "stratum", "h", "doc_id", "size", "text_crc32")
-    position = F.col("before") + F.row_number().over(order) - 1
-    placed = ranked.join(places, "f").withColumn("position", position)
+    placed = _positions(ranked, total, range_rows, "fraction", "stratum", *last)
     # the first (total mod shards) shards have one row more
     low, more = divmod(total, shards)
     edge = more * (low + 1)
@@ -76,7 +78,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, bucket_rows:
 
 
 #: The same rows in DuckDB: crc32 is folded byte by byte over a table made by its rule
-#: (reflected polynomial 0xEDB88320); the interleaving needs no buckets there.
+#: (reflected polynomial 0xEDB88320); the interleaving needs no ranges there.
 ORACLE = """
 WITH RECURSIVE bits(i, k, c) AS (
   SELECT i, 0, i::BIGINT FROM range(256) t(i)

@@ -137,7 +137,7 @@ def test_word_by_word_encoding_equals_the_whole(text):
 # --- shards -------------------------------------------------------------------
 def test_shards_match_the_mixture(spark):
     rows = [(i, "t" * (i % 50), "en", "hot" if i % 3 == 0 else f"s{i % 7}", 1) for i in range(2000)]
-    got = sharding.assign(spark.createDataFrame(rows, SCHEMA).repartition(5), bucket_rows=100).collect()
+    got = sharding.assign(spark.createDataFrame(rows, SCHEMA).repartition(5), range_rows=100).collect()
     assert sorted((r.doc_id, r.size) for r in got) == [(i, i % 50 + 16) for i in range(2000)]
     assert set(Counter(r.shard for r in got).values()) == {50}
     for shard in range(40):
@@ -153,12 +153,26 @@ def test_shards_equal_the_sql_on_odd_rows(docs, no_docs, wide_docs):
     want = con.execute(sharding.ORACLE)
     names = [d[0] for d in want.description]
     want = Counter(want.fetchall())
-    for buckets in (1, 3, 1000):
-        got = sharding.assign(wide_docs, bucket_rows=buckets).select(names)
+    for range_rows in (1, 3, 1000):
+        got = sharding.assign(wide_docs, range_rows=range_rows).select(names)
         assert Counter(map(tuple, got.collect())) == want
     assert sharding.assign(no_docs).count() == 0
 
 
+def test_rows_without_id_or_equal_rows_are_ranked_in_many_ranges(spark):
+    """Most rows have no doc_id, and most of these are equal: no range holds them all, ranks are gapless."""
+    rows = [(None, "same", "en", "hot", 1)] * 300 + [(7, f"t{i}", "en", "hot", 1) for i in range(60)]
+    rows += [(i, f"u{i}", "en", None, 1) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = sharding.assign(df, range_rows=50).collect()
+    assert sorted(r.position for r in got) == list(range(400))
+    assert Counter(r.shard for r in got) == {k: 10 for k in range(40)}
+    assert Counter((r.shard, r.source) for r in got) == Counter({(k, s): n for k in range(40) for s, n in (("hot", 9), (None, 1))})
+    ordered = sharding._positions(df.withColumn("row", F.monotonically_increasing_id()), 400, 50, "doc_id", "row")
+    sizes = [p["n"] for p in ordered.groupBy(F.floor(F.col("position") / 50).alias("k")).agg(F.count("*").alias("n")).collect()]
+    assert sizes == [50] * 8
+
+
 def test_other_tokenizers_encode_whole_texts():
     from tokenizers import Tokenizer
     assert token_files.by_words(BPE_JSON)

@@ -20,8 +20,9 @@ runs again replaces the file by the same bytes.
 
 A text is encoded word by word: the tokenizer's pattern never joins characters
 across white space, so each word between ASCII white space is encoded once by the
-tokenizers library and remembered.  Texts in which an added token could span white
-space are encoded whole.
+tokenizers library and remembered.  A word of printable ASCII needs no normaliser beyond
+lower-casing and is cut by the same pattern here, so the library's model sees its pieces
+directly.  Texts in which an added token could span white space are encoded whole.
 
 Defined results: null text counts as empty and has the end id alone; null
 doc_ids come first; rows that share a doc_id are ordered by their ids' bytes; an
@@ -32,9 +33,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,6 +144,9 @@ _TOKENIZERS: dict[str, tuple] = {}
 LOWERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLITS = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
           "behavior": "Removed", "invert": True}
+#: SPLITS for lower-case printable ASCII without white space.
+PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+PRINTABLE = re.compile(rb"[!-~]+")
 
 
 def by_words(model: str) -> bool:
@@ -150,15 +157,32 @@ def by_words(model: str) -> bool:
             and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in rest))
 
 
+def word_encoder(tokenizer):
+    """Function from a word of printable ASCII and the memo to its ids."""
+    tokens, little = tokenizer.model.tokenize, sys.byteorder == "little" and array("I").itemsize == 4
+
+    def piece(p: bytes) -> bytes:
+        ids = [t.id for t in tokens(p.decode("ascii"))]
+        return array("I", ids).tobytes() if little else np.asarray(ids, "<u4").tobytes()
+
+    def encode(word: bytes, memo: dict[bytes, bytes]) -> bytes:
+        pieces = PIECES.findall(word.lower())
+        return b"".join([memo.get(p) or piece(p) for p in pieces])
+
+    return encode
+
+
 def encode_texts(model: str, texts: list[str]) -> list[bytes]:
     """Ids (little-endian unsigned 32-bit, with the end id) of each text."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")       # Spark spreads the work
     from tokenizers import Tokenizer
     if model not in _TOKENIZERS:
         tokenizer = Tokenizer.from_str(model)
-        spans = any(any(c.isspace() for c in t.content) for t in tokenizer.get_added_tokens_decoder().values())
-        _TOKENIZERS[model] = (tokenizer, {}, spans or not by_words(model))
-    tokenizer, memo, entire = _TOKENIZERS[model]
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        spans = any(any(c.isspace() for c in content) for content in added)
+        plain = word_encoder(tokenizer) if all("<|" in content for content in added) else None
+        _TOKENIZERS[model] = (tokenizer, {}, spans or not by_words(model), plain)
+    tokenizer, memo, entire, plain = _TOKENIZERS[model]
     end = np.asarray([END_ID], "<u4").tobytes()
     whole = lambda xs: [np.asarray(e.ids, "<u4").tobytes()
                         for e in tokenizer.encode_batch_fast(xs, add_special_tokens=False)]
@@ -169,8 +193,13 @@ def encode_texts(model: str, texts: list[str]) -> list[bytes]:
     # lower-casing ASCII words first halves the words to encode; an added token's own
     # spelling matters, so texts that could hold one keep their case
     split = [(t if "<|" in t or not t.isascii() else t.lower()).encode("utf-8").split() for t in texts]
-    new = list({w for words in split for w in words}.difference(memo))
-    memo.update(zip(new, whole([w.decode("utf-8") for w in new])))
+    rest = []
+    for w in set().union(*split).difference(memo):
+        if plain and PRINTABLE.fullmatch(w) and b"<|" not in w:
+            memo[w] = plain(w, memo)
+        else:
+            rest.append(w)
+    memo.update(zip(rest, whole([w.decode("utf-8") for w in rest])))
     return [b"".join([memo[w] for w in words]) + end for words in split]
 
 

@@ -107,6 +107,25 @@ def expected_tokens(rows):
     return Counter(out)
 
 
+def test_plain_words_go_to_the_model_alone(monkeypatch):
+    """Words of printable ASCII skip the normaliser; their ids are those of whole texts."""
+    token_files.encode_texts(BPE_JSON, ["seed"])
+    tokenizer, _, *rest = token_files._TOKENIZERS[BPE_JSON]
+    asked = []
+
+    class Spy:
+        def encode_batch_fast(self, xs, **kw):
+            asked.extend(xs)
+            return tokenizer.encode_batch_fast(xs, **kw)
+
+    monkeypatch.setitem(token_files._TOKENIZERS, BPE_JSON, (Spy(), {}, *rest))
+    texts = ["It's''s 'LL we've'd 'TIS 12a3--b,c.", "Caf\u00e9 A\x01B \x7f It'S x\x1cy", "<|startoftext|>A <|x B|> b<|endoftext|>", ""]
+    got = token_files.encode_texts(BPE_JSON, texts)
+    want = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert got == [np.asarray([*e.ids, 1], "<u4").tobytes() for e in want]
+    assert set(asked) == {"Caf\u00e9", "A\x01B", "\x7f", "x\x1cy", "<|startoftext|>A", "<|x", "b<|endoftext|>"}
+
+
 def test_token_files_round_trip(docs, no_docs, wide_docs):
     for df in (docs, wide_docs):
         got = token_files.round_trip(df, BPE_JSON)

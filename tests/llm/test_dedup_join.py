@@ -277,3 +277,26 @@ def test_entries_beyond_a_range_are_the_nearest_of_two_runs(parts):
 def test_stage_keeps_one_of_each_group_whatever_the_ids(docs):
     kept = filter_rows(docs, exact_dedup.dropped_ids)
     assert kept.columns == docs.columns and kept.count() == exact(ROWS)[1]
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Edges that are stars already take no round."""
+    df = spark.createDataFrame([(i, 1) for i in range(2, 40)] + [(51, 50)], "a long, b long")
+    kept = []
+    real = type(df).checkpoint
+    monkeypatch.setattr(type(df), "checkpoint", lambda self, *a: (kept.append(1), real(self, *a))[1])
+    got = {r.node: r.root for r in components(df).collect()}
+    assert got == {**dict.fromkeys(range(1, 40), 1), 50: 50, 51: 50}
+    assert len(kept) == 2
+
+
+def test_components_of_random_edges(spark):
+    random = np.random.default_rng(4)
+    for nodes, many in ((30, 20), (200, 150), (60, 300)):
+        edges = random.integers(0, nodes, (many, 2)).tolist()
+        root = list(range(nodes))
+        for _ in range(nodes):
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {x: root[x] for a, b in edges if a != b for x in (a, b)}

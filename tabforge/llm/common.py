@@ -32,6 +32,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict[str, dict] = {}
+
+
+def held(owner: str) -> dict:
+    """What the stage ``owner`` keeps in this Python worker between its tasks.  Spark gives a
+    worker to later stages too, so what other stages kept there is let go."""
+    for other in [k for k in _HELD if k != owner]:
+        del _HELD[other]
+    return _HELD.setdefault(owner, {})
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, text_or_empty
+from .common import held, materialise, partitions, text_or_empty
 
 BLANKS = b" \t\n\v\f\r"
 LEAF_BYTES = 1 << 20
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 6 << 20            # several copies of a chunk are in memory at once: here, in Arrow and in the JVM
 FIRST_DIGIT = 16
 NO_ID = (1 << 63) - 1
 
@@ -87,14 +87,15 @@ def group_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     column.append(value)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, ROWS)], schema=ROWS)
 
-    rows, held = [], 0
+    held("exact_dedup")
+    rows, size = [], 0
     for batch in batches:
         for rid, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             rows.append((rid, doc_id, len(text), text.encode("utf-8").translate(None, BLANKS)))
-            held += len(rows[-1][3]) + 200
-            if held > CHUNK_BYTES:
+            size += len(rows[-1][3]) + 200
+            if size > CHUNK_BYTES:
                 yield flush(rows)
-                rows, held = [], 0
+                rows, size = [], 0
     if rows:
         yield flush(rows)
 

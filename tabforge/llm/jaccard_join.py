@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, materialise, text_or_empty
+from .common import components, held, materialise, text_or_empty
 from .shingling import mix, shingle_sets, slices
 
 WORDS = 5
@@ -170,6 +170,7 @@ def list_maker(common: np.ndarray):
 def list_rows(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, handle) to a DOC row per document and, once per class and task, a
     row for each list the class is in."""
+    held("jaccard")
     light, seen = boundary(), set()
     for batch in batches:
         rows = []                                     # kind, keys, class, size, doc_id, handle

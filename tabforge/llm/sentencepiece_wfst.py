@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import held, text_or_empty
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6   # piece types of the file format
@@ -228,14 +228,12 @@ class Transducer:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
-_COMPILED: dict[bytes, Transducer] = {}
-
-
 def compiled(model: bytes) -> Transducer:
     """The transducer of a model, compiled once in each Python worker."""
-    if model not in _COMPILED:
-        _COMPILED[model] = Transducer(model)
-    return _COMPILED[model]
+    kept = held("sentencepiece")
+    if model not in kept:
+        kept[model] = Transducer(model)
+    return kept[model]
 
 
 def encoder(model: bytes):

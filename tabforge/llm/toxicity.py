@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_remainder, text_or_empty
+from .common import held, id_remainder, text_or_empty
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
@@ -171,6 +171,7 @@ def scorer(weights: np.ndarray, bias: float):
     @F.arrow_udf("score double, n_sentences long, worst_start long, worst_end long, "
                  "offending array<struct<start:long,end:long,score:double>>")
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held("toxicity")
         memo: dict = {}
         for texts in batches:
             yield pa.array([one(t, memo) for t in texts.to_pylist()], kind)

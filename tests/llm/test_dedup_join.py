@@ -5,11 +5,12 @@ import itertools
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tabforge.llm import exact_dedup, jaccard_join, suffixes
+from tabforge.llm import common, exact_dedup, jaccard_join, registry, sentencepiece_wfst, suffixes
 from tabforge.llm.common import components, filter_rows
 
 from .conftest import PASSAGE, ROWS, SCHEMA, words
@@ -300,3 +301,13 @@ def test_components_of_random_edges(spark):
                 root[a] = root[b] = min(root[a], root[b])
         got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
         assert got == {x: root[x] for a, b in edges if a != b for x in (a, b)}
+
+
+def test_a_chunk_is_small_and_other_stages_memos_go():
+    sentencepiece_wfst.compiled(registry.tokenizer_file("piece_bpe_32k.model"))
+    rows = [(i, i, f"{i}" + "x" * 1_000_000) for i in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["rid", "doc_id", "text"])
+    out = list(exact_dedup.group_locally(iter([batch])))
+    assert sum(b.num_rows for b in out) == 20
+    assert max(b.nbytes for b in out) < 8 << 20
+    assert list(common._HELD) == ["exact_dedup"]

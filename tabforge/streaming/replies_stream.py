@@ -84,10 +84,11 @@ def _better_claims(ttl_ms: int):
         top = tuple(state.get) if state.exists else None
         row = None
         for pdf in pieces:                       # pieces of a hot key, never the whole of it
-            first = pdf.sort_values(order, kind="stable").head(1)
-            rank = tuple(int(x) for x in first[order].iloc[0])
+            ranks = [tuple(map(int, r)) for r in zip(*(pdf[c].tolist() for c in order))]
+            rank = min(ranks)
             if top is None or rank < top:
-                top, row = rank, first
+                at = ranks.index(rank)
+                top, row = rank, pdf if len(ranks) == 1 else pdf.iloc[at:at + 1]
         if row is not None:
             state.update(top)
             yield row

@@ -15,7 +15,7 @@ from .operators import assemble, generate, keys, ledger, profile, replies, valid
 from .operators.compaction import CompactedLedger
 from .spec import ColumnContract, DatasetSpec
 from .plans import batches, job, prompts
-from .session import scratch_path
+from .session import parallelism, scratch_path
 from .sources import readers, sinks
 from .streaming import replies_stream
 from .fixtures import GEN_CONTRACTS, NOVEL_CONTRACT, TABLES, UNIQUE_CONTRACT, VALIDATE_CONTRACTS, customer_profile
@@ -616,10 +616,11 @@ def q_stream_claims(spark, sf_dir):
                                                      F.lit("SECOND")), F.floor(F.col("c_custkey") / 30), F.col("c_custkey"))
     base = scratch_path(spark, "claims")
     early = second.where(b % 3 == 0).withColumn("attempt", F.lit(1))
-    early.coalesce(2).write.parquet(f"{base}/in/arrival=1")
-    r.where(b % 9 != 0).coalesce(2).write.parquet(f"{base}/in/arrival=2")
+    files = 2 * parallelism(spark)         # each arrival is written by all cores and read in about two batches
+    early.repartition(files).write.parquet(f"{base}/in/arrival=1")
+    r.where(b % 9 != 0).repartition(files).write.parquet(f"{base}/in/arrival=2")
     replies_stream.stream_claims(spark, f"{base}/in", CUST_REPLY_COLS, "c_custkey",
-                                 f"{base}/out", f"{base}/ckpt", files_per_trigger=1)
+                                 f"{base}/out", f"{base}/ckpt", files_per_trigger=files // 2)
     return replies_stream.current_claims(spark, f"{base}/out", "c_custkey").drop("pos")
 
 

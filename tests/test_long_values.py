@@ -131,3 +131,28 @@ def test_claims_in_any_order_of_arrival(spark, tmp_path):
         claims = replies_stream.current_claims(spark, f"{base}/out", "k")
         assert {(r["k"], r["v"]) for r in claims.collect()} == want, name
     assert spark.conf.get(replies_stream.NO_DATA_BATCHES, "true") == "true"
+
+
+def test_claims_of_one_row_are_not_sorted(monkeypatch):
+    import pandas as pd
+    from tabforge.streaming.replies_stream import _better_claims
+
+    class State:
+        hasTimedOut, exists, get = False, False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def setTimeoutDuration(self, ms):
+            pass
+
+    def refuse(*a, **k):
+        raise AssertionError("sorted")
+
+    monkeypatch.setattr(pd.DataFrame, "sort_values", refuse)
+    piece = lambda *rows: pd.DataFrame(rows, columns=["batch_num", "attempt", "pos", "k"])
+    state, better = State(), _better_claims(1000)
+    got = list(better(("a",), iter([piece((2, 1, 0, "x")), piece((3, 0, 0, "w"), (1, 1, 5, "y"), (1, 1, 5, "z"))]), state))
+    assert [r.values.tolist() for r in got] == [[[1, 1, 5, "y"]]] and state.get == (1, 1, 5)
+    assert list(better(("a",), iter([piece((1, 1, 6, "v"))]), state)) == []
+    assert [r.values.tolist() for r in better(("a",), iter([piece((1, 0, 9, "u"))]), state)] == [[[1, 0, 9, "u"]]]

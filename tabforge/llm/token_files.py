@@ -18,11 +18,13 @@ then read back from the files alone.  A file is written under a name of its own
 attempt and moved to its final name, which depends on the range only: a task that
 runs again replaces the file by the same bytes.
 
-A text is encoded word by word: the tokenizer's pattern never joins characters
-across white space, so each word between ASCII white space is encoded once by the
-tokenizers library and remembered.  A word of printable ASCII needs no normaliser beyond
-lower-casing and is cut by the same pattern here, so the library's model sees its pieces
-directly.  Texts in which an added token could span white space are encoded whole.
+A text is encoded piece by piece: the tokenizer's pattern never joins characters
+across white space, and words of printable ASCII and Latin letters without an apostrophe
+are cut where that pattern cuts them, at changes between letters, digits and others.
+Arrow numbers the pieces of a batch, and each is encoded once by the tokenizers library
+and remembered.  Printable ASCII needs no normaliser beyond lower-casing, so the library's
+model sees it directly; any other word goes through the whole tokenizer.  Texts in which an
+added token could span white space are encoded whole.
 
 Defined results: null text counts as empty and has the end id alone; null
 doc_ids come first; rows that share a doc_id are ordered by their ids' bytes; an
@@ -40,15 +42,18 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import materialise, partitions, text_or_empty
+from .shingling import text_bytes
 
 BLOCK = 1024
 PERCENTILE = 90
@@ -166,14 +171,63 @@ def word_encoder(tokenizer):
         return array("I", ids).tobytes() if little else np.asarray(ids, "<u4").tobytes()
 
     def encode(word: bytes, memo: dict[bytes, bytes]) -> bytes:
+        if word.isalpha():
+            return piece(word.lower())
         pieces = PIECES.findall(word.lower())
         return b"".join([memo.get(p) or piece(p) for p in pieces])
 
     return encode
 
 
-def encode_texts(model: str, texts: list[str]) -> list[bytes]:
-    """Ids (little-endian unsigned 32-bit, with the end id) of each text."""
+_BYTE = np.arange(256)
+#: Class of a byte: blank, letter (also of U+00C0 to U+017F in UTF-8), digit, other.
+CLASS = np.full(256, 3, np.uint8)
+CLASS[(_BYTE == 32) | ((_BYTE >= 9) & (_BYTE <= 13))] = 0
+CLASS[((_BYTE | 32) >= 97) & ((_BYTE | 32) <= 122) | (_BYTE >= 0x80)] = 1
+CLASS[(_BYTE >= 48) & (_BYTE <= 57)] = 2
+#: Bytes whose word stays whole: apostrophes, control characters, UTF-8 beyond U+017F ...
+WHOLE = (_BYTE == 39) | (_BYTE < 32) | (_BYTE == 127) | ((_BYTE >= 0xC0) & ~np.isin(_BYTE, (0xC3, 0xC4, 0xC5)))
+#: ... and pairs: the signs U+00D7 and U+00F7, letters with more than one letter or none of
+#: their own as lower case, and what an added token begins with.
+PAIRS = [(0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0), (0xC5, 0x89), (0xC5, 0xBF), (ord("<"), ord("|"))]
+SECOND = np.isin(_BYTE, [y for _, y in PAIRS])
+JOINED = np.asarray([x << 8 | y for x, y in PAIRS])
+
+
+def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(pieces and whole words of all texts in order, where each text begins and ends among
+    them)."""
+    body, limits = text_bytes(texts)
+    classes = CLASS[body]
+    inside = np.flatnonzero(classes)
+    body, classes = body[inside], classes[inside]
+    texts_at = np.searchsorted(inside, limits)
+    start = np.ones(len(body), bool)
+    start[1:] = inside[1:] != inside[:-1] + 1
+    start[texts_at[:-1][texts_at[:-1] < len(body)]] = True
+    if len(body):
+        whole = WHOLE[body]
+        second = np.flatnonzero(SECOND[body[1:]])
+        whole[second + 1] |= np.isin(body[second].astype(np.int64) << 8 | body[second + 1], JOINED)
+        words = np.flatnonzero(start)
+        whole = np.repeat(np.logical_or.reduceat(whole, words), np.diff(np.append(words, len(body))))
+        cut = classes == 2
+        cut[1:] |= classes[1:] != classes[:-1]
+        start |= cut & ~whole
+    ends = np.append(np.flatnonzero(start), len(body))
+    cut = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(body)])
+    return cut, np.searchsorted(ends[:-1], texts_at)
+
+
+def byte_strings(a: pa.Array) -> list[bytes]:
+    _, offsets, data = a.buffers()
+    ends = np.frombuffer(offsets, np.int64)[a.offset:a.offset + len(a) + 1].tolist()
+    data = data.to_pybytes() if data else b""
+    return [data[s:e] for s, e in zip(ends, ends[1:])]
+
+
+def encode_batch(model: str, texts: pa.Array, kind: str = "<u4") -> pa.Array:
+    """Ids (little-endian, of type ``kind``, with the end id) of each text."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")       # Spark spreads the work
     from tokenizers import Tokenizer
     if model not in _TOKENIZERS:
@@ -183,24 +237,45 @@ def encode_texts(model: str, texts: list[str]) -> list[bytes]:
         plain = word_encoder(tokenizer) if all("<|" in content for content in added) else None
         _TOKENIZERS[model] = (tokenizer, {}, spans or not by_words(model), plain)
     tokenizer, memo, entire, plain = _TOKENIZERS[model]
-    end = np.asarray([END_ID], "<u4").tobytes()
+    narrow = lambda ids: np.frombuffer(ids, "<u4").astype(kind)
     whole = lambda xs: [np.asarray(e.ids, "<u4").tobytes()
                         for e in tokenizer.encode_batch_fast(xs, add_special_tokens=False)]
+    texts, end = pc.fill_null(texts, ""), np.asarray([END_ID], "<u4").tobytes()
     if entire:
-        return [x + end for x in whole(texts)]
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-    # lower-casing ASCII words first halves the words to encode; an added token's own
+        return pa.array([narrow(x + end).tobytes() for x in whole(texts.to_pylist())], pa.binary())
+    if len(memo) > MEMO_WORDS:                   # the older half; what is frequent comes back at once
+        for w in list(islice(memo, len(memo) // 2)):
+            del memo[w]
+    # lower-casing ASCII texts first halves the words to encode; an added token's own
     # spelling matters, so texts that could hold one keep their case
-    split = [(t if "<|" in t or not t.isascii() else t.lower()).encode("utf-8").split() for t in texts]
-    rest = []
-    for w in set().union(*split).difference(memo):
-        if plain and PRINTABLE.fullmatch(w) and b"<|" not in w:
-            memo[w] = plain(w, memo)
-        else:
-            rest.append(w)
-    memo.update(zip(rest, whole([w.decode("utf-8") for w in rest])))
-    return [b"".join([memo[w] for w in words]) + end for words in split]
+    lower = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
+    cut, limits = units(pc.if_else(lower, pc.ascii_lower(texts), texts))
+    numbered = cut.dictionary_encode()
+    known = byte_strings(numbered.dictionary)
+    ids, rest = list(map(memo.get, known)), []
+    for i, x in enumerate(ids):
+        if x is None:
+            w = known[i]
+            if plain and (w.isalpha() or PRINTABLE.fullmatch(w) and b"<|" not in w):
+                ids[i] = memo[w] = plain(w, memo)
+            else:
+                rest.append(i)
+    for i, x in zip(rest, whole([known[i].decode("utf-8") for i in rest])):
+        ids[i] = memo[known[i]] = x
+    ids.append(end)
+    size = np.dtype(kind).itemsize
+    ends = np.cumsum([0, *map(len, ids)]) // 4 * size
+    values = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(narrow(b"".join(ids)))])
+    codes = np.insert(numbered.indices.to_numpy(), limits[1:], len(known))     # the end id behind each text
+    taken = values.take(pa.array(codes))
+    _, offsets, data = taken.buffers()
+    ends = np.frombuffer(offsets, np.int64)[taken.offset + limits + np.arange(len(limits))]
+    return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends), data]).cast(pa.binary())
+
+
+def encode_texts(model: str, texts: list[str]) -> list[bytes]:
+    """Ids (little-endian unsigned 32-bit, with the end id) of each text."""
+    return encode_batch(model, pa.array(texts, pa.string())).to_pylist()
 
 
 ENCODED_SQL = "part long, doc_id long, ids binary"
@@ -218,10 +293,10 @@ def encoder(model: str, cuts: list[int], kind: str):
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in encode_texts(model, b.column(1).to_pylist())]
+            ids = encode_batch(model, b.column(1), kind)
             lowest = np.iinfo(np.int64).min
             part = np.searchsorted(limits, np.asarray(b.column(0).fill_null(lowest)), "left")
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), b.column(0), pa.array(ids, pa.binary())],
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), b.column(0), ids],
                                              ["part", "doc_id", "ids"])
     return encode
 

@@ -126,6 +126,28 @@ def test_plain_words_go_to_the_model_alone(monkeypatch):
     assert set(asked) == {"Caf\u00e9", "A\x01B", "\x7f", "x\x1cy", "<|startoftext|>A", "<|x", "b<|endoftext|>"}
 
 
+def test_latin_words_are_cut_and_each_piece_encoded_once(monkeypatch):
+    """Punctuation and digits around a word beyond ASCII make no further call of the tokenizer;
+    signs, letters without one lower-case letter and apostrophes leave a word whole."""
+    token_files.encode_texts(BPE_JSON, ["seed"])
+    tokenizer, _, *rest = token_files._TOKENIZERS[BPE_JSON]
+    asked = []
+
+    class Spy:
+        def encode_batch_fast(self, xs, **kw):
+            asked.extend(xs)
+            return tokenizer.encode_batch_fast(xs, **kw)
+
+    monkeypatch.setitem(token_files._TOKENIZERS, BPE_JSON, (Spy(), {}, *rest))
+    texts = ["caf\u00e9 (caf\u00e9), caf\u00e9!1 2caf\u00e9<", "\u010cas>X 12\u00c4|\u00c4V", "",
+             "a\u00d7b \u0130x \u0149d 's\u017f caf\u00e9's e\u0301. \u6771."]
+    got = token_files.encode_texts(BPE_JSON, texts)
+    want = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert got == [np.asarray([*e.ids, 1], "<u4").tobytes() for e in want]
+    assert sorted(asked) == sorted(["caf\u00e9", "\u010cas", "\u00c4", "\u00c4V", "a\u00d7b", "\u0130x", "\u0149d", "'s\u017f",
+                                    "caf\u00e9's", "e\u0301.", "\u6771."])
+
+
 def test_token_files_round_trip(docs, no_docs, wide_docs):
     for df in (docs, wide_docs):
         got = token_files.round_trip(df, BPE_JSON)

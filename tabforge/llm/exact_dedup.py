@@ -122,6 +122,7 @@ def split_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, GROUPS)],
                                           schema=GROUPS)
 
+    held("exact_dedup")
     leaf, key, out = None, None, []
     for batch in batches:
         for node, digit, offset, width, lead, body, n, ncp, doc_id, rid in zip(

@@ -48,7 +48,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -273,6 +273,7 @@ SAMPLE_DOCS, SAMPLE_SHARE, SAMPLE_TIMES, MOST_COMMON = 20_000, 64, 4, 500_000
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def shingle_lists(texts: pa.Array) -> pa.Array:
+    held("jaccard")
     flat, ends = shingle_sets(texts, WORDS)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
 
@@ -293,27 +294,55 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
 MOST_BITS = 1 << 27
 
 
-def marked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``texts`` whose handle may be in ``wanted``: a bitmap of hashed handles, 16
-    bits a handle and 16 MB at most, spares the shuffle of the other texts.  Rows that
-    pass by chance are left out by the join on the class that follows."""
+def bitmap(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of hashed handles, 16 bits a handle and 16 MB at most."""
     n = wanted.count()
     bits = min(MOST_BITS, 1 << max(15, (16 * n).bit_length()))
-    at = F.pmod(F.xxhash64("handle", F.lit(9)), F.lit(bits))
-    parts = (wanted.select((at + 1).alias("at"))
+    parts = (wanted.select((place(bits) + 1).alias("at"))
              .groupBy(F.bitmap_bucket_number("at").alias("bucket"))
              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect())
     table = np.zeros(bits // 8, np.uint8)
     for p in parts:                                          # at most MOST_BITS / 32768 rows
         start = (p["bucket"] - 1) * 4096
         table[start:start + 4096] = np.frombuffer(bytes(p["bits"]), np.uint8)[:len(table) - start]
+    return table
+
+
+def place(bits: int) -> Column:
+    """The bit of a handle."""
+    return F.pmod(F.xxhash64("handle", F.lit(9)), F.lit(bits))
+
+
+def is_set(table: np.ndarray, places: pa.Array) -> pa.Array:
+    p = places.to_numpy(zero_copy_only=False)
+    return pa.array((table[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
+
+
+def marked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose handle may be in ``wanted``: a bitmap spares the shuffle of
+    the other texts.  Rows that pass by chance are left out by the join on the class that
+    follows."""
+    table = bitmap(wanted)
 
     @F.arrow_udf("boolean")
-    def may_be(positions: pa.Array) -> pa.Array:
-        p = positions.to_numpy(zero_copy_only=False)
-        return pa.array((table[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
+    def may_be(places: pa.Array) -> pa.Array:
+        return is_set(table, places)
+
+    return texts.where(may_be(place(8 * len(table))))
+
+
+def marked_sets(texts: DataFrame, wanted: DataFrame, make, schema: str) -> DataFrame:
+    """``make`` (batches of texts to batches of their sets) over the texts of ``marked``.
+    The bitmap is asked by the worker that makes the sets: a filter by a Python function
+    below it would hold a second worker for every task, and Spark keeps those workers."""
+    table = bitmap(wanted)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("sets")
+        found = (b.filter(is_set(table, b.column(1))) for b in batches)
+        yield from make(b for b in found if b.num_rows)
 
-    return texts.where(may_be(at))
+    return texts.select("text", place(8 * len(table)).alias("place")).mapInArrow(rows, schema)
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -340,7 +369,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # shingles of the classes in question, from one document of each
     asked = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
     shown = rows.join(asked, "sig").groupBy("sig").agg(F.min("handle").alias("handle")).checkpoint()
-    made = marked(texts, shown.select("handle")).select("text").mapInArrow(sets, MEMBERS_SQL)
+    made = marked_sets(texts, shown.select("handle"), sets, MEMBERS_SQL)
     members = materialise(made.join(shown, "sig", "left_semi").dropDuplicates(["sig"]), "jaccard-sets")
     judged = compare(pairs.select("a", "b"), members).join(pairs, ["a", "b"])
     judged = materialise(judged, "jaccard-pairs")

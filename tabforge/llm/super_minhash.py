@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import components, materialise, partitions, text_or_empty
-from .jaccard_join import KEPT_BYTES, marked, merged, shared
+from .jaccard_join import KEPT_BYTES, marked_sets, merged, shared
 from .shingling import mix, shingle_sets, slices
 
 WORDS = 4
@@ -179,7 +179,7 @@ def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def members_of(asked: DataFrame, rows: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     """Whole sets of the classes ``asked`` (sig), each from one of its documents."""
     shown = rows.join(asked, "sig").groupBy("sig").agg(F.min("handle").alias("handle")).checkpoint()
-    made = marked(texts, shown.select("handle")).select("text").mapInArrow(sets, MEMBERS_SQL)
+    made = marked_sets(texts, shown.select("handle"), sets, MEMBERS_SQL)
     return materialise(made.join(shown, "sig", "left_semi").dropDuplicates(["sig"]), name)
 
 

@@ -73,6 +73,7 @@ def bag(text: str) -> bytes:
 
 @F.arrow_udf(T.BinaryType())
 def bags(texts: pa.Array) -> pa.Array:
+    held("toxicity")
     return pa.array([bag(t) for t in texts.to_pylist()], pa.binary())
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tabforge.llm import common, exact_dedup, jaccard_join, registry, sentencepiece_wfst, suffixes
+from tabforge.llm import common, exact_dedup, jaccard_join, registry, sentencepiece_wfst, suffixes, super_minhash
 from tabforge.llm.common import components, filter_rows
 
 from .conftest import PASSAGE, ROWS, SCHEMA, words
@@ -311,3 +312,31 @@ def test_a_chunk_is_small_and_other_stages_memos_go():
     assert sum(b.num_rows for b in out) == 20
     assert max(b.nbytes for b in out) < 8 << 20
     assert list(common._HELD) == ["exact_dedup"]
+
+
+def test_sets_are_made_by_one_python_worker_a_task(spark, docs, monkeypatch):
+    for module, name in ((jaccard_join, "jaccard-sets"), (super_minhash, "superminhash-sets")):
+        plans = []
+
+        def spy(df, at, name=name, plans=plans):
+            if at == name:
+                plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return common.materialise(df, at)
+
+        monkeypatch.setattr(module, "materialise", spy)
+        module.groups(docs).collect()
+        assert plans
+        assert all(len(re.findall("ArrowEvalPython|MapInArrow", p)) == 1 for p in plans)
+
+
+def test_marked_sets_have_every_wanted_text(spark):
+    rows = [(i, words(i, 40)) for i in range(300)]
+    texts = spark.createDataFrame(rows, "handle long, text string")
+    for wanted in (set(), {7}, set(range(0, 300, 3))):
+        frame = spark.createDataFrame([(i,) for i in wanted], "handle long")
+        made = jaccard_join.marked_sets(texts, frame, jaccard_join.sets, jaccard_join.MEMBERS_SQL)
+        passed = {r.handle for r in jaccard_join.marked(texts, frame).collect()}
+        batch = pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i in sorted(passed)], pa.string())], ["text"])
+        want = Counter(x for b in jaccard_join.sets(iter([batch])) for x in b.column(0).to_pylist()) if passed else Counter()
+        assert wanted <= passed
+        assert Counter(r.sig for r in made.collect()) == want

@@ -32,6 +32,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import accumulate
 from math import lgamma, log
 
@@ -186,11 +187,12 @@ def surprise(total: int):
 
 
 def least_bits(found: dict[int, int], tests: int) -> int:
-    """The fewest bits at which chance makes at most FALSE of the pairs found."""
+    """The fewest bits at which chance makes at most FALSE of the pairs found.  Compared
+    exactly: a pair in some sixty documents or more has over 1023 bits, beyond any float."""
     least, n = MOST_BITS + 1, 0
     for b in sorted(found, reverse=True):
         n += found[b]
-        if tests <= FALSE * n * 2 ** b:
+        if tests <= Fraction(FALSE * n) * 2 ** b:
             least = b
     return least
 

@@ -312,6 +312,18 @@ def test_a_list_of_contacts_is_paired_with_its_terms_once(spark, monkeypatch):
     assert 0 < made["pii-pairs"] <= 8 * 450
 
 
+def test_pairs_beyond_any_float_of_bits_are_judged(spark):
+    """An entity and its term in 500 of 1,200 documents surprise by over 1,100 bits."""
+    assert pii.least_bits({pii.MOST_BITS: 1}, 10 ** 12) == pii.MOST_BITS
+    assert pii.least_bits({1500: 2, 30: 100, 3: 5}, 10 ** 9) == 30
+    assert pii.least_bits({1023: 3, 0: 5}, 10 ** 400) == pii.MOST_BITS + 1
+    rows = [(i, "mail" + (" quillfeather at ceo@firm.example.com" if i < 500 else " nobody at all"), "en", "s", 1)
+            for i in range(1200)]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert all([rows[i][1][t.start:t.end] for t in got[i].terms] == ["quillfeather"] for i in range(500))
+    assert not any(got[i].spans for i in range(500, 1200))
+
+
 def test_sanitising_with_clashing_columns(docs, wide_docs):
     plain = {(r.doc_id, r.text) for r in pii.sanitise(docs).collect()}
     wide = pii.sanitise(wide_docs)
